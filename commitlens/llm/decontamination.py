@@ -35,7 +35,8 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Postings (tid, doc_id, row, pos) of the vocabulary's terms (term, tid); pos counts from 0."""
-    posts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))  # the id first: beside posexplode it would count words
+    posts = rows.select("doc_id", "row", F.posexplode("w").alias("pos", "term"))
     return materialize(posts.join(small(vocabulary), "term").select("tid", "doc_id", "row", "pos"), "postings")
 
 
