@@ -10,6 +10,7 @@ from commitlens.llm.common import table
 from commitlens.llm.decontamination import contamination
 from commitlens.llm.exact_dedup import exact_dedup
 from commitlens.llm.mixing import mix
+from commitlens.llm.ngram_join import ngram_components
 from commitlens.llm.sharding import SHARD_BYTES, shard_assignments
 
 
@@ -17,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,7 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op8_mixing, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
 
 
 OP1_SQL = r"""
