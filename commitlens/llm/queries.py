@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from commitlens.llm.common import table
 from commitlens.llm.decontamination import contamination
 from commitlens.llm.exact_dedup import exact_dedup
+from commitlens.llm.lm_scoring import score_texts
 from commitlens.llm.mixing import mix
 from commitlens.llm.ngram_join import ngram_components
 from commitlens.llm.sharding import SHARD_BYTES, shard_assignments
@@ -18,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op5_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
 
 
 OP1_SQL = r"""
