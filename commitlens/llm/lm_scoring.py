@@ -4,8 +4,10 @@ A text is a sequence of words and an end. The probability of a word is that of a
 pieces of an existing subword vocabulary (with bytes for characters it lacks), summed by a forward recursion in log
 space. The pieces' weights start from the vocabulary's own scores and take one expectation step over the distinct words
 of the training texts. The word itself is one more arc: its training frequency, less an absolute discount, whose freed
-mass weighs the subword paths; and the text's words so far are another (a cache of weight CACHE). So the recursion
-returns the marginal probability of the document over all these ways to write it.
+mass weighs the subword paths; and the text's words so far are another (a cache of weight CACHE). Word frequencies are
+learned for the whole corpus and, on top, for each of the CLASSES largest training languages; a text's class is summed
+out, so its own language is never looked at. The result is the marginal probability of the document over all these
+ways to write it.
 
 The corpus side grows with the input: counts of all words of all training texts, combined before the shuffle. Words
 that make up at least HEAVY of all training tokens (at most 1/HEAVY, so at most a million) are shipped to the tasks;
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ from commitlens.llm.common import SPACE_WORD, lower_ascii, materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
-HEAVY, CACHE = 1e-6, 0.15
+HEAVY, CACHE, CLASSES = 1e-6, 0.2, 6
 START = "▁"
 
 
@@ -51,60 +54,77 @@ def load_pieces(path: str = VOCABULARY) -> tuple[dict[str, float], list[float]]:
 
 
 class Lattice:
-    """Log-space recursions over all segmentations of a word."""
+    """Forward and backward recursions over all segmentations of a word: in log space, but for short words, whose
+    products cannot underflow (a sum below FLOOR goes back to log space)."""
+
+    SHORT, FLOOR = 40, 1e-250
 
     def __init__(self, pieces: dict[str, float], byte: list[float]):
-        self.logs = {k: math.log(v) for k, v in pieces.items()}
-        self.byte = [math.log(b) for b in byte]
+        self.pieces, self.byte = pieces, byte
         self.longest: dict[str, int] = {}
         for k in pieces:
             self.longest[k[0]] = max(self.longest.get(k[0], 0), len(k))
 
-    def arcs(self, word: str) -> list[list[tuple[int, str | None, float]]]:
-        """For each end position the arcs (start, piece or None for bytes, log weight)."""
-        s = START + word
-        n, logs, longest = len(s), self.logs, self.longest
-        into: list[list[tuple[int, str | None, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            c, one = s[i], False
+    def arcs(self, s: str) -> list[tuple[int, int, str | None, float]]:
+        """Arcs (start, end, piece or None for bytes, weight) of START + word, in the order of their starts."""
+        n, get, longest, out = len(s), self.pieces.get, self.longest, []
+        for i, c in enumerate(s):
+            one = False
             if i == 0 or c != START:
                 for j in range(i + 1, min(n, i + longest.get(c, 0)) + 1):
-                    p = s[i:j]
-                    w = logs.get(p)
+                    w = get(s[i:j])
                     if w is not None:
-                        into[j].append((i, p, w))
+                        out.append((i, j, s[i:j], w))
                         one = one or j == i + 1
             if not one:
-                into[i + 1].append((i, None, sum(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))))
-        return into
-
-    def forward(self, into) -> list[float]:
-        alpha = [0.0]
-        for arcs in into[1:]:
-            t = [alpha[i] + w for i, _, w in arcs]
-            m = max(t)
-            alpha.append(m + math.log(sum(math.exp(x - m) for x in t)) if len(t) > 1 else m)
-        return alpha
+                out.append((i, i + 1, None, math.prod(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))))
+        return out
 
     def log_probability(self, word: str) -> float:
-        return self.forward(self.arcs(word))[-1]
+        """Natural logarithm of the word's marginal probability."""
+        s = START + word
+        if len(s) <= self.SHORT:
+            a = [1.0] + [0.0] * len(s)
+            for i, j, _, w in self.arcs(s):
+                a[j] += a[i] * w
+            if a[-1] > self.FLOOR:
+                return math.log(a[-1])
+        return self._log_forward(len(s), self.arcs(s))[-1]
+
+    @staticmethod
+    def _plus(a: float, b: float) -> float:
+        hi, lo = (a, b) if a > b else (b, a)
+        return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
+    def _log_forward(self, n: int, arcs) -> list[float]:
+        a = [0.0] + [-math.inf] * n
+        for i, j, _, w in arcs:
+            a[j] = self._plus(a[j], a[i] + math.log(w))
+        return a
 
     def expect(self, word: str, found: dict[str, float]) -> None:
-        """Adds the expected number of each piece (bytes: one entry each, as \\x00 and the number) in a segmentation of word."""
-        into = self.arcs(word)
-        alpha = self.forward(into)
-        n = len(into) - 1
-        beta = [-math.inf] * n + [0.0]
-        for j in range(n, 0, -1):
-            for i, p, w in into[j]:
-                x = beta[j] + w
-                share = math.exp(alpha[i] + x - alpha[n])
-                if share > 1e-9:
-                    for k in [p] if p is not None else ["\x00" + str(b) for b in (START + word)[i].encode("utf-8", "surrogatepass")]:
-                        found[k] = found.get(k, 0.0) + share
-                a = beta[i]
-                hi, lo = (a, x) if a > x else (x, a)
-                beta[i] = hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+        """Adds the expected number of each piece (bytes: \\x00 and the number) in a segmentation of the word."""
+        s = START + word
+        n, arcs = len(s), self.arcs(s)
+        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        if n <= self.SHORT:
+            for i, j, _, w in arcs:
+                a[j] += a[i] * w
+        if a[n] > self.FLOOR:
+            for i, j, _, w in reversed(arcs):
+                b[i] += b[j] * w
+            shares = [a[i] * w * b[j] / a[n] for i, j, _, w in arcs]
+        else:
+            a, b = self._log_forward(n, arcs), [-math.inf] * n + [0.0]
+            for i, j, _, w in reversed(arcs):
+                b[i] = self._plus(b[i], b[j] + math.log(w))
+            shares = [math.exp(a[i] + math.log(w) + b[j] - a[n]) for i, j, _, w in arcs]
+        for (i, _, p, _), share in zip(arcs, shares, strict=True):
+            if p is not None:
+                found[p] = found.get(p, 0.0) + share
+            else:
+                for x in s[i].encode("utf-8", "surrogatepass"):
+                    found["\x00" + str(x)] = found.get("\x00" + str(x), 0.0) + share
 
 
 def _expected(pieces, byte):
@@ -122,15 +142,26 @@ def _subword_logs(pieces, byte):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(pieces, byte)
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "c": b["c"], "sub": [lattice.log_probability(w) for w in b["word"]]})
+            yield pd.DataFrame({"word": b["word"], "c": b["c"], "by": b["by"], "sub": [lattice.log_probability(w) for w in b["word"]]})
 
     return run
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c (its count in training texts; 0 for words of held-out texts only)."""
-    each = docs.select(_held_out().alias("held_out"), F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(SPACE_WORD), F.lit(0))).alias("word"))
-    return each.groupBy("word").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).cast("long").alias("c"))
+def training_classes(docs: DataFrame, most: int = CLASSES) -> dict[str, int]:
+    """The training texts of the largest languages (none if docs has no column lang)."""
+    if "lang" not in docs.columns or not most:
+        return {}
+    found = docs.filter(~_held_out() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    return {r["lang"]: r["count"] for r in found.collect()}
+
+
+def word_counts(docs: DataFrame, classes: list[str]) -> DataFrame:
+    """word, c (its count in training texts; 0 for words of held-out texts only), by (its counts in each class)."""
+    lang = F.col("lang") if classes else F.lit(None)
+    each = docs.select(F.when(_held_out(), 0).otherwise(1).alias("train"), lang.alias("lang"), F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(SPACE_WORD), F.lit(0))).alias("word"))
+    sums = [F.sum(F.when(F.col("lang") == z, F.col("train")).otherwise(0)).cast("long").alias(f"c{i}") for i, z in enumerate(classes)]
+    each = each.groupBy("word").agg(F.sum("train").cast("long").alias("c"), *sums)
+    return each.select("word", "c", F.array(*[F.col(f"c{i}") for i in range(len(classes))]).cast("array<long>").alias("by"))
 
 
 def _held_out():
@@ -139,72 +170,91 @@ def _held_out():
 
 def train_pieces(words: DataFrame, path: str) -> tuple[dict[str, float], list[float]]:
     """One expectation step over the distinct training words; at most as many sums as the vocabulary has pieces come
-    to the driver. Every piece keeps one more than its expectation."""
+    to the driver. A piece that the
+    training words hardly use leaves the lattice; the others keep one more than their expectation."""
     pieces, byte = load_pieces(path)
     sums = words.filter("c > 0").select("word").mapInPandas(_expected(pieces, byte), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     got = {r["piece"]: r["n"] for r in sums.collect()}
-    weights = {k: got.get(k, 0.0) + 1.0 for k in pieces}
+    weights = {k: got.get(k, 0.0) + 1.0 for k in pieces if len(k) == 1 or got.get(k, 0.0) >= 1.0}
     bytes_ = [got.get("\x00" + str(b), 0.0) + 1.0 for b in range(256)]
     total = sum(weights.values()) + sum(bytes_)
     return {k: v / total for k, v in weights.items()}, [b / total for b in bytes_]
 
 
-def _score(heavy: dict[str, tuple[float, float]], cache: float):
-    """Sums over the heavy words of each text; the other words of a text with the cache's share at each occurrence."""
+def _score(words: dict[bytes, int], plus: np.ndarray, p: np.ndarray, cache: float):
+    """Sums over the heavy words of each text (base, and one for each class); its other words with the cache's share at
+    each occurrence. words: a heavy word's place in plus and p."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log10, keep = math.log10, 1.0 - cache
         for b in batches:
             out, held = [], 0
             for row, key, text in zip(b["row"], b["key"], b["text"], strict=True):
-                base = score = 0.0
                 seen: dict[bytes, int] = {}
                 rare: dict[bytes, list[float]] = {}
-                known = h = 0
+                at, shares, h = [], [], 0
                 for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
                     k = seen.get(w, 0)
-                    e = heavy.get(w)
+                    i = words.get(w)
                     share = cache * k / h if k else 0.0
-                    if e is None:
+                    if i is None:
                         rare.setdefault(w, []).append(share)
                     else:
-                        base += e[0]
-                        score += log10(keep * e[1] + share)
-                        known += 1
+                        at.append(i)
+                        shares.append(share)
                     seen[w] = k + 1
                     h += 1
-                out.append((row, key, None, h, known, base, score, None))
-                out.extend((row, None, w.decode("utf-8", "surrogatepass"), 0, 0, 0.0, 0.0, s) for w, s in rare.items())
+                sums = np.log10((1.0 - cache) * p[at] + np.array(shares)[:, None]).sum(0) if at else np.zeros(p.shape[1])
+                out.append((row, key, None, h, len(at), float(plus[at].sum()) if at else 0.0, sums, None))
+                out.extend((row, None, w.decode("utf-8", "surrogatepass"), 0, 0, 0.0, None, s) for w, s in rare.items())
                 held += h
                 if held > 200_000:
-                    yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "score", "shares"])
+                    yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
                     out, held = [], 0
-            yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "score", "shares"])
+            yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
 
     return run
 
 
 def score_texts(docs: DataFrame, path: str = VOCABULARY, heavy_share: float = HEAVY, cache: float = CACHE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
-    counts = materialize(word_counts(docs), "words")
+    sizes = training_classes(docs)
+    classes = list(sizes)
+    counts = materialize(word_counts(docs, classes), "words")
     ends = docs.filter(~_held_out()).count()
-    t = counts.filter("c > 0").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    total, distinct, once, twice = (t[0] or 0) + ends, t[1] + (ends > 0), t[2], t[3]
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    free = (discount * t[1] / total) if total else 1.0
+    zs = range(len(classes))
+    t = counts.filter("c > 0").agg(
+        F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
+        *[F.sum(F.col("by")[i]).alias(f"n{i}") for i in zs], *[F.count_if(F.col("by")[i] > 0).alias(f"v{i}") for i in zs],
+    ).first()
+    total, distinct = (t["n"] or 0) + ends, t["v"] + (ends > 0)
+    discount = t["once"] / (t["once"] + 2 * t["twice"]) if t["once"] and t["twice"] else 0.5
+
+    def kept(c, n, v, below):
+        """Discounted frequency, the mass of what is below for the rest."""
+        return F.when(c > 0, (c - discount) / max(n, 1)).otherwise(0.0) + (discount * v / n if n else 1.0) * below
+
     pieces, byte = train_pieces(counts, path)
-    words = materialize(counts.mapInPandas(_subword_logs(pieces, byte), "word string, c long, sub double"), "lattice")
-    p = F.when(F.col("c") > 0, (F.col("c") - discount) / max(total, 1)).otherwise(0.0) + free * F.exp("sub")
-    words = words.select("word", "c", F.log10(F.col("c") + 1.0).alias("plus"), F.greatest(p, F.lit(1e-300)).alias("p"))
-    heavy = words.filter(F.col("c") >= max(1.0, heavy_share * total))
-    known = {r["word"].encode("utf-8", "surrogatepass"): (r["plus"], r["p"]) for r in heavy.select("word", "plus", "p").toLocalIterator()} if total else {}
+    words = materialize(counts.mapInPandas(_subword_logs(pieces, byte), "word string, c long, by array<long>, sub double"), "lattice")
+    whole = kept(F.col("c"), total, t["v"], F.greatest(F.exp("sub"), F.lit(1e-290)))
+    ps = [kept(F.col("by")[i], t[f"n{i}"], t[f"v{i}"], F.col("whole")) for i in zs] or [F.col("whole")]
+    words = words.withColumn("whole", whole).select("word", "c", F.log10(F.col("c") + 1.0).alias("plus"), F.array(*ps).alias("ps"))
+    heavy, plus, p = {}, [], []
+    for r in words.filter(F.col("c") >= max(1.0, heavy_share * total)).select("word", "plus", "ps").toLocalIterator() if total else ():
+        heavy[r["word"].encode("utf-8", "surrogatepass")] = len(plus)
+        plus.append(r["plus"])
+        p.append(r["ps"])
+    scored = _score(heavy, np.array(plus), np.array(p or [[1.0] * len(ps)]), cache)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("key"), "text")
-    made = materialize(texts.mapInPandas(_score(known, cache), "row long, key string, word string, n long, known long, base double, score double, shares array<double>"), "scored")
+    made = materialize(texts.mapInPandas(scored, "row long, key string, word string, n long, known long, base double, scores array<double>, shares array<double>"), "scored")
     rare = made.filter("word is not null").select("row", "word", "shares").join(words, "word")
-    mixed = F.expr(f"aggregate(shares, 0D, (a, s) -> a + log10({1.0 - cache}D * p + s))")
-    rare = rare.select("row", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, F.size("shares")).otherwise(0).cast("long").alias("known"), (F.col("plus") * F.size("shares")).alias("base"), mixed.alias("score"))
-    sums = made.filter("word is null").select("row", "key", "n", "known", "base", "score").unionByName(rare)
-    sums = sums.groupBy("row").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
+    mixed = [F.expr(f"aggregate(shares, 0D, (a, s) -> a + log10({1.0 - cache}D * ps[{i}] + s))").alias(f"s{i}") for i in range(len(ps))]
+    occurs = F.size("shares")
+    rare = rare.select("row", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, occurs).otherwise(0).cast("long").alias("known"), (F.col("plus") * occurs).alias("base"), *mixed)
+    sums = made.filter("word is null").select("row", "key", "n", "known", "base", *[F.col("scores")[i].alias(f"s{i}") for i in range(len(ps))]).unionByName(rare)
+    sums = sums.groupBy("row").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n", "known", "base", *[f"s{i}" for i in range(len(ps))])])
+    prior = [math.log10(max(1, sizes[z]) / max(1, sum(sizes.values()))) for z in classes] or [0.0]
+    each = F.array(*[F.col(f"s{i}") + prior[i] for i in range(len(ps))])
+    sums = sums.withColumn("best", F.array_max(each)).withColumn("score", F.col("best") + F.log10(F.aggregate(F.transform(each, lambda x: F.pow(F.lit(10.0), x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)))
     return _finish(sums.withColumn("doc_id", F.col("key").cast(docs.schema["doc_id"].dataType)), total, distinct, ends, cache)
 
 
