@@ -14,11 +14,18 @@ from commitlens.llm.mixing import mix
 from commitlens.llm.ngram_join import ngram_components
 from commitlens.llm.sharding import SHARD_BYTES, shard_assignments
 
+from commitlens.llm.toxicity import toxicity_scores, train
+
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -40,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op4_toxicity, op5_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
 
 
 OP1_SQL = r"""
