@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from commitlens.llm.common import table
 from commitlens.llm.decontamination import contamination
 from commitlens.llm.exact_dedup import exact_dedup
+from commitlens.llm.html_extraction import extract_articles
+from commitlens.llm.line_dedup import line_dedup
 from commitlens.llm.lm_scoring import score_texts
 from commitlens.llm.mixing import mix
 from commitlens.llm.ngram_join import ngram_components
 from commitlens.llm.sharding import SHARD_BYTES, shard_assignments
 
+from commitlens.llm.token_counts import token_counts
 from commitlens.llm.toxicity import toxicity_scores, train
 
 
@@ -21,6 +24,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -30,6 +41,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -47,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_toxicity, op5_lm_scoring, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_html_extraction, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
 
 
 OP1_SQL = r"""
