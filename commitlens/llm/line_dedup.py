@@ -76,7 +76,8 @@ def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     hi += 1
                 upto = hi
                 out.append((key, h, lo, hi))
-        yield pd.DataFrame(out, columns=["doc_id", "h", "lo", "hi"])
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "h", "lo", "hi"])
 
 
 def _key() -> Column:

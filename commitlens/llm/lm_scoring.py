@@ -133,7 +133,8 @@ def _expected(pieces, byte):
         for b in batches:
             for word in b["word"]:
                 lattice.expect(word, found)
-        yield pd.DataFrame({"piece": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"piece": list(found), "n": list(found.values())})
 
     return run
 
@@ -210,7 +211,8 @@ def _score(words: dict[bytes, int], plus: np.ndarray, p: np.ndarray, cache: floa
                 if held > 200_000:
                     yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
                     out, held = [], 0
-            yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
+            if out:
+                yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
 
     return run
 
