@@ -39,9 +39,8 @@ def exact_form(version: Column) -> Column:
 def release_key(version: Column) -> Column:
     """Numbers of a plain release, without trailing zeros, as an array that sorts; null for anything else."""
     plain = exact_form(version)
-    parts = F.transform(F.split(plain, r"\."), lambda x: x.cast("long"))
-    last = F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.lit(0), lambda a, i: F.when(F.element_at(parts, i) > 0, i).otherwise(a))
-    return F.when(plain.rlike(r"^\d{1,15}(\.\d{1,15})*$"), F.slice(parts, F.lit(1), last))
+    parts = F.transform(F.split(F.regexp_replace(plain, r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("long"))
+    return F.when(plain.rlike(r"^\d{1,15}(\.\d{1,15})*$"), parts)
 
 
 def caret_bounds(spec: Column) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.versions import caret_bounds, exact_form, query_kind, release_key
+from commitlens.plans.scratch import materialize
 
 
 def plan_queries(declared: DataFrame, ecosystem: str = "npm") -> DataFrame:
@@ -27,6 +28,7 @@ def registry_status(planned: DataFrame, releases: DataFrame, key: list[str]) ->
     out once. Exact values join on (package, version); only ranges and bare names see a package's whole history, which
     is summed up before it meets anything else.
     """
+    planned = materialize(planned, "planned")  # read four times below
     q = planned.filter(F.col("query_kind").isin("exact", "name_only", "range")).select("package_name", "query_kind", "query_value", "author_date").distinct()
     rel = releases.select("package_name", exact_form(F.col("version")).alias("v"), release_key(F.col("version")).alias("key"), "published_at")
     history = rel.groupBy("package_name").agg(F.min("published_at").alias("first_at"), F.count("*").alias("n"))
