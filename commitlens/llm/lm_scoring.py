@@ -2,7 +2,7 @@
 
 A text is a sequence of words and an end. The probability of a word is that of a lattice: all segmentations into the
 pieces of an existing subword vocabulary (with bytes for characters it lacks), summed by a forward recursion in log
-space. The pieces' weights start from the vocabulary's own scores and take one expectation step over the distinct words
+space. A piece weighs as often as the vocabulary's own scores choose it in the best segmentations of the distinct words
 of the training texts. The word itself is one more arc: its training frequency, less an absolute discount, whose freed
 mass weighs the subword paths; and the text's words so far are another (a cache of weight CACHE). Word frequencies are
 learned for the whole corpus and, on top, for each of the CLASSES largest training languages; a text's class is summed
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,105 +37,84 @@ HEAVY, CACHE, CLASSES = 1e-6, 0.2, 6
 START = "▁"
 
 
-def load_pieces(path: str = VOCABULARY) -> tuple[dict[str, float], list[float]]:
-    """Pieces (without A-Z) and the 256 bytes with their first weights: a score of -r, the rank of a merge, weighs as
-    1/(r + 1), the frequency law of ranks; scores that are not ranks do not occur in this vocabulary."""
+@lru_cache(2)
+def _processor(model: bytes):
     from sentencepiece import SentencePieceProcessor
 
-    sp = SentencePieceProcessor(model_file=path)
-    weights, byte = {}, [0.0] * 256
-    for i in range(sp.get_piece_size()):
-        piece, w = sp.id_to_piece(i), 1.0 / (1.0 - sp.get_score(i))
-        if sp.is_byte(i):
-            byte[int(piece[3:5], 16)] = 1e-4
-        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or any("A" <= c <= "Z" for c in piece) or START in piece[1:]):
-            weights[piece] = w
-    total = sum(weights.values()) + sum(byte)
-    return {k: v / total for k, v in weights.items()}, [b / total for b in byte]
+    return SentencePieceProcessor(model_proto=model)
+
+
+def load_pieces(path: str = VOCABULARY) -> tuple[bytes, list[str]]:
+    """The vocabulary file as it is, for the tasks, and its usable pieces: those without A-Z, and START only in front."""
+    with open(path, "rb") as f:
+        model = f.read()
+    sp = _processor(model)
+    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    return model, [p for p in names if not any("A" <= c <= "Z" for c in p) and START not in p[1:]]
 
 
 class Lattice:
-    """Forward and backward recursions over all segmentations of a word: in log space, but for short words, whose
-    products cannot underflow (a sum below FLOOR goes back to log space)."""
+    """Forward recursion over all segmentations of a word: in log space, but for short words, whose products cannot
+    underflow (a sum below FLOOR goes back to log space)."""
 
     SHORT, FLOOR = 40, 1e-250
 
     def __init__(self, pieces: dict[str, float], byte: list[float]):
-        self.pieces, self.byte = pieces, byte
-        self.longest: dict[str, int] = {}
-        for k in pieces:
-            self.longest[k[0]] = max(self.longest.get(k[0], 0), len(k))
-
-    def arcs(self, s: str) -> list[tuple[int, int, str | None, float]]:
-        """Arcs (start, end, piece or None for bytes, weight) of START + word, in the order of their starts."""
-        n, get, longest, out = len(s), self.pieces.get, self.longest, []
-        for i, c in enumerate(s):
-            one = False
-            if i == 0 or c != START:
-                for j in range(i + 1, min(n, i + longest.get(c, 0)) + 1):
-                    w = get(s[i:j])
-                    if w is not None:
-                        out.append((i, j, s[i:j], w))
-                        one = one or j == i + 1
-            if not one:
-                out.append((i, i + 1, None, math.prod(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))))
+        self.byte = byte
+        self.next = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), 0.0)  # beginnings of pieces: 0
+        self.next.update(pieces)
+
+    def arcs(self, s: str) -> list[tuple[int, int, float]]:
+        """Arcs (start, end, weight) of START + word, in the order of their starts."""
+        n, get, out = len(s), self.next.get, []
+        for i in range(n):
+            w = get(s[i])
+            if w is None or i and s[i] == START:
+                out.append((i, i + 1, self.bytes_weight(s[i])))
+                continue
+            out.append((i, i + 1, w or self.bytes_weight(s[i])))
+            for j in range(i + 2, n + 1):
+                w = get(s[i:j])
+                if w is None:
+                    break
+                if w:
+                    out.append((i, j, w))
         return out
 
+    def bytes_weight(self, c: str) -> float:
+        return math.prod(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
+
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the word's marginal probability."""
         s = START + word
+        arcs = self.arcs(s)
         if len(s) <= self.SHORT:
             a = [1.0] + [0.0] * len(s)
-            for i, j, _, w in self.arcs(s):
+            for i, j, w in arcs:
                 a[j] += a[i] * w
             if a[-1] > self.FLOOR:
                 return math.log(a[-1])
-        return self._log_forward(len(s), self.arcs(s))[-1]
+        a = [0.0] + [-math.inf] * len(s)
+        for i, j, w in arcs:
+            x = a[i] + math.log(w)
+            hi, lo = (a[j], x) if a[j] > x else (x, a[j])
+            a[j] = hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+        return a[-1]
 
-    @staticmethod
-    def _plus(a: float, b: float) -> float:
-        hi, lo = (a, b) if a > b else (b, a)
-        return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
 
-    def _log_forward(self, n: int, arcs) -> list[float]:
-        a = [0.0] + [-math.inf] * n
-        for i, j, _, w in arcs:
-            a[j] = self._plus(a[j], a[i] + math.log(w))
-        return a
+def _chosen(model: bytes):
+    """How often the vocabulary chooses each piece (a byte: as <0xNN>) in the words."""
 
-    def expect(self, word: str, found: dict[str, float]) -> None:
-        """Adds the expected number of each piece (bytes: \\x00 and the number) in a segmentation of the word."""
-        s = START + word
-        n, arcs = len(s), self.arcs(s)
-        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        if n <= self.SHORT:
-            for i, j, _, w in arcs:
-                a[j] += a[i] * w
-        if a[n] > self.FLOOR:
-            for i, j, _, w in reversed(arcs):
-                b[i] += b[j] * w
-            shares = [a[i] * w * b[j] / a[n] for i, j, _, w in arcs]
-        else:
-            a, b = self._log_forward(n, arcs), [-math.inf] * n + [0.0]
-            for i, j, _, w in reversed(arcs):
-                b[i] = self._plus(b[i], b[j] + math.log(w))
-            shares = [math.exp(a[i] + math.log(w) + b[j] - a[n]) for i, j, _, w in arcs]
-        for (i, _, p, _), share in zip(arcs, shares, strict=True):
-            if p is not None:
-                found[p] = found.get(p, 0.0) + share
-            else:
-                for x in s[i].encode("utf-8", "surrogatepass"):
-                    found["\x00" + str(x)] = found.get("\x00" + str(x), 0.0) + share
-
-
-def _expected(pieces, byte):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, found = Lattice(pieces, byte), {}
+        sp = _processor(model)
+        found = np.zeros(sp.get_piece_size(), np.int64)
         for b in batches:
-            for word in b["word"]:
-                lattice.expect(word, found)
-        if found:
-            yield pd.DataFrame({"piece": list(found), "n": list(found.values())})
+            for lo in range(0, len(b), 5000):
+                words = [w.encode("utf-8", "replace").decode() for w in b["word"].iloc[lo : lo + 5000]]
+                found += np.bincount([i for ids in sp.encode(words, num_threads=1) for i in ids], minlength=len(found))
+        at = np.flatnonzero(found)
+        if len(at):
+            yield pd.DataFrame({"piece": [sp.id_to_piece(int(i)) for i in at], "n": found[at]})
 
     return run
 
@@ -170,14 +150,13 @@ def _held_out():
 
 
 def train_pieces(words: DataFrame, path: str) -> tuple[dict[str, float], list[float]]:
-    """One expectation step over the distinct training words; at most as many sums as the vocabulary has pieces come
-    to the driver. A piece that the
-    training words hardly use leaves the lattice; the others keep one more than their expectation."""
-    pieces, byte = load_pieces(path)
-    sums = words.filter("c > 0").select("word").mapInPandas(_expected(pieces, byte), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    """Weights of the pieces and of the 256 bytes from the distinct training words; at most as many counts as the
+    vocabulary has pieces come to the driver. A piece that the words hardly use leaves the lattice."""
+    model, names = load_pieces(path)
+    sums = words.filter("c > 0").select("word").mapInPandas(_chosen(model), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     got = {r["piece"]: r["n"] for r in sums.collect()}
-    weights = {k: got.get(k, 0.0) + 1.0 for k in pieces if len(k) == 1 or got.get(k, 0.0) >= 1.0}
-    bytes_ = [got.get("\x00" + str(b), 0.0) + 1.0 for b in range(256)]
+    weights = {k: got.get(k, 0) + 1.0 for k in names if len(k) == 1 or got.get(k, 0) >= 2}
+    bytes_ = [got.get(f"<0x{b:02X}>", 0) + 1.0 for b in range(256)]
     total = sum(weights.values()) + sum(bytes_)
     return {k: v / total for k, v in weights.items()}, [b / total for b in bytes_]
 
@@ -187,25 +166,25 @@ def _score(words: dict[bytes, int], plus: np.ndarray, p: np.ndarray, cache: floa
     each occurrence. words: a heavy word's place in plus and p."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = words.get
         for b in batches:
             out, held = [], 0
             for row, key, text in zip(b["row"], b["key"], b["text"], strict=True):
-                seen: dict[bytes, int] = {}
+                ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                h = len(ws)
+                ids = np.fromiter((get(w, -1) for w in ws), np.int64, h)
+                at = np.flatnonzero(ids >= 0)
+                order = np.argsort(ids[at], kind="stable")  # equal words side by side, in their order
+                word = ids[at][order]
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(at) else at
+                before = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                share = cache * before / np.maximum(at[order], 1)
+                sums = np.log10((1.0 - cache) * p[word] + share[:, None]).sum(0)
+                out.append((row, key, None, h, len(at), float(plus[word].sum()), sums, None))
                 rare: dict[bytes, list[float]] = {}
-                at, shares, h = [], [], 0
-                for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-                    k = seen.get(w, 0)
-                    i = words.get(w)
-                    share = cache * k / h if k else 0.0
-                    if i is None:
-                        rare.setdefault(w, []).append(share)
-                    else:
-                        at.append(i)
-                        shares.append(share)
-                    seen[w] = k + 1
-                    h += 1
-                sums = np.log10((1.0 - cache) * p[at] + np.array(shares)[:, None]).sum(0) if at else np.zeros(p.shape[1])
-                out.append((row, key, None, h, len(at), float(plus[at].sum()) if at else 0.0, sums, None))
+                for i in np.flatnonzero(ids < 0).tolist():
+                    s = rare.setdefault(ws[i], [])
+                    s.append(cache * len(s) / i if s else 0.0)
                 out.extend((row, None, w.decode("utf-8", "surrogatepass"), 0, 0, 0.0, None, s) for w, s in rare.items())
                 held += h
                 if held > 200_000:
@@ -245,7 +224,7 @@ def score_texts(docs: DataFrame, path: str = VOCABULARY, heavy_share: float = HE
         heavy[r["word"].encode("utf-8", "surrogatepass")] = len(plus)
         plus.append(r["plus"])
         p.append(r["ps"])
-    scored = _score(heavy, np.array(plus), np.array(p or [[1.0] * len(ps)]), cache)
+    scored = _score(heavy, np.array(plus, float), np.array(p, float).reshape(-1, len(ps)), cache)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("key"), "text")
     made = materialize(texts.mapInPandas(scored, "row long, key string, word string, n long, known long, base double, scores array<double>, shares array<double>"), "scored")
     rare = made.filter("word is not null").select("row", "word", "shares").join(words, "word")

@@ -10,8 +10,8 @@ logistic of the margins of its TOP loudest sentences, fitted to the labels at th
 Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the smallest MD5 of doc_id. Scoring reads
 every text whole. Words are what white space separates, lower-cased and freed of marks (a word of marks only is none);
 single letters in a row are also read as one word; long words are read in overlapping windows. A kernel value below
-FLOOR counts as none, as does the value of a word that lacks more than a third of a landmark's letters or half of its
-pairs of neighbours.
+FLOOR counts as none, as does the value of a word that lacks more than a third of a landmark's letters or two fifths of
+its pairs of neighbours.
 
 Defined results: null and empty texts have no sentence and get the score of a sentence without likeness; labels with a
 null toxic are skipped, of several labels of a doc_id the greatest holds; without training rows of both labels every
@@ -96,7 +96,7 @@ class Kernel:
         self.landmarks = landmarks
         self.codes, self.size = _codes(landmarks, -2)
         self.own, self.masks = _self_kernel(landmarks), _masks(landmarks)
-        self.least = np.ceil(np.bitwise_count(self.masks) * np.array([SHARE, 0.5]))
+        self.least = np.ceil(np.bitwise_count(self.masks) * np.array([SHARE, 0.6]))
 
     def values(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -107,71 +107,91 @@ class Kernel:
         i, j = np.nonzero(near)
         if not len(i):
             return out
-        used = np.unique(i)
-        own = np.zeros(len(words))
-        own[used] = _self_kernel([words[k] for k in used])
-        size = np.array([len(w) for w in words])
-        for n in np.unique(size[i]):
-            at = np.flatnonzero(size[i] == n)
-            for part in np.array_split(at, max(1, len(at) // 4000)):
-                c, s = _codes([words[k] for k in i[part]], -1)
-                k = ssk(c, self.codes[j[part]], s, self.size[j[part]]) / np.sqrt(own[i[part]] * self.own[j[part]])
-                out[i[part], j[part]] = np.where(k >= FLOOR, k, 0)
+        used, slot = np.unique(i, return_inverse=True)
+        own = _self_kernel([words[k] for k in used])
+        codes, size = _codes([words[k] for k in used], -1)
+        order = np.lexsort((self.size[j], size[slot]))
+        edges = np.flatnonzero(np.diff(size[slot][order])) + 1
+        for at in np.split(order, edges):
+            for part in np.array_split(at, max(1, len(at) // 3000)):
+                u, v = slot[part], j[part]
+                wide = max(3, int(self.size[v].max()))
+                k = ssk(codes[u, : max(3, size[u[0]])], self.codes[v, :wide], size[u], self.size[v]) / np.sqrt(own[u] * self.own[v])
+                out[i[part], v] = np.where(k >= FLOOR, k, 0)
         return out
 
 
-def sentence_words(text: str | None) -> list[set[str]]:
-    """The distinct words of each sentence."""
-    out = []
-    for s in _SENTENCE.split((text or "").lower()):
-        words = set()
-        for w in [*s.split(), *(m.group() for m in _LONELY.finditer(s))]:
-            w = _MARKS.sub("", w)
-            if len(w) > MOST_LETTERS:
-                words.update(w[i : i + MOST_LETTERS] for i in range(0, len(w) - STEP, STEP))
-            elif len(w) >= 3:
-                words.add(w)
-        if words:
-            out.append(words)
+def clean_words(token: str) -> list[str]:
+    """What a token (lower case) is as words: freed of marks, long ones in windows, short ones none."""
+    w = _MARKS.sub("", token)
+    if len(w) > MOST_LETTERS:
+        return [w[i : i + MOST_LETTERS] for i in range(0, len(w) - STEP, STEP)]
+    return [w] if len(w) >= 3 else []
+
+
+def tokens(text: str) -> set[str]:
+    """Distinct tokens of a text in lower case, runs of single letters also as one."""
+    out = set(text.split())
+    if sum(len(t) <= 2 for t in out) >= 3:
+        out.update(m.group() for m in _LONELY.finditer(text))
     return out
 
 
 class Likeness:
-    """Kernel rows of words, kept for words seen before; most words have none."""
+    """Kernel rows of tokens, kept for those seen before; most tokens have none."""
 
     def __init__(self, kernel: Kernel):
         self.kernel, self.known = kernel, {}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+    def learn(self, seen: set[str]) -> None:
+        new = [t for t in seen if t not in self.known]
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, new = {}, list(words)
+            self.known, new = {}, list(seen)
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            v = self.kernel.values(part)
+            words = [clean_words(t) for t in part]
+            flat = sorted({w for ws in words for w in ws})
+            place = {w: k for k, w in enumerate(flat)}
+            v = self.kernel.values(flat)
             some = v.any(1)
-            self.known.update((w, v[k] if some[k] else None) for k, w in enumerate(part))
+            for t, ws in zip(part, words, strict=True):
+                hit = [v[place[w]] for w in ws if some[place[w]]]
+                self.known[t] = (hit[0].copy() if len(hit) == 1 else np.max(hit, axis=0)) if hit else None
 
     def features(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the rows of its sentences with likeness, as an array [sentences, landmarks]."""
-        split = [sentence_words(t) for t in texts]
-        self.learn({w for t in split for s in t for w in s})
+        low = [(t or "").lower() for t in texts]
+        each = [tokens(t) for t in low]
+        self.learn(set().union(*each))
         out = []
-        for t in split:
+        for text, seen in zip(low, each, strict=True):
             rows = []
-            for s in t:
-                hits = [v for w in s if (v := self.known[w]) is not None]
-                if hits:
-                    rows.append(np.max(hits, axis=0))
+            if any(self.known[t] is not None for t in seen):
+                for s in _SENTENCE.split(text):
+                    hits = [v for t in tokens(s) if (v := self.known.get(t)) is not None]
+                    if hits:
+                        rows.append(np.max(hits, axis=0))
             out.append(np.array(rows, np.float32).reshape(-1, len(self.kernel.landmarks)))
         return out
 
 
+#: One for each model that a worker process has met, so that tasks share what they have learned.
+_KEPT: dict[tuple[str, ...], Likeness] = {}
+
+
+def _likeness(landmarks: list[str]) -> Likeness:
+    key = tuple(landmarks)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Likeness(Kernel(landmarks))
+    return _KEPT[key]
+
+
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
     """The words with the greatest difference in use between the labels, in standard errors; near copies once."""
     seen = [Counter(), Counter()]
     for t, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({w for s in sentence_words(t) for w in s})
+        seen[int(y)].update({w for s in tokens(t.lower()) for w in clean_words(s)})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     scores = []
     for w, c in seen[1].items():
@@ -267,7 +287,7 @@ def _held_out():
 
 def _score(model: Model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        likeness = Likeness(Kernel(model.landmarks))
+        likeness = _likeness(model.landmarks)
         for b in batches:
             out = []
             for lo in range(0, len(b), 500):
