@@ -10,9 +10,9 @@ OUTSIDE = ("node_modules", "vendor", "vendored", "generated")
 SUFFIXES = {
     "TypeScript": (".ts", ".tsx", ".mts", ".cts"), "JavaScript": (".js", ".jsx", ".mjs", ".cjs"), "Python": (".py",), "Rust": (".rs",), "Go": (".go",), "Java": (".java",),
 }
-ECOSYSTEMS = {"TypeScript": "npm", "JavaScript": "npm", "Python": "PyPI", "Rust": "crates.io", "Go": "Go", "Java": "Maven"}
+ECOSYSTEMS = {"TypeScript": "npm", "JavaScript": "npm", "Python": "PyPI", "Rust": "Cargo", "Go": "Go", "Java": "Maven"}
 MANIFESTS = {
-    "package.json": "npm", "pyproject.toml": "pyproject", "setup.cfg": "setup_cfg", "Cargo.toml": "cargo", "go.mod": "gomod", "pom.xml": "maven",
+    "package.json": "npm", "pyproject.toml": "pyproject", "setup.cfg": "setup_cfg", "cargo.toml": "cargo", "go.mod": "gomod", "pom.xml": "maven",
     "build.gradle": "gradle", "build.gradle.kts": "gradle", "libs.versions.toml": "catalog",
 }
 
@@ -40,6 +40,6 @@ def ecosystem(language: Column) -> Column:
 
 
 def manifest_kind(path: Column) -> Column:
-    """Kind of the manifest at path; requirements*.txt counts as requirements; null for other files."""
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), basename(path))
+    """Kind of the manifest at path, by its name in lower case; requirements*.txt counts as requirements; null for other files."""
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), F.lower(basename(path)))
     return F.coalesce(known, F.when(F.lower(basename(path)).rlike(r"^requirements.*\.txt$"), "requirements"))

@@ -11,8 +11,8 @@ EXACT = r"^v?\d+\.\d+(\.\d+(\.\d+)?)?([-+][0-9A-Za-z.+-]+)?$"
 
 
 def normalize_package(ecosystem: Column, package: Column) -> Column:
-    """PyPI: runs of - _ . become one -, lower case; npm and crates.io: lower case; others as they are."""
-    return F.when(ecosystem == "PyPI", F.lower(F.regexp_replace(package, "[-_.]+", "-"))).when(ecosystem.isin("npm", "crates.io"), F.lower(package)).otherwise(package)
+    """PyPI: runs of - _ . become one -, lower case; npm and Cargo: lower case; others as they are."""
+    return F.when(ecosystem == "PyPI", F.lower(F.regexp_replace(package, "[-_.]+", "-"))).when(ecosystem.isin("npm", "Cargo"), F.lower(package)).otherwise(package)
 
 
 def is_private_spec(spec: Column) -> Column:
@@ -27,7 +27,7 @@ def query_kind(ecosystem: Column, spec: Column) -> Column:
     """exact, range, name_only or excluded."""
     spec = F.trim(F.coalesce(spec, F.lit("")))
     bare = F.regexp_replace(spec, r"^['\"]|['\"]$", "")
-    exact = F.when(ecosystem == "PyPI", bare.rlike(r"^={2,3}\s*[^,*\s]+$") | bare.rlike(EXACT)).when(ecosystem == "crates.io", bare.rlike("^=") & F.regexp_replace(bare, r"^=\s*", "").rlike(EXACT)).otherwise(bare.rlike(EXACT))
+    exact = F.when(ecosystem == "PyPI", bare.rlike(r"^={2,3}\s*[^,*\s]+$") | bare.rlike(EXACT)).when(ecosystem == "Cargo", bare.rlike("^=") & F.regexp_replace(bare, r"^=\s*", "").rlike(EXACT)).otherwise(bare.rlike(EXACT))
     return F.when(bare == "", "name_only").when(is_private_spec(bare), "excluded").when(F.contains(bare, F.lit("${")) | bare.startswith("libs."), "name_only").when(exact, "exact").otherwise("range")
 
 
@@ -43,11 +43,8 @@ def release_key(version: Column) -> Column:
     return F.when(plain.rlike(r"^\d{1,15}(\.\d{1,15})*$"), parts)
 
 
-def caret_bounds(spec: Column) -> tuple[Column, Column]:
-    """Keys [low, high) of ^a.b.c: high raises the first part that is not zero. Null for other texts."""
-    given = F.split(F.regexp_extract(spec, r"^\^(\d{1,15}(?:\.\d{1,15}){0,2})$", 1), r"\.")
-    a, b, c = (F.coalesce(F.get(given, F.lit(i)).try_cast("long"), F.lit(0)) for i in range(3))
-    ok, size = spec.rlike(r"^\^\d{1,15}(\.\d{1,15}){0,2}$"), F.size(given)
-    low = F.when(c > 0, F.array(a, b, c)).when(b > 0, F.array(a, b)).when(a > 0, F.array(a)).otherwise(F.array().cast("array<long>"))
-    high = F.when((a > 0) | (size == 1), F.array(a + 1)).when((b > 0) | (size == 2), F.array(a, b + 1)).otherwise(F.array(a, b, c + 1))
-    return F.when(ok, low), F.when(ok, high)
+def query_value(ecosystem: Column, spec: Column, kind: Column) -> Column:
+    """What is asked of the registry: an exact version without its operator, a range as it is, else nothing."""
+    bare = F.regexp_replace(F.trim(F.coalesce(spec, F.lit(""))), r"^['\"]|['\"]$", "")
+    op = F.when(ecosystem == "PyPI", F.regexp_replace(bare, r"^={2,3}\s*", "")).when(ecosystem == "Cargo", F.regexp_replace(bare, r"^=\s*", "")).otherwise(bare)
+    return F.when(kind == "exact", op).when(kind == "range", bare).otherwise("")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.functions.versions import caret_bounds, exact_form, query_kind, release_key
+from commitlens.functions.ranges import range_bounds, range_match, takes_prereleases, version_key
+from commitlens.functions.versions import exact_form, query_kind, query_value
 from commitlens.plans.scratch import materialize
 
 
 def plan_queries(declared: DataFrame, ecosystem: str = "npm") -> DataFrame:
     """Adds query_kind and query_value to declarations (version_spec)."""
     kind = query_kind(F.lit(ecosystem), F.col("version_spec"))
-    return declared.withColumn("query_kind", kind).withColumn("query_value", F.when(kind.isin("exact", "range"), F.trim("version_spec")).otherwise(""))
+    return declared.withColumn("query_kind", kind).withColumn("query_value", query_value(F.lit(ecosystem), F.col("version_spec"), kind))
 
 
 def discover_queries(planned: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def discover_queries(planned: DataFrame) -> DataFrame:
     return q.groupBy("package_name").agg(F.count("*").alias("n_queries"), F.count_if(F.col("query_kind") == "exact").alias("n_exact"), F.count_if(F.col("query_kind") == "range").alias("n_range"), F.count_if(F.col("query_kind") == "name_only").alias("n_name_only"))
 
 
-def registry_status(planned: DataFrame, releases: DataFrame, key: list[str]) -> DataFrame:
+def registry_status(planned: DataFrame, releases: DataFrame, key: list[str], ecosystem: str = "npm") -> DataFrame:
     """Registry status of each planned query against the author's time.
 
     Distinct queries meet the releases, not episodes: what a package's history says to a (kind, value, time) is worked
@@ -30,23 +31,28 @@ def registry_status(planned: DataFrame, releases: DataFrame, key: list[str]) ->
     """
     planned = materialize(planned, "planned")  # read four times below
     q = planned.filter(F.col("query_kind").isin("exact", "name_only", "range")).select("package_name", "query_kind", "query_value", "author_date").distinct()
-    rel = releases.select("package_name", exact_form(F.col("version")).alias("v"), release_key(F.col("version")).alias("key"), "published_at")
-    history = rel.groupBy("package_name").agg(F.min("published_at").alias("first_at"), F.count("*").alias("n"))
-    one = rel.groupBy("package_name", "v").agg(F.min("published_at").alias("first_at"), F.count("*").alias("n"))
+    rel = releases.select("package_name", exact_form(F.col("version")).alias("v"), "published_at")
+    summed = [F.min("published_at").alias("first_at"), F.count("*").alias("n"), F.lit(False).alias("unordered"), F.bool_or(F.col("published_at").isNull()).alias("timeless")]
+    history = rel.groupBy("package_name").agg(*summed)
+    one = rel.groupBy("package_name", "v").agg(*summed)
     exact = q.filter("query_kind = 'exact'").withColumn("v", exact_form(F.col("query_value"))).join(one, ["package_name", "v"], "left").drop("v")
     name = q.filter("query_kind = 'name_only'").join(history, "package_name", "left")
-    low, high = caret_bounds(F.col("query_value"))
-    asked = q.filter("query_kind = 'range'").select("package_name", "query_value").distinct().withColumn("low", low).withColumn("high", high)
-    inside = asked.filter("low is not null").join(rel, "package_name").filter("key >= low and key < high").groupBy("package_name", "query_value").agg(F.min("published_at").alias("first_at"), F.count("*").alias("n"))
-    ranged = q.filter("query_kind = 'range'").join(asked.select("package_name", "query_value", F.col("low").isNull().alias("unsupported")), ["package_name", "query_value"])
+    bounds = range_bounds(ecosystem, F.col("query_value"))
+    asked = q.filter("query_kind = 'range'").select("package_name", "query_value").distinct().withColumn("bounds", bounds).withColumn("pre", takes_prereleases(ecosystem, F.col("query_value"), F.col("bounds")))
+    met = asked.filter("bounds is not null").join(rel.withColumn("key", version_key(F.col("v"))), "package_name")
+    met = met.withColumn("hit", range_match(ecosystem, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))).filter("hit is null or hit")
+    inside = met.groupBy("package_name", "query_value").agg(
+        F.min(F.when(F.col("hit"), F.col("published_at"))).alias("first_at"), F.nullif(F.count_if("hit"), F.lit(0)).alias("n"), F.bool_or(F.col("hit").isNull()).alias("unordered"), F.bool_or(F.col("hit") & F.col("published_at").isNull()).alias("timeless"),
+    )
+    ranged = q.filter("query_kind = 'range'").join(asked.select("package_name", "query_value", F.col("bounds").isNull().alias("unsupported")), ["package_name", "query_value"])
     ranged = ranged.join(history.select("package_name", F.lit(True).alias("has_history")), "package_name", "left").join(inside, ["package_name", "query_value"], "left")
-    cols = ["package_name", "query_kind", "query_value", "author_date", "first_at", "n"]
+    cols = ["package_name", "query_kind", "query_value", "author_date", "first_at", "n", "unordered", "timeless"]
     flags = {"unsupported": F.lit(False), "has_history": F.lit(True)}
     parts = exact.select(*cols).withColumns(flags).unionByName(name.select(*cols).withColumns(flags)).unionByName(ranged.select(*cols, "unsupported", F.coalesce("has_history", F.lit(False)).alias("has_history")))
     status = (
         F.when(F.col("author_date").isNull() | F.col("unsupported"), "cannot_compare").when(~F.col("has_history"), "current_absent_unknown")
-        .when(F.col("n").isNull() & (F.col("query_kind") == "range"), "no_matching_version_before_author_date").when(F.col("n").isNull(), "current_absent_unknown")
-        .when(F.col("first_at") <= F.col("author_date"), "exists_before_author_date").when(F.col("first_at").isNull(), "cannot_compare").otherwise("published_after_author_date")
+        .when(F.col("n").isNull() & F.col("unordered"), "cannot_compare").when(F.col("n").isNull() & (F.col("query_kind") == "range"), "no_matching_version_before_author_date").when(F.col("n").isNull(), "current_absent_unknown")
+        .when(F.col("first_at") <= F.col("author_date"), "exists_before_author_date").when(F.col("timeless"), "cannot_compare").otherwise("published_after_author_date")
     )
     known = parts.select("package_name", "query_kind", "query_value", "author_date", status.alias("registry_status"))
     out = planned.join(known, ["package_name", "query_kind", "query_value", "author_date"], "left")

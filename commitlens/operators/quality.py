@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the version of identifiers.
+ID_SCHEMA = 1
+
 
 def violations(df: DataFrame, key: list[str], domains: dict[str, list[str]]) -> DataFrame:
     """rule, n: rows with an empty key part, rows whose key repeats, rows with a value outside its domain."""
@@ -33,13 +36,21 @@ def scope_equal(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return both.agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("in_both"))
 
 
-def content_id(prefix: str, kind: str, **fields: Column) -> Column:
+def content_id(prefix: str, **fields: Column) -> Column:
     """prefix_ and the first 32 hex digits of the SHA-256 of the fields as compact JSON with sorted keys."""
-    parts = {"id_schema_version": F.lit("1"), "kind": F.lit(kind)} | fields
+    parts = {"id_schema_version": F.lit(ID_SCHEMA), "kind": F.lit(prefix)} | fields
     body = F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]))
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(body, 256), 1, 32))
 
 
+def event_id(commit: Column, kind: Column, path: Column, line: Column, ordinal: Column, target: Column) -> Column:
+    return content_id("evt", commit_id=commit, event_type=kind, path=path, new_line_number=line, event_ordinal=ordinal, raw_target=target)
+
+
+def episode_id(commit: Column, ecosystem: Column, identity: Column, kind: Column, value: Column) -> Column:
+    return content_id("dep", commit_id=commit, ecosystem=ecosystem, dependency_identity_key=identity, query_kind=kind, query_value=value)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """n_rows, and a digest that does not depend on the order of rows: a sum of row hashes in exact decimals."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]

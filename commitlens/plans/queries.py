@@ -370,9 +370,9 @@ def i4(spark, d):
     return quality.check_counts(o, spark.read.parquet(f"{d}/lineitem.parquet").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "stated")
 
 
-@query("i5_content_ids", ctes("v_commit") + """ SELECT pos, 'cmt_' || substr(sha256('{"id_schema_version":"1","kind":"commit","repo":"' || lower(repo) || '","sha":"' || sha || '"}'), 1, 32) AS commit_id FROM v_commit""")
+@query("i5_content_ids", ctes("v_commit") + """ SELECT pos, 'cmt_' || substr(sha256('{"id_schema_version":1,"kind":"cmt","repo":"' || lower(repo) || '","sha":"' || sha || '"}'), 1, 32) AS commit_id FROM v_commit""")
 def i5(spark, d):
-    return view(spark, d, "v_commit").select("pos", quality.content_id("cmt", "commit", repo=F.lower("repo"), sha=F.col("sha")).alias("commit_id"))
+    return view(spark, d, "v_commit").select("pos", quality.content_id("cmt", repo=F.lower("repo"), sha=F.col("sha")).alias("commit_id"))
 
 
 @query("i6_fingerprint", ctes("v_obs") + " SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(agent || chr(31) || channel || chr(31) || CAST(seq AS VARCHAR) || chr(31) || sha), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM v_obs")
