@@ -30,7 +30,9 @@ SEGMENT = """SELECT 'agent_' || CAST(o_custkey % 4 AS STRING) AS agent, o_orderp
   CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'split_probe' ELSE 'incomplete_terminal' END AS status, CAST(floor(o_totalprice) AS BIGINT) % 1500 AS total_count,
   CAST(floor(o_totalprice) AS BIGINT) % 1500 > 1000 AS cap_bound, o_orderkey % 29 = 0 AS incomplete_results FROM orders"""
 MESSAGE = """SELECT conv_id, turn, role, text || CASE WHEN turn % 3 = 0 THEN chr(10) || chr(10) || 'Co-authored-by: Bot <bot@example.com>' WHEN turn % 3 = 1 THEN chr(10) || chr(10) || 'Co-authored-by: ' || role ELSE '' END AS message FROM conversations"""
-ALL = {"v_obs": OBS, "v_commit": COMMIT, "v_release": RELEASE, "v_decl": DECL, "v_repo": REPO, "v_segment": SEGMENT, "v_message": MESSAGE}
+REQ = """SELECT DISTINCT l.l_orderkey AS pos, l.l_linenumber AS line_no, 'pkg-' || CAST(l.l_partkey AS STRING) AS package_name, CAST(l.l_suppkey AS STRING) || '.' || CAST(l.l_linenumber AS STRING) || '.0' AS version,
+  l.l_suppkey AS major, l.l_linenumber AS minor FROM lineitem l"""
+ALL = {"v_req": REQ, "v_obs": OBS, "v_commit": COMMIT, "v_release": RELEASE, "v_decl": DECL, "v_repo": REPO, "v_segment": SEGMENT, "v_message": MESSAGE}
 TABLES = ("customer", "nation", "orders", "lineitem", "events", "conversations", "part", "supplier", "documents")
 
 
