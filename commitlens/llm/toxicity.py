@@ -160,17 +160,15 @@ class Likeness:
 
     def features(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the rows of its sentences with likeness, as an array [sentences, landmarks]."""
-        low = [(t or "").lower() for t in texts]
-        each = [tokens(t) for t in low]
-        self.learn(set().union(*each))
+        each = [[tokens(s) for s in _SENTENCE.split((t or "").lower())] for t in texts]
+        self.learn(set().union(*(seen for sentences in each for seen in sentences)))
         out = []
-        for text, seen in zip(low, each, strict=True):
+        for sentences in each:
             rows = []
-            if any(self.known[t] is not None for t in seen):
-                for s in _SENTENCE.split(text):
-                    hits = [v for t in tokens(s) if (v := self.known.get(t)) is not None]
-                    if hits:
-                        rows.append(np.max(hits, axis=0))
+            for seen in sentences:
+                hits = [v for t in seen if (v := self.known[t]) is not None]
+                if hits:
+                    rows.append(np.max(hits, axis=0))
             out.append(np.array(rows, np.float32).reshape(-1, len(self.kernel.landmarks)))
         return out
 

@@ -389,6 +389,12 @@ def test_subsequence_kernel_against_brute_force():
         assert math.isclose(toxicity.ssk(ca, cb, la, lb)[0], brute(a, b), rel_tol=1e-9)
 
 
+def test_toxicity_gapped_insults_at_sentence_edges():
+    for text in ("you i d i o t. i know", "what a. i d i o t there", "so\ni d i o t\na man", "you idiot. bye"):
+        rows = toxicity.Likeness(toxicity.Kernel(["idiot"])).features([text])[0]
+        assert rows.max(initial=0) > 0.6, text
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice(["ba", "ti", "ro", "ke", "su", "ni"]) for _ in range(r.randint(2, 4)))
