@@ -9,9 +9,10 @@ logistic of the margins of its TOP loudest sentences, fitted to the labels at th
 
 Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the smallest MD5 of doc_id. Scoring reads
 every text whole. Words are what white space separates, lower-cased and freed of marks (a word of marks only is none);
-single letters in a row are also read as one word; long words are read in overlapping windows. A kernel value below
-FLOOR counts as none, as does the value of a word that lacks more than a third of a landmark's letters or two fifths of
-its pairs of neighbours.
+single letters in a row are also read as one word; a word over MOST_LETTERS is read in every window as long as the
+landmark compared and up to SPARE letters more. A kernel value below FLOOR counts as none: that is less than a landmark
+of four letters keeps with one foreign letter inserted, or a longer one with two. The others are raised to POWER, which
+leaves a kernel a kernel and keeps many faint likenesses from drowning a strong one.
 
 Defined results: null and empty texts have no sentence and get the score of a sentence without likeness; labels with a
 null toxic are skipped, of several labels of a doc_id the greatest holds; without training rows of both labels every
@@ -24,6 +25,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 TRAIN_ROWS, LANDMARKS, TOP = 3000, 256, 3
-DECAY, FLOOR, SHARE = 0.7, 0.6, 0.65
-MOST_LETTERS, STEP = 24, 12
+DECAY, FLOOR, POWER = 0.7, 0.3, 4
+MOST_LETTERS, STEP, SPARE = 24, 12, 2
 KEPT_WORDS = 400_000
 _MARKS = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
@@ -68,58 +71,89 @@ def _self_kernel(words: list[str]) -> np.ndarray:
     out = np.zeros(len(words))
     size = np.array([len(w) for w in words])
     for n in np.unique(size):
-        i = np.flatnonzero(size == n)
-        if n >= 3:
+        at = np.flatnonzero(size == n)
+        for i in np.array_split(at, len(at) // 3000 + 1) if n >= 3 else ():
             c, _ = _codes([words[k] for k in i], -1)
             out[i] = ssk(c, c, size[i], size[i])
     return out
 
 
-def _masks(words: list[str]) -> np.ndarray:
-    """Two bit sets for each word: its letters, and its pairs of neighbouring letters."""
-    out = np.zeros((len(words), 2), np.uint64)
-    for i, w in enumerate(words):
-        c = [ord(x) for x in w]
-        one = two = 0
-        for x in c:
-            one |= 1 << x % 61
-        for x, y in zip(c, c[1:], strict=False):
-            two |= 1 << (x * 31 + y) % 61
-        out[i] = one, two
-    return out
+@lru_cache(64)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places of three characters among n, and the price of each."""
+    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
 
 
 class Kernel:
-    """Kernel values of words with the landmarks; below FLOOR 0."""
+    """Kernel values of words with the landmarks, raised to POWER; below FLOOR 0. The landmarks' subsequences of three
+    are listed once; a word's own are looked up there, so every word meets every landmark."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        self.codes, self.size = _codes(landmarks, -2)
-        self.own, self.masks = _self_kernel(landmarks), _masks(landmarks)
-        self.least = np.ceil(np.bitwise_count(self.masks) * np.array([SHARE, 0.6]))
+        self.landmarks, self.own = landmarks, _self_kernel(landmarks)
+        self.size = np.array([len(w) for w in landmarks])
+        self.letters = np.array(sorted({ord(c) for w in landmarks for c in w}), np.int64)
+        found = [self._subsequences([w]) for w in landmarks]
+        code, mark, price = (np.concatenate(x) for x in zip(*[(c[0], np.full(c.shape[1], k), p) for k, (c, p) in enumerate(found)], strict=True))
+        order = np.argsort(code, kind="stable")
+        self.mark, self.price = mark[order], price[order]
+        self.code, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
+
+    def _subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length: codes [words, places], with 0 for a letter that no landmark has; prices [places]."""
+        c = _codes(words, 0)[0].astype(np.int64)
+        k = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
+        k = np.where(self.letters[k] == c, k + 1, 0)
+        at, price = _places(c.shape[1])
+        base = len(self.letters) + 1
+        return (k[:, at[:, 0]] * base + k[:, at[:, 1]]) * base + k[:, at[:, 2]], price
+
+    def pairs(self, words: list[str], only: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, landmark and value, by word, where the kernel is FLOOR or more. only: for each word the length of the
+        landmarks that it is compared with, 0 for all."""
+        size, wide = np.array([len(w) for w in words], np.int64), len(self.landmarks)
+        got = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for n in np.unique(size[size >= 3]):
+            every = np.flatnonzero(size == n)
+            price = _places(int(n))[1]
+            for at in np.array_split(every, len(every) * len(price) // 500_000 + len(every) // 4000 + 1):
+                code, _ = self._subsequences([words[k] for k in at])
+                u = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+                i, p = np.nonzero(self.code[u] == code)
+                u = u[i, p]
+                many = self.many[u]
+                e = np.repeat(self.first[u] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both = np.bincount(np.repeat(i, many) * wide + self.mark[e], np.repeat(price[p], many) * self.price[e], len(at) * wide).reshape(-1, wide)
+                # a word's kernel with itself is at least the sum of its squared prices
+                near = both >= FLOOR * np.sqrt((price**2).sum() * self.own) * (1 - 1e-9)
+                if only is not None:
+                    asked = np.array([only[k] for k in at])[:, None]
+                    near &= (asked == 0) | (asked == self.size)
+                i, j = np.nonzero(near)
+                used, slot = np.unique(i, return_inverse=True)
+                v = both[i, j] / np.sqrt(_self_kernel([words[at[k]] for k in used])[slot] * self.own[j])
+                got.append((at[i[v >= FLOOR]], j[v >= FLOOR], v[v >= FLOOR] ** POWER))
+        i, j, v = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(i, kind="stable")
+        return i[order], j[order].astype(np.int32), v[order].astype(np.float32)
 
     def values(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        has = _masks(words)
-        near = np.bitwise_count(has[:, None, 0] & self.masks[None, :, 0]) >= self.least[:, 0]
-        near &= np.bitwise_count(has[:, None, 1] & self.masks[None, :, 1]) >= self.least[:, 1]
-        near &= np.array([len(w) >= 3 for w in words])[:, None]
-        i, j = np.nonzero(near)
-        if not len(i):
-            return out
-        used, slot = np.unique(i, return_inverse=True)
-        own = _self_kernel([words[k] for k in used])
-        codes, size = _codes([words[k] for k in used], -1)
-        order = np.lexsort((self.size[j], size[slot]))
-        edges = np.flatnonzero(np.diff(size[slot][order])) + 1
-        for at in np.split(order, edges):
-            for part in np.array_split(at, max(1, len(at) // 3000)):
-                u, v = slot[part], j[part]
-                wide = max(3, int(self.size[v].max()))
-                k = ssk(codes[u, : max(3, size[u[0]])], self.codes[v, :wide], size[u], self.size[v]) / np.sqrt(own[u] * self.own[v])
-                out[i[part], v] = np.where(k >= FLOOR, k, 0)
+        i, j, v = self.pairs(words)
+        out[i, j] = v
         return out
 
+    def readings(self, token: str) -> Iterator[tuple[str, int]]:
+        """What a token (lower case) is compared as: the word freed of marks with all landmarks (0), a long one in every
+        window of each landmark length and up to SPARE more letters with the landmarks of that length."""
+        w = _MARKS.sub("", token)
+        if len(w) > MOST_LETTERS:
+            for n in np.unique(self.size).tolist():
+                for k in range(n, n + SPARE + 1):
+                    yield from ((w[i : i + k], n) for i in range(max(1, len(w) - k + 1)))
+        elif len(w) >= 3:
+            yield w, 0
+
 
 def clean_words(token: str) -> list[str]:
     """What a token (lower case) is as words: freed of marks, long ones in windows, short ones none."""
@@ -138,7 +172,7 @@ def tokens(text: str) -> set[str]:
 
 
 class Likeness:
-    """Kernel rows of tokens, kept for those seen before; most tokens have none."""
+    """Kernel values of tokens, as landmarks and values, kept for those seen before; None without any."""
 
     def __init__(self, kernel: Kernel):
         self.kernel, self.known = kernel, {}
@@ -147,29 +181,47 @@ class Likeness:
         new = [t for t in seen if t not in self.known]
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known, new = {}, list(seen)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            words = [clean_words(t) for t in part]
-            flat = sorted({w for ws in words for w in ws})
-            place = {w: k for k, w in enumerate(flat)}
-            v = self.kernel.values(flat)
-            some = v.any(1)
-            for t, ws in zip(part, words, strict=True):
-                hit = [v[place[w]] for w in ws if some[place[w]]]
-                self.known[t] = (hit[0].copy() if len(hit) == 1 else np.max(hit, axis=0)) if hit else None
+        self.known.update(dict.fromkeys(new))
+        owners, place = [], {}
+        for t in new:
+            for r in self.kernel.readings(t):
+                owners.append((t, place.setdefault(r, len(place))))
+                if len(owners) >= 20_000:
+                    self._compare(owners, place)
+                    owners, place = [], {}
+        self._compare(owners, place)
+
+    def _compare(self, owners: list[tuple[str, int]], place: dict[tuple[str, int], int]) -> None:
+        i, j, v = self.kernel.pairs([w for w, _ in place], [n for _, n in place])
+        edge = np.searchsorted(i, np.arange(len(place) + 1)).tolist()
+        for t, k in owners:
+            lo, hi = edge[k], edge[k + 1]
+            if lo < hi:
+                had = self.known[t]
+                if had is None:
+                    self.known[t] = j[lo:hi].copy(), v[lo:hi].copy()
+                else:
+                    row = np.zeros(len(self.kernel.landmarks), np.float32)
+                    row[had[0]] = had[1]
+                    row[j[lo:hi]] = np.maximum(row[j[lo:hi]], v[lo:hi])
+                    at = np.flatnonzero(row).astype(np.int32)
+                    self.known[t] = at, row[at]
 
     def features(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the rows of its sentences with likeness, as an array [sentences, landmarks]."""
         each = [[tokens(s) for s in _SENTENCE.split((t or "").lower())] for t in texts]
         self.learn(set().union(*(seen for sentences in each for seen in sentences)))
-        out = []
+        out, wide = [], len(self.kernel.landmarks)
         for sentences in each:
-            rows = []
+            hits, n = [], 0
             for seen in sentences:
-                hits = [v for t in seen if (v := self.known[t]) is not None]
-                if hits:
-                    rows.append(np.max(hits, axis=0))
-            out.append(np.array(rows, np.float32).reshape(-1, len(self.kernel.landmarks)))
+                found = [(n * wide + h[0], h[1]) for t in seen if (h := self.known[t]) is not None]
+                hits += found
+                n += bool(found)
+            rows = np.zeros(n * wide, np.float32)
+            if hits:
+                np.maximum.at(rows, np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
+            out.append(rows.reshape(n, wide))
         return out
 
 
@@ -204,28 +256,29 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
 class Model:
     def __init__(self, landmarks, white, weights, bias, logistic=None):
         self.landmarks, self.white, self.weights, self.bias, self.logistic = landmarks, white, weights, bias, logistic
+        self.direction = white @ weights
+
+    def loudest(self, speech: np.ndarray) -> np.ndarray:
+        """Margins of the TOP loudest sentences; a sentence without likeness speaks with the bias alone."""
+        return np.sort(np.concatenate([np.zeros(TOP), speech]) + self.bias)[::-1][:TOP]
 
     def margins(self, rows: np.ndarray) -> np.ndarray:
-        """Of the TOP loudest sentences; a sentence without likeness speaks with the bias alone."""
-        m = np.full(TOP, self.bias)
-        if len(rows):
-            m = np.concatenate([m, rows @ self.white @ self.weights + self.bias])
-        return np.sort(m)[::-1][:TOP]
+        return self.loudest(rows @ self.direction)
 
     def score(self, rows: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.margins(rows) @ self.logistic[:-1] + self.logistic[-1], -60, 60))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, classes weighing alike, by accelerated gradient steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+def _svm(z: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, classes weighing alike, by accelerated gradient steps. z: float32 rows whose
+    last column is 1."""
     s = np.where(y, 1.0, -1.0)
     c = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum()))
-    rate = 1.0 / (2 * float((c[:, None] * z * z).sum()) + reg)
+    rate = 1.0 / (2 * float(c @ np.einsum("ij,ij->i", z, z)) + reg)
     w = v = np.zeros(z.shape[1])
     for t in range(rounds):
-        slack = np.maximum(0, 1 - s * (z @ v))
-        grad = -2 * ((c * s * slack) @ z) + reg * np.append(v[:-1], 0)
+        slack = np.maximum(0, 1 - s * (z @ v.astype(np.float32)))
+        grad = -2 * ((c * s * slack).astype(np.float32) @ z) + reg * np.append(v[:-1], 0)
         new = v - rate * grad
         v, w = new + t / (t + 3) * (new - w), new
     return w[:-1], float(w[-1])
@@ -252,17 +305,24 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float = 0.1) -> Model | None
     gram = likeness.kernel.values(landmarks).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     white = (vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    raw = likeness.features(texts)
-    zero = np.zeros((1, len(landmarks)))
-    rows = [r @ white if len(r) else zero for r in raw]
+    short, rows = white.astype(np.float32), []
+    for lo in range(0, len(texts), 200):
+        rows += [r @ short for r in likeness.features(texts[lo : lo + 200])]
+    del likeness
+    zero = np.zeros((1, len(landmarks)), np.float32)
+    rows = [r if len(r) else zero for r in rows]
     loud = [r[np.argmax(np.abs(r).sum(1))] for r in rows]
-    calm = np.vstack([zero, *[r for r, y in zip(rows, toxic, strict=True) if not y]])
+    calm = [zero, *[r for r, y in zip(rows, toxic, strict=True) if not y]]
+    n = sum(map(len, calm))
+    z = np.ones((n + int(toxic.sum()), len(landmarks) + 1), np.float32)
+    np.concatenate(calm, out=z[:n, :-1])
     for _ in range(4):
-        hot = np.array([v for v, y in zip(loud, toxic, strict=True) if y])
-        w, bias = _svm(np.vstack([calm, hot]), np.arange(len(calm) + len(hot)) >= len(calm))
+        z[n:, :-1] = [v for v, y in zip(loud, toxic, strict=True) if y]
+        w, bias = _svm(z, np.arange(len(z)) >= n)
         loud = [r[np.argmax(r @ w)] for r in rows]
+    del z
     model = Model(landmarks, white, w, bias)
-    margins = np.array([model.margins(r) for r in raw])
+    margins = np.array([model.loudest(r @ w) for r in rows])
     weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum()) * len(toxic)
     model.logistic = _logistic(margins, weight, toxic.astype(float))
     return model

@@ -395,6 +395,25 @@ def test_toxicity_gapped_insults_at_sentence_edges():
         assert rows.max(initial=0) > 0.6, text
 
 
+def test_toxicity_inserted_letters_and_long_words():
+    from itertools import combinations_with_replacement
+
+    marks = ["scum", "idiot", "moron", "loser", "stupid", "worthless"]
+    kernel = toxicity.Kernel(marks)
+
+    def own(a, b):
+        k = lambda x, y: toxicity.ssk(toxicity._codes([x], -1)[0], toxicity._codes([y], -2)[0], None, None)[0]
+        return (k(a, b) / math.sqrt(k(a, a) * k(b, b))) ** toxicity.POWER
+
+    for j, w in enumerate(marks):
+        for at in combinations_with_replacement(range(1, len(w)), 1 if len(w) == 4 else 2):
+            s = "".join("x" * at.count(i) + c for i, c in enumerate(w))
+            assert math.isclose(kernel.values([s])[0, j], own(s, w), rel_tol=1e-5) and own(s, w) > 0, s
+            long = "q" * 17 + s + "z" * 23
+            row = toxicity.Likeness(kernel).features([long])[0]
+            assert row.max(axis=0, initial=0)[j] >= own(s, w) - 1e-5, s
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice(["ba", "ti", "ro", "ke", "su", "ni"]) for _ in range(r.randint(2, 4)))
