@@ -20,6 +20,7 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most rows of a side that is broadcast; each caller's rows are narrow, so this bounds the bytes. Beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+ROW = "_row_number"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written once, with a number for each row in the column ROW: what names a row where doc_id does not."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

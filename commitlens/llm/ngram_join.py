@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import connected_components, materialize, small
+from commitlens.llm.common import ROW, connected_components, materialize, numbered, small
 
 N, PERCENT = 5, 80
 NO_ID = -(1 << 63)
@@ -309,6 +309,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents that stay when one of each component does: the one with the smallest doc_id. Columns of docs."""
-    stay = ngram_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows that stay when one of each component does: of those with the smallest doc_id (null first) the one with
+    the smallest digest of its text. Rows of one doc_id, or of none, with different sets belong each to its own
+    component; of empty sets one row stays for each doc_id. Columns of docs."""
+    rows = numbered(docs)
+    members, links = classes_and_links(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    label = connected_components(links).select(F.col("node").alias("cid"), "label")
+    group = members.join(label, "cid", "left").select(F.col("key").alias(ROW), F.coalesce("label", "cid").alias("group"))
+    placed = rows.select(ROW, _key(), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest")).join(group, ROW)
+    alone = F.when(F.col("group").isNull(), F.col("key"))
+    stay = placed.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("key", "digest", ROW)).alias("least")).select(f"least.{ROW}")
+    return rows.join(stay, ROW, "left_semi").select(*docs.columns)

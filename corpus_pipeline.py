@@ -1,7 +1,7 @@
 """From raw documents to training shards: the stages of STAGES, each a whole-table job over what the one before kept.
 
-A document that is rejected as toxic goes; one document of each component of near copies stays, the one with the
-smallest doc_id; contaminated documents go; the mix gives documents 0, 1 or 2 times; the last stage names each one's
+A document that is rejected as toxic goes; one row of each component of near copies stays, the one with the smallest
+doc_id; contaminated documents go; the mix gives documents 0, 1 or 2 times; the last stage names each one's
 shard and returns that instead of the documents' columns.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import scratch_dir, table
+from commitlens.llm.common import ROW, numbered, scratch_dir, table
 from commitlens.llm.decontamination import contamination
 from commitlens.llm.mixing import mixed_documents
 from commitlens.llm.ngram_join import representatives
@@ -30,9 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text holds an item's window go. Documents are alike to the last row by (doc_id, text)."""
-    clean = contamination(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(F.col("doc_id").alias("clean_id")).distinct()
-    return docs.join(clean, F.col("doc_id").eqNullSafe(F.col("clean_id")), "left_semi")
+    """Rows whose own text holds an item's window go."""
+    rows = numbered(docs)
+    clean = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).filter("not contaminated")
+    return rows.join(clean.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

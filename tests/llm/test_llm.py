@@ -444,6 +444,18 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b), (7, a), (7, c), (8, c + " end"), (9, None), (9, " "), (10, None)]
+    got = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, (r.text or "").strip()) for r in got) == Counter([(None, a), (None, b), (7, c), (9, ""), (10, "")])
+    spark.createDataFrame([(1, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame([(None, a), (None, b), (7, b), (7, c), (8, c), (9, None)], "doc_id long, text string"), str(tmp_path)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, a), (7, c), (8, c), (9, None)])
+
+
 def test_pipeline(spark, tmp_path, rows, docs):
     import corpus_pipeline
 
