@@ -3,8 +3,9 @@
 Slot i of the mix has the golden-ratio point i*phi mod 1, kept as an exact integer; the point falls into one source's
 stretch of the cumulated targets. A source's slots are ranked, and rank r takes the source's block r mod n_blocks: its
 documents, shuffled by hash and laid end to end, are cut into blocks of equal numbers of words. What a document gives
-is the words it has in the blocks taken. The points' even spread keeps every stretch of the mix near its weights, and
-each source within a few blocks of its target.
+is the words it has in the blocks taken. The points' even spread keeps every stretch of the mix near its weights. At the
+end a source's slots beyond its target are left out, missing ones follow, and the last gives a part of its block, so that
+each source gives its target to the word.
 
 Ranks and running sums go in two levels (within hash or slot chunks, then over chunk totals), so that a source with a
 third of all rows is no single task's work.
@@ -24,8 +25,9 @@ from commitlens.llm.common import SPACE_WORD, materialize, small
 
 #: Fixed values of the contract: weights in turn, the share of all words to mix, most passes over a source.
 WEIGHTS, SHARE, MOST_PASSES = (5, 2, 1), 1.5, 2
-#: The golden ratio's fraction as a multiple of 2**-31, odd, so that the points run through all 2**31 values.
-POINT_BITS, GOLDEN = 31, 1327217885
+#: The golden ratio's fraction as a multiple of 2**-60, odd, so that the points run through all 2**60 values: the spread
+#: is that of the ratio itself for any number of slots that can be counted out.
+POINT_BITS, GOLDEN = 60, 712544676207699905
 #: Blocks have at most so many words; small inputs get smaller blocks, so that there are about so many slots.
 MOST_BLOCK_WORDS, SLOTS = 1024, 1 << 20
 CHUNK_SLOTS, CELL_BITS = 1 << 14, 10
@@ -61,8 +63,10 @@ def schedule(sources: DataFrame, block: int, total: float) -> DataFrame:
     """slot, sid, rank: the source of each slot and the slot's rank in that source."""
     spark = sources.sparkSession
     n, width = math.ceil(total / block), POINT_BITS - CELL_BITS
+    limb = [GOLDEN >> k & 0xFFFFF for k in (0, 20, 40)]  # in parts, as a long cannot hold the product
+    point = f"(id * {limb[0]}L + shiftleft(id * {limb[1]}L & {(1 << 40) - 1}L, 20) + shiftleft(id * {limb[2]}L & {(1 << 20) - 1}L, 40)) & {(1 << POINT_BITS) - 1}L"
     cells = sources.filter("hi > lo").withColumn("cell", F.explode(F.expr(f"sequence(shiftright(lo, {width}), shiftright(hi - 1, {width}))"))).select("sid", "lo", "hi", "cell")
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.expr(f"((id & {(1 << POINT_BITS) - 1}) * {GOLDEN}L) & {(1 << POINT_BITS) - 1}L").alias("point"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.expr(point).alias("point"))
     slots = slots.withColumn("cell", F.shiftright("point", width)).join(cells, "cell").filter("point >= lo and point < hi")
     slots = slots.select("slot", "sid", F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
     counts = slots.groupBy("sid", "chunk").count()
@@ -71,6 +75,13 @@ def schedule(sources: DataFrame, block: int, total: float) -> DataFrame:
     return slots.withColumn("inner", inner).join(starts, ["sid", "chunk"]).select("slot", "sid", (F.col("start") + F.col("inner")).alias("rank"))
 
 
+def source_slots(sources: DataFrame, block: int) -> DataFrame:
+    """sid, n_blocks, needed (slots that give exactly the target, rounded), part (words of the last one; 0 if whole)."""
+    s = sources.filter("source_size > 0").withColumn("goal", F.round("target").cast("long")).withColumn("rest", F.expr("goal % source_size"))
+    s = s.withColumn("n_blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
+    return s.select("sid", "n_blocks", F.expr(f"(goal div source_size) * n_blocks + (rest + {block - 1}) div {block}").alias("needed"), F.expr(f"rest % {block}").alias("part"))
+
+
 def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Each row's place (start, in words) in its source's shuffled order."""
     rows = sizes.join(small(sources.select("sid", F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -90,13 +101,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     if total <= 0:
         return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     block = max(1, min(MOST_BLOCK_WORDS, int(total) // SLOTS))
-    blocks = sources.select("sid", F.ceil(F.col("source_size") / block).alias("n_blocks"))
-    slots = schedule(sources, block, total).join(small(blocks), "sid").filter(f"rank < {MOST_PASSES} * n_blocks")
-    used = slots.groupBy("sid", F.expr("rank % n_blocks").alias("block")).agg(F.count("*").alias("times"))
+    blocks = small(materialize(source_slots(sources, block), "source_slots"))
+    slots = materialize(schedule(sources, block, total).select("sid", "rank"), "slots")
+    given = slots.groupBy("sid").agg(F.count("*").alias("given"))
+    late = blocks.join(given, "sid", "left").fillna(0, ["given"]).filter("given < needed").select("sid", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank"))
+    slots = slots.unionByName(late).join(blocks, "sid").filter("rank < needed")
+    cut = F.expr("part > 0 and rank = needed - 1")
+    used = slots.groupBy("sid", F.expr("rank % n_blocks").alias("block")).agg(F.count_if(~cut).alias("times"), F.max(F.when(cut, F.col("part")).otherwise(0)).alias("part"))
     pieces = rows.withColumn("block", F.explode_outer(F.expr(f"case when size > 0 then sequence(start div {block}, (start + size - 1) div {block}) end")))
     words = F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})")
-    pieces = pieces.withColumn("words", words).join(used, ["sid", "block"], "left")
-    return pieces.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken")).drop("row")
+    begun = F.expr(f"greatest(0, least(start + size, block * {block} + part) - greatest(start, block * {block}))")
+    pieces = pieces.join(used, ["sid", "block"], "left").withColumn("words", words * F.col("times") + begun)
+    return pieces.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")).drop("row")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:

@@ -149,6 +149,26 @@ def test_mixing_schedule_spreads(docs):
         assert sorted(x["rank"] for x in slots if x.sid == s) == list(range(sum(x.sid == s for x in slots)))
 
 
+def test_mixing_production_blocks_and_small_sources(spark, monkeypatch):
+    n = 2_000_000
+    x = np.sort((np.arange(n, dtype=np.uint64) * np.uint64(mixing.GOLDEN)) & np.uint64((1 << mixing.POINT_BITS) - 1)).astype(float) / (1 << mixing.POINT_BITS)
+    assert np.diff(x).max() * n < 3 and np.diff(x).min() * n > 0.3
+    monkeypatch.setattr(mixing, "SLOTS", 1)
+    words = {"a": [997] * 60, "b": [300], "c": [31] * 20, "d": [5, 3], None: [2000, 1]}
+    rows = [(f"{s}{i}", "w " * k, s) for s, ks in words.items() for i, k in enumerate(ks)]
+    for weights in (mixing.WEIGHTS, (40, 1, 3)):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, source string"), weights).collect()
+        taken = Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            assert 0 <= r.taken <= mixing.MOST_PASSES * r.size
+        assert len(got) == len(rows) and all(abs(taken[r.source] - r.target) <= 0.5 for r in got)
+    sources = spark.createDataFrame([(0, 0, 1 << 59), (1, 1 << 59, 1 << 60)], "sid int, lo long, hi long")
+    slots = mixing.schedule(sources, 1, 5000.0).collect()
+    mask = (1 << mixing.POINT_BITS) - 1
+    assert len(slots) == 5000 and all(r.sid == int((r.slot * mixing.GOLDEN & mask) >> 59) for r in slots)
+
+
 def test_decontamination(spark, docs, rows, nothing):
     plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
     long = [r for r in rows if len(plain(r[1])) > 30]
