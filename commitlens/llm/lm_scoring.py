@@ -5,8 +5,8 @@ pieces of an existing subword vocabulary (with bytes for characters it lacks), s
 space. A piece weighs as often as the vocabulary's own scores choose it in the best segmentations of the distinct words
 of the training texts. The word itself is one more arc: its training frequency, less an absolute discount, whose freed
 mass weighs the subword paths; and the text's words so far are another (a cache of weight CACHE). Word frequencies are
-learned for the whole corpus and, on top, for each of the CLASSES largest training languages; a text's class is summed
-out, so its own language is never looked at. The result is the marginal probability of the document over all these
+learned for the whole corpus, which is the class of all other texts, and, on top, for each of the CLASSES largest training
+languages; a text's class is summed out, so its own language is never looked at. The result is the marginal probability of the document over all these
 ways to write it.
 
 The corpus side grows with the input: counts of all words of all training texts, combined before the shuffle. Words
@@ -211,29 +211,31 @@ def score_texts(docs: DataFrame, path: str = VOCABULARY, heavy_share: float = HE
     discount = t["once"] / (t["once"] + 2 * t["twice"]) if t["once"] and t["twice"] else 0.5
 
     def kept(c, n, v, below):
-        """Discounted frequency, the mass of what is below for the rest."""
-        return F.when(c > 0, (c - discount) / max(n, 1)).otherwise(0.0) + (discount * v / n if n else 1.0) * below
+        """Logarithm of the discounted frequency and the mass of what is below (a logarithm) for the rest."""
+        mass = discount * max(v, 1) / n if n else 1.0
+        return F.when(c > 0, F.log((c - discount) / max(n, 1) + mass * F.exp(below))).otherwise(math.log(mass) + below)
 
     pieces, byte = train_pieces(counts, path)
     words = materialize(counts.mapInPandas(_subword_logs(pieces, byte), "word string, c long, by array<long>, sub double"), "lattice")
-    whole = kept(F.col("c"), total, t["v"], F.greatest(F.exp("sub"), F.lit(1e-290)))
-    ps = [kept(F.col("by")[i], t[f"n{i}"], t[f"v{i}"], F.col("whole")) for i in zs] or [F.col("whole")]
+    whole = kept(F.col("c"), total, t["v"], F.col("sub"))
+    ps = [kept(F.col("by")[i], t[f"n{i}"], t[f"v{i}"], F.col("whole")) for i in zs] + [F.col("whole")]
     words = words.withColumn("whole", whole).select("word", "c", F.log10(F.col("c") + 1.0).alias("plus"), F.array(*ps).alias("ps"))
     heavy, plus, p = {}, [], []
     for r in words.filter(F.col("c") >= max(1.0, heavy_share * total)).select("word", "plus", "ps").toLocalIterator() if total else ():
         heavy[r["word"].encode("utf-8", "surrogatepass")] = len(plus)
         plus.append(r["plus"])
-        p.append(r["ps"])
+        p.append([math.exp(x) for x in r["ps"]])  # at least once in training, so far from 0
     scored = _score(heavy, np.array(plus, float), np.array(p, float).reshape(-1, len(ps)), cache)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("key"), "text")
     made = materialize(texts.mapInPandas(scored, "row long, key string, word string, n long, known long, base double, scores array<double>, shares array<double>"), "scored")
     rare = made.filter("word is not null").select("row", "word", "shares").join(words, "word")
-    mixed = [F.expr(f"aggregate(shares, 0D, (a, s) -> a + log10({1.0 - cache}D * ps[{i}] + s))").alias(f"s{i}") for i in range(len(ps))]
+    mixed = [F.expr(f"aggregate(shares, 0D, (a, s) -> a + if(s = 0, {math.log10(1.0 - cache)}D + ps[{i}] / {math.log(10)}D, log10({1.0 - cache}D * exp(ps[{i}]) + s)))").alias(f"s{i}") for i in range(len(ps))]
     occurs = F.size("shares")
     rare = rare.select("row", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, occurs).otherwise(0).cast("long").alias("known"), (F.col("plus") * occurs).alias("base"), *mixed)
     sums = made.filter("word is null").select("row", "key", "n", "known", "base", *[F.col("scores")[i].alias(f"s{i}") for i in range(len(ps))]).unionByName(rare)
     sums = sums.groupBy("row").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n", "known", "base", *[f"s{i}" for i in range(len(ps))])])
-    prior = [math.log10(max(1, sizes[z]) / max(1, sum(sizes.values()))) for z in classes] or [0.0]
+    texts_of = [*sizes.values(), max(1, ends - sum(sizes.values()))]  # the last: of the other languages and of none
+    prior = [math.log10(k / sum(texts_of)) for k in texts_of]
     each = F.array(*[F.col(f"s{i}") + prior[i] for i in range(len(ps))])
     sums = sums.withColumn("best", F.array_max(each)).withColumn("score", F.col("best") + F.log10(F.aggregate(F.transform(each, lambda x: F.pow(F.lit(10.0), x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)))
     return _finish(sums.withColumn("doc_id", F.col("key").cast(docs.schema["doc_id"].dataType)), total, distinct, ends, cache)

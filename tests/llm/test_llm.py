@@ -285,6 +285,18 @@ def test_lm_scoring(docs, rows, nothing):
     assert all(math.isclose(rare[g.doc_id], g.score, rel_tol=1e-9) for g in got)
 
 
+def test_lm_scoring_small_languages_and_long_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CLASSES", 1)
+    unseen = [d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % lm_scoring.FOLDS == lm_scoring.HELD_OUT]
+    rows = [(d, f"one two three big{d % 9}", "large") for d in range(200)] + [(d, "uno dos tres cuatro cinco", "small") for d in range(300, 380)]
+    rows += [(unseen[0], "uno dos tres cuatro cinco", "small"), (unseen[1], "zq" * 400, None), (unseen[2], "zq" * 800, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with_class = {r.doc_id: r.score for r in lm_scoring.score_texts(docs).collect()}
+    whole = {r.doc_id: r.score for r in lm_scoring.score_texts(docs.drop("lang")).collect()}
+    assert with_class[unseen[0]] > whole[unseen[0]] - 1
+    assert with_class[unseen[2]] < 1.5 * with_class[unseen[1]] < -450
+
+
 def test_lattice_sums_all_segmentations():
     pieces = {"▁": 0.1, "▁a": 0.2, "a": 0.05, "b": 0.05, "ab": 0.1, "▁ab": 0.02, "ba": 0.03}
     lattice = lm_scoring.Lattice(pieces, [1e-3] * 256)
