@@ -1,26 +1,31 @@
 """Toxicity by a subsequence string-kernel SVM with Nyström landmarks.
 
-The kernel of two strings counts their common subsequences of three characters, gaps and inserted characters being
-allowed at a price (DECAY for each character spanned), normalised. LANDMARKS strings, the words that tell the training
-sentences apart, span the Nyström space: a sentence is the greatest kernel value that any of its words has with each
-landmark, whitened by the landmarks' own kernel matrix. A linear SVM learns on sentences: those of texts labelled 0,
-and of each text labelled 1 the sentence that speaks loudest for it (chosen anew each round). A text's score is a
-logistic of the margins of its TOP loudest sentences, fitted to the labels at the share of 1s among all of them.
-
-Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the smallest MD5 of doc_id. Scoring reads
-every text whole. Words are what white space separates, lower-cased and freed of marks (a word of marks only is none);
-single letters in a row are also read as one word; a word over MOST_LETTERS is read in every window as long as the
-landmark compared and up to SPARE letters more. A kernel value below FLOOR counts as none: that is less than a landmark
-of four letters keeps with one foreign letter inserted, or a longer one with two. The others are raised to POWER, which
-leaves a kernel a kernel and keeps many faint likenesses from drowning a strong one.
+Two strings are alike by the subsequences of ORDER characters that they share, each place weighing DECAY for every
+character it spans, so that gaps and inserted characters lower the likeness but do not end it; places that span over
+SPAN characters are not counted (a bounded-gap kernel), which keeps the work in proportion to the length. The value is
+normalised and raised to POWER. The kernel of two sentences is the sum of these values over their pairs of words: a sum of kernels, so
+itself one. The Nyström space is spanned by LANDMARKS one-word strings out of the training sentences: most of them the
+words that tell the labels apart, the others drawn by hash from all. A sentence is its kernel values with the landmarks,
+times K_mm^-1/2. A linear SVM learns on sentences: for texts labelled 0 those most like the landmarks, for each text
+labelled 1 the sentence that speaks loudest for it (chosen anew each round). The margin of a sentence is then a sum over
+its words, so a word is worked out once and looked up afterwards. A text's score is a logistic of its TOP greatest margins,
+fitted to the labels at the share of 1s among all of them.
+
+Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the smallest MD5 of doc_id, each of at most
+TRAIN_CHARS characters (longer ones are not fitted on), and of a text KEPT sentences. Scoring reads every text whole.
+Words are what white space separates, lower-cased, freed of marks and given marks at both ends; single letters in a row
+are also read as one word; a sentence ends at . ! ? or a line end, and one of over STRETCH words is read in stretches
+that overlap; a word of over MOST_LETTERS is read in windows of LONG letters, each a sentence of its own.
 
 Defined results: null and empty texts have no sentence and get the score of a sentence without likeness; labels with a
-null toxic are skipped, of several labels of a doc_id the greatest holds; without training rows of both labels every
-score is 0; repeated rows are scored each; an empty table gives an empty result; other columns are ignored.
+null toxic are skipped, of several labels of a doc_id the greatest holds, of several texts the least; without training
+rows of both labels every score is 0; repeated rows are scored each; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -34,239 +39,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-TRAIN_ROWS, LANDMARKS, TOP = 3000, 256, 3
-DECAY, FLOOR, POWER = 0.7, 0.3, 4
-MOST_LETTERS, STEP, SPARE = 24, 12, 2
+TRAIN_ROWS, TRAIN_CHARS, KEPT = 3000, 20_000, 12
+LANDMARKS, TOP = 256, 3
+ORDER, DECAY, SPAN, POWER = 4, 0.85, 6, 2
+MOST_LETTERS, LONG, STEP, STRETCH, OVERLAP = 24, 8, 2, 40, 10
 KEPT_WORDS = 400_000
 _MARKS = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
 _LONELY = re.compile(r"(?<!\S)(?:\w\W*\s+){2,}\w(?!\w)")
 
 
-def ssk(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of order 3 of each pair of rows: a [n, A] and b [n, B] hold code points, padded by -1 and -2."""
-    eq = (a[:, :, None] == b[:, None, :]).astype(np.float64)
-    n, rows, cols = eq.shape
-    lower = np.ones((n, rows + 1, cols + 1))
-    for _ in range(2):
-        now = np.zeros((n, rows + 1, cols + 1))
-        for j in range(1, rows + 1):
-            inner = np.zeros(n)
-            for k in range(1, cols + 1):
-                inner = DECAY * inner + DECAY * DECAY * eq[:, j - 1, k - 1] * lower[:, j - 1, k - 1]
-                now[:, j, k] = DECAY * now[:, j - 1, k] + inner
-        lower = now
-    return DECAY * DECAY * (eq * lower[:, :-1, :-1]).sum((1, 2))
-
-
-def _codes(words: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(w) for w in words])
-    out = np.full((len(words), max(3, int(size.max(initial=0)))), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.int32)
-    return out, size
-
-
-def _self_kernel(words: list[str]) -> np.ndarray:
-    out = np.zeros(len(words))
-    size = np.array([len(w) for w in words])
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        for i in np.array_split(at, len(at) // 3000 + 1) if n >= 3 else ():
-            c, _ = _codes([words[k] for k in i], -1)
-            out[i] = ssk(c, c, size[i], size[i])
+def _words(text: str) -> dict[str, None]:
+    """The distinct words of a stretch of text in lower case, runs of single letters also as one."""
+    seen = dict.fromkeys(text.split())
+    if sum(len(t) <= 2 for t in seen) >= 3:
+        seen.update(dict.fromkeys(m.group() for m in _LONELY.finditer(text)))
+    return dict.fromkeys(_MARKS.sub("", t) for t in seen)
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The sentences of a text as the strings that the kernel compares."""
+    out = []
+    for s in _SENTENCE.split((text or "").lower()):
+        w = s.split()
+        stretches = [s] if len(w) <= STRETCH else [" ".join(w[i : i + STRETCH]) for i in range(0, len(w) - OVERLAP, STRETCH - OVERLAP)]
+        for part in stretches:
+            words = [x for x in _words(part) if x]
+            short = [f"^{x}$" for x in words if 2 < len(x) <= MOST_LETTERS]
+            if short:
+                out.append(short)
+            for x in words:
+                if len(x) > MOST_LETTERS:
+                    out.extend([x[i : i + LONG]] for i in range(0, len(x) - LONG + 1, STEP))
     return out
 
 
 @lru_cache(64)
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All places of three characters among n, and the price of each."""
-    at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
-    return at, DECAY ** (at[:, 2] - at[:, 0] + 1.0)
+    """Places of ORDER characters among n that span at most SPAN of them, and their prices."""
+    inner = [(0, *c, last) for last in range(ORDER - 1, SPAN) for c in combinations(range(1, last), ORDER - 2)]
+    at = np.array([[i + k for k in c] for c in inner for i in range(n - c[-1])], np.int64).reshape(-1, ORDER)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+
+
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, value) with values of length 1 for each word, by word. A subsequence is a number made of the
+    last 16 bits of its characters."""
+    size, got = np.array([len(w) for w in words]), []
+    for n in np.unique(size[size >= ORDER]):
+        at = np.flatnonzero(size == n)
+        places, price = _places(int(n))
+        c = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, n) & np.uint64(0xFFFF)
+        code = c[:, places[:, 0]]
+        for k in range(1, ORDER):
+            code = (code << np.uint64(16)) | c[:, places[:, k]]
+        order = np.argsort(code, 1)
+        code = np.take_along_axis(code, order, 1)
+        new = np.ones(code.shape, bool)
+        new[:, 1:] = code[:, 1:] != code[:, :-1]
+        value = np.add.reduceat(price[order].ravel(), np.flatnonzero(new.ravel()))
+        word = np.repeat(np.arange(len(at)), new.sum(1))
+        got.append((at[word], code[new], value / np.sqrt(np.bincount(word, value * value))[word]))
+    if not got:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
 class Kernel:
-    """Kernel values of words with the landmarks, raised to POWER; below FLOOR 0. The landmarks' subsequences of three
-    are listed once; a word's own are looked up there, so every word meets every landmark."""
+    """Kernel values of words with the landmarks, whose subsequences are listed once, each with the landmarks that have it."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.own = landmarks, _self_kernel(landmarks)
-        self.size = np.array([len(w) for w in landmarks])
-        self.letters = np.array(sorted({ord(c) for w in landmarks for c in w}), np.int64)
-        found = [self._subsequences([w]) for w in landmarks]
-        code, mark, price = (np.concatenate(x) for x in zip(*[(c[0], np.full(c.shape[1], k), p) for k, (c, p) in enumerate(found)], strict=True))
+        self.landmarks = landmarks
+        self.mark, code, self.value = subsequences(landmarks)
         order = np.argsort(code, kind="stable")
-        self.mark, self.price = mark[order], price[order]
-        self.code, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
-
-    def _subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of words of one length: codes [words, places], with 0 for a letter that no landmark has; prices [places]."""
-        c = _codes(words, 0)[0].astype(np.int64)
-        k = np.minimum(np.searchsorted(self.letters, c), len(self.letters) - 1)
-        k = np.where(self.letters[k] == c, k + 1, 0)
-        at, price = _places(c.shape[1])
-        base = len(self.letters) + 1
-        return (k[:, at[:, 0]] * base + k[:, at[:, 1]]) * base + k[:, at[:, 2]], price
-
-    def pairs(self, words: list[str], only: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, landmark and value, by word, where the kernel is FLOOR or more. only: for each word the length of the
-        landmarks that it is compared with, 0 for all."""
-        size, wide = np.array([len(w) for w in words], np.int64), len(self.landmarks)
-        got = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for n in np.unique(size[size >= 3]):
-            every = np.flatnonzero(size == n)
-            price = _places(int(n))[1]
-            for at in np.array_split(every, len(every) * len(price) // 500_000 + len(every) // 4000 + 1):
-                code, _ = self._subsequences([words[k] for k in at])
-                u = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-                i, p = np.nonzero(self.code[u] == code)
-                u = u[i, p]
-                many = self.many[u]
-                e = np.repeat(self.first[u] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                both = np.bincount(np.repeat(i, many) * wide + self.mark[e], np.repeat(price[p], many) * self.price[e], len(at) * wide).reshape(-1, wide)
-                # a word's kernel with itself is at least the sum of its squared prices
-                near = both >= FLOOR * np.sqrt((price**2).sum() * self.own) * (1 - 1e-9)
-                if only is not None:
-                    asked = np.array([only[k] for k in at])[:, None]
-                    near &= (asked == 0) | (asked == self.size)
-                i, j = np.nonzero(near)
-                used, slot = np.unique(i, return_inverse=True)
-                v = both[i, j] / np.sqrt(_self_kernel([words[at[k]] for k in used])[slot] * self.own[j])
-                got.append((at[i[v >= FLOOR]], j[v >= FLOOR], v[v >= FLOOR] ** POWER))
-        i, j, v = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.argsort(i, kind="stable")
-        return i[order], j[order].astype(np.int32), v[order].astype(np.float32)
+        self.mark, self.value = self.mark[order], self.value[order]
+        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
 
     def values(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        i, j, v = self.pairs(words)
-        out[i, j] = v
-        return out
-
-    def readings(self, token: str) -> Iterator[tuple[str, int]]:
-        """What a token (lower case) is compared as: the word freed of marks with all landmarks (0), a long one in every
-        window of each landmark length and up to SPARE more letters with the landmarks of that length."""
-        w = _MARKS.sub("", token)
-        if len(w) > MOST_LETTERS:
-            for n in np.unique(self.size).tolist():
-                for k in range(n, n + SPARE + 1):
-                    yield from ((w[i : i + k], n) for i in range(max(1, len(w) - k + 1)))
-        elif len(w) >= 3:
-            yield w, 0
-
-
-def clean_words(token: str) -> list[str]:
-    """What a token (lower case) is as words: freed of marks, long ones in windows, short ones none."""
-    w = _MARKS.sub("", token)
-    if len(w) > MOST_LETTERS:
-        return [w[i : i + MOST_LETTERS] for i in range(0, len(w) - STEP, STEP)]
-    return [w] if len(w) >= 3 else []
-
-
-def tokens(text: str) -> set[str]:
-    """Distinct tokens of a text in lower case, runs of single letters also as one."""
-    out = set(text.split())
-    if sum(len(t) <= 2 for t in out) >= 3:
-        out.update(m.group() for m in _LONELY.finditer(text))
-    return out
+        out, wide = np.zeros((len(words), len(self.landmarks)), np.float32), len(self.landmarks)
+        for lo in range(0, len(words), 2000):
+            word, code, value = subsequences(words[lo : lo + 2000])
+            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[k] == code
+            word, k, value = word[known], k[known], value[known]
+            many = self.many[k]
+            e = np.repeat(self.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            part = out[lo : lo + 2000]
+            part[:] = np.bincount(np.repeat(word, many) * wide + self.mark[e], np.repeat(value, many) * self.value[e], part.size).reshape(part.shape)
+        return out**POWER
 
 
-class Likeness:
-    """Kernel values of tokens, as landmarks and values, kept for those seen before; None without any."""
-
-    def __init__(self, kernel: Kernel):
-        self.kernel, self.known = kernel, {}
-
-    def learn(self, seen: set[str]) -> None:
-        new = [t for t in seen if t not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, new = {}, list(seen)
-        self.known.update(dict.fromkeys(new))
-        owners, place = [], {}
-        for t in new:
-            for r in self.kernel.readings(t):
-                owners.append((t, place.setdefault(r, len(place))))
-                if len(owners) >= 20_000:
-                    self._compare(owners, place)
-                    owners, place = [], {}
-        self._compare(owners, place)
-
-    def _compare(self, owners: list[tuple[str, int]], place: dict[tuple[str, int], int]) -> None:
-        i, j, v = self.kernel.pairs([w for w, _ in place], [n for _, n in place])
-        edge = np.searchsorted(i, np.arange(len(place) + 1)).tolist()
-        for t, k in owners:
-            lo, hi = edge[k], edge[k + 1]
-            if lo < hi:
-                had = self.known[t]
-                if had is None:
-                    self.known[t] = j[lo:hi].copy(), v[lo:hi].copy()
-                else:
-                    row = np.zeros(len(self.kernel.landmarks), np.float32)
-                    row[had[0]] = had[1]
-                    row[j[lo:hi]] = np.maximum(row[j[lo:hi]], v[lo:hi])
-                    at = np.flatnonzero(row).astype(np.int32)
-                    self.known[t] = at, row[at]
-
-    def features(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text the rows of its sentences with likeness, as an array [sentences, landmarks]."""
-        each = [[tokens(s) for s in _SENTENCE.split((t or "").lower())] for t in texts]
-        self.learn(set().union(*(seen for sentences in each for seen in sentences)))
-        out, wide = [], len(self.kernel.landmarks)
-        for sentences in each:
-            hits, n = [], 0
-            for seen in sentences:
-                found = [(n * wide + h[0], h[1]) for t in seen if (h := self.known[t]) is not None]
-                hits += found
-                n += bool(found)
-            rows = np.zeros(n * wide, np.float32)
-            if hits:
-                np.maximum.at(rows, np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
-            out.append(rows.reshape(n, wide))
-        return out
-
-
-#: One for each model that a worker process has met, so that tasks share what they have learned.
-_KEPT: dict[tuple[str, ...], Likeness] = {}
-
-
-def _likeness(landmarks: list[str]) -> Likeness:
-    key = tuple(landmarks)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Likeness(Kernel(landmarks))
-    return _KEPT[key]
-
-
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """The words with the greatest difference in use between the labels, in standard errors; near copies once."""
+class Model:
+    """Margins of sentences: the sum of their words' weights, and a bias; the logistic's weights and bias."""
+
+    def __init__(self, kernel: Kernel, direction: np.ndarray, bias: float):
+        self.kernel, self.direction, self.bias, self.logistic = kernel, direction, bias, np.zeros(TOP + 1)
+        self.key = hashlib.md5(direction.tobytes() + "\n".join(kernel.landmarks).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def learn(self, known: dict[str, float], seen: set[str]) -> None:
+        """Adds the weights of words that are not known yet."""
+        new = [w for w in seen if w not in known]
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = list(seen)
+        for lo in range(0, len(new), 2000):
+            part = new[lo : lo + 2000]
+            known.update(zip(part, (self.kernel.values(part) @ self.direction).tolist(), strict=True))
+
+    def loudest(self, texts: list[list[list[str]]], known: dict[str, float]) -> np.ndarray:
+        """[texts, TOP]: the greatest margins; sentences that are not there count as without likeness."""
+        self.learn(known, {w for t in texts for s in t for w in s})
+        out = np.zeros((len(texts), TOP))
+        for row, t in zip(out, texts, strict=True):
+            row[:] = sorted([sum(map(known.__getitem__, s)) for s in t] + [0.0] * TOP, reverse=True)[:TOP]
+        return out + self.bias
+
+    def scores(self, texts: list[list[list[str]]], known: dict[str, float]) -> np.ndarray:
+        x = self.loudest(texts, known) @ self.logistic[:-1] + self.logistic[-1]
+        return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
+
+
+def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
+    """Three in four: the words with the greatest difference in use between the labels, in standard errors; the others:
+    words of the texts by the smallest MD5."""
     seen = [Counter(), Counter()]
     for t, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({w for s in tokens(t.lower()) for w in clean_words(s)})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    scores = []
+        seen[int(y)].update({w for s in t for w in s})
+    n1, n0, scores = max(1, int(toxic.sum())), max(1, int((~toxic).sum())), []
     for w, c in seen[1].items():
         p = (c + seen[0][w]) / (n1 + n0)
         z = (c / n1 - seen[0][w] / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        if c >= 2 and z >= 3.5 and c / n1 >= 4 * seen[0][w] / n0:
+        if c >= 2 and z >= 3.5 and c / n1 >= 4 * seen[0][w] / n0 and len(w) >= ORDER:
             scores.append((-z, w))
-    scores.sort()
-    return [w for _, w in scores[:most]]
-
-
-class Model:
-    def __init__(self, landmarks, white, weights, bias, logistic=None):
-        self.landmarks, self.white, self.weights, self.bias, self.logistic = landmarks, white, weights, bias, logistic
-        self.direction = white @ weights
-
-    def loudest(self, speech: np.ndarray) -> np.ndarray:
-        """Margins of the TOP loudest sentences; a sentence without likeness speaks with the bias alone."""
-        return np.sort(np.concatenate([np.zeros(TOP), speech]) + self.bias)[::-1][:TOP]
-
-    def margins(self, rows: np.ndarray) -> np.ndarray:
-        return self.loudest(rows @ self.direction)
-
-    def score(self, rows: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.margins(rows) @ self.logistic[:-1] + self.logistic[-1], -60, 60))))
+    told = [w for _, w in sorted(scores)[: most * 3 // 4]]
+    digest = lambda w: hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
+    rest = sorted((digest(w), w) for w in seen[0].keys() - set(told) if len(w) >= ORDER)
+    return told + [w for _, w in rest[: most - len(told)]] if told else []
 
 
 def _svm(z: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -295,62 +203,82 @@ def _logistic(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float = 0.1) -> Model | None:
-    """None without both labels or without landmarks. prior: the share of label 1 among all labelled texts."""
+def _likest(kernel: Kernel, texts: list[list[list[str]]], white: np.ndarray) -> list[np.ndarray]:
+    """For each text the rows of its KEPT sentences most like the landmarks, in the Nyström space."""
+    out = []
+    for lo in range(0, len(texts), 100):
+        part = texts[lo : lo + 100]
+        words = list({w: None for t in part for s in t for w in s})
+        at, values = {w: i for i, w in enumerate(words)}, kernel.values(words)
+        for t in part:
+            rows = np.array([values[[at[w] for w in s]].sum(0) for s in t], np.float32).reshape(-1, len(kernel.landmarks))
+            keep = np.sort(np.argsort(-rows.sum(1), kind="stable")[:KEPT])
+            out.append(rows[keep] @ white if len(rows) else np.zeros((1, len(white)), np.float32))
+    return out
+
+
+def fit(texts: list[list[list[str]]], toxic: np.ndarray, prior: float = 0.1) -> Model | None:
+    """texts: the sentences of each. prior: the share of label 1 among all labelled texts. None without both labels or
+    without words that tell them apart."""
     toxic = np.asarray(toxic, bool)
     landmarks = choose_landmarks(texts, toxic) if toxic.any() and not toxic.all() else []
     if not landmarks:
         return None
-    likeness = Likeness(Kernel(landmarks))
-    gram = likeness.kernel.values(landmarks).astype(float)
+    kernel = Kernel(landmarks)
+    gram = kernel.values(landmarks).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    white = (vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    short, rows = white.astype(np.float32), []
-    for lo in range(0, len(texts), 200):
-        rows += [r @ short for r in likeness.features(texts[lo : lo + 200])]
-    del likeness
-    zero = np.zeros((1, len(landmarks)), np.float32)
-    rows = [r if len(r) else zero for r in rows]
-    loud = [r[np.argmax(np.abs(r).sum(1))] for r in rows]
-    calm = [zero, *[r for r, y in zip(rows, toxic, strict=True) if not y]]
-    n = sum(map(len, calm))
-    z = np.ones((n + int(toxic.sum()), len(landmarks) + 1), np.float32)
-    np.concatenate(calm, out=z[:n, :-1])
+    white = ((vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T).astype(np.float32)
+    rows = _likest(kernel, texts, white)
+    calm, loud = [r for r, y in zip(rows, toxic, strict=True) if not y], [r for r, y in zip(rows, toxic, strict=True) if y]
+    n = sum(map(len, calm)) + 1  # and a sentence without likeness
+    z = np.ones((n + len(loud), len(landmarks) + 1), np.float32)
+    z[0, :-1] = 0
+    np.concatenate(calm, out=z[1:n, :-1])
+    del rows, calm
+    said = [int(np.argmax(np.abs(r).sum(1))) for r in loud]
     for _ in range(4):
-        z[n:, :-1] = [v for v, y in zip(loud, toxic, strict=True) if y]
+        for k, (r, i) in enumerate(zip(loud, said, strict=True)):
+            z[n + k, :-1] = r[i]
         w, bias = _svm(z, np.arange(len(z)) >= n)
-        loud = [r[np.argmax(r @ w)] for r in rows]
-    del z
-    model = Model(landmarks, white, w, bias)
-    margins = np.array([model.loudest(r @ w) for r in rows])
+        said = [int(np.argmax(r @ w)) for r in loud]
+    del z, loud
+    model, known = Model(kernel, white @ w, bias), {}
+    margins = np.vstack([model.loudest(texts[lo : lo + 500], known) for lo in range(0, len(texts), 500)])
     weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum()) * len(toxic)
     model.logistic = _logistic(margins, weight, toxic.astype(float))
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, float]:
-    """At most `most` texts of each label from the training folds, by the smallest MD5 of doc_id; the share of 1s."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[list[list[str]]], np.ndarray, float]:
+    """The sentences of at most `most` texts of each label from the training folds, by the smallest MD5 of doc_id; the
+    labels; the share of 1s among all labels of those folds."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [usable.filter(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toLocalIterator()
-    got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in got)
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.char_length("text") <= chars)
+    got = short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toLocalIterator()
+    same: dict[str, str] = {}  # one string for each word
+    got = sorted(((r["doc_id"], r["toxic"], [[same.setdefault(w, w) for w in s] for s in sentences(r["text"])]) for r in got), key=lambda r: r[0])
     prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
-    return [t for _, t, _ in got], np.array([y == 1 for _, _, y in got], bool), min(max(prior, 1e-3), 1 - 1e-3)
+    return [s for *_, s in got], np.array([y == 1 for _, y, _ in got], bool), min(max(prior, 1e-3), 1 - 1e-3)
 
 
 def _held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+#: Weights of the words that a worker process has met, for one model, so that its tasks share them.
+_KEPT: dict[str, dict[str, float]] = {}
+
+
 def _score(model: Model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        likeness = _likeness(model.landmarks)
+        if model.key not in _KEPT:
+            _KEPT.clear()
+        known = _KEPT.setdefault(model.key, {})
         for b in batches:
-            out = []
-            for lo in range(0, len(b), 500):
-                out.extend(model.score(r) for r in likeness.features(b.iloc[lo : lo + 500].tolist()))
-            yield pd.Series(out, dtype=float)
+            out = [model.scores([sentences(t) for t in b.iloc[lo : lo + 200]], known) for lo in range(0, len(b), 200)]
+            yield pd.Series(np.concatenate(out) if out else [], dtype=float)
 
     return F.pandas_udf(run, "double")
 

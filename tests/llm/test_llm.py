@@ -404,46 +404,53 @@ def test_viterbi_against_all_paths():
         assert math.isclose(value(field.decode(feats)), value(best))
 
 
-def test_subsequence_kernel_against_brute_force():
+def brute_kernel(a, b):
+    """The bounded-gap kernel by listing all places, normalised and raised."""
     from itertools import combinations
 
-    def brute(a, b, p=3):
-        out = 0.0
-        for i in combinations(range(len(a)), p):
-            for j in combinations(range(len(b)), p):
-                if all(a[x] == b[y] for x, y in zip(i, j, strict=True)):
-                    out += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    def places(w):
+        out = Counter()
+        for at in combinations(range(len(w)), toxicity.ORDER):
+            if at[-1] - at[0] < toxicity.SPAN:
+                out["".join(w[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
         return out
 
-    for a, b in (("idiot", "idxiot"), ("moron", "oronon"), ("abc", "abc"), ("banana", "bandana")):
-        ca, la = toxicity._codes([a], -1)
-        cb, lb = toxicity._codes([b], -2)
-        assert math.isclose(toxicity.ssk(ca, cb, la, lb)[0], brute(a, b), rel_tol=1e-9)
-
-
-def test_toxicity_gapped_insults_at_sentence_edges():
-    for text in ("you i d i o t. i know", "what a. i d i o t there", "so\ni d i o t\na man", "you idiot. bye"):
-        rows = toxicity.Likeness(toxicity.Kernel(["idiot"])).features([text])[0]
-        assert rows.max(initial=0) > 0.6, text
-
+    x, y = places(a), places(b)
+    dot = lambda p, q: sum(v * q[k] for k, v in p.items())
+    return (dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))) ** toxicity.POWER if x and y else 0.0
 
-def test_toxicity_inserted_letters_and_long_words():
-    from itertools import combinations_with_replacement
 
-    marks = ["scum", "idiot", "moron", "loser", "stupid", "worthless"]
+def test_subsequence_kernel_against_brute_force():
+    marks = ["^idiot$", "^moron$", "^worthless$", "^banana$", "^aaaa$"]
+    words = ["^idiot$", "^idxiot$", "^i1d2iot$", "^bandana$", "^aaaaaaa$", "^wort-hless$", "abcdidiotxx", "abc", "^çé中😀$", "zzzzzz"]
+    got = toxicity.Kernel(marks).values(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            assert math.isclose(got[i, j], brute_kernel(w, m), rel_tol=1e-5, abs_tol=1e-7), (w, m)
+    assert got[1, 0] > 0.2 and got[0, 0] > 0.999
+
+
+def test_toxicity_sentences():
+    assert toxicity.sentences(None) == toxicity.sentences("") == toxicity.sentences(" ?!\n.") == []
+    assert toxicity.sentences("You IDIOT! so, so\nend") == [["^you$", "^idiot$"], ["^end$"]]  # words of two letters say nothing
+    for text in ("you i d i o t. i know", "what a. i d i o t there", "so\ni d i o t\na man", "you id-i.ot. bye"):
+        assert any("^idiot$" in s for s in toxicity.sentences(text)), text
+    long = toxicity.sentences("x" * 30)
+    assert set(map(tuple, long)) == {("x" * toxicity.LONG,)} and len(long) == (30 - toxicity.LONG) // toxicity.STEP + 1
+    many = toxicity.sentences(" ".join(f"w{i}ord" for i in range(1000)))
+    assert {w for s in many for w in s} == {f"^w{i}ord$" for i in range(1000)} and max(map(len, many)) <= toxicity.STRETCH
+
+
+def test_toxicity_margins_are_the_kernel_machine():
+    """A sentence's margin is the SVM's product with its Nyström row, worked out pair by pair."""
+    marks = ["^idiot$", "^scum$", "^hello$", "^world$"]
     kernel = toxicity.Kernel(marks)
-
-    def own(a, b):
-        k = lambda x, y: toxicity.ssk(toxicity._codes([x], -1)[0], toxicity._codes([y], -2)[0], None, None)[0]
-        return (k(a, b) / math.sqrt(k(a, a) * k(b, b))) ** toxicity.POWER
-
-    for j, w in enumerate(marks):
-        for at in combinations_with_replacement(range(1, len(w)), 1 if len(w) == 4 else 2):
-            s = "".join("x" * at.count(i) + c for i, c in enumerate(w))
-            assert math.isclose(kernel.values([s])[0, j], own(s, w), rel_tol=1e-5) and own(s, w) > 0, s
-            long = "q" * 17 + s + "z" * 23
-            row = toxicity.Likeness(kernel).features([long])[0]
-            assert row.max(axis=0, initial=0)[j] >= own(s, w) - 1e-5, s
+    model = toxicity.Model(kernel, np.array([2.0, 1.5, -0.5, -0.25]), -0.75)
+    texts = ["Hello idxiot world. Scum and i d i o t", "", "a scxum " * 3]
+    for t, row in zip(texts, model.loudest([toxicity.sentences(t) for t in texts], {}), strict=True):
+        margins = [sum(a * brute_kernel(w, m) for w in s for a, m in zip(model.direction, marks, strict=True)) for s in toxicity.sentences(t)]
+        want = sorted(margins + [0.0] * toxicity.TOP, reverse=True)[: toxicity.TOP]
+        assert np.allclose(row, np.array(want) - 0.75, atol=1e-6)
 
 
 def test_toxicity_held_out(spark):
@@ -460,12 +467,16 @@ def test_toxicity_held_out(spark):
                 w.insert(r.randrange(len(w)), b if r.random() < 0.8 else "-".join(b))
         rows.append((d, " ".join(w), "x"))
         labels.append((d, None, y))
-    rows += [(1000, None, "x"), (1001, "", "x"), (None, "idiot", "x"), (1002, "i d i o t you worthless " * 3, "x")]
+    rows += [(1000, None, "x"), (1001, "", "x"), (None, "idiot", "x"), (1002, "i d i o t you worthless " * 3, "x"), (1003, "ba ti " * 60_000 + "idiot. worthless. idiot", "x"), (5, "another text", "x"), rows[7]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     lab = spark.createDataFrame([*labels, (5, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, lab)
-    got = {g.doc_id: g for g in toxicity.toxicity_scores(docs, model).collect()}
-    assert len(got) == len(rows) and all(0 <= g.score <= 1 for g in got.values())
+    every = toxicity.toxicity_scores(docs, model).collect()
+    got = {g.doc_id: g for g in every}
+    assert len(every) == len(rows) and all(0 <= g.score <= 1 for g in every)
+    assert len({g.score for g in every if g.doc_id == rows[7][0]}) == 1 and got[1003].predicted == 1
+    again = toxicity.train(docs.repartition(5), lab)
+    assert np.array_equal(again.direction, model.direction) and np.array_equal(again.logistic, model.logistic)
     test = [(got[d].predicted, y) for d, _, y in labels if zlib.crc32(str(d).encode()) % 3 == 1]
     assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, _, _ in labels)
     assert sum(p == y for p, y in test) / len(test) > 0.95
