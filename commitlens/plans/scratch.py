@@ -28,3 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() == spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).getName():
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
