@@ -1,16 +1,15 @@
-"""What the training-data operators share: the shared scratch folder, text rules, size-checked broadcast, components."""
+"""What the training-data operators share: text rules, numbered rows, size-checked broadcast, components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commitlens.plans.scratch import discard, materialize, scratch_dir
+
+__all__ = ["discard", "materialize", "scratch_dir"]
 #: The white space of the contracts, `[\x20\x09-\x0D]`.
 WHITE_SPACE = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,34 +17,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A word is a run of digits, ASCII lower-case letters and non-ASCII characters (after lower-casing).
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most rows of a side that is broadcast; each caller's rows are narrow, so this bounds the bytes. Beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-ROW = "_row_number"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="commitlens-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: the lineage ends there, and a lost
-    executor costs a re-read. Spark's commit protocol makes a retried task's output appear once."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Most rows and bytes of a side that is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: A key is hot if it holds more than one row in so many; so at most that many keys are.
+HOT_SHARE = 10_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs, written once, with a number for each row in the column ROW: what names a row where doc_id does not."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """row (a number) and doc (the row's columns, as a struct, so that no name can clash), written once: what names a row
+    where doc_id does not."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -53,10 +34,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if a count proves that df has at most so many rows; else df itself, whose joins shuffle.
-    For materialised, narrow tables (a few dozen bytes a row)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint if counting proves that df, a materialised table, has at most so many rows and bytes; else df
+    itself, whose joins shuffle. Bytes are those of the rows as JSON, which no plain encoding exceeds by much."""
+    n = df.limit(rows + 1).count()
+    if n > rows:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if size + 16 * n <= most else df
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: str, many: str) -> DataFrame:
+    """rows left-joined with keyed (one row for each value of `on`, with the number of rows that have it in `many`).
+
+    Keys that hold more than 1 in HOT_SHARE of all rows are at most HOT_SHARE, so they are broadcast and their rows stay
+    where they are; all others shuffle, and none of them is a task of its own. Both tables are materialised ones.
+    """
+    bar = max(1000, (keyed.agg(F.sum(many)).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(keyed.filter(F.col(many) > bar))
+    flag = F.broadcast(keyed.filter(F.col(many) > bar).select(on))
+    return rows.join(hot, on).unionByName(rows.join(flag, on, "left_anti").join(keyed.filter(F.col(many) <= bar), on, "left"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +74,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = materialize(step.join(far, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        discard(labels)
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
+            discard(both)
             return labels
 
 

@@ -7,15 +7,18 @@
    many documents of a chunk being sent once; the counts of shared elements come back, and sets with too few go. It is
    a bound, so no link is lost.
 3. The remaining sets are ordered globally, rarest element first. A set's prefix in that order names its leaders (the
-   least document with the element); sets connected by leaders form a block, since linked sets share a prefix element.
-4. Prefix-tree join in each block: the ordered sets form a trie; a set walks it once, with the overlap so far shared
-   by all sets below a node, and leaves a subtree when the lengths that remain cannot reach the overlap needed, or when
-   all below is in its component already. Blocks too large for one task are dealt into parts, and each pair of parts is
-   a task: no set is dropped. Links are exact counts over whole sets.
+   least set with the element). Sets that link share a prefix element and so a leader: the sets of one leader are a
+   group. Nothing is closed over: a group holds only sets that share a prefix element with its leader.
+4. Prefix-tree join in each group: the ordered sets form a trie, which all sets of the group go through together, from
+   node to node with the overlaps so far, which all sets below a node share; a set leaves a subtree when the lengths that
+   remain cannot reach the overlap needed. A pair is told in the group of its least common leader only. Groups too large
+   for one task are dealt into parts, and each pair of parts is a task: no set is dropped. All links come out, as exact
+   counts over whole sets, so a family of m near copies with different texts costs m*m/2 of them; exact copies are one set.
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; fewer than five
 words make one shingle of the whole; repeated rows of a doc_id are one document per distinct set; a null doc_id stays
-null and sorts first; an empty table gives an empty result; other columns are ignored. Sets are compared through 64-bit
+null and sorts first, as would -2**63; a doc_id that is no whole number is compared as it is, rows being numbered instead;
+an empty table gives an empty result; other columns are ignored. Sets are compared through 64-bit
 hashes: two different shingles fall together with probability 2**-64 a pair.
 """
 
@@ -31,12 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import ROW, connected_components, materialize, numbered, small
+from commitlens.llm.common import connected_components, discard, hot_join, materialize, numbered, small
 
 N, PERCENT = 5, 80
 NO_ID = -(1 << 63)
 CHUNK_CHARS, BUCKET_ENTRIES = 2_000_000, 1_000_000
-PART_SETS = 1500
+#: A group of more sets or elements is dealt into parts; small groups share a task up to so many elements.
+PART_SETS, TASK_ELEMENTS = 1500, 1_500_000
+#: Cells of the table of which sets hold which elements, in a task.
+CELLS = 32 << 20
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
 
 
@@ -191,83 +197,92 @@ class Trie:
         for node in stack:
             node[3] = len(order)
 
-    def walk(self, x: np.ndarray, size: int, member: np.ndarray, labels: np.ndarray, mine) -> Iterator[int]:
-        """Sets (numbers in self.sets) that link with x and are not in its component; mine() is x's label at the time."""
-        lens = self.lens if hasattr(self, "lens") else self._lengths()
-        todo = [(self.root, 0)]
+    def links(self, queries: list[np.ndarray], sizes: np.ndarray, n_elements: int) -> Iterator[tuple[np.ndarray, int]]:
+        """(queries, set): the numbers of the queries that link with the set, for each set that any links with."""
+        lens = np.array([len(s) for s in self.sets])
+        start = np.cumsum([0] + [len(q) for q in queries])
+        flat = np.concatenate(queries).astype(np.int64) + np.repeat(np.arange(len(queries)), np.diff(start)) * n_elements
+        member = np.zeros((n_elements, len(queries)), bool)
+        member[flat % n_elements, flat // n_elements] = True
+        least_need = needed(sizes)
+        todo = [(self.root, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while todo:
-            node, overlap = todo.pop()
+            node, q, overlap = todo.pop()
             lo, hi = node[2], node[3]
-            if (labels[lo:hi] == mine()).all():
-                continue
             if node[1] > node[0]:
                 path = self.sets[lo][node[0] : node[1]]
-                overlap += int(np.count_nonzero(member[path]))
-                rest = len(x) - int(np.searchsorted(x, path[-1], "right"))
+                overlap = overlap + member[path][:, q].sum(0)
+                rest = start[q + 1] - np.searchsorted(flat, q * n_elements + int(path[-1]), "right")
             else:
-                rest = len(x)
+                rest = np.diff(start)[q]
             least = int(self.sizes[lo:hi].min())
-            if 9 * (overlap + min(rest, int(lens[lo:hi].max()) - node[1])) < 4 * (size + max(least, needed(size))):
+            reach = overlap + np.minimum(rest, int(lens[lo:hi].max()) - node[1])
+            stay = 9 * reach >= 4 * (sizes[q] + np.maximum(least, least_need[q]))
+            q, overlap = q[stay], overlap[stay]
+            if not len(q):
                 continue
             for i in node[5]:
-                if labels[i] != mine() and 100 * overlap >= PERCENT * (size + int(self.sizes[i]) - overlap):
-                    yield i
-            todo.extend((c, overlap) for c in node[4])
-
-    def _lengths(self) -> np.ndarray:
-        self.lens = np.array([len(s) for s in self.sets])
-        return self.lens
+                hit = q[100 * overlap >= PERCENT * (sizes[q] + int(self.sizes[i]) - overlap)]
+                if len(hit):
+                    yield hit, i
+            todo.extend((c, q, overlap) for c in node[4])
 
 
-def trie_links(sets: list[np.ndarray], sizes: np.ndarray, queries: list[int] | None = None, indexed: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what links connect: each set of queries against those of indexed (all against all if
-    not given). A pair is left out only if the pairs returned connect it already."""
-    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+def trie_links(sets: list[np.ndarray], sizes: np.ndarray, queries: np.ndarray | None = None, indexed: np.ndarray | None = None) -> np.ndarray:
+    """All links (i, j) as an array [links, 2]: of the sets of queries with those of indexed, or of all with all, once each."""
+    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.uint32)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(values), dtype=np.uint32)
-    sets = [np.sort(rank[np.searchsorted(values, s)]) for s in sets]
-    queries, indexed = queries or list(range(len(sets))), indexed or list(range(len(sets)))
+    sets = [np.sort(x) for x in np.split(rank[at], np.cumsum([len(s) for s in sets])[:-1])]
+    both = queries is None
+    queries = np.arange(len(sets)) if both else queries
+    indexed = np.arange(len(sets)) if both else indexed
     trie = Trie([sets[i] for i in indexed], sizes[indexed])
-    place = np.array(indexed)[trie.order]  # of the trie's sets in sets
-    label = np.arange(len(sets))
-    labels = label[place]
-    links, member = [], np.zeros(len(values), bool)
-    for q in queries:
-        member[sets[q]] = True
-        for i in trie.walk(sets[q], int(sizes[q]), member, labels, lambda q=q: label[q]):
-            j = int(place[i])
-            if j != q:
-                links.append((q, j))
-                label[label == label[j]] = label[q]
-                labels[:] = label[place]
-        member[sets[q]] = False
-        if (label == label[0]).all():
-            break
-    return links
-
-
-def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, side = rows["cid"].to_numpy(), rows["side"].to_numpy()
-    sets = [np.asarray(e, np.int64) for e in rows["elements"]]
-    two = (side == 1).any()
-    found = trie_links(sets, rows["n"].to_numpy(np.int64), np.flatnonzero(side == 1).tolist() if two else None, np.flatnonzero(side == 0).tolist() if two else None)
-    return pd.DataFrame([(keys[i], keys[j]) for i, j in found], columns=["a", "b"])
+    place, out, step = indexed[trie.order], [np.empty((0, 2), np.int64)], max(1, CELLS // max(1, len(values)))
+    for lo in range(0, len(queries), step):
+        part = queries[lo : lo + step]
+        for hit, i in trie.links([sets[k] for k in part], sizes[part], len(values)):
+            a = part[hit]
+            a = a[a < place[i]] if both else a
+            out.append(np.stack([a, np.full(len(a), place[i])], 1))
+    return np.concatenate(out)
+
+
+def _join_groups(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links inside each leader's group of a task, told where the leader is the least that both sets have."""
+    got = []
+    for leader, g in rows.groupby("leader", sort=False):
+        if len(g) < 2:
+            continue
+        side, cid, leaders = g["side"].to_numpy(), g["cid"].to_numpy(), g["leaders"].to_numpy()
+        sets, two = [np.asarray(e, np.int64) for e in g["elements"]], (side == 1).any()
+        if two and (side == 1).all():
+            continue
+        found = trie_links(sets, g["n"].to_numpy(np.int64), *((np.flatnonzero(side == 1), np.flatnonzero(side == 0)) if two else ()))
+        first = np.array([len(x) == 1 or x[0] == leader for x in leaders])  # no lesser leader to share
+        sure = first[found[:, 0]] | first[found[:, 1]]
+        keep = sure.copy()
+        for k in np.flatnonzero(~sure):
+            keep[k] = min(set(leaders[found[k, 0]]) & set(leaders[found[k, 1]])) == leader
+        got.append(cid[found[keep]])
+    a = np.concatenate(got) if got else np.empty((0, 2), np.int64)
+    return pd.DataFrame({"a": a.min(1), "b": a.max(1)})
 
 
 def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
 
 
-def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (key, n, cid: its class, null for an empty set) and links (a, b) between classes; a class is named by a
-    number."""
+def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (key, n, sig: the digest of its set), classes (cid, sig, key: the least of its members, n, n_rows) of the sets
+    that are not empty, and all links (a, b), a < b, between classes."""
     texts = docs.select(_key(), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(0, math.ceil(math.log2(max(1, size / 20 / BUCKET_ENTRIES)))) + 2)
+    bits = min(24, max(0, math.ceil(math.log2(max(1, size / 20 / BUCKET_ENTRIES)))) + 2)
     made = texts.mapInPandas(_prefix_entries(bits), "chunk long, bucket int, keys array<long>, ns array<int>, sigs array<binary>, local binary, who binary, hash binary")
     made = materialize(made, "prefixes")
     members = made.filter("bucket = -1").select(F.inline(F.arrays_zip("keys", "ns", "sigs"))).toDF("key", "n", "sig")
-    classes = members.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    classes = members.filter("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("n_rows"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     shared = made.filter("bucket >= 0").select("chunk", "bucket", "who", "hash").groupBy("bucket").applyInPandas(_shared_in_bucket, "chunk long, local binary")
     counted = made.filter("bucket = -1").select("chunk", "bucket", "keys", "ns", "sigs", "local").unionByName(shared.withColumn("bucket", F.lit(0)), allowMissingColumns=True)
@@ -275,7 +290,10 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alive = small(materialize(alive.join(classes, ["key", "sig"]).select("key", "sig", "cid").distinct(), "alive"))
     sets = texts.join(alive.select("key").distinct(), "key", "left_semi").mapInPandas(_whole_sets, "key long, sig binary, n int, elements array<long>")
     sets = materialize(sets.join(alive, ["key", "sig"]).select("cid", "n", "elements"), "sets")
-    return members.join(classes.select("sig", "cid"), "sig", "left").select("key", "n", "cid"), _links(sets)
+    links = _links(sets)
+    members = materialize(members, "members")
+    discard(made, alive, sets)
+    return members, classes, links
 
 
 def _links(sets: DataFrame) -> DataFrame:
@@ -285,27 +303,54 @@ def _links(sets: DataFrame) -> DataFrame:
     need = F.expr(f"(n * {PERCENT} + 99) div 100")
     ordered = ordered.filter(F.size("o") >= need).select("cid", "n", F.col("o.e").alias("elements"), (F.size("o") - need + 1).cast("int").alias("prefix"))
     ordered = materialize(ordered, "ordered")
-    prefix = ordered.select("cid", F.explode(F.expr("slice(elements, 1, prefix)")).alias("e"))
-    leaders = prefix.groupBy("e").agg(F.min("cid").alias("b"), F.count("*").alias("df")).filter("df > 1")
-    edges = prefix.join(leaders, "e").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-    block = connected_components(edges).select(F.col("node").alias("cid"), F.col("label").alias("block"))
-    placed = ordered.join(block, "cid")
-    parts = placed.groupBy("block").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
-    placed = placed.join(small(materialize(parts.filter("parts > 1"), "parts")), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    prefix = materialize(ordered.select("cid", F.size("elements").alias("len"), F.explode(F.expr("slice(elements, 1, prefix)")).alias("e")), "prefix")
+    leaders = materialize(prefix.groupBy("e").agg(F.min("cid").alias("leader"), F.count("*").alias("df")).filter("df > 1"), "leaders")
+    led = hot_join(prefix, leaders, "e", "df").filter("leader is not null").groupBy("cid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"), F.first("len").alias("len"))
+    led = materialize(led, "led")
+    groups = led.select(F.explode("leaders").alias("leader"), "len").groupBy("leader").agg(F.count("*").alias("n_sets"), F.sum("len").alias("n_elements")).filter("n_sets > 1")
+    groups = groups.withColumn("parts", F.ceil(F.greatest(F.col("n_sets") / PART_SETS, F.col("n_elements") / TASK_ELEMENTS)).cast("int"))
+    groups = materialize(groups, "groups")
+    tasks = max(1, (groups.filter("parts = 1").agg(F.sum("n_elements")).first()[0] or 0) // TASK_ELEMENTS)
+    placed = materialize(led.select("cid", "leaders", F.explode("leaders").alias("leader")), "placed")
+    placed = hot_join(placed, groups, "leader", "n_sets").filter("parts is not null")
     placed = placed.withColumn("part", F.expr("cast(pmod(xxhash64(cid), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    placed = placed.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.expr("if(part > other, 1, 0)").alias("side"), "cid", "n", "elements")
-    return materialize(placed.groupBy("block", "i", "j").applyInPandas(_join_block, "a long, b long"), "links")
+    task = F.when(F.col("parts") > 1, F.col("leader")).otherwise(-1 - F.pmod(F.xxhash64("leader"), F.lit(tasks)))
+    placed = placed.select("leader", "leaders", task.alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.expr("if(part > other, 1, 0)").alias("side"), "cid")
+    links = placed.join(ordered.drop("prefix"), "cid").groupBy("task", "i", "j").applyInPandas(_join_groups, "a long, b long")
+    links = materialize(links, "links")
+    discard(ordered, prefix, leaders, led, groups)
+    return links
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs (doc_id, text)."""
-    members, links = classes_and_links(docs)
+def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """cid, sig, key, n_rows, label (the least cid of the component; its own if it has no links), least (the smallest key
+    in the component), n_links (documents that its documents link with, equal sets included)."""
     label = connected_components(links).select(F.col("node").alias("cid"), "label")
-    joined = materialize(members.join(label, "cid", "left").withColumn("group", F.coalesce("label", "cid")), "members")
-    least = joined.filter("n > 0").groupBy("group").agg(F.min("key").alias("least"))
-    key = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    out = joined.join(least, "group", "left").withColumn("least", F.coalesce("least", "key"))
-    return out.select(key("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), key("least").alias("component_id"))
+    own = materialize(classes.join(label, "cid"), "labelled")
+    least = materialize(own.groupBy("label").agg(F.min("key").alias("least"), F.count("*").alias("many")), "least")
+    both = links.union(links.select("b", "a")).toDF("cid", "other")
+    near = both.join(classes.select(F.col("cid").alias("other"), "n_rows"), "other").groupBy("cid").agg(F.sum("n_rows").alias("near"))
+    linked = hot_join(own.select("cid", "label"), least, "label", "many").select("cid", "label", "least").join(near, "cid")
+    out = classes.join(linked, "cid", "left")
+    return out.select("cid", "sig", "key", "n_rows", F.coalesce("label", "cid").alias("label"), F.coalesce("least", "key").alias("least"), (F.coalesce("near", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
+
+
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (the other rows that it links with)
+    for every row of docs (doc_id, text)."""
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = docs if whole else numbered(docs).select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.doc_id").alias("id"))
+    members, classes, links = classes_and_links(rows)
+    found = materialize(_components(classes, links), "components")
+    out = hot_join(members, found.select("sig", "cid", "label", "least", "n_links", "n_rows"), "sig", "n_rows")
+    n, many = F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    if whole:
+        key = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).cast(docs.schema["doc_id"].dataType)
+        return out.select(key("key").alias("doc_id"), n, F.when(F.col("least").isNull(), key("key")).otherwise(key("least")).alias("component_id"), many)
+    named = materialize(out.join(rows.select(F.col("doc_id").alias("key"), "id"), "key"), "named")
+    least = materialize(named.filter("label is not null").groupBy("label").agg(F.min("id").alias("first"), F.count("*").alias("many")), "least")
+    linked = hot_join(named.filter("label is not null"), least, "label", "many").select(F.col("id").alias("doc_id"), n, F.coalesce("first", "id").alias("component_id"), many)
+    return linked.unionByName(named.filter("label is null").select(F.col("id").alias("doc_id"), n, F.col("id").alias("component_id"), many))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -313,10 +358,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     the smallest digest of its text. Rows of one doc_id, or of none, with different sets belong each to its own
     component; of empty sets one row stays for each doc_id. Columns of docs."""
     rows = numbered(docs)
-    members, links = classes_and_links(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    members, classes, links = classes_and_links(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
     label = connected_components(links).select(F.col("node").alias("cid"), "label")
-    group = members.join(label, "cid", "left").select(F.col("key").alias(ROW), F.coalesce("label", "cid").alias("group"))
-    placed = rows.select(ROW, _key(), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest")).join(group, ROW)
-    alone = F.when(F.col("group").isNull(), F.col("key"))
-    stay = placed.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("key", "digest", ROW)).alias("least")).select(f"least.{ROW}")
-    return rows.join(stay, ROW, "left_semi").select(*docs.columns)
+    named = materialize(classes.join(label, "cid", "left").select("sig", F.coalesce("label", "cid").alias("group"), "n_rows"), "named")
+    group = hot_join(members.select("key", "sig"), named, "sig", "n_rows").select(F.col("key").alias("row"), "group")
+    placed = rows.select("row", F.col("doc.doc_id").alias("id"), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))).alias("digest")).join(group, "row")
+    alone = F.when(F.col("group").isNull(), F.struct("id"))
+    stay = placed.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("id", "digest", "row")).alias("least")).select("least.row")
+    return rows.join(stay, "row", "left_semi").select("doc.*")

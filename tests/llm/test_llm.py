@@ -230,6 +230,9 @@ def test_ngram_join(docs, rows, nothing, monkeypatch, part):
     got = ngram_join.ngram_components(docs).collect()
     assert len(got) == len(rows)
     assert {g.doc_id: (g.n_shingles, g.component_id) for g in got} == want
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in map(space_words, (r[1] for r in rows))]
+    links = sorted((r[0], sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 if a else 0) for r, a in zip(rows, sets, strict=True))
+    assert sorted((g.doc_id, g.n_links) for g in got) == links
     if part > 4:
         assert ngram_join.ngram_components(nothing).count() == 0
         stay = ngram_join.representatives(docs)
@@ -241,7 +244,7 @@ def test_trie_links_against_all_pairs():
     r = np.random.default_rng(3)
     for trial in range(20):
         base = r.choice(400, 60, replace=False)
-        sets = []
+        sets: list[np.ndarray] = []
         for _ in range(25):
             s = base.copy()
             for i in r.choice(60, r.integers(0, 14), replace=False):
@@ -249,19 +252,20 @@ def test_trie_links_against_all_pairs():
             sets.append(np.unique(s).astype(np.int64))
         n = np.array([len(s) for s in sets])
 
-        def components(pairs):
-            up = list(range(len(sets)))
-            for i, j in pairs:
-                a, b = up[i], up[j]
-                up = [a if x == b else x for x in up]
-            return [up.index(x) for x in up]
-
-        true = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
-        found = ngram_join.trie_links(sets, n)
-        assert all((max(p), min(p)) in set(true) for p in found) and components(found) == components(true)
-        two = ngram_join.trie_links(sets, n, list(range(12)), list(range(12, 25)))
-        inside = [(i, j) for i, j in true if (i < 12) == (j < 12)]
-        assert components(two + inside) == components(true)
+        true = {(j, i) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+        found = [tuple(sorted(p)) for p in ngram_join.trie_links(sets, n).tolist()]
+        assert len(found) == len(set(found)) and set(found) == true
+        two = [tuple(sorted(p)) for p in ngram_join.trie_links(sets, n, np.arange(12), np.arange(12, 25)).tolist()]
+        assert len(two) == len(set(two)) and set(two) == {p for p in true if (p[0] < 12) != (p[1] < 12)}
+
+
+def test_ngram_join_ids_of_any_type(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [("k", a), ("c", a), (None, a), ("z", b), ("y", None), (None, "")]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("k", 36, "c", 2), ("c", 36, "c", 2), (None, 36, "c", 2), ("z", 36, "z", 0), ("y", 0, "y", 0), (None, 0, None, 0)], key=repr)
+    got = ngram_join.ngram_components(spark.createDataFrame([(None, a), (None, a), (3, a), (4, b)], "doc_id int, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 36, None, 2), (None, 36, None, 2), (3, 36, None, 2), (4, 36, 4, 0)], key=repr)
 
 
 def test_lm_scoring(docs, rows, nothing):
