@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import ROW, numbered, scratch_dir, table
+from commitlens.llm.common import numbered, scratch_dir, table
 from commitlens.llm.decontamination import contamination
 from commitlens.llm.mixing import mixed_documents
 from commitlens.llm.ngram_join import representatives
@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text holds an item's window go."""
     rows = numbered(docs)
-    clean = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).filter("not contaminated")
-    return rows.join(clean.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    clean = contamination(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), table(spark, sf_dir, "benchmark")).filter("not contaminated")
+    return rows.join(clean.select(F.col("doc_id").alias("row")), "row", "left_semi").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
