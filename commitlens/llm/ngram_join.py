@@ -12,8 +12,10 @@
 4. Prefix-tree join in each group: the ordered sets form a trie, which all sets of the group go through together, from
    node to node with the overlaps so far, which all sets below a node share; a set leaves a subtree when the lengths that
    remain cannot reach the overlap needed. A pair is told in the group of its least common leader only. Groups too large
-   for one task are dealt into parts, and each pair of parts is a task: no set is dropped. All links come out, as exact
-   counts over whole sets, so a family of m near copies with different texts costs m*m/2 of them; exact copies are one set.
+   for one task are dealt into parts, and each pair of parts is a task: no set is dropped. Every link is found, by exact
+   counts over whole sets, and counted at both its sets where it is found; what leaves a task is a row for each set with
+   its number of links and the least set that links connect it with there, never the pairs themselves. A family of m near
+   copies with different texts costs m*m/2 comparisons, shared in the trie; exact copies are one set.
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; fewer than five
 words make one shingle of the whole; repeated rows of a doc_id are one document per distinct set; a null doc_id stays
@@ -39,8 +41,8 @@ from commitlens.llm.common import connected_components, discard, hot_join, mater
 N, PERCENT = 5, 80
 NO_ID = -(1 << 63)
 CHUNK_CHARS, BUCKET_ENTRIES = 2_000_000, 1_000_000
-#: A group of more sets or elements is dealt into parts; small groups share a task up to so many elements.
-PART_SETS, TASK_ELEMENTS = 1500, 1_500_000
+#: A group of more sets or elements is dealt into parts; small groups share a task up to so many.
+PART_SETS, TASK_SETS, TASK_ELEMENTS = 800, 500, 1_000_000
 #: Cells of the table of which sets hold which elements, in a task.
 CELLS = 32 << 20
 _M1, _M2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
@@ -248,25 +250,41 @@ def trie_links(sets: list[np.ndarray], sizes: np.ndarray, queries: np.ndarray |
     return np.concatenate(out)
 
 
+def _connected(pairs: np.ndarray, n: int) -> np.ndarray:
+    """The least number that pairs connect each of n numbers with."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, pairs[:, 0], label[pairs[:, 1]])
+        np.minimum.at(new, pairs[:, 1], label[pairs[:, 0]])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _join_groups(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links inside each leader's group of a task, told where the leader is the least that both sets have."""
+    """The links inside each leader's group of a task, told where the leader is the least that both sets have: for each
+    set with links a row of its class, the class that stands for what they connect, and the rows it links with."""
     got = []
     for leader, g in rows.groupby("leader", sort=False):
         if len(g) < 2:
             continue
-        side, cid, leaders = g["side"].to_numpy(), g["cid"].to_numpy(), g["leaders"].to_numpy()
-        sets, two = [np.asarray(e, np.int64) for e in g["elements"]], (side == 1).any()
+        side, cid, leaders, weight = (g[c].to_numpy() for c in ("side", "cid", "leaders", "n_rows"))
+        two = (side == 1).any()
         if two and (side == 1).all():
             continue
+        sets = [np.asarray(e, np.int64) for e in g["elements"]]
         found = trie_links(sets, g["n"].to_numpy(np.int64), *((np.flatnonzero(side == 1), np.flatnonzero(side == 0)) if two else ()))
-        first = np.array([len(x) == 1 or x[0] == leader for x in leaders])  # no lesser leader to share
-        sure = first[found[:, 0]] | first[found[:, 1]]
-        keep = sure.copy()
-        for k in np.flatnonzero(~sure):
+        first = np.array([x[0] == leader for x in leaders])  # no lesser leader to share
+        keep = first[found[:, 0]] | first[found[:, 1]]
+        for k in np.flatnonzero(~keep):
             keep[k] = min(set(leaders[found[k, 0]]) & set(leaders[found[k, 1]])) == leader
-        got.append(cid[found[keep]])
-    a = np.concatenate(got) if got else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": a.min(1), "b": a.max(1)})
+        found = found[keep]
+        near = np.bincount(found[:, 0], weight[found[:, 1]], len(g)) + np.bincount(found[:, 1], weight[found[:, 0]], len(g))
+        at = np.flatnonzero(near)
+        got.append(pd.DataFrame({"a": cid[at], "b": cid[_connected(found, len(g))[at]], "near": near[at].astype(np.int64)}))
+    return pd.concat(got) if got else pd.DataFrame({"a": [], "b": [], "near": []}, dtype=np.int64)
 
 
 def _key() -> Column:
@@ -275,7 +293,7 @@ def _key() -> Column:
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (key, n, sig: the digest of its set), classes (cid, sig, key: the least of its members, n, n_rows) of the sets
-    that are not empty, and all links (a, b), a < b, between classes."""
+    that are not empty, and links (a, b, near): in some task, class a is connected with b and links with `near` rows."""
     texts = docs.select(_key(), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(24, max(0, math.ceil(math.log2(max(1, size / 20 / BUCKET_ENTRIES)))) + 2)
@@ -287,9 +305,9 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     shared = made.filter("bucket >= 0").select("chunk", "bucket", "who", "hash").groupBy("bucket").applyInPandas(_shared_in_bucket, "chunk long, local binary")
     counted = made.filter("bucket = -1").select("chunk", "bucket", "keys", "ns", "sigs", "local").unionByName(shared.withColumn("bucket", F.lit(0)), allowMissingColumns=True)
     alive = counted.groupBy("chunk").applyInPandas(_surviving, "key long, sig binary, n int")
-    alive = small(materialize(alive.join(classes, ["key", "sig"]).select("key", "sig", "cid").distinct(), "alive"))
+    alive = small(materialize(alive.join(classes, ["key", "sig"]).select("key", "sig", "cid", "n_rows").distinct(), "alive"))
     sets = texts.join(alive.select("key").distinct(), "key", "left_semi").mapInPandas(_whole_sets, "key long, sig binary, n int, elements array<long>")
-    sets = materialize(sets.join(alive, ["key", "sig"]).select("cid", "n", "elements"), "sets")
+    sets = materialize(sets.join(alive, ["key", "sig"]).select("cid", "n", "n_rows", "elements"), "sets")
     links = _links(sets)
     members = materialize(members, "members")
     discard(made, alive, sets)
@@ -297,11 +315,11 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    each = sets.select("cid", "n", F.explode("elements").alias("e"))
+    each = sets.select("cid", "n", "n_rows", F.explode("elements").alias("e"))
     often = each.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
-    ordered = each.join(often, "e").groupBy("cid", "n").agg(F.array_sort(F.collect_set(F.struct("df", "e"))).alias("o"))
+    ordered = each.join(often, "e").groupBy("cid", "n", "n_rows").agg(F.array_sort(F.collect_set(F.struct("df", "e"))).alias("o"))
     need = F.expr(f"(n * {PERCENT} + 99) div 100")
-    ordered = ordered.filter(F.size("o") >= need).select("cid", "n", F.col("o.e").alias("elements"), (F.size("o") - need + 1).cast("int").alias("prefix"))
+    ordered = ordered.filter(F.size("o") >= need).select("cid", "n", "n_rows", F.col("o.e").alias("elements"), (F.size("o") - need + 1).cast("int").alias("prefix"))
     ordered = materialize(ordered, "ordered")
     prefix = materialize(ordered.select("cid", F.size("elements").alias("len"), F.explode(F.expr("slice(elements, 1, prefix)")).alias("e")), "prefix")
     leaders = materialize(prefix.groupBy("e").agg(F.min("cid").alias("leader"), F.count("*").alias("df")).filter("df > 1"), "leaders")
@@ -310,13 +328,14 @@ def _links(sets: DataFrame) -> DataFrame:
     groups = led.select(F.explode("leaders").alias("leader"), "len").groupBy("leader").agg(F.count("*").alias("n_sets"), F.sum("len").alias("n_elements")).filter("n_sets > 1")
     groups = groups.withColumn("parts", F.ceil(F.greatest(F.col("n_sets") / PART_SETS, F.col("n_elements") / TASK_ELEMENTS)).cast("int"))
     groups = materialize(groups, "groups")
-    tasks = max(1, (groups.filter("parts = 1").agg(F.sum("n_elements")).first()[0] or 0) // TASK_ELEMENTS)
+    held = groups.filter("parts = 1").agg(F.sum("n_elements").alias("elements"), F.sum("n_sets").alias("sets")).first()
+    tasks = 1 + max((held["elements"] or 0) // TASK_ELEMENTS, (held["sets"] or 0) // TASK_SETS)
     placed = materialize(led.select("cid", "leaders", F.explode("leaders").alias("leader")), "placed")
     placed = hot_join(placed, groups, "leader", "n_sets").filter("parts is not null")
     placed = placed.withColumn("part", F.expr("cast(pmod(xxhash64(cid), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     task = F.when(F.col("parts") > 1, F.col("leader")).otherwise(-1 - F.pmod(F.xxhash64("leader"), F.lit(tasks)))
     placed = placed.select("leader", "leaders", task.alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.expr("if(part > other, 1, 0)").alias("side"), "cid")
-    links = placed.join(ordered.drop("prefix"), "cid").groupBy("task", "i", "j").applyInPandas(_join_groups, "a long, b long")
+    links = placed.join(ordered.drop("prefix"), "cid").groupBy("task", "i", "j").applyInPandas(_join_groups, "a long, b long, near long")
     links = materialize(links, "links")
     discard(ordered, prefix, leaders, led, groups)
     return links
@@ -325,11 +344,10 @@ def _links(sets: DataFrame) -> DataFrame:
 def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
     """cid, sig, key, n_rows, label (the least cid of the component; its own if it has no links), least (the smallest key
     in the component), n_links (documents that its documents link with, equal sets included)."""
-    label = connected_components(links).select(F.col("node").alias("cid"), "label")
+    label = connected_components(links.filter("a <> b")).select(F.col("node").alias("cid"), "label")
     own = materialize(classes.join(label, "cid"), "labelled")
     least = materialize(own.groupBy("label").agg(F.min("key").alias("least"), F.count("*").alias("many")), "least")
-    both = links.union(links.select("b", "a")).toDF("cid", "other")
-    near = both.join(classes.select(F.col("cid").alias("other"), "n_rows"), "other").groupBy("cid").agg(F.sum("n_rows").alias("near"))
+    near = links.groupBy(F.col("a").alias("cid")).agg(F.sum("near").alias("near"))
     linked = hot_join(own.select("cid", "label"), least, "label", "many").select("cid", "label", "least").join(near, "cid")
     out = classes.join(linked, "cid", "left")
     return out.select("cid", "sig", "key", "n_rows", F.coalesce("label", "cid").alias("label"), F.coalesce("least", "key").alias("least"), (F.coalesce("near", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
@@ -359,7 +377,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     component; of empty sets one row stays for each doc_id. Columns of docs."""
     rows = numbered(docs)
     members, classes, links = classes_and_links(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
-    label = connected_components(links).select(F.col("node").alias("cid"), "label")
+    label = connected_components(links.filter("a <> b")).select(F.col("node").alias("cid"), "label")
     named = materialize(classes.join(label, "cid", "left").select("sig", F.coalesce("label", "cid").alias("group"), "n_rows"), "named")
     group = hot_join(members.select("key", "sig"), named, "sig", "n_rows").select(F.col("key").alias("row"), "group")
     placed = rows.select("row", F.col("doc.doc_id").alias("id"), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))).alias("digest")).join(group, "row")
