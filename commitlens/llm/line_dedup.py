@@ -1,13 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
-At every line starts a window: the least run of lines with WORDS words or more. Its fingerprint is the least line hash
-in it (the last of equals) together with the window's own hash; two places that share WORDS words in whole lines share
-a whole window and so its fingerprint, which is the guarantee. Equal fingerprints are joined to their first place in
-the order of (doc_id, line); a match is then extended line by line both ways against that first place, and the lines of
-the later run are deleted. Each deleted line has an equal earlier one, so the first of all stays.
+At every line starts a window: the least run of lines with WORDS words or more. It selects the line in it with the least
+hash, the last of equals; neighbouring windows mostly select the same one, so few lines are selected. Selected lines are
+joined on their line hash; those that occur once go. The windows that selected a line that occurs again are then compared
+by their own hash, and a place is matched with the first place of the same window in the order of (doc_id, line); a match
+is extended line by line both ways, and the lines of the later run are deleted.
 
-The first place of a fingerprint is a minimum, combined before the shuffle; a passage of a third of all documents is
-one row there, and the join back to its places is one AQE can split.
+Guarantee: two places that share a run of whole lines with WORDS words share a window, both windows select the same line
+of it, and so the later place is matched. Each deleted line has an equal earlier one, so the first of all stays.
+
+The first place of a window is a minimum, combined before the shuffle; a line or passage of a third of all documents is
+one row there, and is broadcast to its places.
 
 Defined results: null text is one empty line and stays null; texts under WORDS words never change; rows that repeat
 both doc_id and text count as one document and are treated alike; null doc_id comes first; an empty table gives an empty
@@ -16,6 +19,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,39 +27,50 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import materialize, small
+from commitlens.llm.common import discard, hot_join, materialize, small
 
 WORDS = 50
-WINDOW = "struct<lines:array<long>,windows:array<struct<print:long,whole:long,first:int,last:int>>>"
+WINDOW = "struct<lines:array<long>,selected:array<struct<print:long,windows:array<struct<whole:long,first:int,last:int>>>>>"
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def line_windows(text: str | None, least: int = WORDS) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """Hashes of the lines; windows (fingerprint, window hash, first line, last line)."""
+def line_windows(text: str | None, least: int = WORDS) -> tuple[list[int], list[tuple[int, list[tuple[int, int, int]]]]]:
+    """Hashes of the lines; the selected lines (line hash, the windows that select it: window hash, first line, last line)."""
     lines = (text or "").split("\n")
     h = [_signed(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))) for s in lines]
     n = [len(s.split()) for s in lines]
     raw = [x.to_bytes(8, "big", signed=True) for x in h]
-    out, j, held = [], 0, 0
+    out, falling, at, j, held = [], deque(), -1, 0, 0  # falling: places of rising hashes, the least first
     for i in range(len(lines)):
         while j < len(lines) and held < least:
+            while falling and h[falling[-1]] >= h[j]:
+                falling.pop()
+            falling.append(j)
             held += n[j]
             j += 1
         if held < least:
             break
-        out.append((min(h[i:j]), _signed(xxhash.xxh64_intdigest(b"".join(raw[i:j]))), i, j - 1))
+        if falling[0] < i:
+            falling.popleft()
+        if falling[0] != at:
+            at = falling[0]
+            out.append((h[at], []))
+        out[-1][1].append((_signed(xxhash.xxh64_intdigest(b"".join(raw[i:j]))), i, j - 1))
         held -= n[i]
     return h, out
 
 
 def _windows(least: int):
+    names = ("whole", "first", "last")
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [line_windows(t, least) for t in b]
-            yield pd.DataFrame({"lines": [h for h, _ in made], "windows": [[dict(zip(("print", "whole", "first", "last"), w, strict=True)) for w in ws] for _, ws in made]})
+            chosen = [[{"print": p, "windows": [dict(zip(names, w, strict=True)) for w in ws]} for p, ws in picks] for _, picks in made]
+            yield pd.DataFrame({"lines": [h for h, _ in made], "selected": chosen})
 
     return F.pandas_udf(run, WINDOW)
 
@@ -87,11 +102,13 @@ def _key() -> Column:
 
 def repeated_runs(docs: DataFrame, least: int = WORDS) -> DataFrame:
     """doc_id, h (hash of the text), runs: array of (lo, hi), the lines to delete, for texts that have any."""
-    made = docs.select(_key().alias("key"), _windows(least)(F.col("text")).alias("w")).select("key", "w.lines", "w.windows")
-    made = materialize(made.filter(F.size("windows") > 0).dropDuplicates(["key"]), "windows")
-    places = made.select("key", F.inline("windows"))
-    first = places.groupBy("print", "whole").agg(F.min(F.struct("key", "first")).alias("at"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = places.join(first, ["print", "whole"]).filter(F.struct("key", "first") != F.col("at"))
+    made = docs.select(_key().alias("key"), _windows(least)(F.col("text")).alias("w")).select("key", "w.lines", "w.selected")
+    made = materialize(made.filter(F.size("selected") > 0).dropDuplicates(["key"]), "windows")
+    selected = made.select("key", F.inline("selected"))
+    often = materialize(selected.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    places = materialize(hot_join(selected, often, "print", "n").filter("n is not null").select("key", F.inline("windows")), "places")
+    first = places.groupBy("whole").agg(F.min(F.struct("key", "first")).alias("at"), F.count("*").alias("n")).filter("n > 1")
+    later = hot_join(places, materialize(first, "first"), "whole", "n").filter(F.struct("key", "first") != F.col("at"))
     later = later.select("key", F.col("at.key").alias("other"), (F.col("first") - F.col("at.first")).alias("shift"), "first", "last")
     later = later.groupBy("key", "other", "shift").agg(F.collect_list(F.struct("first", "last")).alias("places"))
     lines = made.select("key", "lines")
