@@ -29,8 +29,11 @@ TRAIN_PAGES, SEED, EPOCHS = 400, 7, 150
 #: Fixed values of HTML: elements that stay inside a line, that have no end, that hold no text of the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Comments, elements without text of the page, tags (quoted values may hold > and <; where a quote never ends, it is a
+#: letter like others), declarations. Runs are possessive, so that a cut tag costs no second reading.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|title|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*(?:\"[^\"]*\"[^<>]*)*)(?:>|$)|<[!?][^>]*(?:>|$)",
+    r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|title|svg|iframe|object)\b[^>]*+>.*?(?:</\1\s*>|$)"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+(?=>|$)|[^<>]*+)(?:>|$)|<[!?][^>]*+(?:>|$)""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
