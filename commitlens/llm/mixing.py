@@ -28,8 +28,8 @@ WEIGHTS, SHARE, MOST_PASSES = (5, 2, 1), 1.5, 2
 #: The golden ratio's fraction as a multiple of 2**-60, odd, so that the points run through all 2**60 values: the spread
 #: is that of the ratio itself for any number of slots that can be counted out.
 POINT_BITS, GOLDEN = 60, 712544676207699905
-#: Blocks have at most so many words; small inputs get smaller blocks, so that there are about so many slots.
-MOST_BLOCK_WORDS, SLOTS = 1024, 1 << 20
+#: Words of a block: the unit of the mix at every size.
+BLOCK_WORDS = 256
 CHUNK_SLOTS, CELL_BITS = 1 << 14, 10
 
 
@@ -92,7 +92,7 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("upto", F.sum("size").over(inner)).join(starts, ["sid", "chunk"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) for every row."""
     sizes = materialize(word_sizes(docs), "sizes")
     sources = materialize(source_targets(sizes, weights, share).coalesce(1), "sources")
@@ -100,7 +100,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     rows = laid_out(sizes, sources)
     if total <= 0:
         return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    block = max(1, min(MOST_BLOCK_WORDS, int(total) // SLOTS))
     blocks = small(materialize(source_slots(sources, block), "source_slots"))
     slots = materialize(schedule(sources, block, total).select("sid", "rank"), "slots")
     given = slots.groupBy("sid").agg(F.count("*").alias("given"))
@@ -119,6 +118,6 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> D
     """The mix as documents, whole: each is given round(taken / size) times (half up), so 0, 1 or 2 times; a document
     without words cannot weigh in and is left out. Columns of docs."""
     plan = mix(docs, weights, share).filter("size > 0 and 2 * taken >= size").groupBy("doc_id").agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).alias("times"))
-    plan = plan.select(F.col("doc_id").alias("mixed_id"), "times")
-    out = docs.join(plan, docs.doc_id.eqNullSafe(plan.mixed_id))
-    return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("doc"))  # as a struct, so that no column can clash
+    given = whole.join(plan, F.col("doc.doc_id").eqNullSafe(plan.doc_id)).select("doc", "times")
+    return given.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
