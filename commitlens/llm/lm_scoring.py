@@ -1,13 +1,12 @@
 """LM scoring by subword lattice likelihood.
 
 A text is a sequence of words and an end. The probability of a word is that of a lattice: all segmentations into the
-pieces of an existing subword vocabulary (with bytes for characters it lacks), summed by a forward recursion in log
-space. A piece weighs as often as the vocabulary's own scores choose it in the best segmentations of the distinct words
-of the training texts. The word itself is one more arc: its training frequency, less an absolute discount, whose freed
-mass weighs the subword paths; and the text's words so far are another (a cache of weight CACHE). Word frequencies are
-learned for the whole corpus, which is the class of all other texts, and, on top, for each of the CLASSES largest training
-languages; a text's class is summed out, so its own language is never looked at. The result is the marginal probability of the document over all these
-ways to write it.
+pieces of an existing subword vocabulary, all of its pieces (with bytes for characters it lacks), summed by a forward
+recursion in log space. A piece weighs as often as the vocabulary's own scores choose it in the best segmentations of the
+distinct words of the training texts, plus one. A word of the training texts is one more arc from the word's start to its
+end: its training frequency, less an absolute discount, and the freed mass weighs the paths over pieces. With the weight
+CACHE the text's own words so far are a last arc. Sums over arcs are sums over ways to write the text, so the result is
+the marginal probability of the document.
 
 The corpus side grows with the input: counts of all words of all training texts, combined before the shuffle. Words
 that make up at least HEAVY of all training tokens (at most 1/HEAVY, so at most a million) are shipped to the tasks;
@@ -33,7 +32,7 @@ from commitlens.llm.common import SPACE_WORD, lower_ascii, materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
-HEAVY, CACHE, CLASSES = 1e-6, 0.2, 6
+HEAVY, CACHE = 1e-6, 0.1
 START = "▁"
 
 
@@ -123,26 +122,15 @@ def _subword_logs(pieces, byte):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(pieces, byte)
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "c": b["c"], "by": b["by"], "sub": [lattice.log_probability(w) for w in b["word"]]})
+            yield pd.DataFrame({"word": b["word"], "c": b["c"], "sub": [lattice.log_probability(w) for w in b["word"]]})
 
     return run
 
 
-def training_classes(docs: DataFrame, most: int = CLASSES) -> dict[str, int]:
-    """The training texts of the largest languages (none if docs has no column lang)."""
-    if "lang" not in docs.columns or not most:
-        return {}
-    found = docs.filter(~_held_out() & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    return {r["lang"]: r["count"] for r in found.collect()}
-
-
-def word_counts(docs: DataFrame, classes: list[str]) -> DataFrame:
-    """word, c (its count in training texts; 0 for words of held-out texts only), by (its counts in each class)."""
-    lang = F.col("lang") if classes else F.lit(None)
-    each = docs.select(F.when(_held_out(), 0).otherwise(1).alias("train"), lang.alias("lang"), F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(SPACE_WORD), F.lit(0))).alias("word"))
-    sums = [F.sum(F.when(F.col("lang") == z, F.col("train")).otherwise(0)).cast("long").alias(f"c{i}") for i, z in enumerate(classes)]
-    each = each.groupBy("word").agg(F.sum("train").cast("long").alias("c"), *sums)
-    return each.select("word", "c", F.array(*[F.col(f"c{i}") for i in range(len(classes))]).cast("array<long>").alias("by"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, c (its count in training texts; 0 for words of held-out texts only)."""
+    each = docs.select(F.when(_held_out(), 0).otherwise(1).alias("train"), F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(SPACE_WORD), F.lit(0))).alias("word"))
+    return each.groupBy("word").agg(F.sum("train").cast("long").alias("c"))
 
 
 def _held_out():
@@ -151,19 +139,20 @@ def _held_out():
 
 def train_pieces(words: DataFrame, path: str) -> tuple[dict[str, float], list[float]]:
     """Weights of the pieces and of the 256 bytes from the distinct training words; at most as many counts as the
-    vocabulary has pieces come to the driver. A piece that the words hardly use leaves the lattice."""
+    vocabulary has pieces come to the driver."""
     model, names = load_pieces(path)
     sums = words.filter("c > 0").select("word").mapInPandas(_chosen(model), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     got = {r["piece"]: r["n"] for r in sums.collect()}
-    weights = {k: got.get(k, 0) + 1.0 for k in names if len(k) == 1 or got.get(k, 0) >= 2}
+    weights = {k: got.get(k, 0) + 1.0 for k in names}
     bytes_ = [got.get(f"<0x{b:02X}>", 0) + 1.0 for b in range(256)]
     total = sum(weights.values()) + sum(bytes_)
     return {k: v / total for k, v in weights.items()}, [b / total for b in bytes_]
 
 
 def _score(words: dict[bytes, int], plus: np.ndarray, p: np.ndarray, cache: float):
-    """Sums over the heavy words of each text (base, and one for each class); its other words with the cache's share at
-    each occurrence. words: a heavy word's place in plus and p."""
+    """Sums over the heavy words of each text (base and score); its other words with the cache's share at each
+    occurrence. words: a heavy word's place in plus and p."""
+    names = ["row", "key", "word", "n", "known", "base", "score", "shares"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = words.get
@@ -179,65 +168,48 @@ def _score(words: dict[bytes, int], plus: np.ndarray, p: np.ndarray, cache: floa
                 first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(at) else at
                 before = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
                 share = cache * before / np.maximum(at[order], 1)
-                sums = np.log10((1.0 - cache) * p[word] + share[:, None]).sum(0)
-                out.append((row, key, None, h, len(at), float(plus[word].sum()), sums, None))
+                out.append((row, key, None, h, len(at), float(plus[word].sum()), float(np.log10((1.0 - cache) * p[word] + share).sum()), None))
                 rare: dict[bytes, list[float]] = {}
                 for i in np.flatnonzero(ids < 0).tolist():
                     s = rare.setdefault(ws[i], [])
                     s.append(cache * len(s) / i if s else 0.0)
-                out.extend((row, None, w.decode("utf-8", "surrogatepass"), 0, 0, 0.0, None, s) for w, s in rare.items())
+                out.extend((row, None, w.decode("utf-8", "surrogatepass"), 0, 0, 0.0, 0.0, s) for w, s in rare.items())
                 held += h
                 if held > 200_000:
-                    yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
+                    yield pd.DataFrame(out, columns=names)
                     out, held = [], 0
             if out:
-                yield pd.DataFrame(out, columns=["row", "key", "word", "n", "known", "base", "scores", "shares"])
+                yield pd.DataFrame(out, columns=names)
 
     return run
 
 
 def score_texts(docs: DataFrame, path: str = VOCABULARY, heavy_share: float = HEAVY, cache: float = CACHE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
-    sizes = training_classes(docs)
-    classes = list(sizes)
-    counts = materialize(word_counts(docs, classes), "words")
+    counts = materialize(word_counts(docs), "words")
     ends = docs.filter(~_held_out()).count()
-    zs = range(len(classes))
-    t = counts.filter("c > 0").agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"),
-        *[F.sum(F.col("by")[i]).alias(f"n{i}") for i in zs], *[F.count_if(F.col("by")[i] > 0).alias(f"v{i}") for i in zs],
-    ).first()
+    t = counts.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     total, distinct = (t["n"] or 0) + ends, t["v"] + (ends > 0)
     discount = t["once"] / (t["once"] + 2 * t["twice"]) if t["once"] and t["twice"] else 0.5
-
-    def kept(c, n, v, below):
-        """Logarithm of the discounted frequency and the mass of what is below (a logarithm) for the rest."""
-        mass = discount * max(v, 1) / n if n else 1.0
-        return F.when(c > 0, F.log((c - discount) / max(n, 1) + mass * F.exp(below))).otherwise(math.log(mass) + below)
-
+    mass = discount * max(t["v"], 1) / total if total else 1.0
     pieces, byte = train_pieces(counts, path)
-    words = materialize(counts.mapInPandas(_subword_logs(pieces, byte), "word string, c long, by array<long>, sub double"), "lattice")
-    whole = kept(F.col("c"), total, t["v"], F.col("sub"))
-    ps = [kept(F.col("by")[i], t[f"n{i}"], t[f"v{i}"], F.col("whole")) for i in zs] + [F.col("whole")]
-    words = words.withColumn("whole", whole).select("word", "c", F.log10(F.col("c") + 1.0).alias("plus"), F.array(*ps).alias("ps"))
+    words = materialize(counts.mapInPandas(_subword_logs(pieces, byte), "word string, c long, sub double"), "lattice")
+    arc = F.when(F.col("c") > 0, F.log((F.col("c") - discount) / max(total, 1) + mass * F.exp("sub"))).otherwise(math.log(mass) + F.col("sub"))
+    words = words.select("word", "c", F.log10(F.col("c") + 1.0).alias("plus"), arc.alias("log"))
     heavy, plus, p = {}, [], []
-    for r in words.filter(F.col("c") >= max(1.0, heavy_share * total)).select("word", "plus", "ps").toLocalIterator() if total else ():
+    for r in words.filter(F.col("c") >= max(1.0, heavy_share * total)).select("word", "plus", "log").toLocalIterator() if total else ():
         heavy[r["word"].encode("utf-8", "surrogatepass")] = len(plus)
         plus.append(r["plus"])
-        p.append([math.exp(x) for x in r["ps"]])  # at least once in training, so far from 0
-    scored = _score(heavy, np.array(plus, float), np.array(p, float).reshape(-1, len(ps)), cache)
+        p.append(math.exp(r["log"]))  # at least once in training, so far from 0
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("key"), "text")
-    made = materialize(texts.mapInPandas(scored, "row long, key string, word string, n long, known long, base double, scores array<double>, shares array<double>"), "scored")
+    scored = _score(heavy, np.array(plus, float), np.array(p, float), cache)
+    made = materialize(texts.mapInPandas(scored, "row long, key string, word string, n long, known long, base double, score double, shares array<double>"), "scored")
     rare = made.filter("word is not null").select("row", "word", "shares").join(words, "word")
-    mixed = [F.expr(f"aggregate(shares, 0D, (a, s) -> a + if(s = 0, {math.log10(1.0 - cache)}D + ps[{i}] / {math.log(10)}D, log10({1.0 - cache}D * exp(ps[{i}]) + s)))").alias(f"s{i}") for i in range(len(ps))]
+    mixed = F.expr(f"aggregate(shares, 0D, (a, s) -> a + if(s = 0, {math.log10(1.0 - cache)}D + log / {math.log(10)}D, log10({1.0 - cache}D * exp(log) + s)))")
     occurs = F.size("shares")
-    rare = rare.select("row", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, occurs).otherwise(0).cast("long").alias("known"), (F.col("plus") * occurs).alias("base"), *mixed)
-    sums = made.filter("word is null").select("row", "key", "n", "known", "base", *[F.col("scores")[i].alias(f"s{i}") for i in range(len(ps))]).unionByName(rare)
-    sums = sums.groupBy("row").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n", "known", "base", *[f"s{i}" for i in range(len(ps))])])
-    texts_of = [*sizes.values(), max(1, ends - sum(sizes.values()))]  # the last: of the other languages and of none
-    prior = [math.log10(k / sum(texts_of)) for k in texts_of]
-    each = F.array(*[F.col(f"s{i}") + prior[i] for i in range(len(ps))])
-    sums = sums.withColumn("best", F.array_max(each)).withColumn("score", F.col("best") + F.log10(F.aggregate(F.transform(each, lambda x: F.pow(F.lit(10.0), x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)))
+    rare = rare.select("row", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, occurs).otherwise(0).cast("long").alias("known"), (F.col("plus") * occurs).alias("base"), mixed.alias("score"))
+    sums = made.filter("word is null").select("row", "key", "n", "known", "base", "score").unionByName(rare)
+    sums = sums.groupBy("row").agg(F.max("key").alias("key"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
     return _finish(sums.withColumn("doc_id", F.col("key").cast(docs.schema["doc_id"].dataType)), total, distinct, ends, cache)
 
 
@@ -250,4 +222,3 @@ def _finish(sums: DataFrame, total: int, distinct: int, ends: int, cache: float)
         "doc_id", _held_out().alias("held_out"), n.cast("long").alias("n_tokens"), (F.col("known") + end_known).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + end_base - n * math.log10(total + distinct + 1)).alias("base_score"), (F.col("score") + end_score).alias("score"),
     )
-

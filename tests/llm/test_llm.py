@@ -149,11 +149,10 @@ def test_mixing_schedule_spreads(docs):
         assert sorted(x["rank"] for x in slots if x.sid == s) == list(range(sum(x.sid == s for x in slots)))
 
 
-def test_mixing_production_blocks_and_small_sources(spark, monkeypatch):
+def test_mixing_production_blocks_and_small_sources(spark):
     n = 2_000_000
     x = np.sort((np.arange(n, dtype=np.uint64) * np.uint64(mixing.GOLDEN)) & np.uint64((1 << mixing.POINT_BITS) - 1)).astype(float) / (1 << mixing.POINT_BITS)
     assert np.diff(x).max() * n < 3 and np.diff(x).min() * n > 0.3
-    monkeypatch.setattr(mixing, "SLOTS", 1)
     words = {"a": [997] * 60, "b": [300], "c": [31] * 20, "d": [5, 3], None: [2000, 1]}
     rows = [(f"{s}{i}", "w " * k, s) for s, ks in words.items() for i, k in enumerate(ks)]
     for weights in (mixing.WEIGHTS, (40, 1, 3)):
@@ -163,6 +162,9 @@ def test_mixing_production_blocks_and_small_sources(spark, monkeypatch):
             taken[r.source] += r.taken
             assert 0 <= r.taken <= mixing.MOST_PASSES * r.size
         assert len(got) == len(rows) and all(abs(taken[r.source] - r.target) <= 0.5 for r in got)
+    clash = spark.createDataFrame([(1, "w " * 9, "a", 7, 8, 9), (1, "x y", "a", 7, 8, 9), (None, "z", "b", 7, 8, 9), (2, None, None, 7, 8, 9)], "doc_id long, text string, source string, times int, nth int, doc int")
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and {(r.times, r.nth, r.doc) for r in mixed.collect()} == {(7, 8, 9)}
     sources = spark.createDataFrame([(0, 0, 1 << 59), (1, 1 << 59, 1 << 60)], "sid int, lo long, hi long")
     slots = mixing.schedule(sources, 1, 5000.0).collect()
     mask = (1 << mixing.POINT_BITS) - 1
@@ -289,16 +291,48 @@ def test_lm_scoring(docs, rows, nothing):
     assert all(math.isclose(rare[g.doc_id], g.score, rel_tol=1e-9) for g in got)
 
 
-def test_lm_scoring_small_languages_and_long_words(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CLASSES", 1)
+def test_lm_scoring_long_words(spark):
     unseen = [d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % lm_scoring.FOLDS == lm_scoring.HELD_OUT]
-    rows = [(d, f"one two three big{d % 9}", "large") for d in range(200)] + [(d, "uno dos tres cuatro cinco", "small") for d in range(300, 380)]
-    rows += [(unseen[0], "uno dos tres cuatro cinco", "small"), (unseen[1], "zq" * 400, None), (unseen[2], "zq" * 800, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    with_class = {r.doc_id: r.score for r in lm_scoring.score_texts(docs).collect()}
-    whole = {r.doc_id: r.score for r in lm_scoring.score_texts(docs.drop("lang")).collect()}
-    assert with_class[unseen[0]] > whole[unseen[0]] - 1
-    assert with_class[unseen[2]] < 1.5 * with_class[unseen[1]] < -450
+    rows = [(d, f"one two three big{d % 9}") for d in range(200)] + [(d, "zq" * 20 * 2**k) for k, d in enumerate(unseen[:8])]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    scores = [got[d] for d in unseen[:8]]
+    steps = [b - a for a, b in zip(scores, scores[1:], strict=False)]
+    assert all(math.isclose(2 * x, y, rel_tol=1e-6) for x, y in zip(steps, steps[1:], strict=False)) and scores[-1] < -2000  # by length, without a floor
+
+
+def test_lm_scores_against_all_ways_to_write_a_text(spark):
+    """The score of every text by listing the arcs: word, pieces, cache."""
+    r = random.Random(8)
+    rows = [(d, " ".join(r.choice(["the", "cat", "sat", "Mat", "xq", "é"]) for _ in range(r.randint(0, 12)))) for d in range(60)] + [(None, "the cat"), (70, None), (70, "zzz zzz")]
+    got = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % lm_scoring.FOLDS == lm_scoring.HELD_OUT
+    train = [t for d, t in rows if not held(d)]
+    counts = Counter(w for t in train for w in space_words(t))
+    total, once, twice = sum(counts.values()) + len(train), list(counts.values()).count(1), list(counts.values()).count(2)
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    model, names = lm_scoring.load_pieces()
+    sp = lm_scoring._processor(model)
+    chosen = Counter(sp.id_to_piece(i) for w in counts for i in sp.encode(w))
+    weights = {k: chosen[k] + 1.0 for k in names}
+    bytes_ = [chosen[f"<0x{b:02X}>"] + 1.0 for b in range(256)]
+    z = sum(weights.values()) + sum(bytes_)
+
+    def pieces(s, i=0):
+        if i == len(s):
+            return 1.0
+        out = sum(weights[s[i:j]] / z * pieces(s, j) for j in range(i + 1, len(s) + 1) if s[i:j] in weights and (i == 0 or s[i] != "▁"))
+        return out if s[i] in weights else out + math.prod(bytes_[b] / z for b in s[i].encode()) * pieces(s, i + 1)
+
+    def score(text):
+        out, seen = math.log10((1 - lm_scoring.CACHE) * len(train) / total), Counter()
+        for i, w in enumerate(space_words(text)):
+            p = discount * len(counts) / total * pieces("▁" + w) + (max(counts[w] - discount, 0) / total if counts[w] else 0)
+            out += math.log10((1 - lm_scoring.CACHE) * p + (lm_scoring.CACHE * seen[w] / i if seen[w] else 0))
+            seen[w] += 1
+        return out
+
+    want = sorted((repr(d), round(score(t), 6)) for d, t in rows)
+    assert sorted((repr(g.doc_id), round(g.score, 6)) for g in got) == want
 
 
 def test_lattice_sums_all_segmentations():
@@ -349,6 +383,25 @@ def test_line_dedup(docs, rows, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+def test_line_windows_select_minima():
+    r = random.Random(3)
+    lines = [" ".join(f"w{r.randrange(40)}" for _ in range(r.randint(0, 12))) for _ in range(300)]
+    h, picks = line_dedup.line_windows("\n".join(lines))
+    assert sum(len(ws) for _, ws in picks) > 4 * len(picks) / 2  # neighbours share a selection
+    for p, ws in picks:
+        for _, lo, hi in ws:
+            n = [len(x.split()) for x in lines[lo : hi + 1]]
+            assert p == min(h[lo : hi + 1]) and sum(n) >= line_dedup.WORDS > sum(n[:-1])
+    # a run that two texts share is selected at the same line, whatever surrounds it
+    shared = lines[50:80]
+    other = ["x"] * 7 + shared + ["y z"] * 5
+    mine = {(p, w[0]) for p, ws in picks for w in ws}
+    theirs = {(p, w[0]) for p, ws in line_dedup.line_windows("\n".join(other))[1] for w in ws}
+    n = [len(x.split()) for x in shared]
+    whole = sum(sum(n[i:]) >= line_dedup.WORDS for i in range(len(n)))
+    assert len(mine & theirs) >= whole
+
+
 @pytest.mark.parametrize("rule", ["start", "end", "most"])
 def test_token_counts(docs, rows, nothing, rule):
     import tiktoken
@@ -378,6 +431,10 @@ def test_token_crossing_rule():
 def test_html_blocks():
     page = "<html><head><title>T</title></head><body><p>a<b>b</b>c<br>d <p>e &amp; f&nbsp;g<ul><li>x<li>y</ul><!-- c --><script>var t='</p>';</script>z<di"
     assert [b[1] for b in html_extraction.blocks(page)] == ["abc d", "e & f g", "x", "y", "z"]
+    for cut in ('<a ' + 'k="v" ' * 20_000, "<a '" * 20_000, '<a "' * 20_000 + "<script>" * 5_000):  # read once, not over and over
+        assert [b[1] for b in html_extraction.blocks("<p>x</p>" + cut)][:1] == ["x"]
+    for page in ('<p title="a > b">text</p>', "<p title='a > b'>text</p>", "<p class=it's>text</p>", '<div "><p>text</p></div>'):
+        assert [b[1] for b in html_extraction.blocks(page)] == ["text"], page
     assert html_extraction.blocks(None) == [] and html_extraction.blocks("<b>x") [0][1] == "x"
 
 
