@@ -158,6 +158,23 @@ def range_bounds(ecosystem: str, spec: Column) -> Column:
     return maven_bounds(spec) if ecosystem == "Maven" else F.lit(None).cast(f"array<array<{BOUND_TYPE}>>")
 
 
+def range_box(bounds: Column) -> Column:
+    """struct(lo, hi): between which first numbers all versions of a range lie; null where a side is open. A cheap test
+    that spares most releases the bounds themselves."""
+    first = lambda b: F.when((b["key"]["epoch"] == 0) & (b["op"] != "==="), F.coalesce(F.get(b["key"]["release"], F.lit(0)), F.lit(0).cast("long")))
+    low, high = ("=", ">", ">=", "p==", "p==*", "p>", "p>="), ("=", "<", "<=", "p==", "p==*", "p<", "p<=")
+    side = lambda pick, ops: F.transform(bounds, lambda branch: pick(F.transform(F.filter(branch, lambda b: b["op"].isin(*ops)), first)))
+    lows, highs = side(F.array_max, low), side(F.array_min, high)
+    whole = lambda a: ~F.exists(a, lambda x: x.isNull())
+    return F.struct(F.when(whole(lows), F.array_min(lows)).alias("lo"), F.when(whole(highs), F.array_max(highs)).alias("hi"))
+
+
+def inside_box(key: Column, box: Column) -> Column:
+    """Whether a version can lie in a range with this box; one without order or with an epoch always can."""
+    first = F.coalesce(F.get(key["release"], F.lit(0)), F.lit(0).cast("long"))
+    return key.isNull() | (key["epoch"] != 0) | ((box["lo"].isNull() | (first >= box["lo"])) & (box["hi"].isNull() | (first <= box["hi"])))
+
+
 def takes_prereleases(ecosystem: str, spec: Column, bounds: Column) -> Column:
     """Whether a range lets prereleases in at all: if it names one, or sets no bound (PyPI)."""
     if ecosystem == "PyPI":

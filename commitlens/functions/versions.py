@@ -23,11 +23,17 @@ def is_private_spec(spec: Column) -> Column:
     return out
 
 
-def query_kind(ecosystem: Column, spec: Column) -> Column:
-    """exact, range, name_only or excluded."""
+def _bare(ecosystem: Column, spec: Column) -> Column:
+    """A spec without quotes around it and, for PyPI, without the environment marker after a semicolon."""
     spec = F.trim(F.coalesce(spec, F.lit("")))
-    bare = F.regexp_replace(spec, r"^['\"]|['\"]$", "")
-    exact = F.when(ecosystem == "PyPI", bare.rlike(r"^={2,3}\s*[^,*\s]+$") | bare.rlike(EXACT)).when(ecosystem == "Cargo", bare.rlike("^=") & F.regexp_replace(bare, r"^=\s*", "").rlike(EXACT)).otherwise(bare.rlike(EXACT))
+    cut = F.when((ecosystem == "PyPI") & F.contains(spec, F.lit(";")), F.trim(F.substring_index(spec, ";", 1))).otherwise(spec)
+    return F.regexp_replace(F.regexp_replace(cut, "^\"+|\"+$", ""), "^'+|'+$", "")
+
+
+def query_kind(ecosystem: Column, spec: Column) -> Column:
+    """exact, range, name_only or excluded. PyPI: == and === with one text are exact, a prefix (==1.*) too."""
+    bare = _bare(ecosystem, spec)
+    exact = F.when(ecosystem == "PyPI", bare.rlike(r"^={2,3}\s*[^,;\s]+$") | bare.rlike(EXACT)).when(ecosystem == "Cargo", bare.rlike("^=") & F.regexp_replace(bare, r"^=\s*", "").rlike(EXACT)).otherwise(bare.rlike(EXACT))
     return F.when(bare == "", "name_only").when(is_private_spec(bare), "excluded").when(F.contains(bare, F.lit("${")) | bare.startswith("libs."), "name_only").when(exact, "exact").otherwise("range")
 
 
@@ -45,6 +51,6 @@ def release_key(version: Column) -> Column:
 
 def query_value(ecosystem: Column, spec: Column, kind: Column) -> Column:
     """What is asked of the registry: an exact version without its operator, a range as it is, else nothing."""
-    bare = F.regexp_replace(F.trim(F.coalesce(spec, F.lit(""))), r"^['\"]|['\"]$", "")
+    bare = _bare(ecosystem, spec)
     op = F.when(ecosystem == "PyPI", F.regexp_replace(bare, r"^={2,3}\s*", "")).when(ecosystem == "Cargo", F.regexp_replace(bare, r"^=\s*", "")).otherwise(bare)
     return F.when(kind == "exact", op).when(kind == "range", bare).otherwise("")
