@@ -149,7 +149,8 @@ def repo_queue(population: DataFrame) -> DataFrame:
 
 def join_language(population: DataFrame, repos: DataFrame) -> DataFrame:
     """The population with its repository's language, and whether the language is there, blank or unknown."""
-    out = population.join(repos.dropDuplicates(["repo"]).select("repo", "language"), "repo", "left")
+    last = F.max_by("language", "seq") if "seq" in repos.columns else F.max("language")  # of several rows the last, or the greatest
+    out = population.join(repos.groupBy("repo").agg(last.alias("language")), "repo", "left")
     return out.withColumn("language_state", F.when(F.col("language").isNull(), "missing_metadata").when(F.trim("language") == "", "blank").otherwise("known"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.functions.ranges import range_bounds, range_match, takes_prereleases, version_key
-from commitlens.functions.versions import exact_form, query_kind, query_value
+from commitlens.functions.ranges import inside_box, range_bounds, range_box, range_match, takes_prereleases, version_key
+from commitlens.functions.versions import exact_form, normalize_package, query_kind, query_value
+from commitlens.operators.quality import content_id
 from commitlens.plans.scratch import materialize
 
 
@@ -22,53 +23,188 @@ def discover_queries(planned: DataFrame) -> DataFrame:
     return q.groupBy("package_name").agg(F.count("*").alias("n_queries"), F.count_if(F.col("query_kind") == "exact").alias("n_exact"), F.count_if(F.col("query_kind") == "range").alias("n_range"), F.count_if(F.col("query_kind") == "name_only").alias("n_name_only"))
 
 
-def registry_status(planned: DataFrame, releases: DataFrame, key: list[str], ecosystem: str = "npm") -> DataFrame:
-    """Registry status of each planned query against the author's time.
+def registry_status(planned: DataFrame, releases: DataFrame, key: list[str], ecosystem: str = "npm", lookups: DataFrame | None = None) -> DataFrame:
+    """Registry status of each planned query against the author's time, with reasons.
 
     Distinct queries meet the releases, not episodes: what a package's history says to a (kind, value, time) is worked
-    out once. Exact values join on (package, version); only ranges and bare names see a package's whole history, which
-    is summed up before it meets anything else.
+    out once. Exact values join on (package, version); a bare name sees its package's history summed up. A range meets
+    the releases of its package in the one pass that also sums up what matches; its bounds are parsed once. lookups
+    (package_name, lookup_status): packages whose answer was not ok; not_found is an absence, anything else cannot be
+    compared. Without lookups every package with releases was answered, and every other one with an empty history.
     """
     planned = materialize(planned, "planned")  # read four times below
     q = planned.filter(F.col("query_kind").isin("exact", "name_only", "range")).select("package_name", "query_kind", "query_value", "author_date").distinct()
-    rel = releases.select("package_name", exact_form(F.col("version")).alias("v"), "published_at")
+    rel = materialize(releases.select("package_name", exact_form(F.col("version")).alias("v"), "published_at").withColumn("key", version_key(F.col("v"))), "releases")
     summed = [F.min("published_at").alias("first_at"), F.count("*").alias("n"), F.lit(False).alias("unordered"), F.bool_or(F.col("published_at").isNull()).alias("timeless")]
     history = rel.groupBy("package_name").agg(*summed)
     one = rel.groupBy("package_name", "v").agg(*summed)
     exact = q.filter("query_kind = 'exact'").withColumn("v", exact_form(F.col("query_value"))).join(one, ["package_name", "v"], "left").drop("v")
     name = q.filter("query_kind = 'name_only'").join(history, "package_name", "left")
     bounds = range_bounds(ecosystem, F.col("query_value"))
-    asked = q.filter("query_kind = 'range'").select("package_name", "query_value").distinct().withColumn("bounds", bounds).withColumn("pre", takes_prereleases(ecosystem, F.col("query_value"), F.col("bounds")))
-    met = asked.filter("bounds is not null").join(rel.withColumn("key", version_key(F.col("v"))), "package_name")
+    values = q.filter("query_kind = 'range'").select("query_value").distinct().withColumn("bounds", bounds).withColumn("pre", takes_prereleases(ecosystem, F.col("query_value"), F.col("bounds")))
+    values = materialize(values, "ranges")
+    asked = q.filter("query_kind = 'range'").select("package_name", "query_value").distinct().join(values, "query_value")
+    asked = materialize(asked.withColumn("box", range_box(F.col("bounds"))), "asked")
+    met = asked.filter("bounds is not null").join(rel, "package_name").filter(inside_box(F.col("key"), F.col("box")))
     met = met.withColumn("hit", range_match(ecosystem, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))).filter("hit is null or hit")
     inside = met.groupBy("package_name", "query_value").agg(
         F.min(F.when(F.col("hit"), F.col("published_at"))).alias("first_at"), F.nullif(F.count_if("hit"), F.lit(0)).alias("n"), F.bool_or(F.col("hit").isNull()).alias("unordered"), F.bool_or(F.col("hit") & F.col("published_at").isNull()).alias("timeless"),
     )
     ranged = q.filter("query_kind = 'range'").join(asked.select("package_name", "query_value", F.col("bounds").isNull().alias("unsupported")), ["package_name", "query_value"])
-    ranged = ranged.join(history.select("package_name", F.lit(True).alias("has_history")), "package_name", "left").join(inside, ["package_name", "query_value"], "left")
+    ranged = ranged.join(inside, ["package_name", "query_value"], "left")
     cols = ["package_name", "query_kind", "query_value", "author_date", "first_at", "n", "unordered", "timeless"]
-    flags = {"unsupported": F.lit(False), "has_history": F.lit(True)}
-    parts = exact.select(*cols).withColumns(flags).unionByName(name.select(*cols).withColumns(flags)).unionByName(ranged.select(*cols, "unsupported", F.coalesce("has_history", F.lit(False)).alias("has_history")))
-    status = (
-        F.when(F.col("author_date").isNull() | F.col("unsupported"), "cannot_compare").when(~F.col("has_history"), "current_absent_unknown")
-        .when(F.col("n").isNull() & F.col("unordered"), "cannot_compare").when(F.col("n").isNull() & (F.col("query_kind") == "range"), "no_matching_version_before_author_date").when(F.col("n").isNull(), "current_absent_unknown")
-        .when(F.col("first_at") <= F.col("author_date"), "exists_before_author_date").when(F.col("timeless"), "cannot_compare").otherwise("published_after_author_date")
+    parts = exact.select(*cols, F.lit(False).alias("unsupported")).unionByName(name.select(*cols, F.lit(False).alias("unsupported"))).unionByName(ranged.select(*cols, "unsupported"))
+    parts = parts.join(history.select("package_name", F.lit(True).alias("has_history")), "package_name", "left").withColumn("has_history", F.coalesce("has_history", F.lit(False)))
+    if lookups is not None:
+        parts = parts.join(lookups.groupBy("package_name").agg(F.max("lookup_status").alias("lookup")), "package_name", "left")
+    lookup = F.coalesce("lookup", F.lit("lookup_failed")) if lookups is not None else F.lit("ok")
+    none = F.col("n").isNull()
+    out = lambda status, *reasons: F.struct(F.lit(status).alias("s"), F.array(*[r if not isinstance(r, str) else F.lit(r) for r in reasons]).cast("array<string>").alias("r"))
+    absent = lambda reason: out("current_absent_unknown", "unknown_deleted_or_unpublished_possible", reason)
+    decided = (
+        F.when(lookup == "not_found", absent("registry_package_not_found_at_query")).when(lookup != "ok", out("cannot_compare", F.concat(F.lit("registry_"), lookup)))
+        .when(F.col("author_date").isNull(), out("cannot_compare", "author_date_missing")).when(F.col("unsupported"), out("cannot_compare", "unsupported_range_syntax")).when(~F.col("has_history"), absent("registry_release_history_empty"))
+        .when(none & F.col("unordered"), out("cannot_compare", "range_candidate_version_unparseable")).when(none & (F.col("query_kind") == "range"), out("no_matching_version_before_author_date", "history_validation_required"))
+        .when(none, absent("registry_requested_version_absent")).when(F.col("first_at") <= F.col("author_date"), out("exists_before_author_date")).when(F.col("timeless"), out("cannot_compare", "registry_publish_time_missing"))
+        .otherwise(out("published_after_author_date", "history_validation_required"))
     )
-    known = parts.select("package_name", "query_kind", "query_value", "author_date", status.alias("registry_status"))
-    out = planned.join(known, ["package_name", "query_kind", "query_value", "author_date"], "left")
-    return out.select(*key, "package_name", "query_kind", "query_value", F.coalesce("registry_status", F.when(F.col("query_kind") == "excluded", "excluded").otherwise("cannot_compare")).alias("registry_status"))
+    known = parts.select(F.col("package_name").alias("k_package"), F.col("query_kind").alias("k_kind"), F.col("query_value").alias("k_value"), F.col("author_date").alias("k_date"), decided.alias("d"))
+    same = F.col("package_name").eqNullSafe(F.col("k_package")) & (F.col("query_kind") == F.col("k_kind")) & F.col("query_value").eqNullSafe(F.col("k_value")) & F.col("author_date").eqNullSafe(F.col("k_date"))
+    status = F.coalesce("d.s", F.when(F.col("query_kind") == "excluded", "excluded").otherwise("cannot_compare"))
+    return planned.join(known, same, "left").select(*key, "package_name", "query_kind", "query_value", status.alias("registry_status"), F.coalesce("d.r", F.array().cast("array<string>")).alias("reasons"))
 
 
 def advisory_status(queries: DataFrame, advisories: DataFrame, key: list[str]) -> DataFrame:
     """Advisory status of queries (key, package_name, author_date) from advisories (package_name, published, withdrawn,
     hydrated, malicious): an active advisory wins, then incomplete records, then withdrawn before, then future ones."""
+    asked = queries.select("package_name", "author_date").distinct()  # once for each, not for each episode
     at = F.col("author_date")
-    j = queries.join(advisories, "package_name", "left")
+    j = asked.join(advisories, "package_name", "left")
     gone = F.col("withdrawn").isNotNull() & (F.col("withdrawn") <= at)
     active = (F.col("published") <= at) & ~gone
-    a = j.groupBy(*key, "package_name", "author_date").agg(
+    a = j.groupBy("package_name", "author_date").agg(
         F.count_if(active).alias("n_active"), F.count_if(active & F.col("malicious")).alias("n_malicious"), F.count_if((F.col("published") <= at) & gone).alias("n_withdrawn"),
         F.count_if(F.col("published") > at).alias("n_future"), F.count_if(~F.col("hydrated")).alias("n_incomplete"),
     )
     status = F.when(at.isNull(), "hydration_incomplete").when(F.col("n_active") > 0, "active_before_or_at_author_date").when(F.col("n_incomplete") > 0, "hydration_incomplete").when(F.col("n_withdrawn") > 0, "withdrawn_before_author_date").when(F.col("n_future") > 0, "published_after_author_date").otherwise("none_observed")
-    return a.select(*key, "package_name", status.alias("advisory_status"), (F.col("n_malicious") > 0).alias("malicious"))
+    known = a.select(F.col("package_name").alias("k_package"), F.col("author_date").alias("k_date"), status.alias("advisory_status"), (F.col("n_malicious") > 0).alias("malicious"))
+    same = F.col("package_name").eqNullSafe(F.col("k_package")) & F.col("author_date").eqNullSafe(F.col("k_date"))
+    return queries.join(known, same).select(*key, "package_name", "advisory_status", "malicious")
+
+
+def evidence_key(kind, ecosystem, package, query_kind=None, query_value=None):
+    """The key under which evidence answers a question: of a package (registry) or of one of its queries (advisory)."""
+    out = F.concat_ws("|", kind, ecosystem, package)
+    return out if query_kind is None else F.when(kind == "advisory", F.concat_ws("|", kind, ecosystem, package, F.coalesce(query_kind, F.lit("")), F.coalesce(query_value, F.lit("")))).otherwise(out)
+
+
+def bundle_evidence(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row for each query_key with payload_sha256 and evidence_id, the keys whose payloads conflict with how many).
+
+    evidence: evidence_type, source, ecosystem, package_name, query_kind, query_value, lookup_status, queried_at, payload
+    (its text). Rows of one key and one payload are one piece of evidence, the last by time and source.
+    """
+    e = evidence.withColumns({"query_key": evidence_key(F.col("evidence_type"), F.col("ecosystem"), F.col("package_name"), F.col("query_kind"), F.col("query_value")), "payload_sha256": F.sha2("payload", 256)})
+    e = e.withColumn("evidence_id", content_id("evd", source=F.col("source"), query_key=F.col("query_key"), payload_sha256=F.col("payload_sha256")))
+    kept = ["evidence_id", "evidence_type", "source", "ecosystem", "package_name", "lookup_status", "queried_at", "payload_sha256"]
+    per = e.groupBy("query_key").agg(F.count_distinct("payload_sha256").alias("n_payloads"), F.max_by(F.struct(*kept), F.struct("queried_at", "source", "evidence_id")).alias("x"))
+    return per.filter("n_payloads = 1").select("query_key", "x.*"), per.filter("n_payloads > 1").select("query_key", "n_payloads")
+
+
+def enrich_episodes(episodes: DataFrame, bundle: DataFrame) -> DataFrame:
+    """Episodes with their evidence and what it decided; state says why a row could not be enriched.
+
+    episodes: episode_id, ecosystem, package_name, query_kind, query_value, registry_status, advisory_status (both
+    not_queried), reason_codes (array), decided_registry, decided_advisory, registry_reasons, advisory_reasons. Excluded
+    and unresolved ones pass unchanged. An absence that an active advisory precedes is told by its own reason.
+    """
+    idle = F.col("query_kind").isin("excluded", "unresolved")
+    kind = lambda k: evidence_key(F.lit(k), F.col("ecosystem"), F.col("package_name"), F.col("query_kind"), F.col("query_value"))
+    e = episodes.withColumns({"registry_key": F.when(~idle, kind("registry")), "advisory_key": F.when(~idle, kind("advisory"))})
+    e = e.join(bundle.select(F.col("query_key").alias("registry_key"), F.col("evidence_id").alias("r")), "registry_key", "left").join(bundle.select(F.col("query_key").alias("advisory_key"), F.col("evidence_id").alias("a")), "advisory_key", "left")
+    fresh = (F.col("registry_status") == "not_queried") & (F.col("advisory_status") == "not_queried")
+    state = F.when(idle, "not_queryable").when(~fresh, "not_in_first_state").when(F.col("r").isNull(), "missing_registry_evidence").when(F.col("a").isNull(), "missing_advisory_evidence").otherwise("enriched")
+    done = F.col("state") == "enriched"
+    swap = (F.col("decided_registry") == "current_absent_unknown") & (F.col("decided_advisory") == "active_before_or_at_author_date")
+    more = F.concat("registry_reasons", "advisory_reasons")
+    more = F.when(swap, F.concat(F.filter(more, lambda x: x != "unknown_deleted_or_unpublished_possible"), F.array(F.lit("historical_advisory_precedes_current_absence")))).otherwise(more)
+    e = e.withColumn("state", state)
+    return e.select(
+        "episode_id", "state", F.when(done, F.col("decided_registry")).otherwise(F.col("registry_status")).alias("registry_status"), F.when(done, F.col("decided_advisory")).otherwise(F.col("advisory_status")).alias("advisory_status"),
+        F.when(done, F.array_sort(F.array_distinct(F.concat("reason_codes", more)))).otherwise(F.col("reason_codes")).alias("reason_codes"), F.when(done, F.array_sort(F.array_distinct(F.array("r", "a")))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
+    )
+
+
+def reuse_registry(required: DataFrame, earlier: DataFrame) -> DataFrame:
+    """ecosystem, package_name, lookup_status and versions of packages of whose required versions (ecosystem,
+    package_name, version) all were looked up before: earlier (ecosystem, package_name, version, package_exists,
+    version_exists, published_at); the last row of a version counts, by `seq`."""
+    name = normalize_package(F.col("ecosystem"), F.col("package_name"))
+    asked = required.filter("trim(version) <> ''").select("ecosystem", "package_name", name.alias("canonical"), F.trim("version").alias("version")).distinct()
+    rows = earlier.filter("version <> ''").select("ecosystem", name.alias("canonical"), F.trim("version").alias("version"), "package_exists", "version_exists", "published_at", "seq")
+    rows = rows.groupBy("ecosystem", "canonical", "version").agg(F.max_by(F.struct("package_exists", "version_exists", "published_at"), "seq").alias("x"))
+    met = asked.join(rows, ["ecosystem", "canonical", "version"], "left").groupBy("ecosystem", "package_name").agg(
+        F.count_if(F.col("x").isNull()).alias("n_missing"), F.bool_and(F.coalesce(~F.col("x.package_exists"), F.lit(False))).alias("gone"),
+        F.array_sort(F.collect_list(F.when(F.col("x.version_exists"), F.struct("version", F.col("x.published_at").alias("published_at"))))).alias("versions"),
+    )
+    return met.filter("n_missing = 0").select("ecosystem", "package_name", F.when(F.col("gone"), "not_found").otherwise("ok").alias("lookup_status"), "versions")
+
+
+def reuse_advisories(queries: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Exact queries (ecosystem, package_name, query_value) answered before: ids (to be hydrated) or a verified empty
+    answer. earlier: ecosystem, package_name, version, status, ids (array), seq; only answers with status 200 count."""
+    name = normalize_package(F.col("ecosystem"), F.col("package_name"))
+    rows = earlier.select("ecosystem", name.alias("canonical"), F.trim("version").alias("query_value"), "status", "ids", "seq").groupBy("ecosystem", "canonical", "query_value").agg(F.max_by(F.struct("status", "ids"), "seq").alias("x"))
+    j = queries.withColumn("canonical", name).withColumn("query_value", F.trim("query_value")).join(rows, ["ecosystem", "canonical", "query_value"]).filter("x.status = '200'")
+    return j.select("ecosystem", "package_name", "query_value", F.col("x.ids").alias("advisory_ids"), F.when(F.size("x.ids") > 0, "to_hydrate").otherwise("verified_zero_result").alias("reuse"))
+
+
+#: Ecosystems with an advisory database.
+ADVISORY_ECOSYSTEMS = ("npm", "PyPI", "crates.io", "Cargo", "Go", "Maven")
+
+
+def hydrate_advisories(queries: DataFrame, hits: DataFrame, records: DataFrame) -> DataFrame:
+    """Advisory answers: query_key, lookup_status, advisories (array of id, published, withdrawn, hydrated, malicious).
+
+    queries: query_key, ecosystem, query_kind; hits: query_key, id; records: id, published, withdrawn. A query that is
+    not exact or of another ecosystem is unsupported; a hit without its record makes an answer incomplete.
+    """
+    asks = (F.col("query_kind") == "exact") & F.col("ecosystem").isin(*ADVISORY_ECOSYSTEMS)
+    full = hits.filter("id <> ''").select("query_key", "id").distinct().join(records.groupBy("id").agg(F.min(F.struct("published", "withdrawn")).alias("x")), "id", "left")
+    one = F.struct("id", F.col("x.published").alias("published"), F.col("x.withdrawn").alias("withdrawn"), F.col("x").isNotNull().alias("hydrated"), F.col("id").startswith("MAL-").alias("malicious"))
+    got = full.groupBy("query_key").agg(F.array_sort(F.collect_list(one)).alias("advisories"), F.bool_and(F.col("x").isNotNull()).alias("complete"))
+    j = queries.join(got, "query_key", "left")
+    status = F.when(~asks, "unsupported").when(F.coalesce("complete", F.lit(True)), "ok").otherwise("hydration_incomplete")
+    empty = F.filter("advisories", lambda x: F.lit(False))
+    return j.select("query_key", status.alias("lookup_status"), F.when(asks, F.col("advisories")).otherwise(empty).alias("advisories"))
+
+
+def go_module_candidates(package):
+    """The modules that may hold a Go package: its full path, then the repository's root on a known host, with /vN."""
+    full = F.regexp_replace(package, "^/+|/+$", "")
+    parts = F.split(full, "/")
+    root = F.slice(parts, 1, F.when(F.try_element_at(parts, F.lit(4)).rlike(r"^v\d+$"), 4).otherwise(3))
+    known = parts[0].isin("github.com", "gitlab.com", "bitbucket.org") & (F.size(parts) >= 3)
+    return F.array_distinct(F.when(known, F.array(full, F.array_join(root, "/"))).otherwise(F.array(full)))
+
+
+def resolve_go_modules(packages: DataFrame, modules: DataFrame) -> DataFrame:
+    """package_name, resolved_module: the first candidate among the modules with data (module); null if none."""
+    each = packages.select("package_name", F.posexplode(go_module_candidates(F.col("package_name"))).alias("place", "module"))
+    return each.join(modules.select("module", F.lit(True).alias("there")).distinct(), "module", "left").groupBy("package_name").agg(F.min_by("module", F.when(F.col("there"), F.col("place"))).alias("resolved_module"))
+
+
+def query_states(queries: DataFrame, attempts: DataFrame) -> DataFrame:
+    """query_key, state (pending, done, retry), attempts (errors so far), last_error: from attempts (query_key, seq,
+    lookup_status, error); the last attempt decides."""
+    a = attempts.groupBy("query_key").agg(F.max_by(F.struct("lookup_status", "error"), "seq").alias("x"), F.count_if(F.col("lookup_status") == "error").alias("attempts"), F.max_by("error", F.when(F.col("lookup_status") == "error", F.col("seq"))).alias("last_error"))
+    state = F.when(F.col("x").isNull(), "pending").when(F.col("x.lookup_status") == "error", "retry").otherwise("done")
+    return queries.select("query_key").distinct().join(a, "query_key", "left").select("query_key", state.alias("state"), F.coalesce("attempts", F.lit(0)).cast("long").alias("attempts"), F.coalesce("last_error", F.lit("")).alias("last_error"))
+
+
+def error_rate_gate(attempts: DataFrame, least: int = 500, most: float = 0.02) -> DataFrame:
+    """One row: observed, errors, error_rate and whether collecting is to pause (enough seen, too many errors)."""
+    n, bad = F.count("*"), F.count_if(F.col("lookup_status") == "error")
+    rate = F.when(n > 0, bad / n).otherwise(F.lit(0.0))
+    return attempts.agg(n.alias("observed"), bad.alias("errors"), rate.alias("error_rate"), ((n >= least) & (rate > most)).alias("pause"))
+

@@ -75,7 +75,8 @@ def top_repos(population: DataFrame, n: int = 20) -> DataFrame:
 
 def agent_by(population: DataFrame, dimension: DataFrame, key: str, value: str) -> DataFrame:
     """Unique commits of each agent by a dimension's value, '(unknown)' where it has none."""
-    j = population.join(dimension.dropDuplicates([key]).select(key, value), key, "left")
+    last = F.max_by(value, "seq") if "seq" in dimension.columns else F.max(value)  # of several rows of a key the last, or the greatest
+    j = population.join(dimension.groupBy(key).agg(last.alias(value)), key, "left")
     return j.groupBy("agent", F.coalesce(value, F.lit("(unknown)")).alias(value)).agg(F.count_distinct("repo_sha").alias("n_unique"))
 
 
@@ -85,12 +86,20 @@ def channel_share(counts: DataFrame) -> DataFrame:
 
 
 def trailer_state(messages: DataFrame) -> DataFrame:
-    """State of the co-author trailers in a message's last paragraph: none, valid, malformed or mixed."""
-    last = F.element_at(F.split(F.regexp_replace("message", r"\s+$", ""), r"\n[ \t]*\n"), -1)
-    lines = F.filter(F.split(last, "\n"), lambda x: F.lower(F.trim(x)).startswith("co-authored-by:"))
+    """State of the co-author trailers in a message's last block, which is one of trailers if every line of it is
+    `Key: value` or goes on from the line before: valid_coauthor, valid_and_malformed_coauthor, malformed_coauthor_only,
+    terminal_trailer_no_coauthor, no_terminal_trailer (a subject alone is no block of trailers)."""
+    text = F.regexp_replace(F.regexp_replace("message", r"\r\n?", "\n"), r"\s+$", "")
+    blocks = F.split(text, r"\n[ \t]*\n")
+    all_lines = F.split(F.element_at(blocks, -1), "\n")
+    lines = F.filter(all_lines, lambda x: F.lower(F.trim(x)).startswith("co-authored-by:"))
     good = F.filter(lines, lambda x: x.rlike(r"(?i)^\s*co-authored-by:\s*\S.*<[^<>@\s]+@[^<>@\s]+>\s*$"))
+    trailers = (F.size(blocks) > 1) & F.forall(all_lines, lambda x: x.rlike(r"^[A-Za-z][A-Za-z0-9-]*:(\s|$)|^\s+\S"))
     m = messages.withColumn("n_trailers", F.size(lines)).withColumn("n_valid", F.size(good))
-    state = F.when(F.col("n_trailers") == 0, "none").when(F.col("n_valid") == F.col("n_trailers"), "valid").when(F.col("n_valid") == 0, "malformed").otherwise("mixed")
+    state = (
+        F.when(~F.coalesce(trailers, F.lit(False)), "no_terminal_trailer").when(F.col("n_trailers") == 0, "terminal_trailer_no_coauthor").when(F.col("n_valid") == F.col("n_trailers"), "valid_coauthor")
+        .when(F.col("n_valid") == 0, "malformed_coauthor_only").otherwise("valid_and_malformed_coauthor")
+    )
     return m.withColumn("state", state)
 
 

@@ -9,18 +9,21 @@ from commitlens.plans.scratch import materialize
 
 
 def sample_windows(spark: SparkSession, since: str, until: str, minutes: int, seed: int) -> DataFrame:
-    """One window of so many minutes for each day of [since, until): its bucket is the day's MD5 with the seed, modulo."""
+    """One window of so many minutes for each day of [since, until): its bucket is the day's MD5 with the seed, modulo the
+    buckets of a day; where the minutes do not divide it, the last bucket ends with the day."""
     days = spark.sql(f"SELECT explode(sequence(DATE'{since}', DATE'{until}' - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day")
-    bucket = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("day").cast("string"))), 1, 8), 16, 10).cast("long") % (1440 // minutes)
+    bucket = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("day").cast("string"))), 1, 8), 16, 10).cast("long") % -(-1440 // minutes)
     d = days.withColumn("bucket", bucket)
     start = F.expr(f"CAST(day AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST(bucket * {minutes} AS INT))")
-    return d.select("day", start.alias("window_start"), (start + F.expr(f"INTERVAL {minutes} MINUTES")).alias("window_end"))
+    end = F.least(start + F.expr(f"INTERVAL {minutes} MINUTES"), F.expr("CAST(day AS TIMESTAMP_NTZ) + INTERVAL 1 DAY"))
+    return d.select("day", start.alias("window_start"), end.alias("window_end"))
 
 
 def in_windows(commits: DataFrame, windows: DataFrame) -> DataFrame:
-    """Commits whose time lies in [start, end) of a window of the same day: an equi-join on the day, then the range."""
-    w = windows.select("day", "window_start", "window_end")
-    return commits.withColumn("day", F.to_date("author_date")).join(w, "day").filter("author_date >= window_start and author_date < window_end")
+    """Commits whose time lies in [start, end) of a window: an equi-join on the days that the window touches, then the range."""
+    touched = F.expr("explode(sequence(to_date(window_start), to_date(window_end - interval 1 microsecond)))")
+    w = windows.filter("window_end > window_start").select("day", "window_start", "window_end", touched.alias("_on"))
+    return commits.withColumn("_on", F.to_date("author_date")).join(w, "_on").filter("author_date >= window_start and author_date < window_end").drop("_on")
 
 
 def audit_schedule(windows: DataFrame) -> DataFrame:
@@ -30,12 +33,15 @@ def audit_schedule(windows: DataFrame) -> DataFrame:
     return windows.join(week, "day", "left").join(month, "day", "left").fillna(False, ["weekly", "monthly"])
 
 
-def bisect_windows(commits: DataFrame, windows: DataFrame, cap: int, least_seconds: int, rounds: int = 12) -> DataFrame:
+def bisect_windows(commits: DataFrame, windows: DataFrame, cap: int, least_seconds: int) -> DataFrame:
     """Splits windows at their middle (whole seconds) while they hold more than cap commits and are longer than
-    least_seconds. segment_start, segment_end, n, depth, status of every segment tried."""
+    least_seconds, until none is left to split: lengths halve, so rounds grow with the logarithm of the longest window.
+    segment_start, segment_end, n, depth, status of every segment tried."""
+    if least_seconds < 1:
+        raise ValueError("least_seconds is a second or more")
     todo = windows.select(F.col("window_start").alias("s"), F.col("window_end").alias("e")).withColumn("depth", F.lit(0))
     times, out = commits.select("author_date"), None
-    for _ in range(rounds):
+    while True:
         days = todo.withColumn("day", F.explode(F.expr("sequence(to_date(s), to_date(e - interval 1 microsecond))")))
         hit = days.join(times.withColumn("day", F.to_date("author_date")), "day").filter("author_date >= s and author_date < e").groupBy("s", "e", "depth").agg(F.count("*").alias("n"))
         seconds = F.expr("timestampdiff(SECOND, s, e)")

@@ -22,9 +22,13 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_patches(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
-    """The index (patch_path, relative to folder) with its patches; a commit without its file is left out."""
-    files = spark.read.text(f"{folder.rstrip('/')}/*", wholetext=True).select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), F.col("value").alias("patch"))
-    return index.withColumn("file", F.substring_index("patch_path", "/", -1)).join(files, "file").drop("file")
+    """The index (patch_path, relative to folder) with its patches, read from all folders below; a commit without its file
+    is left out. Paths are compared decoded, whole, below the folder."""
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("at"), F.col("value").alias("patch"))
+    base = "/" + folder.split("://")[-1].strip("/") + "/"
+    files = files.select(F.substring_index("at", base, -1).alias("file"), "patch")
+    clean = F.regexp_replace(F.replace("patch_path", F.lit("\\"), F.lit("/")), r"^(\./|/)+", "")
+    return index.withColumn("file", clean).join(files, "file").drop("file")
 
 
 def scan_index(index: DataFrame, max_rows: int | None = None, order: str = "pos") -> DataFrame:
@@ -80,9 +84,13 @@ def flatten_registry(payloads: DataFrame) -> DataFrame:
 
 
 def explode_commit_files(commits: DataFrame, key: str = "sha") -> DataFrame:
-    """One row for each (filename, previous_filename, status) of a commit's pages (files: array of structs)."""
-    f = commits.select(key, F.explode("files").alias("f")).select(key, "f.*")
-    return f.withColumn("has_patch", F.coalesce(F.col("patch") != "", F.lit(False))).dropDuplicates([key, "filename", "previous_filename", "status"])
+    """One row for each (filename, previous_filename, status) of a commit's pages (files: array of structs): the first, by
+    page if there is such a column, then by place."""
+    page = F.col("page") if "page" in commits.columns else F.lit(0)
+    f = commits.select(key, page.alias("_page"), F.posexplode("files").alias("_pos", "f"))
+    names = ["filename", "previous_filename", "status"]
+    f = f.groupBy(key, *[F.col(f"f.{n}").alias(n) for n in names]).agg(F.min_by("f", F.struct("_page", "_pos")).alias("f")).select(key, "f.*")
+    return f.withColumn("has_patch", F.coalesce(F.col("patch") != "", F.lit(False)))
 
 
 def land_raw_items(items: DataFrame) -> DataFrame:
