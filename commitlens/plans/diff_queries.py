@@ -200,9 +200,9 @@ def g4(spark, d):
     return adjudication.patch_flags(cases, lines, "pos").select(F.col("episode_id").alias("pos"), F.lit("ws-crate").alias("package_name"), F.array_join("patch_flags", ";").alias("flags"))
 
 
-@query("a5_flatten_registry", ctes("v_release") + " SELECT package_name, version, published_at FROM v_release WHERE length(package_name) % 2 = 0")
+@query("a5_flatten_registry", ctes("v_release") + " SELECT package_name, version, published_at FROM v_release")
 def a5(spark, d):
-    rel = view(spark, d, "v_release").filter("length(package_name) % 2 = 0")
+    rel = view(spark, d, "v_release")
     body = rel.groupBy("package_name").agg(F.map_from_entries(F.collect_list(F.struct("version", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))).alias("time"))
     got = tables.flatten_registry(body.select(F.lit("npm").alias("ecosystem"), "package_name", F.to_json(F.struct("time")).alias("payload")))
     return got.select("package_name", "version", F.to_timestamp_ntz(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("published_at"))

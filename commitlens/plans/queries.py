@@ -56,7 +56,7 @@ def f3(spark, d):
 
 @query("f3_asof_registry_rows", FLAGSHIP_SQL + " SELECT pos, line_no, package_name, query_kind, CASE WHEN query_kind IN ('exact','range') THEN version_spec ELSE '' END AS query_value, registry_status FROM s")
 def f3_rows(spark, d):
-    return episodes(spark, d)
+    return episodes(spark, d).drop("reasons")
 
 
 @query("f1_discover_queries", ctes("v_decl") + """ SELECT package_name, count(*) AS n_queries, count(*) FILTER (k = 'exact') AS n_exact, count(*) FILTER (k = 'range') AS n_range, count(*) FILTER (k = 'name_only') AS n_name_only
@@ -329,7 +329,7 @@ def j11(spark, d):
     return stats.channel_share(view(spark, d, "v_obs").groupBy("agent", "channel").agg(F.count("*").alias("raw_rows")))
 
 
-@query("j12_trailer_state", ctes("v_message") + " SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'valid' WHEN 1 THEN 'malformed' ELSE 'none' END AS state FROM v_message")
+@query("j12_trailer_state", ctes("v_message") + " SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'valid_coauthor' WHEN 1 THEN 'malformed_coauthor_only' ELSE 'no_terminal_trailer' END AS state FROM v_message")
 def j12(spark, d):
     return stats.trailer_state(view(spark, d, "v_message")).select("conv_id", "turn", "state")
 

@@ -36,9 +36,9 @@ ALL = {"v_req": REQ, "v_obs": OBS, "v_commit": COMMIT, "v_release": RELEASE, "v_
 TABLES = ("customer", "nation", "orders", "lineitem", "events", "conversations", "part", "supplier", "documents")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table, without registering anything in the session."""
-    text, used = ALL[name], {}
+def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The rows of a SQL text over the driver's tables, without registering anything in the session."""
+    used = {}
     for t in TABLES:
         for word in ("FROM ", "JOIN "):
             if f"{word}{t}" in text:
@@ -47,6 +47,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One derived table."""
+    return relation(spark, sf_dir, ALL[name])
+
+
 def ctes(*names: str) -> str:
     """The views as the WITH clause of an oracle."""
     return "WITH " + ",\n".join(f"{n} AS ({ALL[n]})" for n in names)
