@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from commitlens.operators import adjudication, imports, linking, manifests
+from commitlens.functions import versions
+from commitlens.operators import adjudication, evidence, imports, linking, manifests, windows
 from commitlens.sources import tables
 from commitlens.streaming import jobs
 
@@ -120,3 +121,62 @@ def test_checkpoint_guard(spark, tmp_path):
         jobs.checkpoint_guard(spark, a, {"k": "v"}, str(tmp_path / "g"))
     with pytest.raises(ValueError):
         jobs.checkpoint_guard(spark, a, {"k": "w"}, str(tmp_path / "g"))
+
+
+def test_windows_over_midnight_and_without_a_cap(spark):
+    ts = lambda *rows: spark.createDataFrame([(t,) for t in rows], "t string").selectExpr("cast(t as timestamp_ntz) as author_date")
+    w = spark.sql("select date'2020-01-01' as day, timestamp_ntz'2020-01-01 23:00:00' as window_start, timestamp_ntz'2020-01-02 01:00:00' as window_end")
+    got = windows.in_windows(ts("2020-01-01 22:59:59", "2020-01-01 23:00:00", "2020-01-02 00:30:00", "2020-01-02 01:00:00"), w).collect()
+    assert sorted(str(r.author_date) for r in got) == ["2020-01-01 23:00:00", "2020-01-02 00:30:00"] and {str(r.day) for r in got} == {"2020-01-01"}
+    many = spark.range(64).selectExpr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(id as int)) as author_date")
+    long = spark.sql("select timestamp_ntz'2020-01-01 00:00:00' as window_start, timestamp_ntz'2021-01-01 00:00:00' as window_end")
+    done = windows.bisect_windows(many, long, cap=40, least_seconds=1).filter("status <> 'split_probe'")
+    assert done.agg(F.sum("n")).first()[0] == 64 and done.agg(F.max("n")).first()[0] <= 40
+    odd = windows.sample_windows(spark, "2020-01-01", "2020-06-01", 1000, 1).selectExpr("max(window_end > timestampadd(DAY, 1, cast(day as timestamp_ntz))) as over", "count(distinct date_format(window_start, 'HH:mm')) as n").first()
+    assert not odd.over and odd.n == 2
+
+
+def test_patches_by_path(spark, tmp_path):
+    for p in ("a/1.patch", "b/1.patch", "b/c d/1.patch"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(p)
+    index = spark.createDataFrame([("x", "a/1.patch"), ("y", "b/1.patch"), ("z", "./b/c d/1.patch"), ("n", "c/1.patch")], "sha string, patch_path string")
+    assert sorted((r.sha, r.patch) for r in tables.read_patches(spark, index, str(tmp_path)).collect()) == [("x", "a/1.patch"), ("y", "b/1.patch"), ("z", "b/c d/1.patch")]
+
+
+def test_query_kinds_of_pypi(spark):
+    cases = {"==1.2; python_version<'3'": ("exact", "1.2"), "==1.*": ("exact", "1.*"), ">=1; extra == 'x'": ("range", ">=1"), "'===2.0'": ("exact", "2.0"), "; python_version > '3'": ("name_only", ""), "==1,<2": ("range", "==1,<2")}
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    kind = versions.query_kind(F.lit("PyPI"), F.col("s"))
+    assert {r.s: (r.k, r.v) for r in df.select("s", kind.alias("k"), versions.query_value(F.lit("PyPI"), F.col("s"), kind).alias("v")).collect()} == cases
+
+
+def test_registry_lookups_and_reasons(spark):
+    at = "timestamp_ntz'2020-01-01 00:00:00'"
+    q = spark.createDataFrame([(i, p, k, v) for i, (p, k, v) in enumerate([("ok", "exact", "1.0.0"), ("ok", "exact", "9.9.9"), ("ok", "range", "^1.0.0"), ("ok", "range", "^7.0.0"), ("gone", "exact", "1.0.0"), ("broken", "name_only", ""), ("never", "exact", "1.0.0"), ("ok", "range", "next"), ("late", "name_only", "")])], "id int, package_name string, query_kind string, query_value string").selectExpr("*", f"{at} as author_date")
+    rel = spark.sql("select * from values ('ok', '1.0.0', timestamp_ntz'2019-01-01 00:00:00'), ('ok', '1.2.0', timestamp_ntz'2021-01-01 00:00:00'), ('late', '1.0.0', timestamp_ntz'2021-01-01 00:00:00') as t(package_name, version, published_at)")
+    lookups = spark.createDataFrame([("ok", "ok"), ("late", "ok"), ("gone", "not_found"), ("broken", "error")], "package_name string, lookup_status string")
+    got = {r.id: (r.registry_status, list(r.reasons)) for r in evidence.registry_status(q, rel, ["id"], lookups=lookups).collect()}
+    lost = "unknown_deleted_or_unpublished_possible"
+    assert got == {
+        0: ("exists_before_author_date", []), 1: ("current_absent_unknown", [lost, "registry_requested_version_absent"]), 2: ("exists_before_author_date", []), 3: ("no_matching_version_before_author_date", ["history_validation_required"]),
+        4: ("current_absent_unknown", [lost, "registry_package_not_found_at_query"]), 5: ("cannot_compare", ["registry_error"]), 6: ("cannot_compare", ["registry_lookup_failed"]), 7: ("cannot_compare", ["unsupported_range_syntax"]), 8: ("published_after_author_date", ["history_validation_required"]),
+    }
+
+
+def test_episodes_with_contexts(spark):
+    cols = "sha string, event_id string, event_type string, path string, ecosystem string, line_no int, ordinal int, raw_target string, package_name string, version_spec string, status string"
+    i, m = "import", "manifest_addition"
+    events = spark.createDataFrame([
+        ("s", "i1", i, "src/a.ts", "npm", 1, 0, "left", "left", "", "direct_mapping"), ("s", "i2", i, "src/a.ts", "npm", 2, 0, "right", "right", "", "direct_mapping"), ("s", "i3", i, "src/a.ts", "npm", 3, 0, "ours", "ours", "", "direct_mapping"),
+        ("s", "i4", i, "src/a.ts", "npm", 4, 0, "bare", "bare", "", "direct_mapping"), ("s", "m1", m, "package.json", "npm", 1, 0, "left", "left", "^1.0.0", "direct_manifest"), ("s", "m2", m, "package.json", "npm", 2, 0, "idle", "idle", "^2.0.0", "direct_manifest"),
+    ], cols).withColumn("reasons", F.array().cast("array<string>"))
+    known = spark.createDataFrame([
+        ("s", "src/a.ts", "left", "npm", "left", "1.4.0", "lockfile", "matched_manifest_and_lock"), ("s", "src/a.ts", "right", "npm", "right", "3.0.0", "lockfile", "matched_existing_manifest"), ("s", "src/a.ts", "ours", "npm", "ours", "", "", "first_party_excluded"), ("s", "package.json", "idle", "npm", "idle", "2.5.0", "lockfile", "matched_manifest"),
+    ], "sha string, source_path string, raw_target string, ecosystem string, package_name string, resolved_version string, resolution_source string, alignment_status string")
+    known = known.withColumns({"import_root": F.col("raw_target"), "version_spec": F.lit(""), "dependency_group": F.lit(""), "dependency_path": F.lit(""), "repo": F.lit("r"), "reason_codes": F.array().cast("array<string>")})
+    episodes, links = linking.build_episodes(events, "sha", known)
+    assert {(r.identity, r.query_kind, r.query_value, r.alignment_status, r.dependency_quadrant) for r in episodes.collect()} == {
+        ("left", "exact", "1.4.0", "matched_manifest_and_lock", "I+M+"), ("right", "exact", "3.0.0", "matched_existing_manifest", "I+M-"), ("ours", "excluded", "", "first_party_excluded", "I+M-"), ("bare", "name_only", "", "no_matching_manifest", "I+M-"), ("idle", "exact", "2.5.0", "not_applicable_manifest_only", "I-M+"),
+    }
+    assert {(r.event_id, r.link_method) for r in links.collect()} == {("i1", "identity_match"), ("m1", "identity_match"), ("i2", "context_match"), ("i3", "context_match"), ("i4", "import_only"), ("m2", "manifest_only")}
