@@ -10,6 +10,8 @@ OUTSIDE = ("node_modules", "vendor", "vendored", "generated")
 SUFFIXES = {
     "TypeScript": (".ts", ".tsx", ".mts", ".cts"), "JavaScript": (".js", ".jsx", ".mjs", ".cjs"), "Python": (".py",), "Rust": (".rs",), "Go": (".go",), "Java": (".java",),
 }
+#: The order in which languages are told.
+LANGUAGES = ("TypeScript", "Python", "JavaScript", "Rust", "Go", "Java")
 ECOSYSTEMS = {"TypeScript": "npm", "JavaScript": "npm", "Python": "PyPI", "Rust": "Cargo", "Go": "Go", "Java": "Maven"}
 MANIFESTS = {
     "package.json": "npm", "pyproject.toml": "pyproject", "setup.cfg": "setup_cfg", "cargo.toml": "cargo", "go.mod": "gomod", "pom.xml": "maven",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commitlens.functions import paths
+
 #: Sections of package.json that declare dependencies.
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 NPM_ENTRY = r'^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$'
@@ -64,5 +66,7 @@ def render_patches(files: DataFrame, key: str = "sha") -> DataFrame:
 
 
 def changed_languages(lines: DataFrame, language, key: str = "sha") -> DataFrame:
-    """Languages with an added line, as a sorted text."""
-    return lines.filter("added").withColumn("l", language).filter("l is not null").groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("l")), ";").alias("languages"))
+    """Languages of research paths with an added line, in the fixed order, as a text."""
+    found = lines.filter(F.col("added") & paths.is_research_path(F.col("path"))).withColumn("l", language).filter("l is not null")
+    fixed = F.array(*[F.lit(x) for x in paths.LANGUAGES])
+    return found.groupBy(key).agg(F.array_join(F.array_intersect(fixed, F.collect_set("l")), ";").alias("languages"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from commitlens.functions import paths
 from commitlens.operators import diff, manifests
 from commitlens.operators.quality import event_id
+from commitlens.plans.scratch import materialize
 
 #: Import grammars, names that come with a language, and packages named unlike what they provide.
 PY_NAME = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"
@@ -117,7 +118,7 @@ MANIFEST_ECOSYSTEM = {"npm": "npm", "requirements": "PyPI", "pyproject": "PyPI",
 
 def extract_events(lines: DataFrame, key: str = "sha") -> DataFrame:
     """All import and manifest events of research paths, with their content ids."""
-    kept = lines.filter(paths.is_research_path(F.col("path")))
+    kept = materialize(lines.filter(paths.is_research_path(F.col("path"))), "lines")  # each grammar reads its own files of it
     imp = normalize_imports(all_imports(kept, key)).select(
         key, F.lit("import").alias("event_type"), "path", paths.ecosystem(F.col("language")).alias("ecosystem"), "line_no", "ordinal", "raw_target", "package_name", F.lit("").alias("version_spec"), "status", "reasons",
     )

@@ -193,11 +193,15 @@ def g7(spark, d):
     return adjudication.adjudicate(_star(spark, d)).groupBy("registry_status", "final_label", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("g4_patch_flags", RANKED + " SELECT pos, package_name, 'workspace_or_nonregistry_spec' AS flags FROM (SELECT DISTINCT pos, package_name FROM n) WHERE false UNION ALL SELECT DISTINCT pos, 'ws-crate', '' FROM n")
+FLAGGED = """SELECT pos, path, 1 AS line_no, true AS added, text FROM {c} LATERAL VIEW inline(array(named_struct('path', 'a/Cargo.toml', 'text', if(pos % 3 = 0, concat('p', pos, ' = { path = "../x" }'), concat('p', pos, ' = "1.0"'))), named_struct('path', 'package.json', 'text', if(pos % 3 = 1, concat('  "p', pos, '": "workspace:*",'), '  "x": "1.0.0"')),
+ named_struct('path', 'yarn.lock', 'text', if(pos % 5 = 0, concat('p', pos, ' sha512-abc'), 'x 1')), named_struct('path', 'package.json', 'text', if(pos % 7 = 0, concat('  "name": "p', pos, '",'), '  "name": "z"')))) AS path, text"""
+
+
+@query("g4_patch_flags", ctes("v_commit") + " SELECT pos, array_to_string(list_sort([x FOR x IN [CASE WHEN pos % 2 = 0 AND pos % 3 = 0 THEN 'cargo_nonpublic_spec' END, CASE WHEN pos % 2 = 1 AND pos % 3 = 1 THEN 'workspace_or_nonregistry_spec' END, CASE WHEN pos % 5 = 0 THEN 'lock_integrity' END, CASE WHEN pos % 2 = 1 AND pos % 7 = 0 THEN 'package_defined_in_patch' END] IF x IS NOT NULL]), ';') AS flags FROM v_commit")
 def g4(spark, d):
-    lines = _rendered(spark, d, ["cargo"])
-    cases = lines.select("pos").distinct().selectExpr("pos as episode_id", "pos", "'Cargo' as ecosystem", "'ws-crate' as package_name", "cast(null as string) as effective_name")
-    return adjudication.patch_flags(cases, lines, "pos").select(F.col("episode_id").alias("pos"), F.lit("ws-crate").alias("package_name"), F.array_join("patch_flags", ";").alias("flags"))
+    c = view(spark, d, "v_commit")
+    cases = c.selectExpr("pos as episode_id", "pos", "if(pos % 2 = 0, 'Cargo', 'npm') as ecosystem", "concat('p', pos) as package_name", "cast(null as string) as effective_name")
+    return adjudication.patch_flags(cases, spark.sql(FLAGGED.replace("{ path", "{{ path").replace('../x" }', '../x" }}'), c=c), "pos").select(F.col("episode_id").alias("pos"), F.array_join("patch_flags", ";").alias("flags"))
 
 
 @query("a5_flatten_registry", ctes("v_release") + " SELECT package_name, version, published_at FROM v_release")

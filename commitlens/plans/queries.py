@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths, versions
-from commitlens.operators import corpus, diff, evidence, quality, stats, windows
+from commitlens.operators import corpus, diff, evidence, imports, linking, quality, stats, windows
+from commitlens.plans import scratch
 from commitlens.plans.views import ctes, view
 
 AGENTS = [f"agent_{i}" for i in range(4)]
@@ -415,16 +416,20 @@ def c2(spark, d):
     return diff.js_imports(diff.patch_lines(rendered(spark, d), "pos"), "pos").select("pos", "line_no", "raw_target", diff.npm_package(F.col("raw_target")).alias("package_name"))
 
 
-@query("c17_changed_languages", "SELECT DISTINCT l_orderkey AS pos, 'TypeScript' AS languages FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+MIXED = "SELECT pos, path, path AS ordinal, lines FROM {c} LATERAL VIEW inline(array(named_struct('path', if(pos % 2 = 0, 'src/a.ts', 'node_modules/a.ts'), 'lines', array('x')), named_struct('path', if(pos % 3 = 0, 'b.py', 'b.txt'), 'lines', array('x')), named_struct('path', if(pos % 5 = 0, 'm/C.java', 'm/c.go'), 'lines', array('x', 'y')))) AS path, lines"
+
+
+@query("c17_changed_languages", ctes("v_commit") + " SELECT pos, CASE WHEN pos % 2 = 0 THEN 'TypeScript;' ELSE '' END || CASE WHEN pos % 3 = 0 THEN 'Python;' ELSE '' END || CASE WHEN pos % 5 = 0 THEN 'Java' ELSE 'Go' END AS languages FROM v_commit")
 def c17(spark, d):
-    return diff.changed_languages(diff.patch_lines(rendered(spark, d), "pos"), paths.source_language(F.col("path")), "pos")
+    files = spark.sql(MIXED, c=view(spark, d, "v_commit"))
+    return diff.changed_languages(diff.patch_lines(diff.render_patches(files, "pos"), "pos"), paths.source_language(F.col("path")), "pos")
 
 
-@query("d5_match_manifests", ROWS_SQL + " SELECT r.pos, r.package_name, count(*) AS n_manifests FROM r GROUP BY 1, 2")
+@query("d5_match_manifests", ROWS_SQL + ", x AS (SELECT pos, package_name, CASE path WHEN 'packages/a/package.json' THEN 2 WHEN 'package.json' THEN 0 ELSE -1 END AS depth FROM r), m AS (SELECT pos, package_name, max(depth) AS depth FROM x GROUP BY 1, 2) SELECT x.pos, x.package_name, count(*) AS n_manifests FROM x JOIN m ON x.pos = m.pos AND x.package_name = m.package_name AND x.depth = m.depth GROUP BY 1, 2")
 def d5(spark, d):
-    lines = diff.patch_lines(rendered(spark, d), "pos")
-    imports = diff.js_imports(lines, "pos").select("pos", diff.npm_package(F.col("raw_target")).alias("package_name")).distinct()
-    return imports.join(diff.npm_manifest(lines, "pos"), ["pos", "package_name"]).groupBy("pos", "package_name").agg(F.count("*").alias("n_manifests"))
+    events = scratch.materialize(imports.extract_events(diff.patch_lines(rendered(spark, d), "pos"), "pos"), "events")
+    met = linking.match_manifests(events, "pos").join(events.select("pos", F.col("event_id").alias("import_id"), "package_name"), ["pos", "import_id"])
+    return met.groupBy("pos", "package_name").agg(F.count("*").alias("n_manifests"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
