@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from commitlens.functions.ranges import let
+
 #: Prefixes of specs that name no registry version.
 PRIVATE = ("file:", "link:", "workspace:", "path:", "git:", "git+", "github:", "../", "./", "/")
 EXACT = r"^v?\d+\.\d+(\.\d+(\.\d+)?)?([-+][0-9A-Za-z.+-]+)?$"
@@ -16,11 +20,7 @@ def normalize_package(ecosystem: Column, package: Column) -> Column:
 
 
 def is_private_spec(spec: Column) -> Column:
-    low = F.lower(spec)
-    out = F.contains(low, F.lit("{ path"))
-    for p in PRIVATE:
-        out = out | low.startswith(p)
-    return out
+    return spec.rlike("(?i)^(" + "|".join(map(re.escape, PRIVATE)) + r")|\{ path")
 
 
 def _bare(ecosystem: Column, spec: Column) -> Column:
@@ -32,9 +32,12 @@ def _bare(ecosystem: Column, spec: Column) -> Column:
 
 def query_kind(ecosystem: Column, spec: Column) -> Column:
     """exact, range, name_only or excluded. PyPI: == and === with one text are exact, a prefix (==1.*) too."""
-    bare = _bare(ecosystem, spec)
-    exact = F.when(ecosystem == "PyPI", bare.rlike(r"^={2,3}\s*[^,;\s]+$") | bare.rlike(EXACT)).when(ecosystem == "Cargo", bare.rlike("^=") & F.regexp_replace(bare, r"^=\s*", "").rlike(EXACT)).otherwise(bare.rlike(EXACT))
-    return F.when(bare == "", "name_only").when(is_private_spec(bare), "excluded").when(F.contains(bare, F.lit("${")) | bare.startswith("libs."), "name_only").when(exact, "exact").otherwise("range")
+
+    def kind(bare):
+        exact = F.when(ecosystem == "PyPI", bare.rlike(r"^={2,3}\s*[^,;\s]+$") | bare.rlike(EXACT)).when(ecosystem == "Cargo", bare.rlike("^=") & F.regexp_replace(bare, r"^=\s*", "").rlike(EXACT)).otherwise(bare.rlike(EXACT))
+        return F.when(bare == "", "name_only").when(is_private_spec(bare), "excluded").when(F.contains(bare, F.lit("${")) | bare.startswith("libs."), "name_only").when(exact, "exact").otherwise("range")
+
+    return let(_bare(ecosystem, spec), kind)
 
 
 def exact_form(version: Column) -> Column:
@@ -51,6 +54,9 @@ def release_key(version: Column) -> Column:
 
 def query_value(ecosystem: Column, spec: Column, kind: Column) -> Column:
     """What is asked of the registry: an exact version without its operator, a range as it is, else nothing."""
-    bare = _bare(ecosystem, spec)
-    op = F.when(ecosystem == "PyPI", F.regexp_replace(bare, r"^={2,3}\s*", "")).when(ecosystem == "Cargo", F.regexp_replace(bare, r"^=\s*", "")).otherwise(bare)
-    return F.when(kind == "exact", op).when(kind == "range", bare).otherwise("")
+
+    def value(bare):
+        op = F.when(ecosystem == "PyPI", F.regexp_replace(bare, r"^={2,3}\s*", "")).when(ecosystem == "Cargo", F.regexp_replace(bare, r"^=\s*", "")).otherwise(bare)
+        return F.when(kind == "exact", op).when(kind == "range", bare).otherwise("")
+
+    return let(_bare(ecosystem, spec), value)

@@ -14,7 +14,7 @@ from commitlens.plans.scratch import materialize
 def plan_queries(declared: DataFrame, ecosystem: str = "npm") -> DataFrame:
     """Adds query_kind and query_value to declarations (version_spec)."""
     kind = query_kind(F.lit(ecosystem), F.col("version_spec"))
-    return declared.withColumn("query_kind", kind).withColumn("query_value", query_value(F.lit(ecosystem), F.col("version_spec"), kind))
+    return declared.withColumn("query_kind", kind).withColumn("query_value", query_value(F.lit(ecosystem), F.col("version_spec"), F.col("query_kind")))
 
 
 def discover_queries(planned: DataFrame) -> DataFrame:
