@@ -20,19 +20,24 @@ every word is unknown; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import SPACE_WORD, lower_ascii, materialize
+from commitlens.llm.common import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 HEAVY, CACHE = 1e-6, 0.1
+#: Distinct words that a task counts, and words that it scores, before it hands them on.
+COUNTED_WORDS, SCORED_WORDS = 500_000, 200_000
 START = "▁"
 
 
@@ -86,20 +91,41 @@ class Lattice:
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the word's marginal probability."""
         s = START + word
-        arcs = self.arcs(s)
-        if len(s) <= self.SHORT:
-            a = [1.0] + [0.0] * len(s)
-            for i, j, w in arcs:
-                a[j] += a[i] * w
-            if a[-1] > self.FLOOR:
-                return math.log(a[-1])
+        if len(s) <= self.SHORT and (p := self.short_probability(s)) > self.FLOOR:
+            return math.log(p)
         a = [0.0] + [-math.inf] * len(s)
-        for i, j, w in arcs:
+        for i, j, w in self.arcs(s):
             x = a[i] + math.log(w)
             hi, lo = (a[j], x) if a[j] > x else (x, a[j])
             a[j] = hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
         return a[-1]
 
+    def short_probability(self, s: str) -> float:
+        """The same sum over the arcs as they are found, in plain products."""
+        n, get = len(s), self.next.get
+        a = [1.0] + [0.0] * n
+        for i in range(n):
+            w = get(s[i])
+            if w is None or i and s[i] == START:
+                a[i + 1] += a[i] * self.bytes_weight(s[i])
+                continue
+            a[i + 1] += a[i] * (w or self.bytes_weight(s[i]))
+            for j in range(i + 2, n + 1):
+                w = get(s[i:j])
+                if w is None:
+                    break
+                a[j] += a[i] * w
+        return a[n]
+
+
+def _words(text: pa.Scalar) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.lower and bytes.split know A-Z and the contract's white space only."""
+    return (text.as_py() or b"").lower().split()
+
+
+def _text(words) -> pa.Array:
+    return pa.array(words, pa.binary()).view(pa.string())
+
 
 def _chosen(model: bytes):
     """How often the vocabulary chooses each piece (a byte: as <0xNN>) in the words."""
@@ -127,10 +153,30 @@ def _subword_logs(pieces, byte):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's words, handed on whenever it holds COUNTED_WORDS of them."""
+    counts = Counter()
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_text(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+
+    for b in batches:
+        for held, text in zip(b.column("held").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+            if held:
+                counts.update(dict.fromkeys(_words(text), 0))
+            else:
+                counts.update(_words(text))
+            if len(counts) > COUNTED_WORDS:
+                yield made()
+                counts.clear()
+    if counts:
+        yield made()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c (its count in training texts; 0 for words of held-out texts only)."""
-    each = docs.select(F.when(_held_out(), 0).otherwise(1).alias("train"), F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(SPACE_WORD), F.lit(0))).alias("word"))
-    return each.groupBy("word").agg(F.sum("train").cast("long").alias("c"))
+    each = docs.select(_held_out().alias("held"), "text").mapInArrow(_counted, "word string, c long")
+    return each.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _held_out():
@@ -149,37 +195,52 @@ def train_pieces(words: DataFrame, path: str) -> tuple[dict[str, float], list[fl
     return {k: v / total for k, v in weights.items()}, [b / total for b in bytes_]
 
 
+SCORED = "row long, key string, word string, n long, known long, base double, score double, shares array<double>"
+
+
 def _score(words: dict[bytes, int], plus: np.ndarray, p: np.ndarray, cache: float):
     """Sums over the heavy words of each text (base and score); its other words with the cache's share at each
     occurrence. words: a heavy word's place in plus and p."""
-    names = ["row", "key", "word", "n", "known", "base", "score", "shares"]
+    names, shares = [c.split()[0] for c in SCORED.split(", ")], pa.list_(pa.float64())
+
+    def made(row, key, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(ws) for ws in texts], np.int64)
+        flat = [w for ws in texts for w in ws]
+        ids = np.fromiter(map(words.get, flat, repeat(-1)), np.int64, len(flat))
+        rare: dict[bytes, int] = {}
+        at = np.flatnonzero(ids < 0)
+        ids[at] = [len(plus) + rare.setdefault(flat[i], len(rare)) for i in at.tolist()]
+        owner = np.repeat(np.arange(len(texts)), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        same = owner * (len(plus) + len(rare)) + ids
+        order = np.argsort(same, kind="stable")  # equal words of a text side by side, in their order
+        same, ids, owner = same[order], ids[order], owner[order]
+        new = np.append(True, same[1:] != same[:-1])[: len(flat)]
+        first = np.flatnonzero(new)
+        before = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
+        share = cache * before / np.maximum(place[order], 1)
+        heavy = ids < len(plus)
+        of, word = owner[heavy], ids[heavy]
+        total = lambda x: pa.array(np.bincount(of, x, len(texts)).astype(float))  # noqa: E731  (without words: whole numbers)
+        known = pa.array(np.bincount(of, minlength=len(texts)).astype(np.int64))
+        none = [pa.nulls(len(texts), t) for t in (pa.string(), shares)]
+        yield pa.RecordBatch.from_arrays([row, key, none[0], pa.array(size), known, total(plus[word]), total(np.log10((1.0 - cache) * p[word] + share[heavy])), none[1]], names)
+        if len(at):
+            begin = np.flatnonzero(new[~heavy])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), pa.array(share[~heavy]))
+            zero, zeros = pa.array(np.zeros(len(begin), np.int64)), pa.array(np.zeros(len(begin)))
+            word = _text(list(rare)).take(pa.array(ids[~heavy][begin] - len(plus)))
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(owner[~heavy][begin])), pa.nulls(len(begin), pa.string()), word, zero, zero, zeros, zeros, lists], names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = words.get
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, held = [], 0
-            for row, key, text in zip(b["row"], b["key"], b["text"], strict=True):
-                ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                h = len(ws)
-                ids = np.fromiter((get(w, -1) for w in ws), np.int64, h)
-                at = np.flatnonzero(ids >= 0)
-                order = np.argsort(ids[at], kind="stable")  # equal words side by side, in their order
-                word = ids[at][order]
-                first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(at) else at
-                before = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-                share = cache * before / np.maximum(at[order], 1)
-                out.append((row, key, None, h, len(at), float(plus[word].sum()), float(np.log10((1.0 - cache) * p[word] + share).sum()), None))
-                rare: dict[bytes, list[float]] = {}
-                for i in np.flatnonzero(ids < 0).tolist():
-                    s = rare.setdefault(ws[i], [])
-                    s.append(cache * len(s) / i if s else 0.0)
-                out.extend((row, None, w.decode("utf-8", "surrogatepass"), 0, 0, 0.0, 0.0, s) for w, s in rare.items())
-                held += h
-                if held > 200_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out, held = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=names)
+            lo, held, texts = 0, 0, []
+            for i, text in enumerate(b.column("text").cast(pa.binary())):
+                texts.append(_words(text))
+                held += len(texts[-1])
+                if held > SCORED_WORDS or i == b.num_rows - 1:
+                    yield from made(b.column("row").slice(lo, len(texts)), b.column("key").slice(lo, len(texts)), texts)
+                    lo, held, texts = i + 1, 0, []
 
     return run
 
@@ -203,7 +264,7 @@ def score_texts(docs: DataFrame, path: str = VOCABULARY, heavy_share: float = HE
         p.append(math.exp(r["log"]))  # at least once in training, so far from 0
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("key"), "text")
     scored = _score(heavy, np.array(plus, float), np.array(p, float), cache)
-    made = materialize(texts.mapInPandas(scored, "row long, key string, word string, n long, known long, base double, score double, shares array<double>"), "scored")
+    made = materialize(texts.mapInArrow(scored, SCORED), "scored")
     rare = made.filter("word is not null").select("row", "word", "shares").join(words, "word")
     mixed = F.expr(f"aggregate(shares, 0D, (a, s) -> a + if(s = 0, {math.log10(1.0 - cache)}D + log / {math.log(10)}D, log10({1.0 - cache}D * exp(log) + s)))")
     occurs = F.size("shares")
