@@ -27,25 +27,32 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 ROW = "array<struct<section:int,start:int,end:int,n_tokens:int,n_crossing:int>>"
 
 
-def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
+def load(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file as it is: read on the driver and sent to the tasks, whose nodes need not have it."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+def ranks(vocabulary: str | bytes = VOCABULARY) -> dict[bytes, int]:
+    """Tokens and their ranks, from a vocabulary file's path or its bytes."""
+    data = vocabulary if isinstance(vocabulary, bytes) else load(vocabulary)
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 @lru_cache(2)
-def _encoding(path: str):
+def _encoding(vocabulary: str | bytes):
     import tiktoken
 
-    r = ranks(path)
+    r = ranks(vocabulary)
     sizes = np.zeros(max(r.values()) + 1, np.int64)
     for k, v in r.items():
         sizes[v] = len(k)
     return tiktoken.Encoding("sections", pat_str=PATTERN, mergeable_ranks=r, special_tokens={}), sizes
 
 
-def section_counts(text: str | None, path: str = VOCABULARY, rule: str = "start") -> list[tuple[int, int, int, int, int]]:
+def section_counts(text: str | None, vocabulary: str | bytes = VOCABULARY, rule: str = "start") -> list[tuple[int, int, int, int, int]]:
     """(section, start, end in characters, n_tokens, n_crossing) of each line; n_crossing: tokens of it that reach into another."""
-    encoding, sizes = _encoding(path)
+    encoding, sizes = _encoding(vocabulary)
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     if not len(data):
         return [(0, 0, 0, 0, 0)]
@@ -67,16 +74,16 @@ def section_counts(text: str | None, path: str = VOCABULARY, rule: str = "start"
     return list(zip(range(k), chars[:-1].tolist(), chars[1:].tolist(), n.tolist(), crossing.tolist(), strict=True))
 
 
-def _count(path: str, rule: str):
+def _count(vocabulary: bytes, rule: str):
     names = ("section", "start", "end", "n_tokens", "n_crossing")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([[dict(zip(names, s, strict=True)) for s in section_counts(t, path, rule)] for t in b])
+            yield pd.Series([[dict(zip(names, s, strict=True)) for s in section_counts(t, vocabulary, rule)] for t in b])
 
     return F.pandas_udf(run, ROW)
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, rule: str = "start") -> DataFrame:
     """doc_id, section, start, end (characters of the text), n_tokens, n_crossing for every line of every row of docs."""
-    return docs.select("doc_id", _count(path, rule)(F.col("text")).alias("sections")).select("doc_id", F.inline("sections"))
+    return docs.select("doc_id", _count(load(path), rule)(F.col("text")).alias("sections")).select("doc_id", F.inline("sections"))
