@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from commitlens.llm import url_filters
 from commitlens.llm.common import table
+from commitlens.llm.conversation_repair import damaged, repair
 from commitlens.llm.decontamination import contamination
 from commitlens.llm.exact_dedup import exact_dedup
 from commitlens.llm.html_extraction import extract_articles
@@ -15,7 +17,7 @@ from commitlens.llm.lm_scoring import score_texts
 from commitlens.llm.mixing import mix
 from commitlens.llm.ngram_join import ngram_components
 from commitlens.llm.sharding import SHARD_BYTES, shard_assignments
-
+from commitlens.llm.spelling_variants import spelling_variants
 from commitlens.llm.token_counts import token_counts
 from commitlens.llm.toxicity import toxicity_scores, train
 
@@ -61,8 +63,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_assignments(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.train(url_filters.labelled_urls(spark))).drop("score")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_html_extraction, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_html_extraction, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_ngram_jaccard_join, op8_mixing, op9_exact_dedup, op10_sharding, op11_spelling_variants, op12_url_filters, op13_conversation_repair)}
 
 
 OP1_SQL = r"""
