@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Path segments outside the study; suffixes of source languages; ecosystems of languages; manifests by file name.
 OUTSIDE = ("node_modules", "vendor", "vendored", "generated")
 SUFFIXES = {
-    "TypeScript": (".ts", ".tsx", ".mts", ".cts"), "JavaScript": (".js", ".jsx", ".mjs", ".cjs"), "Python": (".py",), "Rust": (".rs",), "Go": (".go",), "Java": (".java",),
+    "TypeScript": (".ts", ".tsx", ".mts", ".cts"), "JavaScript": (".js", ".jsx", ".mjs", ".cjs"), "Python": (".py", ".pyw"), "Rust": (".rs",), "Go": (".go",), "Java": (".java",),
 }
 #: The order in which languages are told.
 LANGUAGES = ("TypeScript", "Python", "JavaScript", "Rust", "Go", "Java")
@@ -24,17 +24,14 @@ def basename(path: Column) -> Column:
 
 
 def is_research_path(path: Column) -> Column:
-    return ~F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*[F.lit(s) for s in OUTSIDE]))
+    plain = F.substring_index(F.translate(F.lower(path), "\\", "/"), "?", 1)
+    return ~F.arrays_overlap(F.split(plain, "/"), F.array(*[F.lit(s) for s in OUTSIDE]))
 
 
 def source_language(path: Column) -> Column:
-    out, low = F.lit(None).cast("string"), F.lower(path)
-    for lang, ends in reversed(SUFFIXES.items()):
-        hit = F.lit(False)
-        for e in ends:
-            hit = hit | low.endswith(e)
-        out = F.when(hit, lang).otherwise(out)
-    return out
+    """Language of a file by its suffix, which is no file name of its own."""
+    suffix = F.regexp_extract(F.substring_index(F.lower(path), "?", 1), r"[^/](\.[^./]+)$", 1)
+    return F.element_at(F.create_map(*[F.lit(x) for lang, ends in SUFFIXES.items() for e in ends for x in (e, lang)]), suffix)
 
 
 def ecosystem(language: Column) -> Column:

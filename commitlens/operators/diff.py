@@ -2,54 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths
 
-#: Sections of package.json that declare dependencies.
-NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-NPM_ENTRY = r'^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$'
-NPM_OPENS = r'^\s*"([^"]+)"\s*:\s*\{'
-JS_IMPORT = r"""(?<!-)\b(?:import\s+(?:[^'"\n;]*?\s+from\s+)?|export\s+[^'"\n;]*?\s+from\s+|require\s*\(\s*|import\s*\(\s*)['"]([^'"\n]+)['"]"""
+#: Characters of a patch beyond which its lines are dealt out in pieces, and the lines of a piece.
+LONG_PATCH, PIECE_LINES = 4 << 20, 1 << 16
+HEADER, NEW_PATH, HUNK = r"(?s)^diff --git a/(.*?) b/(.*)\z", r"(?s)^\+\+\+ b/(.*)\z", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
 
-def patch_lines(patches: DataFrame, key: str = "sha") -> DataFrame:
+def _raw_lines(patches: DataFrame, key: str) -> DataFrame:
+    """key, i, raw, what a header says (head, new_path, start), and whether a hunk would keep the line."""
+    lines = patches.select(key, F.posexplode(F.split("patch", r"\r\n|\r|\n")).alias("i", "raw"))
+    found = lambda p, g: F.nullif(F.regexp_extract("raw", p, g), F.lit(""))
+    new_path = F.nullif(F.when(F.col("raw").startswith("+++ b/"), found(NEW_PATH, 1)), F.lit("/dev/null"))
+    start = F.when(F.col("raw").startswith("@@ -"), F.try_to_number(found(HUNK, 1), F.lit("9999999999")).cast("int"))
+    kept = F.col("raw").startswith(" ") | (F.col("raw").startswith("+") & ~F.col("raw").startswith("+++"))
+    return lines.select(key, "i", "raw", F.when(F.col("raw").startswith("diff --git "), found(HEADER, 2)).alias("head"), new_path.alias("new_path"), start.alias("start"), kept.alias("kept"))
+
+
+def _counted(lines: DataFrame, by: list[str]) -> DataFrame:
+    """lines with their file (f), hunk (h), the hunk's start (s) and the kept lines so far (k), as seen from the start of `by`."""
+    so_far = lambda *more: Window.partitionBy(*by, *more).orderBy("i").rowsBetween(FIRST, 0)
+    lines = lines.withColumn("f", F.count("head").over(so_far())).withColumn("h", F.count("start").over(so_far("f")))
+    return lines.withColumns({"s": F.last("start", True).over(so_far("f", "h")), "k": F.count_if("kept").over(so_far("f", "h"))})
+
+
+def _path(*by: str, order: str) -> Column:
+    """A file's path: the last that a +++ line gives, else that of its header."""
+    whole = Window.partitionBy(*by).orderBy(order).rowsBetween(FIRST, LAST)
+    return F.coalesce(F.last("new_path", True).over(whole), F.first("head", True).over(whole))
+
+
+def _piece_carries(lines: DataFrame, key: str) -> DataFrame:
+    """For each piece of a patch what the pieces before it leave: files so far, and of the file that is open the hunks, the
+    last hunk's start and the lines kept since. A scan over one row a piece: sums and last values that begin anew where
+    a piece has a header (for the hunk's lines also a hunk)."""
+    tail = F.col("f") == F.max("f").over(Window.partitionBy(key, "piece"))
+    rows = lines.select(key, "piece", "f", "h", "start", "kept", "i", tail.alias("tail"))
+    rows = rows.withColumn("open", F.col("tail") & (F.col("h") == F.max(F.when(F.col("tail"), F.col("h"))).over(Window.partitionBy(key, "piece"))))
+    sums = rows.groupBy(key, "piece").agg(
+        F.max("f").alias("files"), F.count_if(F.col("tail") & F.col("start").isNotNull()).alias("hunks"), F.max_by("start", F.when(F.col("tail") & F.col("start").isNotNull(), F.col("i"))).alias("start"),
+        F.count_if(F.col("open") & F.col("kept")).alias("lines"),
+    )
+    by = Window.partitionBy(key).orderBy("piece")
+    sums = sums.withColumn("anew", F.count_if(F.col("files") > 0).over(by.rowsBetween(FIRST, 0))).withColumn("hunk_anew", F.count_if((F.col("files") > 0) | (F.col("hunks") > 0)).over(by.rowsBetween(FIRST, 0)))
+    in_file, in_hunk = (Window.partitionBy(key, c).orderBy("piece").rowsBetween(FIRST, 0) for c in ("anew", "hunk_anew"))
+    upto = sums.withColumns({"c_hunks": F.sum("hunks").over(in_file), "c_start": F.last("start", True).over(in_file), "c_lines": F.sum("lines").over(in_hunk)})
+    before = lambda c: F.lag(c).over(by)
+    return upto.select(
+        key, "piece", F.coalesce(F.sum("files").over(by.rowsBetween(FIRST, -1)), F.lit(0)).alias("c_files"), F.coalesce(before("c_hunks"), F.lit(0)).alias("c_hunks"), before("c_start").alias("c_start"), F.coalesce(before("c_lines"), F.lit(0)).alias("c_lines"),
+    )
+
+
+def _long_lines(lines: DataFrame, key: str, piece_lines: int) -> DataFrame:
+    """Lines numbered within pieces first; then each piece adds what the ones before it leave."""
+    lines = _counted(lines.withColumn("piece", F.expr(f"i div {piece_lines}")), [key, "piece"])
+    lines = lines.join(_piece_carries(lines, key), [key, "piece"])
+    first_file, first_hunk = F.col("f") == 0, (F.col("f") == 0) & (F.col("h") == 0)
+    lines = lines.withColumns({"k": F.col("k") + F.when(first_hunk, F.col("c_lines")).otherwise(0), "s": F.when(first_hunk, F.col("c_start")).otherwise(F.col("s"))})
+    lines = lines.withColumns({"h": F.col("h") + F.when(first_file, F.col("c_hunks")).otherwise(0), "f": F.col("f") + F.col("c_files")}).drop("c_files", "c_hunks", "c_start", "c_lines")
+    # a file's path goes to each of its pieces, so that a long file is not one key
+    named = lines.groupBy(key, "f", "piece").agg(F.max_by("new_path", F.when(F.col("new_path").isNotNull(), F.col("i"))).alias("new_path"), F.max("head").alias("head"))
+    named = named.select(key, "f", "piece", _path(key, "f", order="piece").alias("path"))
+    return lines.join(named, [key, "f", "piece"])
+
+
+def patch_lines(patches: DataFrame, key: str = "sha", long_patch: int = LONG_PATCH, piece_lines: int = PIECE_LINES) -> DataFrame:
     """key, file_no, path, hunk, line_no (in the new file), added, text for every line that the new file has.
 
-    A file's path is the last `+++ b/` seen in it; lines before its first hunk, removed lines, headers and bare empty
-    lines are neither kept nor counted. The windows run within a patch, then within a file and a hunk.
+    A file's path is the last `+++ b/` seen in it, else the header's; lines before its first hunk, removed lines, headers and
+    bare empty lines are neither kept nor counted. The windows run within a patch, then within a file and a hunk. A patch of
+    more than long_patch characters is dealt out in pieces of piece_lines lines, with the same result; patches are read
+    twice for that.
     """
-    lines = patches.select(key, F.posexplode(F.split("patch", r"\r\n|\r|\n")).alias("i", "raw"))
-    by, so_far = Window.partitionBy(key).orderBy("i"), Window.partitionBy(key, "file_no").orderBy("i")
-    lines = lines.withColumn("file_no", F.count_if(F.col("raw").startswith("diff --git ")).over(by.rowsBetween(Window.unboundedPreceding, 0))).filter("file_no > 0")
-    start = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
-    lines = lines.withColumn("start", F.nullif(start, F.lit("")).cast("int"))
-    lines = lines.withColumn("hunk", F.count("start").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    path = F.nullif(F.regexp_extract("raw", r"^\+\+\+ b/(.*)$", 1), F.lit(""))
-    lines = lines.withColumn("path", F.last(path, True).over(Window.partitionBy(key, "file_no").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    kept = F.col("start").isNull() & (F.col("hunk") > 0) & F.col("raw").rlike(r"^[+ ]") & ~F.col("raw").rlike(r"^(\+\+\+|---)")
-    in_hunk = Window.partitionBy(key, "file_no", "hunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("kept", kept).withColumn("line_no", F.last("start", True).over(in_hunk) + F.count_if("kept").over(in_hunk).cast("int") - 1)
-    return lines.filter("kept").select(key, "file_no", "path", "hunk", "line_no", F.col("raw").startswith("+").alias("added"), F.substring("raw", 2, 1 << 30).alias("text"))
-
-
-def npm_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Added dependencies of package.json files: the section is that of the last line that opened or closed one."""
-    m = lines.filter(F.substring_index("path", "/", -1) == "package.json")
-    opens, closes = F.nullif(F.regexp_extract("text", NPM_OPENS, 1), F.lit("")), F.col("text").rlike(r"^\s*\}")
-    turn = F.when(opens.isNotNull(), opens).when(closes, "")
-    before = Window.partitionBy(key, "file_no", "hunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("turn", turn).withColumn("section", F.last("turn", True).over(before))
-    m = m.filter(F.col("added") & F.col("section").isin(*NPM_SECTIONS) & F.col("text").rlike(NPM_ENTRY))
-    return m.select(key, "path", "line_no", F.regexp_extract("text", NPM_ENTRY, 1).alias("package_name"), F.regexp_extract("text", NPM_ENTRY, 2).alias("version_spec"))
-
-
-def js_imports(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Import targets of added lines in their order on the line, each once."""
-    src = lines.filter("added").filter(F.lower("path").rlike(r"\.[mc]?[jt]sx?$"))
-    found = src.withColumn("targets", F.array_distinct(F.regexp_extract_all("text", F.lit(JS_IMPORT), F.lit(1))))
-    return found.select(key, "path", "line_no", F.posexplode("targets").alias("ordinal", "raw_target"))
+    size = F.length("patch")
+    short = _counted(_raw_lines(patches.filter(size <= long_patch), key), [key]).withColumn("path", _path(key, "f", order="i"))
+    long = _long_lines(_raw_lines(patches.filter(size > long_patch), key), key, piece_lines)
+    out = None
+    for lines in (short, long):
+        line_no = (F.col("s") + F.col("k") - 1).cast("int")
+        part = lines.filter("kept and h > 0 and path is not null").select(key, F.col("f").alias("file_no"), "path", F.col("h").cast("int").alias("hunk"), line_no.alias("line_no"), F.col("raw").startswith("+").alias("added"), F.substring("raw", 2, 1 << 30).alias("text"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def npm_package(target):
@@ -59,9 +96,19 @@ def npm_package(target):
 
 
 def render_patches(files: DataFrame, key: str = "sha") -> DataFrame:
-    """One unified diff for each key from added files (key, path, ordinal, lines: array of texts)."""
-    head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\nnew file mode 100644\nindex 0000000..1111111\n--- /dev/null\n+++ b/"), "path", F.lit("\n@@ -0,0 +1,"), F.size("lines").cast("string"), F.lit(" @@\n"))
-    chunk = F.concat(head, F.array_join(F.transform("lines", lambda x: F.concat(F.lit("+"), x)), "\n"))
+    """One unified diff for each key from files (key, path, ordinal, lines: array of texts). An optional column status says
+    added (the default), modified, removed or renamed (with previous_path); a file without lines has a header only."""
+    status = F.coalesce("status", F.lit("added")) if "status" in files.columns else F.lit("added")
+    old = F.coalesce("previous_path", "path") if "previous_path" in files.columns else F.col("path")
+    n = F.size("lines").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and p.endswith(("\n", " ", "/", ",1", "@@")) else F.col(p) if isinstance(p, str) else p for p in parts])
+    mode = F.when(status == "added", "new file mode 100644\nindex 0000000..1111111\n").when(status == "removed", "deleted file mode 100644\nindex 1111111..0000000\n").when(status == "renamed", cat("rename from ", old, F.lit("\n"), "rename to ", "path", F.lit("\n"))).otherwise("index 1111111..2222222 100644\n")
+    head = cat("diff --git a/", old, F.lit(" b/"), "path", F.lit("\n"), mode)
+    sides = cat(F.when(status == "added", F.lit("--- /dev/null\n")).otherwise(cat("--- a/", old, F.lit("\n"))), F.when(status == "removed", F.lit("+++ /dev/null\n")).otherwise(cat(F.lit("+++ b/"), "path", F.lit("\n"))))
+    hunk = F.when(status == "removed", cat(F.lit("@@ -1,"), n, F.lit(" +0,0 @@\n"))).otherwise(cat(F.lit("@@ -0,0 +1,"), n, F.lit(" @@\n")))
+    sign = F.when(status == "removed", "-").otherwise("+")
+    body = cat(sides, hunk, F.array_join(F.transform("lines", lambda x: F.concat(sign, x)), "\n"))
+    chunk = F.concat(head, F.when(F.coalesce(F.size("lines"), F.lit(0)) > 0, body).otherwise(""))
     return files.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", chunk.alias("c"))))["c"], "\n").alias("patch"))
 
 

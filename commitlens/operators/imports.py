@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import sys
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths
-from commitlens.operators import diff, manifests
+from commitlens.operators.grammars import KINDS, LANGUAGE_KIND, MANIFEST_ECOSYSTEM, findings
 from commitlens.operators.quality import event_id
-from commitlens.plans.scratch import materialize
-
-#: Import grammars, names that come with a language, and packages named unlike what they provide.
-PY_NAME = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*"
-PY_IMPORT = rf"^import\s+({PY_NAME}(?:\s+as\s+[A-Za-z_]\w*)?(?:\s*,\s*{PY_NAME}(?:\s+as\s+[A-Za-z_]\w*)?)*)\s*;?\s*(?:#.*)?$"
-PY_FROM = rf"^from\s+(\.*\s*(?:{PY_NAME})?)\s+import\s+(?:\*|\(?\s*[A-Za-z_]\w*(?:\s+as\s+[A-Za-z_]\w*)?(?:\s*,\s*[A-Za-z_]\w*(?:\s+as\s+[A-Za-z_]\w*)?)*\s*,?\s*\)?)\s*;?\s*(?:#.*)?$"
-RUST = (r"^\s*use\s+([A-Za-z_][\w:]*)", r"^\s*extern\s+crate\s+([A-Za-z_]\w*)")
-JAVA = r"^\s*import\s+(?:static\s+)?([A-Za-z_]\w*(?:\.[A-Za-z_*]\w*)+)\s*;?"
-GO_ONE = r"""^\s*import\s+(?:[._A-Za-z]\w*\s+)?["`]([^"`]+)["`]"""
-GO_IN_BLOCK = r"""^\s*(?:[._A-Za-z]\w*\s+)?["`]([^"`]+)["`]"""
+
+#: The kinds of source files.
+SOURCE_KINDS = tuple(dict.fromkeys(LANGUAGE_KIND.values()))
+#: Names that come with a language, and packages named unlike what they provide.
 NODE_BUILTINS = (
     "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https module net os path perf_hooks process "
     "punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib"
@@ -33,46 +28,22 @@ PYTHON_ALIASES = {"bs4": "beautifulsoup4", "cv2": "opencv-python", "dotenv": "py
 NPM_NAME = r"^(?:@[A-Za-z0-9][A-Za-z0-9._~-]*/)?[A-Za-z0-9][A-Za-z0-9._~-]*$"
 
 
-def _source(lines: DataFrame, language: str) -> DataFrame:
-    return lines.filter(paths.source_language(F.col("path")) == language)
-
-
-def _explode(df: DataFrame, key: str, targets: Column, language: Column) -> DataFrame:
-    return df.select(key, "path", "line_no", language.alias("language"), F.posexplode(targets).alias("ordinal", "raw_target"))
-
-
-def python_imports(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Lines that are whole import statements: names of `import a, b.c as d`, dots and module of `from ..x import y`."""
-    s = F.regexp_replace("text", r"^\s+|\s+$", "")
-    src = _source(lines, "Python").filter("added").withColumn("s", s)
-    # an open bracket without its partner is not a whole statement
-    whole = F.col("s").contains("(") == F.col("s").contains(")")
-    names = F.transform(F.split(F.nullif(F.regexp_extract("s", PY_IMPORT, 1), F.lit("")), r"\s*,\s*"), lambda x: F.regexp_extract(x, rf"^\s*({PY_NAME})", 1))
-    module = F.nullif(F.regexp_replace(F.regexp_extract("s", PY_FROM, 1), r"\s", ""), F.lit(""))
-    return _explode(src.filter(whole), key, F.coalesce(names, F.when(module.isNotNull(), F.array(module))), F.lit("Python"))
-
+def imports_of(lines: DataFrame, key: str = "sha", kinds: tuple[str, ...] = SOURCE_KINDS) -> DataFrame:
+    """key, path, line_no, language, ordinal, raw_target of the import statements in added lines of the given languages.
 
-def rust_java_imports(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Rust use and extern crate; Java imports."""
-    first = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    rust = _explode(_source(lines, "Rust").filter("added"), key, F.array_compact(F.array(*[first(p) for p in RUST])), F.lit("Rust"))
-    java = _explode(_source(lines, "Java").filter("added"), key, F.array_compact(F.array(first(JAVA))), F.lit("Java"))
-    return rust.unionByName(java)
+    Python: whole statements, several on a line, and statements that go on over several lines by a bracket or a backslash
+    (the number is that of the first). JavaScript: from clauses, import, require and import() anywhere on a line. Rust: use
+    and extern crate. Go: single imports and blocks, which context lines open and close too.
+    """
+    found = findings(lines, key, kinds)
+    return found.select(key, "path", "line_no", paths.source_language(F.col("path")).alias("language"), "ordinal", F.col("target").alias("raw_target"))
 
 
-def go_imports(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Go imports, single or in a block; context lines open and close blocks."""
-    src = _source(lines, "Go").withColumn("s", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    opens = F.col("s").startswith("import (")
-    so_far = Window.partitionBy(key, "file_no", "hunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    src = src.withColumn("inside", F.coalesce(F.last(F.when(opens, True).when(F.col("s") == ")", False), True).over(so_far), F.lit(False)))
-    target = F.when(F.col("inside"), F.regexp_extract("text", GO_IN_BLOCK, 1)).otherwise(F.regexp_extract("text", GO_ONE, 1))
-    return _explode(src.filter(F.col("added") & ~opens), key, F.array_compact(F.array(F.nullif(target, F.lit("")))), F.lit("Go"))
-
-
-def js_imports(lines: DataFrame, key: str = "sha") -> DataFrame:
-    j = diff.js_imports(lines, key)
-    return j.select(key, "path", "line_no", paths.source_language(F.col("path")).alias("language"), "ordinal", "raw_target")
+python_imports = partial(imports_of, kinds=("py",))
+js_imports = partial(imports_of, kinds=("js",))
+go_imports = partial(imports_of, kinds=("go",))
+rust_java_imports = partial(imports_of, kinds=("rust", "java"))
+all_imports = imports_of
 
 
 def import_package(language: Column, target: Column) -> Column:
@@ -105,30 +76,26 @@ def normalize_imports(imports: DataFrame) -> DataFrame:
     return m.select(*imports.columns, F.col("m.package").alias("package_name"), F.col("m.status").alias("status"), reasons.alias("reasons"))
 
 
-def all_imports(lines: DataFrame, key: str = "sha") -> DataFrame:
-    out = js_imports(lines, key)
-    for f in (python_imports, rust_java_imports, go_imports):
-        out = out.unionByName(f(lines, key))
-    return out
-
-
-#: The ecosystem of each kind of manifest.
-MANIFEST_ECOSYSTEM = {"npm": "npm", "requirements": "PyPI", "pyproject": "PyPI", "setup_cfg": "PyPI", "cargo": "Cargo", "gomod": "Go", "maven": "Maven", "gradle": "Maven", "catalog": "Maven"}
-
-
-def extract_events(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """All import and manifest events of research paths, with their content ids."""
-    kept = materialize(lines.filter(paths.is_research_path(F.col("path"))), "lines")  # each grammar reads its own files of it
-    imp = normalize_imports(all_imports(kept, key)).select(
-        key, F.lit("import").alias("event_type"), "path", paths.ecosystem(F.col("language")).alias("ecosystem"), "line_no", "ordinal", "raw_target", "package_name", F.lit("").alias("version_spec"), "status", "reasons",
+def extract_events(lines: DataFrame, key: str = "sha", languages: tuple[str, ...] = ()) -> DataFrame:
+    """All import and manifest events of research paths, with their content ids, in one pass over the lines. languages: only
+    the imports of these, and the manifests of their ecosystems."""
+    kinds = KINDS
+    if languages:
+        ecosystems = {paths.ECOSYSTEMS[x] for x in languages}
+        kinds = tuple(dict.fromkeys([LANGUAGE_KIND[x] for x in languages])) + tuple(k for k, e in MANIFEST_ECOSYSTEM.items() if e in ecosystems)
+    found = findings(lines.filter(paths.is_research_path(F.col("path"))), key, kinds)
+    language = paths.source_language(F.col("path"))
+    found = found.withColumn("language", F.when(F.col("status").isNull(), language))
+    if languages:
+        found = found.filter(F.col("language").isNull() | F.col("language").isin(*languages))
+    found = found.withColumn("m", F.when(F.col("language").isNotNull(), import_package(F.col("language"), F.col("target")))).filter("language is null or m is not null")
+    manifest_ecosystem = F.element_at(F.create_map(*[F.lit(x) for kv in MANIFEST_ECOSYSTEM.items() for x in kv]), F.col("kind"))
+    is_import = F.col("language").isNotNull()
+    events = found.select(
+        key, F.when(is_import, "import").otherwise("manifest_addition").alias("event_type"), "path", F.when(is_import, paths.ecosystem(F.col("language"))).otherwise(manifest_ecosystem).alias("ecosystem"), "line_no", "ordinal",
+        F.col("target").alias("raw_target"), F.when(is_import, F.col("m.package")).otherwise(F.col("target")).alias("package_name"), F.when(is_import, "").otherwise(F.col("spec")).alias("version_spec"),
+        F.when(is_import, F.col("m.status")).otherwise(F.col("status")).alias("status"), F.when(is_import, F.filter(F.array("m.reason"), lambda x: x != "")).otherwise(F.col("reasons")).alias("reasons"),
     )
-    none = F.array().cast("array<string>")
-    man = diff.npm_manifest(kept, key).select(key, "path", "line_no", F.lit(0).alias("ordinal"), "package_name", "version_spec", F.lit("direct_manifest").alias("status"), none.alias("reasons"))
-    for f in manifests.GRAMMARS.values():
-        man = man.unionByName(f(kept, key))
-    eco = F.element_at(F.create_map(*[F.lit(x) for kv in MANIFEST_ECOSYSTEM.items() for x in kv]), paths.manifest_kind(F.col("path")))
-    man = man.withColumn("ecosystem", eco).withColumn("event_type", F.lit("manifest_addition")).withColumn("raw_target", F.col("package_name"))
-    events = imp.unionByName(man.select(*imp.columns))
     return events.withColumn("event_id", event_id(F.col(key).cast("string"), *[F.col(c) for c in ("event_type", "path", "line_no", "ordinal", "raw_target")]))
 
 

@@ -1,179 +1,32 @@
-"""Declared dependencies in the added lines of manifests other than package.json.
+"""Declared dependencies in the added lines of manifests, one operator for each kind of file.
 
-A grammar's state (section, block, array) is that of the last line that changed it, a window over the lines of a hunk;
-context lines change state, only added lines declare. Every operator returns key, path, line_no, ordinal, package_name,
-version_spec, status, reasons.
+Every operator returns key, path, line_no, ordinal, package_name, version_spec, status, reasons.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from commitlens.functions.paths import manifest_kind
-
-#: The grammars' tokens.
-HEADER = r"^\[.*\]$"
-TOML_PAIR = r"""^\s*['"]?([A-Za-z0-9_.-]+)['"]?\s*=\s*(.+?)\s*$"""
-REQUIREMENT = r"^([A-Za-z0-9][A-Za-z0-9_.-]*)(?:\[[^\]]+\])?\s*(.*)$"
-MARKER = (
-    r"(?i);\s*(?:python_version|python_full_version|os_name|sys_platform|platform_release|platform_system|platform_version|platform_machine|"
-    r"platform_python_implementation|implementation_name|implementation_version|extra)\b.*$"
-)
-CARGO_SECTION = r"(?i)^\[(target\.[^]]+\.)?(dev-|build-)?dependencies\]$"
-GO_REQUIRE = r"^(?:require\s+)?(\S+)\s+(v\S+)(?:\s+//.*)?$"
-QUOTED = r"""['"]([^'"]+)['"]"""
-#: Gradle's configurations, the endings of derived ones, and the calls that wrap a dependency.
-GRADLE_NAMES = "api implementation compile runtime provided thirdParty compileOnly runtimeOnly annotationProcessor classpath".split()
-GRADLE_ENDINGS = "Api Implementation CompileOnly RuntimeOnly Compile Runtime AnnotationProcessor".split()
-GRADLE_CALLS = ["project", "platform", "enforcedPlatform", r"fg\.deobf", "include"]
-
-
-def _gradle_configuration() -> str:
-    """A configuration as a word of its own, perhaps quoted, and what it is given: an open bracket, or after a blank a
-    quote, a call, a catalog's alias or a named group."""
-    name = "|".join([*GRADLE_NAMES, rf"[A-Za-z_]\w*(?:{'|'.join(GRADLE_ENDINGS)})"])
-    given = "|".join(["[\"']", *[rf"{c}\s*\(" for c in GRADLE_CALLS], r"libs\b", r"group\s*[:=]"])
-    return rf'(?:^|[^\w.])"?(?:{name})"?(?:\s*\(|\s+(?:{given}))'
-
-
-GRADLE_CONFIGURATION = _gradle_configuration()
-GRADLE_SKIP = r"^\s*(//|/\*|\*|#)|\bproject\s*\("
-GRADLE_COORDINATE = r"""['"]([A-Za-z0-9_.${}-]+):([A-Za-z0-9_.${}-]+):([^'"]+)['"]"""
-GRADLE_ALIAS = r"\blibs(?:\.[A-Za-z_]\w*)+"
-
-
-def _lines(lines: DataFrame, kind: str) -> DataFrame:
-    return lines.filter(manifest_kind(F.col("path")) == kind).withColumn("s", F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
-
-
-def _state(turn: Column, key: str, per_hunk: bool = True) -> Column:
-    """The last turn before this line, or on it; null before the first."""
-    parts = [key, "file_no", "hunk"] if per_hunk else [key, "file_no"]
-    return F.last(turn, True).over(Window.partitionBy(*parts).orderBy("hunk", "line_no").rowsBetween(Window.unboundedPreceding, 0))
-
-
-def _found(text: Column | str, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
-def unquoted(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), """^["']+|["']+$""", "")
-
-
-def requirement(text: Column) -> Column:
-    """struct(package, spec) of a requirement text without extras, comment and marker; null if it is none."""
-    cut = F.rtrim(F.regexp_replace(F.trim(text), r"\s+#.*$", ""))
-    name, spec = _found(cut, REQUIREMENT), F.rtrim(F.regexp_replace(F.regexp_extract(cut, REQUIREMENT, 2), MARKER, ""))
-    ok = name.isNotNull() & ~F.trim(text).rlike("^[#-]") & ((spec == "") | spec.rlike("^(===|~=|==|!=|<=|>=|<|>|@|;)"))
-    return F.when(ok, F.struct(name.alias("package"), spec.alias("spec")))
-
-
-def _out(df: DataFrame, key: str, package: Column | str, spec: Column | str, ordinal: Column | None = None, status: Column | None = None, reasons: Column | None = None) -> DataFrame:
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    none = F.array().cast("array<string>")
-    return df.select(
-        key, "path", "line_no", (F.lit(0) if ordinal is None else ordinal).cast("int").alias("ordinal"), col(package).alias("package_name"), unquoted(F.coalesce(col(spec), F.lit(""))).alias("version_spec"),
-        (F.lit("direct_manifest") if status is None else status).alias("status"), (none if reasons is None else reasons).alias("reasons"),
-    )
-
-
-def pip_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """requirements*.txt."""
-    m = _lines(lines, "requirements").filter("added").withColumn("r", requirement(F.col("s"))).filter("r is not null")
-    return _out(m, key, "r.package", "r.spec")
-
-
-def pyproject_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """pyproject.toml: [project] dependencies on one line or as an array, and [tool.poetry.dependencies]."""
-    m = _lines(lines, "pyproject")
-    head, s = F.col("s").rlike(HEADER), F.col("s")
-    m = m.withColumn("section", _state(F.when(head, F.lower("s")), key)).filter(F.col("section").isNotNull())
-    opens = (F.col("section") == "[project]") & s.startswith("dependencies") & ~head
-    m = m.withColumn("opens", opens).withColumn("array", _state(F.when(head, False).when(F.col("opens"), s.contains("[") & ~s.contains("]")).when(s.startswith("]"), False), key))
-    m = m.filter(F.col("added") & ~head)
-    quoted = F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))
-    texts = F.when(F.col("opens"), quoted).when(F.col("array") & ~s.startswith("#"), F.slice(quoted, 1, 1))
-    listed = m.filter("opens or array").select(key, "path", "line_no", F.posexplode(texts).alias("i", "q")).withColumn("r", requirement(F.col("q"))).filter("r is not null")
-    poetry = m.filter((F.col("section") == "[tool.poetry.dependencies]") & ~s.startswith("#")).withColumn("k", _found("text", TOML_PAIR)).filter("k is not null and lower(k) <> 'python'")
-    return _out(listed, key, "r.package", "r.spec", F.col("i")).unionByName(_out(poetry, key, "k", F.regexp_extract("text", TOML_PAIR, 2)))
-
-
-def setupcfg_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """setup.cfg: [options] install_requires, on the line and on the indented lines that follow."""
-    m = _lines(lines, "setup_cfg")
-    head, option = F.col("s").rlike(HEADER), r"(?i)^install_requires\s*=\s*(.*)$"
-    m = m.withColumn("section", _state(F.when(head, F.lower("s")), key)).withColumn("opens", ~head & (F.col("section") == "[options]") & F.col("s").rlike(option))
-    m = m.withColumn("inside", _state(F.when(head, False).when(F.col("opens"), True).when((F.col("s") != "") & ~F.col("text").rlike(r"^\s"), False), key))
-    m = m.filter("added and inside").withColumn("r", requirement(F.when(F.col("opens"), F.regexp_extract("s", option, 1)).otherwise(F.col("s")))).filter("r is not null")
-    return _out(m, key, "r.package", "r.spec")
-
-
-def cargo_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Cargo.toml: dependency sections with dotted keys and workspace inheritance."""
-    m = _lines(lines, "cargo")
-    head = F.col("s").rlike(HEADER)
-    m = m.withColumn("inside", _state(F.when(head, F.col("s").rlike(CARGO_SECTION)), key)).filter(F.col("added") & F.col("inside") & ~head)
-    m = m.withColumn("k", _found("text", TOML_PAIR)).withColumn("v", F.trim(F.regexp_extract("text", TOML_PAIR, 2))).filter("k is not null")
-    m = m.withColumn("field", F.lower(_found("k", r"^.*\.([^.]*)$"))).withColumn("inherits", F.when(F.col("k").contains("."), (F.col("field") == "workspace") & (F.lower("v") == "true")).otherwise(F.col("v").rlike(r"(?i)\bworkspace\s*=\s*true\b")))
-    m = m.filter(~F.col("k").contains(".") | (F.col("field") == "version") | F.col("inherits"))
-    version = F.coalesce(_found("v", r"""\bversion\s*=\s*['"]([^'"]+)['"]"""), F.col("v"))
-    package = F.when(F.col("k").contains("."), F.regexp_extract("k", r"^(.*)\.[^.]*$", 1)).otherwise(F.col("k"))
-    reasons = F.when(F.col("inherits"), F.array(F.lit("workspace_inherited"))).otherwise(F.array().cast("array<string>"))
-    return _out(m, key, package, F.when(F.col("inherits"), "workspace:").otherwise(version), reasons=reasons)
-
-
-def gomod_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """go.mod: require lines and blocks, indirect ones too."""
-    m, s = _lines(lines, "gomod"), F.col("s")
-    m = m.withColumn("inside", _state(F.when(s.startswith("require ("), True).when(s == ")", False), key))
-    m = m.filter(F.col("added") & (F.col("inside") | s.startswith("require ")) & ~s.startswith("require (") & s.rlike(GO_REQUIRE))
-    return _out(m, key, F.regexp_extract("s", GO_REQUIRE, 1), F.regexp_extract("s", GO_REQUIRE, 2))
-
-
-def maven_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """pom.xml: dependency blocks outside dependencyManagement whose identity has an added line; blocks run across hunks."""
-    m, t = _lines(lines, "maven"), F.col("text")
-    m = m.withColumn("managed", F.coalesce(_state(F.when(t.contains("</dependencyManagement"), False).when(t.contains("<dependencyManagement"), True), key, False), F.lit(False)))
-    m = m.withColumn("opens", t.contains("<dependency>") & ~F.col("managed"))
-    whole = Window.partitionBy(key, "file_no").orderBy("hunk", "line_no")
-    m = m.withColumn("block", F.count_if("opens").over(whole.rowsBetween(Window.unboundedPreceding, 0))).filter("block > 0")
-    ended = F.count_if(t.contains("</dependency>")).over(Window.partitionBy(key, "file_no", "block").orderBy("hunk", "line_no").rowsBetween(Window.unboundedPreceding, 0)) - t.contains("</dependency>").cast("int")
-    m = m.withColumn("ended", ended).filter("ended = 0")
-    identity = t.contains("<dependency>") | t.contains("<groupId>") | t.contains("<artifactId>")
-    b = m.groupBy(key, "path", "file_no", "block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk", "line_no", "text"))), lambda x: x["text"]), "\n").alias("body"),
-        F.bool_or(F.col("added") & identity).alias("fresh"), F.min_by("line_no", F.when(F.col("added"), F.struct("hunk", "line_no"))).alias("line_no"),
-    )
-    tag = lambda name: F.trim(F.regexp_extract("body", rf"<{name}>\s*([^<]+?)\s*</{name}>", 1))
-    b = b.filter(F.col("fresh") & F.col("body").contains("</dependency>")).withColumn("g", tag("groupId")).withColumn("a", tag("artifactId")).filter("g <> '' and a <> ''")
-    return _out(b, key, F.concat("g", F.lit(":"), "a"), tag("version"))
+from collections.abc import Callable
+from functools import partial
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def gradle_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Gradle builds: coordinates, group/name/version maps, and aliases of a catalog, which stay unresolved."""
-    m = _lines(lines, "gradle").filter(F.col("added") & ~F.col("text").rlike(GRADLE_SKIP) & F.col("text").rlike(GRADLE_CONFIGURATION))
-    named = lambda n: _found("text", rf"""\b{n}\s*[:=]\s*['"]([^'"]+)['"]""")
-    coordinate = _found("text", GRADLE_COORDINATE)
-    one = F.when(coordinate.isNotNull(), F.concat(coordinate, F.lit(":"), F.regexp_extract("text", GRADLE_COORDINATE, 2)))
-    mapped = F.concat(named("group"), F.lit(":"), named("name"))
-    m = m.withColumns({"one": one, "mapped": mapped, "alias": _found("text", GRADLE_ALIAS, 0)}).filter("coalesce(one, mapped, alias) is not null")
-    spec = F.when(F.col("one").isNotNull(), F.regexp_extract("text", GRADLE_COORDINATE, 3)).when(F.col("mapped").isNotNull(), F.coalesce(named("version"), F.lit("")))
-    loose = F.coalesce("one", "mapped").isNull()
-    reasons = F.when(loose, F.array(F.lit("version_unresolved"))).otherwise(F.array().cast("array<string>"))
-    return _out(m, key, F.coalesce("one", "mapped", "alias"), spec, status=F.when(loose, "unresolved_gradle_alias").otherwise("direct_manifest"), reasons=reasons)
+from commitlens.operators.grammars import MANIFEST_ECOSYSTEM, findings
 
 
-def catalog_manifest(lines: DataFrame, key: str = "sha") -> DataFrame:
-    """Gradle version catalogs: [libraries] entries with a module."""
-    m = _lines(lines, "catalog")
-    head = F.col("s").rlike(HEADER)
-    m = m.withColumn("inside", _state(F.when(head, F.lower("s") == "[libraries]"), key)).filter(F.col("added") & F.col("inside") & ~head)
-    m = m.withColumn("module", _found("text", r"""\bmodule\s*=\s*['"]([^'"]+)['"]""")).filter("module is not null")
-    return _out(m, key, "module", _found("text", r"""\bversion\s*=\s*['"]([^'"]+)['"]"""), status=F.lit("direct_manifest_catalog"))
+def manifest_additions(lines: DataFrame, key: str = "sha", kinds: tuple[str, ...] = tuple(MANIFEST_ECOSYSTEM)) -> DataFrame:
+    """Dependencies that manifests of the given kinds newly declare."""
+    return findings(lines, key, kinds).select(key, "path", "line_no", "ordinal", F.col("target").alias("package_name"), F.col("spec").alias("version_spec"), "status", "reasons")
 
 
-GRAMMARS = {
-    "requirements": pip_manifest, "pyproject": pyproject_manifest, "setup_cfg": setupcfg_manifest, "cargo": cargo_manifest, "gomod": gomod_manifest,
-    "maven": maven_manifest, "gradle": gradle_manifest, "catalog": catalog_manifest,
-}
+#: The operator of each kind of manifest.
+GRAMMARS: dict[str, Callable[..., DataFrame]] = {kind: partial(manifest_additions, kinds=(kind,)) for kind in MANIFEST_ECOSYSTEM}
+npm_manifest = GRAMMARS["npm"]
+pip_manifest = GRAMMARS["requirements"]
+pyproject_manifest = GRAMMARS["pyproject"]
+setupcfg_manifest = GRAMMARS["setup_cfg"]
+cargo_manifest = GRAMMARS["cargo"]
+gomod_manifest = GRAMMARS["gomod"]
+maven_manifest = GRAMMARS["maven"]
+gradle_manifest = GRAMMARS["gradle"]
+catalog_manifest = GRAMMARS["catalog"]

@@ -77,6 +77,45 @@ def c3(spark, d):
     return imports.python_imports(_rendered(spark, d, [], SOURCES["Python"]), "pos").select("pos", "line_no", "ordinal", "raw_target")
 
 
+def _forms(spark, d, path, forms):
+    """Lines of a file at path for each pos, with one of the forms (in the terms of x) for each declaration in turn."""
+    rows = view(spark, d, "v_req").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("line_no", "package_name", "version"))).alias("r"))
+    cases = " ".join(f"WHEN {i} THEN array({', '.join(f)})" for i, f in enumerate(forms))
+    lines = F.expr(f"flatten(transform(r, (x, i) -> CASE i % {len(forms)} {cases} END))")
+    return diff.patch_lines(diff.render_patches(rows.select("pos", F.lit(path).alias("path"), F.lit(0).alias("ordinal"), lines.alias("lines")), "pos"), "pos")
+
+
+def _form_sql(sizes, found):
+    """found: form, line within it, ordinal, target in SQL."""
+    size = " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(sizes))
+    placed = f", l AS (SELECT *, (k - 1) % {len(sizes)} AS form, CASE (k - 1) % {len(sizes)} {size} END AS n_lines FROM n), s AS (SELECT *, replace(package_name, '-', '_') AS p, sum(n_lines) OVER (PARTITION BY pos ORDER BY k) - n_lines AS done FROM l)"
+    return RANKED + placed + " " + " UNION ALL ".join(f"SELECT pos, CAST(done + {line} AS INT) AS line_no, {ordinal} AS ordinal, {target} AS raw_target FROM s WHERE form = {form}" for form, line, ordinal, target in found)
+
+
+PY_P = "replace(x.package_name, '-', '_')"
+PY_FORMS = [
+    [f"concat('import ', {PY_P}, '.sub; import os')"], [f"concat('from ', {PY_P}, '.sub import y; z = 1')"], [f"concat('from ', {PY_P}, ' import (')", "'    alpha,'", "'    beta as b,  # why (so)'", "'    gamma'", "')'"],
+    [f"concat('import ', {PY_P}, ', ', chr(92))", "'    json'"], [f"""concat("x = 'import no; import no' ; import ", {PY_P})"""], [f"concat('from ', {PY_P}, ' import (')", "'    a = 1,'", "')'"], [f"concat('if x: import ', {PY_P})"],
+]
+
+
+@query("c3_python_statements", _form_sql([1, 1, 5, 2, 1, 3, 1], [(0, 1, 0, "p || '.sub'"), (0, 1, 1, "'os'"), (1, 1, 0, "p || '.sub'"), (2, 1, 0, "p"), (3, 1, 0, "p"), (3, 1, 1, "'json'"), (4, 1, 0, "p")]))
+def c3_statements(spark, d):
+    """Several statements on a line, one over several lines; not those in quotes, in a compound statement or broken off."""
+    return imports.python_imports(_forms(spark, d, "svc/src/a.py", PY_FORMS), "pos").select("pos", "line_no", "ordinal", "raw_target")
+
+
+JS_FORMS = [
+    ["'import {'", "'  a,'", """concat('} from "', x.package_name, '/sub";')"""], ["""concat("import{x}from'", x.package_name, "'")"""], ["""concat("const a = require('", x.package_name, "'), b = await import( '", x.package_name, "/x' ), c = require('", x.package_name, "');")"""],
+    ["""concat("import '", x.package_name, "'; export * from '@s/", x.package_name, "'")"""], ["""concat("run --save-from '", x.package_name, "'; x-import('no'); require(name)")"""],
+]
+
+
+@query("c2_js_forms", _form_sql([3, 1, 1, 1, 1], [(0, 3, 0, "package_name || '/sub'"), (1, 1, 0, "package_name"), (2, 1, 0, "package_name"), (2, 1, 1, "package_name || '/x'"), (2, 1, 2, "package_name"), (3, 1, 0, "package_name"), (3, 1, 1, "'@s/' || package_name")]))
+def c2_forms(spark, d):
+    return imports.js_imports(_forms(spark, d, "web/a.tsx", JS_FORMS), "pos").select("pos", "line_no", "ordinal", "raw_target")
+
+
 @query("c4_rust_imports", RANKED + ", m AS (SELECT pos, max(k) AS z FROM n GROUP BY 1) SELECT pos, CAST(k + 1 AS INT) AS line_no, replace(package_name, '-', '_') || '::Thing' AS raw_target FROM n UNION ALL SELECT pos, 1, 'std::io' FROM m UNION ALL SELECT pos, CAST(z + 2 AS INT), 'serde' FROM m")
 def c4_rust(spark, d):
     return imports.rust_java_imports(_rendered(spark, d, [], SOURCES["Rust"]), "pos").select("pos", "line_no", "raw_target")

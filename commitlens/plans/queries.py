@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths, versions
-from commitlens.operators import corpus, diff, evidence, imports, linking, quality, stats, windows
+from commitlens.operators import corpus, diff, evidence, imports, linking, manifests, quality, stats, windows
 from commitlens.plans import scratch
 from commitlens.plans.views import ctes, view
 
@@ -403,7 +403,7 @@ ROWS_SQL = ctes("v_decl") + """, r AS (SELECT DISTINCT pos, line_no, package_nam
 
 @query("c1_c7_npm_manifest", ROWS_SQL + " SELECT pos, path, CAST(k + 2 AS INT) AS line_no, package_name, version_spec FROM n")
 def c7(spark, d):
-    return diff.npm_manifest(diff.patch_lines(rendered(spark, d), "pos"), "pos")
+    return manifests.npm_manifest(diff.patch_lines(rendered(spark, d), "pos"), "pos").select("pos", "path", "line_no", "package_name", "version_spec")
 
 
 @query("c1_patch_lines", ROWS_SQL + ", x AS (SELECT pos, path, count(*) + 7 AS n FROM n GROUP BY 1, 2 UNION ALL SELECT pos, 'packages/a/src/index.ts', count(DISTINCT package_name) FROM r GROUP BY 1) SELECT pos, path, n AS n_lines, n AS n_added, CAST(n AS INT) AS last_line FROM x")
@@ -413,7 +413,7 @@ def c1(spark, d):
 
 @query("c2_js_imports", ROWS_SQL + " SELECT pos, CAST(row_number() OVER (PARTITION BY pos ORDER BY package_name || '/sub') AS INT) AS line_no, package_name || '/sub' AS raw_target, package_name FROM (SELECT DISTINCT pos, package_name FROM r)")
 def c2(spark, d):
-    return diff.js_imports(diff.patch_lines(rendered(spark, d), "pos"), "pos").select("pos", "line_no", "raw_target", diff.npm_package(F.col("raw_target")).alias("package_name"))
+    return imports.js_imports(diff.patch_lines(rendered(spark, d), "pos"), "pos").select("pos", "line_no", "raw_target", diff.npm_package(F.col("raw_target")).alias("package_name"))
 
 
 MIXED = "SELECT pos, path, path AS ordinal, lines FROM {c} LATERAL VIEW inline(array(named_struct('path', if(pos % 2 = 0, 'src/a.ts', 'node_modules/a.ts'), 'lines', array('x')), named_struct('path', if(pos % 3 = 0, 'b.py', 'b.txt'), 'lines', array('x')), named_struct('path', if(pos % 5 = 0, 'm/C.java', 'm/c.go'), 'lines', array('x', 'y')))) AS path, lines"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths, versions
-from commitlens.operators import diff, quality, stats
+from commitlens.operators import diff, imports, manifests, quality, stats
 from commitlens.plans import diff_queries, more_queries  # noqa: F401
 from commitlens.plans import queries as core
 
@@ -72,10 +72,10 @@ diff --git a/src/a.ts b/src/a.ts
 def test_patch_lines_manifest_and_imports(spark):
     p = spark.createDataFrame([("s1", PATCH), ("s2", PATCH.replace("\n", "\r\n")), ("s3", None), ("s4", "")], "sha string, patch string")
     lines = diff.patch_lines(p)
-    got = {(r.sha, r.package_name, r.version_spec, r.line_no) for r in diff.npm_manifest(lines).collect()}
+    got = {(r.sha, r.package_name, r.version_spec, r.line_no) for r in manifests.npm_manifest(lines).collect()}
     assert got == {(s, n, v, i) for s in ("s1", "s2") for n, v, i in (("left-pad", "1.3.0", 3), ("axios", "^1.6.0", 12))}
-    imports = [(r.line_no, r.ordinal, r.raw_target) for r in diff.js_imports(lines).filter("sha = 's1'").orderBy("line_no", "ordinal").collect()]
-    assert imports == [(1, 0, "left-pad"), (1, 1, "@scope/pkg/sub"), (3, 0, "./local")]
+    found = [(r.line_no, r.ordinal, r.raw_target) for r in imports.js_imports(lines).filter("sha = 's1'").orderBy("line_no", "ordinal").collect()]
+    assert found == [(1, 0, "left-pad"), (1, 1, "@scope/pkg/sub"), (3, 0, "./local")]
     t = spark.createDataFrame([("@scope/pkg/sub",), ("a/b",), ("./x",), ("node:fs",), ("@/x",)], "t string")
     assert [r[0] for r in t.select(diff.npm_package(F.col("t"))).collect()] == ["@scope/pkg", "a", None, None, None]
 
