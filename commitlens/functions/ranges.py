@@ -203,3 +203,64 @@ def range_match(ecosystem: str, version: Column, key: Column, bounds: Column, pr
     known = key.isNotNull() & (version.rlike(NUMERIC) if ecosystem == "Maven" else F.lit(True))
     hit = F.exists(bounds, lambda branch: F.forall(branch, lambda b: _holds(key, version, b)))
     return F.when(known, F.when(is_prerelease(key) & ~prereleases, False).otherwise(hit) if ecosystem != "Maven" else hit)
+
+
+def _edge(key: Column, stage: int) -> Column:
+    """Before (stage -9) or behind (9) all versions of a key's release."""
+    return F.struct(
+        key["epoch"].alias("epoch"), key["release"].alias("release"), F.struct(F.lit(stage).alias("stage"), F.lit(0).cast("long").alias("n")).alias("pre"),
+        F.lit(-1).cast("long").alias("post"), F.lit(0).cast("long").alias("dev"), F.array().cast("array<struct<n:bigint,s:string>>").alias("local"),
+    )
+
+
+def cut(key: Column, side: int) -> Column:
+    """A place in the order of versions: just before (-1), at (0) or just behind (1) a key."""
+    return F.struct(key.cast(KEY_TYPE).alias("key"), F.lit(side).alias("side"))
+
+
+CUT_TYPE = f"struct<key:{KEY_TYPE},side:int>"
+STRETCH = f"struct<lo:{CUT_TYPE},hi:{CUT_TYPE},hole:boolean>"
+
+
+def _stretch(b: Column) -> Column:
+    """The versions that hold a bound, as struct(lo, hi, hole): between two cuts, or with hole outside them; null if they are no
+    such stretch. A side that is open is null."""
+    op, want, nowhere = b["op"], b["key"], F.lit(None).cast(CUT_TYPE)
+    final = (want["pre"]["stage"] == 3) & (want["post"] < 0) & (want["dev"] == LAST)
+    with_locals = want.withField("local", F.array(F.struct(F.lit(LAST).alias("n"), F.lit("").alias("s"))))
+    plain = F.size(want["local"]) == 0
+    trimmed = F.filter(F.transform(b["release"], lambda x, i: F.when(F.exists(F.slice(b["release"], i + 1, F.size(b["release"])), lambda y: y > 0), x)), lambda x: x.isNotNull())
+    n = F.size(b["release"])
+    behind = F.concat(F.slice(b["release"], 1, n - 1), F.array(F.element_at(b["release"], n) + 1))
+    low = _edge(F.struct(want["epoch"].alias("epoch"), trimmed.alias("release")), -9)
+    high = _edge(F.struct(want["epoch"].alias("epoch"), behind.alias("release")), -9)
+    s = lambda lo, hi, hole=False: F.struct((nowhere if lo is None else lo).alias("lo"), (nowhere if hi is None else hi).alias("hi"), F.lit(hole).alias("hole"))
+    prefix = (n > 0) & op.isin("p==*", "p!=*")
+    return (
+        F.when(op == "=", s(cut(want, -1), cut(want, 1))).when(op == "<", s(None, cut(want, -1))).when(op == "<=", s(None, cut(want, 1))).when(op == ">", s(cut(want, 1), None)).when(op == ">=", s(cut(want, -1), None))
+        .when((op == "p>=") & plain, s(cut(want, -1), None)).when((op == "p<=") & plain, s(None, cut(with_locals, 1)))
+        .when(op == "p==", F.when(plain, s(cut(want, -1), cut(with_locals, 1))).otherwise(s(cut(want, -1), cut(want, 1))))
+        .when(op == "p!=", F.when(plain, s(cut(want, -1), cut(with_locals, 1), True)).otherwise(s(cut(want, -1), cut(want, 1), True)))
+        .when(prefix & (op == "p==*"), s(cut(low, -1), cut(high, -1))).when(prefix, s(cut(low, -1), cut(high, -1), True))
+        .when((op == "p<") & final & plain, s(None, cut(_edge(want, -9), -1))).when((op == "p<") & is_prerelease(want) & plain, s(None, cut(want, -1))).when((op == "p>") & final & plain, s(cut(_edge(want, 9), 1), None))
+    )
+
+
+def range_stretches(bounds: Column) -> Column:
+    """A range as stretches struct(lo, hi) of the order of versions, whose union it is; null if a bound is no stretch. Where
+    bounds exclude stretches (!=), what is left between the holes counts, each gap for itself."""
+    cuts = f"array<{CUT_TYPE}>"
+
+    def branch(each):
+        inner, holes = F.filter(each, lambda x: ~x["hole"]), F.array_sort(F.filter(each, lambda x: x["hole"]))
+        lo, hi = F.array_max(F.transform(inner, lambda x: x["lo"])), F.array_min(F.transform(inner, lambda x: x["hi"]))
+
+        def gaps(h):
+            starts = F.transform(F.sequence(F.lit(0), F.size(h)), lambda i: F.array_max(F.concat(F.array(lo).cast(cuts), F.transform(F.slice(h, 1, i), lambda x: x["hi"]))))
+            return F.transform(starts, lambda x, i: F.struct(x.alias("lo"), F.array_min(F.array(hi, F.get(h, i)["lo"]).cast(cuts)).alias("hi")))
+
+        return let(holes, gaps)
+
+    each = F.transform(bounds, lambda b: F.transform(b, _stretch))
+    known = ~F.exists(F.flatten(each), lambda x: x.isNull())
+    return F.when(known, F.flatten(F.transform(each, branch)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.functions.ranges import inside_box, range_bounds, range_box, range_match, takes_prereleases, version_key
+from commitlens.functions.ranges import NUMERIC, cut, inside_box, is_prerelease, range_bounds, range_box, range_match, range_stretches, takes_prereleases, version_key
 from commitlens.functions.versions import exact_form, normalize_package, query_kind, query_value
 from commitlens.operators.quality import content_id
 from commitlens.plans.scratch import materialize
@@ -23,12 +23,75 @@ def discover_queries(planned: DataFrame) -> DataFrame:
     return q.groupBy("package_name").agg(F.count("*").alias("n_queries"), F.count_if(F.col("query_kind") == "exact").alias("n_exact"), F.count_if(F.col("query_kind") == "range").alias("n_range"), F.count_if(F.col("query_kind") == "name_only").alias("n_name_only"))
 
 
+#: Endpoints of a package's ranges that are placed by one task, with a copy of the package's releases.
+ENDPOINTS = 200_000
+
+
+def first_matches(asked: DataFrame, releases: DataFrame, ecosystem: str, endpoints: int = ENDPOINTS) -> DataFrame:
+    """package_name, query_value, first_at, n, unordered, timeless for each range of asked (package_name, query_value, pre,
+    stretches) whose package has releases (package_name, v, key, published_at).
+
+    An index of each package's releases in the order of versions: a stretch's ends are placed among them by a running
+    count, so a stretch is a run of ranks; the earliest publication of a run is the lesser of two runs of a power of two
+    that cover it, each of which is one row of a table (rank, power), found by an equi-join. Nothing pairs ranges with
+    releases. A package with many ranges is dealt out by range, each part with a copy of its releases. Releases without a
+    place in the order make every range of their package uncertain. Two indexes: plain releases, and all with prereleases.
+    """
+    ordered = F.col("key").isNotNull() & (F.col("v").rlike(NUMERIC) if ecosystem == "Maven" else F.lit(True))
+    known = releases.filter(ordered).withColumn("later", F.col("published_at").isNull().cast("long"))
+    both = known.select("package_name", F.lit(True).alias("pre"), "key", "published_at", "later")
+    if ecosystem != "Maven":
+        wanted = asked.filter("pre").select("package_name").distinct()
+        both = both.join(wanted, "package_name", "left_semi").unionByName(known.filter(~is_prerelease(F.col("key"))).select("package_name", F.lit(False).alias("pre"), "key", "published_at", "later"))
+    index = ["package_name", "pre"]
+    rank = F.row_number().over(Window.partitionBy(*index).orderBy("key")) - 1
+    ranked = materialize(both.withColumn("rank", rank), "ranked")
+    # ends among releases
+    ends = asked.select(*index, "query_value", F.posexplode("stretches").alias("i", "x"))
+    parts = ends.groupBy(*index).agg(F.ceil(F.count("*") * 2 / endpoints).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("query_value"), F.col("parts")).cast("int")
+    side = F.explode(F.array(F.struct(F.lit(False).alias("upper"), F.col("x.lo").alias("cut")), F.struct(F.lit(True).alias("upper"), F.col("x.hi").alias("cut"))))
+    ends = ends.join(parts, index).select(*index, salt.alias("part"), "query_value", "i", side.alias("e")).select(*index, "part", "query_value", "i", "e.*")
+    points = ranked.join(parts, index).select(*index, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), cut(F.col("key"), 0).alias("cut"), "later", F.lit(1).alias("release"))
+    points = points.unionByName(ends.select(*index, "part", "cut", "query_value", "i", "upper", F.lit(0).cast("long").alias("later"), F.lit(0).alias("release")), allowMissingColumns=True)
+    # an open lower end lies before, an open upper end behind all releases
+    place = F.struct(F.when(F.col("cut").isNotNull(), 0).when(F.col("upper"), 1).otherwise(-1), F.col("cut"))
+    upto = Window.partitionBy(*index, "part").orderBy(place).rangeBetween(Window.unboundedPreceding, 0)
+    placed = points.withColumns({"at": F.sum("release").over(upto), "late": F.sum("later").over(upto)}).filter("release = 0")
+    runs = placed.groupBy(*index, "query_value", "i").agg(*[F.max(F.when(F.col("upper") == u, F.col(c))).alias(f"{c}{int(u)}") for c in ("at", "late") for u in (False, True)])
+    runs = runs.filter("at1 > at0").withColumn("power", F.floor(F.log2(F.col("at1") - F.col("at0") + F.lit(0.5))).cast("int"))
+    probes = runs.select(*index, "query_value", "power", (F.col("late1") > F.col("late0")).alias("timeless"), F.explode(F.array(F.col("at0"), F.expr("at1 - int(shiftleft(1, power))"))).alias("rank"))
+    # the earliest publication of each run of a power of two
+    by = Window.partitionBy(*index).orderBy("rank")
+    most = ranked.agg(F.max("rank")).first()[0] or 0
+    table = ranked.select(*index, "rank", F.col("published_at").alias("p0"))
+    for k in range(1, (most + 1).bit_length()):
+        table = table.withColumn(f"p{k}", F.least(f"p{k - 1}", F.lead(f"p{k - 1}", 1 << (k - 1)).over(by)))
+    columns = [c for c in table.columns if c not in (*index, "rank")]
+    table = table.select(*index, "rank", F.posexplode(F.array(*columns)).alias("power", "first_at"))
+    found = probes.join(table.withColumn("rank", F.col("rank").cast("long")), [*index, "rank", "power"])
+    hits = found.groupBy("package_name", "query_value").agg(F.min("first_at").alias("first_at"), F.count("*").alias("n"), F.bool_or("timeless").alias("timeless"))
+    odd = releases.filter(~F.coalesce(ordered, F.lit(False))).select("package_name").distinct().withColumn("unordered", F.lit(True))
+    out = asked.select("package_name", "query_value").join(hits, ["package_name", "query_value"], "left").join(odd, "package_name", "left").filter("n is not null or unordered")
+    return out.select("package_name", "query_value", "first_at", "n", F.coalesce("unordered", F.lit(False)).alias("unordered"), F.coalesce("timeless", F.lit(False)).alias("timeless"))
+
+
+def each_match(asked: DataFrame, releases: DataFrame, ecosystem: str) -> DataFrame:
+    """The same by a test of each release of the package: for the few ranges that are no stretches of the order (=== and
+    comparisons with post-releases)."""
+    met = asked.withColumn("box", range_box(F.col("bounds"))).join(releases, "package_name").filter(inside_box(F.col("key"), F.col("box")))
+    met = met.withColumn("hit", range_match(ecosystem, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))).filter("hit is null or hit")
+    return met.groupBy("package_name", "query_value").agg(
+        F.min(F.when(F.col("hit"), F.col("published_at"))).alias("first_at"), F.nullif(F.count_if("hit"), F.lit(0)).alias("n"), F.bool_or(F.col("hit").isNull()).alias("unordered"), F.coalesce(F.bool_or(F.col("hit") & F.col("published_at").isNull()), F.lit(False)).alias("timeless"),
+    )
+
+
 def registry_status(planned: DataFrame, releases: DataFrame, key: list[str], ecosystem: str = "npm", lookups: DataFrame | None = None) -> DataFrame:
     """Registry status of each planned query against the author's time, with reasons.
 
     Distinct queries meet the releases, not episodes: what a package's history says to a (kind, value, time) is worked
-    out once. Exact values join on (package, version); a bare name sees its package's history summed up. A range meets
-    the releases of its package in the one pass that also sums up what matches; its bounds are parsed once. lookups
+    out once. Exact values join on (package, version); a bare name sees its package's history summed up. A range is looked
+    up in an index of its package's releases (first_matches); its bounds are parsed once. lookups
     (package_name, lookup_status): packages whose answer was not ok; not_found is an absence, anything else cannot be
     compared. Without lookups every package with releases was answered, and every other one with an empty history.
     """
@@ -40,16 +103,11 @@ def registry_status(planned: DataFrame, releases: DataFrame, key: list[str], eco
     one = rel.groupBy("package_name", "v").agg(*summed)
     exact = q.filter("query_kind = 'exact'").withColumn("v", exact_form(F.col("query_value"))).join(one, ["package_name", "v"], "left").drop("v")
     name = q.filter("query_kind = 'name_only'").join(history, "package_name", "left")
-    bounds = range_bounds(ecosystem, F.col("query_value"))
-    values = q.filter("query_kind = 'range'").select("query_value").distinct().withColumn("bounds", bounds).withColumn("pre", takes_prereleases(ecosystem, F.col("query_value"), F.col("bounds")))
-    values = materialize(values, "ranges")
-    asked = q.filter("query_kind = 'range'").select("package_name", "query_value").distinct().join(values, "query_value")
-    asked = materialize(asked.withColumn("box", range_box(F.col("bounds"))), "asked")
-    met = asked.filter("bounds is not null").join(rel, "package_name").filter(inside_box(F.col("key"), F.col("box")))
-    met = met.withColumn("hit", range_match(ecosystem, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))).filter("hit is null or hit")
-    inside = met.groupBy("package_name", "query_value").agg(
-        F.min(F.when(F.col("hit"), F.col("published_at"))).alias("first_at"), F.nullif(F.count_if("hit"), F.lit(0)).alias("n"), F.bool_or(F.col("hit").isNull()).alias("unordered"), F.bool_or(F.col("hit") & F.col("published_at").isNull()).alias("timeless"),
-    )
+    asked = q.filter("query_kind = 'range'").select("package_name", "query_value").distinct()
+    values = asked.select("query_value").distinct().withColumn("bounds", range_bounds(ecosystem, F.col("query_value")))
+    values = values.withColumn("pre", F.lit(True) if ecosystem == "Maven" else takes_prereleases(ecosystem, F.col("query_value"), F.col("bounds"))).withColumn("stretches", range_stretches(F.col("bounds")))
+    asked = materialize(asked.join(materialize(values, "ranges"), "query_value"), "asked")
+    inside = first_matches(asked.filter("stretches is not null"), rel, ecosystem).unionByName(each_match(asked.filter("bounds is not null and stretches is null"), rel, ecosystem))
     ranged = q.filter("query_kind = 'range'").join(asked.select("package_name", "query_value", F.col("bounds").isNull().alias("unsupported")), ["package_name", "query_value"])
     ranged = ranged.join(inside, ["package_name", "query_value"], "left")
     cols = ["package_name", "query_kind", "query_value", "author_date", "first_at", "n", "unordered", "timeless"]

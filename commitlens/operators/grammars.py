@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths
+from commitlens.functions.ranges import let
 
 #: Sections of package.json that declare dependencies, and the grammars' tokens.
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
@@ -62,6 +63,7 @@ PY_DANGLING = r"(?:[-=+*/%&|^~<>.:@]|\b(?:and|or|not|in|is|if|else|lambda|return
 #: The ecosystem of each kind of manifest.
 MANIFEST_ECOSYSTEM = {"npm": "npm", "requirements": "PyPI", "pyproject": "PyPI", "setup_cfg": "PyPI", "cargo": "Cargo", "gomod": "Go", "maven": "Maven", "gradle": "Maven", "catalog": "Maven"}
 LANGUAGE_KIND = {"TypeScript": "js", "JavaScript": "js", "Python": "py", "Rust": "rust", "Go": "go", "Java": "java"}
+BLANKS = " \t\n\x0b\f\r"
 KINDS = (*MANIFEST_ECOSYSTEM, *dict.fromkeys(LANGUAGE_KIND.values()))
 ITEM = "array<struct<ordinal:int,target:string,spec:string,status:string,reasons:array<string>>>"
 
@@ -149,24 +151,29 @@ def _by_kind(cases: dict[str, Column], otherwise: Column | None = None) -> Colum
     return out if otherwise is None else out.otherwise(otherwise)
 
 
-def _wanted(kinds: tuple[str, ...]) -> Column:
+def _wanted(kind: Column, kinds: tuple[str, ...]) -> Column:
     """Lines that can matter: all of a grammar with state, of others those that may declare. Of Python the lines that import
     or could continue an import."""
     t, added = F.col("text"), F.col("added")
     alone = {"js": added & t.rlike("from|import|require"), "rust": added & t.rlike("use|extern"), "java": added & t.contains("import"), "requirements": added, "gradle": added, "py": t.contains("import") | t.rlike(PY_BODY)}
-    return F.col("kind").isin(*kinds) & F.coalesce(_by_kind({k: v for k, v in alone.items() if k in kinds}, F.lit(True)) if set(alone) & set(kinds) else F.lit(True), F.lit(False))
+    out = F.when(~kind.isin(*kinds), False)
+    for k in kinds:
+        out = out.when(kind == k, alone[k]) if k in alone else out
+    return F.coalesce(out.otherwise(kind.isNotNull()), F.lit(False))
 
 
 def findings(lines: DataFrame, key: str = "sha", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """key, path, kind, line_no, ordinal, target, spec, status (null for imports), reasons of every import statement and every
     declared dependency in lines (key, file_no, path, hunk, line_no, added, text), of the given kinds of files."""
     whole = ("maven",)
-    df = lines.select(key, "file_no", "path", "hunk", "line_no", "added", "text", kind_of(F.col("path")).alias("kind")).filter(_wanted(kinds))
+    kind = kind_of(F.col("path"))
+    kept = lines.filter(let(kind, lambda k: _wanted(k, kinds)))  # the kind is worked out once for a line
+    df = kept.select(key, "file_no", "path", "hunk", "line_no", "added", "text", kind.alias("kind"))
     df = df.withColumn("scope", F.when(F.col("kind").isin(*whole), 0).otherwise(F.col("hunk"))).repartition(key, "file_no", "scope")
     file, order = [key, "file_no", "scope"], ["hunk", "line_no"]
     upto = Window.partitionBy(*file).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     t, s = F.col("text"), F.col("s")
-    df = df.withColumn("s", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    df = df.withColumn("s", F.trim("text", F.lit(BLANKS)))
     head = s.rlike(HEADER)
     has = lambda c: c in kinds
     pick = lambda cases: {k: v for k, v in cases.items() if has(k)} or {"": F.lit(None)}
@@ -252,5 +259,6 @@ def _declared(df: DataFrame, key: str, kinds: tuple[str, ...]) -> DataFrame:
     }
     on_line = _by_kind({k: v for k, v in cases.items() if k in kinds} or {"": none}, none)
     items = F.when(F.col("kind") == "maven", maven).when(added, on_line) if "maven" in kinds else F.when(added, on_line)
-    each = df.withColumn("found", items).filter("size(found) > 0")
-    return each.select(key, "path", "kind", F.col("at").alias("line_no"), F.explode("found").alias("x")).select(key, "path", "kind", "line_no", "x.*")
+    # outer, as else Spark works the list out once more to filter empty ones
+    each = df.select(key, "path", "kind", F.col("at").alias("line_no"), F.explode_outer(items).alias("x")).filter("x is not null")
+    return each.select(key, "path", "kind", "line_no", "x.*")

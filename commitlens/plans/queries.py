@@ -427,7 +427,7 @@ def c17(spark, d):
 
 @query("d5_match_manifests", ROWS_SQL + ", x AS (SELECT pos, package_name, CASE path WHEN 'packages/a/package.json' THEN 2 WHEN 'package.json' THEN 0 ELSE -1 END AS depth FROM r), m AS (SELECT pos, package_name, max(depth) AS depth FROM x GROUP BY 1, 2) SELECT x.pos, x.package_name, count(*) AS n_manifests FROM x JOIN m ON x.pos = m.pos AND x.package_name = m.package_name AND x.depth = m.depth GROUP BY 1, 2")
 def d5(spark, d):
-    events = scratch.materialize(imports.extract_events(diff.patch_lines(rendered(spark, d), "pos"), "pos"), "events")
+    events = scratch.materialize(imports.extract_events(diff.patch_lines(rendered(spark, d), "pos"), "pos", ("TypeScript", "JavaScript")), "events")
     met = linking.match_manifests(events, "pos").join(events.select("pos", F.col("event_id").alias("import_id"), "package_name"), ["pos", "import_id"])
     return met.groupBy("pos", "package_name").agg(F.count("*").alias("n_manifests"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import versions
-from commitlens.operators import adjudication, evidence, imports, linking, manifests, windows
+from commitlens.operators import adjudication, evidence, grammars, imports, linking, windows
 from commitlens.sources import tables
 from commitlens.streaming import jobs
 
@@ -64,7 +64,7 @@ def test_requirements(spark):
         "requests[security]>=2 ; python_version < '3'  # why": ("requests", ">=2"), "numpy": ("numpy", ""), "a @ git+https://x": ("a", "@ git+https://x"), "# no": None, "-r base.txt": None, "": None, "two words": None, "x ; extra == 'y'": ("x", ""),
         "pkg;sys_platform=='win32'": ("pkg", ""), "pkg ; weird": ("pkg", "; weird"),
     }
-    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("r", manifests.requirement(F.col("t")))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("r", grammars.requirement(F.col("t")))
     assert {r.t: (tuple(r.r) if r.r else None) for r in df.collect()} == texts
 
 

@@ -1,6 +1,8 @@
 """Version order and ranges against an independent implementation and stated cases."""
 
+import datetime
 import itertools
+import random
 
 import pytest
 from packaging.specifiers import SpecifierSet
@@ -8,6 +10,7 @@ from packaging.version import Version
 from pyspark.sql import functions as F
 
 from commitlens.functions import ranges
+from commitlens.operators import evidence
 
 TEXTS = ["1.0", "1.0.0", "1", "1.2.3", "1.10", "0.9.9", "2!1.0", "1.0a1", "1.0.b2", "1.0rc1", "1.0.dev3", "1.0a1.dev2", "1.0.post1", "1.0-2", "1.0.post1.dev4", "1.0+local.1", "1.0+2", "v3.1", "0.0", "1.2.4-beta.1", "2.0.0.0"]
 
@@ -56,3 +59,34 @@ def test_matches(spark, eco):
 def test_unsupported(spark):
     for eco, s in (("npm", ">=1 <"), ("npm", "next"), ("npm", "1.0.0 ||"), ("npm", "x.1"), ("Maven", "[1.0]"), ("Maven", "[a,b)"), ("Go", "v1")):
         assert spark.createDataFrame([(s,)], "s string").select(ranges.range_bounds(eco, F.col("s"))).first()[0] is None, (eco, s)
+
+
+def some_specs(r, eco, versions):
+    v = lambda: r.choice(versions)
+    if eco == "PyPI":
+        one = lambda: r.choice([">=", "<=", "==", "!=", ">", "<", "~="]) + r.choice(["1.0", "1.2.3", "2.0", "0.9", "1.0a1", "1.0.post1", "1.0+local.1", "2!1.0"])
+        return [",".join([one() for _ in range(r.randint(1, 4))] + r.choice([[], ["!=1.*"], ["==1.0.*"], ["!=1.2.*", "!=1.*"], ["===1.0"], [">0"]])) for _ in range(60)] + ["", ">1.0rc1", "<1.0.post1", "==0.*", "!=1.0,!=1.2.3"]
+    if eco == "Maven":
+        return [f"{r.choice('[(')}{r.choice(['', '1.0', '0.9'])},{r.choice(['', '1.2.3', '2.0'])}{r.choice('])')}" for _ in range(20)]
+    return [" ".join(r.choice(["^", "~", ">=", "<", "<=", ">", "="]) + v() for _ in range(r.randint(1, 2))) + r.choice(["", " || ^3.0.0", " || 1.x", " || 0.9.0 - 1.1.0"]) for _ in range(60)] + ["*", "1.x", "1", "^1.0.0-a"]
+
+
+@pytest.mark.parametrize("eco", ["npm", "Cargo", "Maven", "PyPI"])
+@pytest.mark.parametrize("endpoints", [3, 10**6])
+def test_first_matches(spark, eco, endpoints):
+    """What the index says of each range, against a test of each release; some packages dealt out in many parts."""
+    r = random.Random(f"{eco}{endpoints}")
+    days = [None, *[datetime.date(2020, 1, i) for i in range(1, 29)]]
+    pool = [t for t in TEXTS if eco == "PyPI" or "post" not in t] + ["1.3.0", "0.0.4", "1.0.1", "3.1.4", "1.2.0-rc.1", "3.0.0-beta", "odd", "1.0.5"]
+    releases = [(f"p{k}", v, r.choice(days)) for k in range(12) for v in r.sample([p for p in pool if k % 3 or p != "odd"], r.randint(1, 24))]
+    rel = spark.createDataFrame(releases, "package_name string, v string, published_at date").withColumn("key", ranges.version_key(F.col("v")))
+    asked = spark.createDataFrame(sorted({(f"p{k}", s) for k in range(13) for s in some_specs(r, eco, ["1.0.0", "1.2.3", "0.9.9", "2.0.0", "1.0.0-a1"])}), "package_name string, query_value string")
+    asked = asked.withColumn("bounds", ranges.range_bounds(eco, F.col("query_value"))).filter("bounds is not null")
+    asked = asked.withColumn("pre", F.lit(True) if eco == "Maven" else ranges.takes_prereleases(eco, F.col("query_value"), F.col("bounds"))).withColumn("stretches", ranges.range_stretches(F.col("bounds"))).cache()
+    straight = asked.filter("stretches is not null")
+    assert straight.count() > 0.5 * asked.count() > 10
+    hit = ranges.range_match(eco, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))
+    want = straight.join(rel, "package_name").withColumn("hit", hit).groupBy("package_name", "query_value").agg(F.count_if("hit").alias("n"), F.min(F.when(F.col("hit"), F.col("published_at"))).alias("at"), F.bool_or(F.col("hit") & F.col("published_at").isNull()).alias("timeless"), F.bool_or(F.col("hit").isNull()).alias("unordered"))
+    want = {(x.package_name, x.query_value): (x.n > 0, x.at, bool(x.timeless), x.unordered) for x in want.collect() if x.n or x.unordered}
+    got = {(x.package_name, x.query_value): (bool(x.n), x.first_at, x.timeless, x.unordered) for x in evidence.first_matches(straight, rel, eco, endpoints).collect()}
+    assert got == want
