@@ -17,6 +17,7 @@ VERSION = (
     r"(?:-(\d{1,18})|([-_.]?(?:post|rev|r)[-_.]?(\d{1,18})?))?([-_.]?dev[-_.]?(\d{1,18})?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 )
 STAGES = {"a": 0, "alpha": 0, "b": 1, "beta": 1, "c": 2, "rc": 2, "pre": 2, "preview": 2}
+PLAIN = r"^\d{1,18}(\.\d{1,18})*$"
 WILDCARD = r"^v*\d{1,18}(\.\d{1,18})*(\.[xX*])+$"
 PARTIAL = r"^v?\d{1,18}(\.\d{1,18})?$"
 HYPHEN = r"^\s*(\S+)\s+-\s+(\S+)\s*$"
@@ -61,7 +62,9 @@ def version_key(version: Column) -> Column:
             post.alias("post"), F.when(g[7] != "", n(g[8])).otherwise(F.lit(LAST)).alias("dev"), local.alias("local"),
         )
 
-    return F.when(version.rlike(VERSION), let(groups, build))
+    # most versions are plain numbers, which need no more than their zeros cut
+    plain = _release_key(_numbers(F.regexp_replace(version, r"(\.0+)+$|^0+$|^0+(\.0+)+$", "")))
+    return F.when(version.rlike(PLAIN), plain).when(version.rlike(VERSION), let(groups, build))
 
 
 def is_prerelease(key: Column) -> Column:
