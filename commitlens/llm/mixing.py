@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import SPACE_WORD, materialize, small
+from commitlens.llm.common import SPACE_WORD, materialize, numbered, small
 
 #: Fixed values of the contract: weights in turn, the share of all words to mix, most passes over a source.
 WEIGHTS, SHARE, MOST_PASSES = (5, 2, 1), 1.5, 2
@@ -33,9 +33,12 @@ BLOCK_WORDS = 256
 CHUNK_SLOTS, CELL_BITS = 1 << 14, 10
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
+def word_sizes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, source, size, key (the place in the shuffled order) and row (a number, given or new)."""
     size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.monotonically_increasing_id().alias("row"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))  # rows without doc_id are dealt out by their text
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.lit("mix:"), name)).alias("key"), row.alias("row"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -94,12 +97,17 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) for every row."""
-    sizes = materialize(word_sizes(docs), "sizes")
+    return _taken(word_sizes(docs), weights, share, block).drop("row")
+
+
+def _taken(sizes: DataFrame, weights, share: float, block: int) -> DataFrame:
+    """The same with the rows' numbers."""
+    sizes = materialize(sizes, "sizes")
     sources = materialize(source_targets(sizes, weights, share).coalesce(1), "sources")
     total = sources.agg(F.max("total")).first()[0] or 0.0
     rows = laid_out(sizes, sources)
     if total <= 0:
-        return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return rows.select("row", "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     blocks = small(materialize(source_slots(sources, block), "source_slots"))
     slots = materialize(schedule(sources, block, total).select("sid", "rank"), "slots")
     given = slots.groupBy("sid").agg(F.count("*").alias("given"))
@@ -111,13 +119,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLO
     words = F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})")
     begun = F.expr(f"greatest(0, least(start + size, block * {block} + part) - greatest(start, block * {block}))")
     pieces = pieces.join(used, ["sid", "block"], "left").withColumn("words", words * F.col("times") + begun)
-    return pieces.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")).drop("row")
+    return pieces.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The mix as documents, whole: each is given round(taken / size) times (half up), so 0, 1 or 2 times; a document
-    without words cannot weigh in and is left out. Columns of docs."""
-    plan = mix(docs, weights, share).filter("size > 0 and 2 * taken >= size").groupBy("doc_id").agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).alias("times"))
-    whole = docs.select(F.struct("*").alias("doc"))  # as a struct, so that no column can clash
-    given = whole.join(plan, F.col("doc.doc_id").eqNullSafe(plan.doc_id)).select("doc", "times")
-    return given.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as documents, whole: each row is given round(taken / size) times (half up), so 0, 1 or 2 times; a document
+    without words cannot weigh in and is left out. Columns of docs.
+
+    Defined results: every row counts for itself, also rows that share a doc_id or have none; null text has no words; a
+    null source is one source; an empty table gives an empty result.
+    """
+    rows = numbered(docs)
+    texts = rows.select("row", *[F.col(f"doc.{c}").alias(c) for c in ("doc_id", "source", "text")])
+    plan = _taken(word_sizes(texts, F.col("row")), weights, share, block).filter("size > 0 and 2 * taken >= size")
+    given = rows.join(plan.select("row", F.expr("int((2 * taken + size) div (2 * size))").alias("times")), "row")
+    return given.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

@@ -15,7 +15,8 @@ Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the
 TRAIN_CHARS characters (longer ones are not fitted on), and of a text KEPT sentences. Scoring reads every text whole.
 Words are what white space separates, lower-cased, freed of marks and given marks at both ends; single letters in a row
 are also read as one word; a sentence ends at . ! ? or a line end, and one of over STRETCH words is read in stretches
-that overlap; a word of over MOST_LETTERS is read in windows of LONG letters, each a sentence of its own.
+that overlap; a word of over MOST_LETTERS is read in windows of LONG letters, the last of which ends with the word, each
+a sentence of its own. A word of one or two letters shares no subsequence with any landmark and is left out.
 
 Defined results: null and empty texts have no sentence and get the score of a sentence without likeness; labels with a
 null toxic are skipped, of several labels of a doc_id the greatest holds, of several texts the least; without training
@@ -70,7 +71,7 @@ def sentences(text: str | None) -> list[list[str]]:
                 out.append(short)
             for x in words:
                 if len(x) > MOST_LETTERS:
-                    out.extend([x[i : i + LONG]] for i in range(0, len(x) - LONG + 1, STEP))
+                    out.extend([x[i : i + LONG]] for i in sorted({*range(0, len(x) - LONG, STEP), len(x) - LONG}))
     return out
 
 

@@ -171,6 +171,24 @@ def test_mixing_production_blocks_and_small_sources(spark):
     assert len(slots) == 5000 and all(r.sid == int((r.slot * mixing.GOLDEN & mask) >> 59) for r in slots)
 
 
+def test_mixed_documents_by_row(spark):
+    """Rows without doc_id, or with a shared one, are each given by their own share; sources come near their targets."""
+    r = random.Random(4)
+    texts = [("a", None, 400), ("a", 7, 200), ("b", None, 300), ("c", 1, 100)]
+    rows = [(d, " ".join([f"{s}{k}"] + ["w"] * r.randint(0, 60)), s) for s, d, n in texts for k in range(n)] + [(None, None, "a"), (None, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    times = Counter(x.text for x in mixing.mixed_documents(df, (1, 4, 2), 1.2, 16).collect())
+    got = mixing.mix(df, (1, 4, 2), 1.2, 16).collect()
+    words = {t: len(t.split()) for _, t, _ in rows if t}
+    given = Counter()
+    for _, t, s in rows:
+        given[s] += times[t] // sum(x[1] == t for x in rows) * words[t] if t else 0
+    assert max(times.values()) <= 2 * 2 and None not in times and "" not in times
+    for s in "abc":
+        target = next(x.target for x in got if x.source == s)
+        assert abs(given[s] - target) < 0.1 * target, (s, given[s], target)
+
+
 def test_decontamination(spark, docs, rows, nothing):
     plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
     long = [r for r in rows if len(plain(r[1])) > 30]
@@ -498,6 +516,9 @@ def test_toxicity_sentences():
         assert any("^idiot$" in s for s in toxicity.sentences(text)), text
     long = toxicity.sentences("x" * 30)
     assert set(map(tuple, long)) == {("x" * toxicity.LONG,)} and len(long) == (30 - toxicity.LONG) // toxicity.STEP + 1
+    for n in range(25, 32):  # every letter is read
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        assert {c for s in toxicity.sentences(word) for w in s for c in w} == set(word)
     many = toxicity.sentences(" ".join(f"w{i}ord" for i in range(1000)))
     assert {w for s in many for w in s} == {f"^w{i}ord$" for i in range(1000)} and max(map(len, many)) <= toxicity.STRETCH
 
