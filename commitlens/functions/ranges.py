@@ -17,6 +17,7 @@ VERSION = (
     r"(?:-(\d{1,18})|([-_.]?(?:post|rev|r)[-_.]?(\d{1,18})?))?([-_.]?dev[-_.]?(\d{1,18})?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
 )
 STAGES = {"a": 0, "alpha": 0, "b": 1, "beta": 1, "c": 2, "rc": 2, "pre": 2, "preview": 2}
+ZEROS = r"^0+(\.0+)*$|(\.0+)+$"
 PLAIN = r"^\d{1,18}(\.\d{1,18})*$"
 WILDCARD = r"^v*\d{1,18}(\.\d{1,18})*(\.[xX*])+$"
 PARTIAL = r"^v?\d{1,18}(\.\d{1,18})?$"
@@ -58,12 +59,12 @@ def version_key(version: Column) -> Column:
         first = F.when(stage.isNotNull(), stage).when((g[4] == "") & (g[5] == "") & (g[7] != ""), -1).otherwise(3)
         local = F.transform(F.filter(F.split(F.lower(g[9]), "[-_.]"), lambda x: x != ""), lambda x: F.struct(F.coalesce(x.try_cast("long"), F.lit(-1).cast("long")).alias("n"), F.when(x.try_cast("long").isNull(), x).otherwise("").alias("s")))
         return F.struct(
-            n(g[0]).alias("epoch"), _numbers(F.regexp_replace(g[1], r"(\.0+)+$|^0+$", "")).alias("release"), F.struct(first.alias("stage"), n(g[3]).alias("n")).alias("pre"),
+            n(g[0]).alias("epoch"), _numbers(F.regexp_replace(g[1], ZEROS, "")).alias("release"), F.struct(first.alias("stage"), n(g[3]).alias("n")).alias("pre"),
             post.alias("post"), F.when(g[7] != "", n(g[8])).otherwise(F.lit(LAST)).alias("dev"), local.alias("local"),
         )
 
     # most versions are plain numbers, which need no more than their zeros cut
-    plain = _release_key(_numbers(F.regexp_replace(version, r"(\.0+)+$|^0+$|^0+(\.0+)+$", "")))
+    plain = _release_key(_numbers(F.regexp_replace(version, ZEROS, "")))
     return F.when(version.rlike(PLAIN), plain).when(version.rlike(VERSION), let(groups, build))
 
 
