@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitlens.plans.scratch import BROADCAST_ROWS, is_small, materialize, small
+
+
+#: Characters of the pieces of a text by which rules meet messages.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of n characters, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def text_hits(commits: DataFrame, rules: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """commits with agent, channel, mode of each rule (agent, channel, mode, value) whose value is part of the message.
+
+    A rule goes by the rarest of its pieces of three characters (a shorter one by itself): messages give up their distinct
+    pieces, the pieces meet the rules in an equi-join, and only then is the rule's whole value sought. So any number of
+    rules costs a message its pieces, not its rules. Rules that are too many to be sent to all tasks meet pieces in a
+    shuffle, which carries the message's number and not its text. An empty value is part of every message.
+    """
+    rules = materialize(rules.filter("value is not null").withColumn("rule", F.monotonically_increasing_id()), "rules")
+    sizes = [r["n"] for r in rules.select(F.least(F.length("value"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # four at most
+    found = None
+    for n in sizes:
+        mine = rules.filter(F.least(F.length("value"), F.lit(GRAM)) == n)
+        if n == 0:
+            hit = commits.join(small(materialize(mine.select("agent", "channel", "mode", F.lit(1).alias("_one")), "rules_0"), most), F.col("_one") == F.lit(1)).drop("_one")
+        else:
+            said = commits.withColumn("_low", F.lower("message"))
+            each = materialize(mine.select("rule", F.explode(_grams(F.col("value"), n)).alias("_gram")), "grams")
+            asked = materialize(each.select("_gram").distinct(), "asked")
+            often = said.select(F.explode(_grams(F.col("_low"), n)).alias("_gram")).join(small(asked, most), "_gram").groupBy("_gram").agg(F.count("*").alias("often"))
+            # a piece that no message has is the rarest of all
+            best = each.join(often, "_gram", "left").groupBy("rule").agg(F.min_by("_gram", F.struct(F.coalesce("often", F.lit(0)), F.col("_gram"))).alias("_gram"))
+            keyed = materialize(mine.join(best, "rule"), "keyed")
+            if is_small(keyed, most):
+                hit = said.withColumn("_gram", F.explode(_grams(F.col("_low"), n))).join(F.broadcast(keyed), "_gram").filter(F.contains("_low", "value"))
+            else:
+                rows = materialize(said.withColumn("_row", F.monotonically_increasing_id()), "said")
+                pairs = rows.select("_row", F.explode(_grams(F.col("_low"), n)).alias("_gram")).join(keyed.select("_gram", "rule"), "_gram").select("_row", "rule")
+                hit = rows.join(pairs, "_row").join(keyed, "rule").filter(F.contains("_low", "value"))
+            hit = hit.select(*commits.columns, "agent", "channel", "mode")
+        found = hit if found is None else found.unionByName(hit)
+    return commits.limit(0).select("*", *[F.lit(None).cast("string").alias(c) for c in ("agent", "channel", "mode")]) if found is None else found
+
 
 def attribute_channels(commits: DataFrame, rules: DataFrame) -> DataFrame:
     """commits with agent, channel and mode of every rule that fits.
 
     rules: agent, channel, mode, query_type (author-email, author, fulltext), value. E-mails and logins meet their rules
-    in equi-joins, in lower case; texts are sought in the message, for which each commit goes by the few text rules once.
+    in equi-joins, in lower case; texts are sought in the message (text_hits).
     """
-    rules = rules.withColumn("value", F.lower("value")).select("agent", "channel", "mode", "query_type", "value")
-    found = None
+    rules = materialize(rules.select("agent", "channel", "mode", "query_type", F.lower("value").alias("value")), "rules")
+    found = text_hits(commits, rules.filter("query_type = 'fulltext'").drop("query_type"))
     for kind, column in (("author-email", "author_email"), ("author", "author_login")):
-        r = F.broadcast(rules.filter(F.col("query_type") == kind).drop("query_type"))
-        hit = commits.withColumn("value", F.lower(column)).join(r, "value").drop("value")
-        found = hit if found is None else found.unionByName(hit)
-    texts = F.broadcast(rules.filter("query_type = 'fulltext'").agg(F.collect_list(F.struct("agent", "channel", "mode", "value")).alias("texts")))
-    said = commits.join(texts).withColumn("low", F.lower("message"))  # one row of rules
-    said = said.withColumn("hit", F.explode(F.expr("filter(texts, r -> contains(low, r.value))"))).drop("texts", "low")
-    said = said.select("*", "hit.agent", "hit.channel", "hit.mode").drop("hit")
-    return found.unionByName(said)
+        r = small(materialize(rules.filter(F.col("query_type") == kind).select("agent", "channel", "mode", F.col("value").alias("_value")), "rules"))
+        found = found.unionByName(commits.join(r, F.lower(column) == F.col("_value")).drop("_value"))
+    return found
 
 
 def to_observations(items: DataFrame, order: str = "seq") -> DataFrame:

@@ -35,22 +35,28 @@ def audit_schedule(windows: DataFrame) -> DataFrame:
 
 def bisect_windows(commits: DataFrame, windows: DataFrame, cap: int, least_seconds: int) -> DataFrame:
     """Splits windows at their middle (whole seconds) while they hold more than cap commits and are longer than
-    least_seconds, until none is left to split: lengths halve, so rounds grow with the logarithm of the longest window.
-    segment_start, segment_end, n, depth, status of every segment tried."""
+    least_seconds. segment_start, segment_end, n, depth, status of every segment tried.
+
+    Commits are read once: each time of a window names the segments that it falls into, one of each depth, and one
+    aggregate counts them all. A segment that is to be split has more than cap commits, so its ancestors have too and are
+    split as well: what is tried are the windows and the two halves of every such segment.
+    """
     if least_seconds < 1:
         raise ValueError("least_seconds is a second or more")
-    todo = windows.select(F.col("window_start").alias("s"), F.col("window_end").alias("e")).withColumn("depth", F.lit(0))
-    times, out = commits.select("author_date"), None
-    while True:
-        days = todo.withColumn("day", F.explode(F.expr("sequence(to_date(s), to_date(e - interval 1 microsecond))")))
-        hit = days.join(times.withColumn("day", F.to_date("author_date")), "day").filter("author_date >= s and author_date < e").groupBy("s", "e", "depth").agg(F.count("*").alias("n"))
-        seconds = F.expr("timestampdiff(SECOND, s, e)")
-        full = todo.join(hit, ["s", "e", "depth"], "left").fillna({"n": 0}).withColumn("seconds", seconds)
-        status = F.when(F.col("n") <= cap, "ok").when(F.col("seconds") > least_seconds, "split_probe").otherwise("cap_bound_terminal")
-        full = materialize(full.withColumn("status", status), "segments")
-        out = full if out is None else out.unionByName(full)
-        split = full.filter("status = 'split_probe'").withColumn("m", F.expr("s + make_dt_interval(0, 0, 0, CAST(seconds div 2 AS INT))"))
-        todo = split.select("s", F.col("m").alias("e"), (F.col("depth") + 1).alias("depth")).unionByName(split.select(F.col("m").alias("s"), "e", (F.col("depth") + 1).alias("depth")))
-        if todo.isEmpty():
-            break
-    return out.select(F.col("s").alias("segment_start"), F.col("e").alias("segment_end"), "n", "depth", "status")
+    whole = windows.select(F.col("window_start").alias("s"), F.col("window_end").alias("e")).distinct().filter("e > s").withColumn("length", F.expr("timestampdiff(SECOND, s, e)"))
+    touched = whole.withColumn("day", F.explode(F.expr("sequence(to_date(s), to_date(e - interval 1 microsecond))")))
+    times = commits.groupBy("author_date").agg(F.count("*").alias("n")).withColumn("day", F.to_date("author_date"))
+    hit = times.join(touched, "day").filter("author_date >= s and author_date < e").withColumn("at", F.expr("timestampdiff(SECOND, s, author_date)")).groupBy("s", "e", "length", "at").agg(F.sum("n").alias("n"))
+    root = "named_struct('lo', 0L, 'long', length)"
+    half = "named_struct('lo', if(at < x.lo + x.long div 2, x.lo, x.lo + x.long div 2), 'long', if(at < x.lo + x.long div 2, x.long div 2, x.long - x.long div 2))"
+    # lengths halve, so 63 depths are more than a long can hold
+    path = F.expr(f"aggregate(sequence(1, 63), array({root}), (p, i) -> transform(array(element_at(p, -1)), x -> if(x.long > {least_seconds}, array_append(p, {half}), p))[0])")
+    counts = hit.select("s", "e", "length", "n", F.posexplode(path).alias("depth", "g")).groupBy("s", "e", "length", "depth", "g").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.select("s", "e", "length", "depth", F.col("g.lo").alias("lo"), F.col("g.long").alias("long"), "n"), "segments")
+    halves = F.explode(F.expr("array(named_struct('lo', lo, 'long', long div 2), named_struct('lo', lo + long div 2, 'long', long - long div 2))"))
+    split = counts.filter(f"n > {cap} and long > {least_seconds}").select("s", "e", (F.col("depth") + 1).alias("depth"), halves.alias("g")).select("s", "e", "depth", "g.*")
+    tried = whole.select("s", "e", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("lo"), F.col("length").alias("long")).unionByName(split)
+    tried = tried.join(counts.drop("length"), ["s", "e", "depth", "lo", "long"], "left").fillna({"n": 0})
+    status = F.when(F.col("n") <= cap, "ok").when(F.col("long") > least_seconds, "split_probe").otherwise("cap_bound_terminal")
+    end = F.when(F.col("lo") + F.col("long") == F.expr("timestampdiff(SECOND, s, e)"), F.col("e")).otherwise(F.expr("timestampadd(SECOND, lo + long, s)"))
+    return tried.select(F.expr("timestampadd(SECOND, lo, s)").alias("segment_start"), end.alias("segment_end"), "n", "depth", status.alias("status"))

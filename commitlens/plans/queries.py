@@ -263,12 +263,18 @@ def h17(spark, d):
     return windows.audit_schedule(sampled(spark).join(days, "day", "left_semi")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("h18_bisect_windows", ctes("v_commit") + """, b AS (SELECT *, author_date AS t FROM v_commit), lv AS (SELECT d, i, TIMESTAMP '1995-01-01' + to_seconds(i * (31536000 >> d)) AS s, TIMESTAMP '1995-01-01' + to_seconds((i + 1) * (31536000 >> d)) AS e FROM (SELECT unnest(range(0, 6)) AS d), LATERAL (SELECT unnest(range(0, 1 << d)) AS i)),
-n AS (SELECT d, i, s, e, (SELECT count(*) FROM b WHERE t >= s AND t < e) AS n FROM lv), o AS (SELECT x.*, (SELECT count(*) FROM n y WHERE y.d < x.d AND y.i = x.i >> (x.d - y.d) AND y.n > 300) AS up FROM n x)
-SELECT s AS segment_start, e AS segment_end, n, CAST(d AS INT) AS depth, CASE WHEN n <= 300 THEN 'ok' WHEN d < 5 THEN 'split_probe' ELSE 'cap_bound_terminal' END AS status FROM o WHERE up = d""")
+@query("h18_bisect_windows", ctes("v_commit") + """, b AS (SELECT CAST(author_date AS TIMESTAMP) AS t FROM v_commit), yr AS (SELECT unnest(range((SELECT year(min(t)) FROM b), (SELECT year(max(t)) + 1 FROM b))) AS y),
+w AS (SELECT make_timestamp(y, 1, 1, 0, 0, 0) AS s0, date_diff('second', make_timestamp(y, 1, 1, 0, 0, 0), make_timestamp(y + 1, 1, 1, 0, 0, 0)) AS len FROM yr),
+lv AS (SELECT s0, d, i, s0 + to_seconds(i * (len >> d)) AS s, s0 + to_seconds((i + 1) * (len >> d)) AS e FROM w, (SELECT unnest(range(0, 6)) AS d), LATERAL (SELECT unnest(range(0, 1 << d)) AS i)),
+c AS (SELECT lv.s0, d, i, count(*) AS n FROM lv JOIN b ON t >= s AND t < e GROUP BY ALL), n AS (SELECT lv.*, coalesce(c.n, 0) AS n FROM lv LEFT JOIN c USING (s0, d, i)),
+o AS (SELECT x.s0, x.d, x.i, count(*) AS up FROM n x JOIN n y ON x.s0 = y.s0 AND y.d < x.d AND y.i = x.i >> (x.d - y.d) AND y.n > 300 GROUP BY ALL)
+SELECT s AS segment_start, e AS segment_end, n, CAST(d AS INT) AS depth, CASE WHEN n <= 300 THEN 'ok' WHEN d < 5 THEN 'split_probe' ELSE 'cap_bound_terminal' END AS status FROM n LEFT JOIN o USING (s0, d, i) WHERE coalesce(up, 0) = d""")
 def h18(spark, d):
-    w = spark.sql("SELECT timestamp_ntz'1995-01-01 00:00:00' AS window_start, timestamp_ntz'1996-01-01 00:00:00' AS window_end")
-    return windows.bisect_windows(view(spark, d, "v_commit"), w, cap=300, least_seconds=31536000 >> 5)
+    """A window for each year of the table; down to segments of less than a million seconds, a year's 32nd part."""
+    commits = view(spark, d, "v_commit")
+    years = commits.agg(F.min(F.year("author_date")).alias("lo"), F.max(F.year("author_date")).alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("y"))
+    start = lambda y: F.to_timestamp_ntz(F.concat(y.cast("string"), F.lit("-01-01 00:00:00")))
+    return windows.bisect_windows(commits, years.select(start(F.col("y")).alias("window_start"), start(F.col("y") + 1).alias("window_end")), cap=300, least_seconds=1_000_000)
 
 
 @query("j3_prevalence", ctes("v_obs") + """, c AS (SELECT channel, count(*) FILTER (tier = 'bad') AS k, count(*) AS n FROM v_obs GROUP BY 1)

@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows and bytes of a side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,6 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Does counting prove that df, a materialised table, has at most so many rows and bytes (as JSON)?"""
+    n = df.limit(rows + 1).count()
+    return n <= rows and (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) + 16 * n <= most
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small; else as it is, and its joins shuffle."""
+    return F.broadcast(df) if is_small(df, rows, most) else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize wrote, once nothing that is still to run reads them."""
     for df in tables:

@@ -1,12 +1,14 @@
 """Stated cases of adjudication, linking, sources and streams."""
 
+import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import versions
-from commitlens.operators import adjudication, evidence, grammars, imports, linking, windows
+from commitlens.operators import adjudication, attribution, evidence, grammars, imports, linking, windows
 from commitlens.sources import tables
 from commitlens.streaming import jobs
 
@@ -180,3 +182,44 @@ def test_episodes_with_contexts(spark):
         ("left", "exact", "1.4.0", "matched_manifest_and_lock", "I+M+"), ("right", "exact", "3.0.0", "matched_existing_manifest", "I+M-"), ("ours", "excluded", "", "first_party_excluded", "I+M-"), ("bare", "name_only", "", "no_matching_manifest", "I+M-"), ("idle", "exact", "2.5.0", "not_applicable_manifest_only", "I-M+"),
     }
     assert {(r.event_id, r.link_method) for r in links.collect()} == {("i1", "identity_match"), ("m1", "identity_match"), ("i2", "context_match"), ("i3", "context_match"), ("i4", "import_only"), ("m2", "manifest_only")}
+
+
+def bisected_by_hand(times, start, end, cap, least):
+    out, todo = [], [(start, end, 0)]
+    while todo:
+        s, e, depth = todo.pop()
+        n, seconds = sum(s <= t < e for t in times), int((e - s).total_seconds())
+        status = "ok" if n <= cap else "split_probe" if seconds > least else "cap_bound_terminal"
+        out.append((s, e, n, depth, status))
+        if status == "split_probe":
+            m = s + datetime.timedelta(seconds=seconds // 2)
+            todo += [(s, m, depth + 1), (m, e, depth + 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("cap", "least"), [(0, 1), (2, 7), (5, 1), (300, 1)])
+def test_bisected_windows(spark, cap, least):
+    """Windows of odd lengths, off the second, over midnight, empty and overlapping, against splitting one by one."""
+    r = random.Random(cap)
+    base = datetime.datetime(2020, 2, 28, 22, 0, 0)
+    times = [base + datetime.timedelta(seconds=r.choice([r.randint(0, 9000), 4000]), microseconds=r.choice([0, 5])) for _ in range(200)]
+    spans = [(base, base + datetime.timedelta(seconds=7201)), (base + datetime.timedelta(seconds=100, microseconds=3), base + datetime.timedelta(seconds=8000, microseconds=3)), (base - datetime.timedelta(days=3), base - datetime.timedelta(days=2)), (base, base)]
+    c = spark.createDataFrame([(t,) for t in times], "author_date timestamp_ntz")
+    w = spark.createDataFrame([*spans, spans[0]], "window_start timestamp_ntz, window_end timestamp_ntz")
+    got = windows.bisect_windows(c, w, cap, least).collect()
+    assert sorted(map(tuple, got)) == sorted(x for s, e in spans if e > s for x in bisected_by_hand(times, s, e, cap, least))
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_text_rules(spark, most):
+    """Many rules, short, empty, overlapping and of common pieces, sent to all tasks or shuffled."""
+    r = random.Random(most)
+    word = lambda k: "".join(r.choice("abc é") for _ in range(k))
+    messages = [None, "", "ABCABC", *[word(r.randint(0, 60)) + r.choice(["", "Agent-7", "AGENT"]) for _ in range(150)], "abc " * 5000]
+    values = ["agent-7", "agent", "a", "é", "ab", "abc", "", "cab cab", None, *[word(r.randint(1, 9)) for _ in range(150)]]
+    commits = spark.createDataFrame(list(enumerate(messages)), "seq int, message string").repartition(3)
+    rules = spark.createDataFrame([(f"a{i}", "c", "m", v) for i, v in enumerate(values)], "agent string, channel string, mode string, value string")
+    got = attribution.text_hits(commits, rules, most).collect()
+    want = sorted((i, f"a{k}") for i, m in enumerate(messages) for k, v in enumerate(values) if v is not None and ((m is not None and v in m.lower()) or v == ""))
+    assert sorted((x.seq, x.agent) for x in got) == want
+    assert attribution.text_hits(commits, rules.limit(0), most).count() == 0
