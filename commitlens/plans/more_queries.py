@@ -11,7 +11,7 @@ from commitlens.functions import files
 from commitlens.operators import attribution, contexts, evidence, legacy, reports
 from commitlens.plans.diff_queries import _events
 from commitlens.plans.queries import query
-from commitlens.plans.scratch import scratch_dir
+from commitlens.plans.scratch import materialize, scratch_dir
 from commitlens.plans.views import ctes, relation, view
 from commitlens.streaming import jobs
 
@@ -436,10 +436,30 @@ def i10(spark, d):
 # --- streams -------------------------------------------------------------------------------------------------------
 @query("l2_stream_episodes", ctes("v_req") + ", e AS (SELECT DISTINCT pos, 'github.com/acme/' || package_name AS identity, 'v' || version AS v FROM v_req UNION ALL SELECT DISTINCT pos, 'github.com/acme/single', 'v1.0.0' FROM v_req) SELECT pos, count(*) AS n_episodes FROM e GROUP BY 1")
 def l2(spark, d):
-    """Events arrive with whole commits; a batch's commits become episodes and links."""
+    """A commit's events arrive in three pieces, each a batch; a commit becomes episodes when its announced number is there."""
     out = f"{scratch_dir(spark)}/l2-{uuid.uuid4().hex}"
-    events = _events(spark, d, ["gomod"], "Go")
-    events.write.parquet(out + "/in")
-    jobs.stream_episodes(spark.readStream.schema(events.schema).parquet(out + "/in"), out + "/t", out + "/c", "pos")
+    events = materialize(_events(spark, d, ["gomod"], "Go"), "events")
+    events = events.join(events.groupBy("pos").agg(F.count("*").alias("n_events")), "pos").withColumn("arrived_at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    for piece in range(3):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == piece).coalesce(1).write.mode("append").parquet(out + "/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out + "/in")
+    jobs.stream_episodes(stream, out + "/t", out + "/c", "pos", "n_events")
     return spark.read.parquet(f"{out}/t/episodes/*").groupBy("pos").agg(F.count("*").alias("n_episodes"))
 
+
+
+@query("l3_stream_enrich", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'not_queried' ELSE 'queried' END AS evidence_state, CASE event_id % 4 WHEN 0 THEN 'early' WHEN 1 THEN 'late' WHEN 2 THEN 'same' END AS answer FROM events")
+def l3(spark, d):
+    """Evidence that came three hours before its episode, with it, five hours after it, and none at all. Two last rows a
+    year on, in a batch of their own, let the watermarks pass the table's end."""
+    out = f"{scratch_dir(spark)}/l3-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "cast(ts as timestamp) as at")
+    found = e.filter("event_id % 4 < 3").selectExpr("event_id", "timestampadd(HOUR, case event_id % 4 when 0 then -3 when 1 then 5 else 0 end, at) as found_at", "case event_id % 4 when 0 then 'early' when 1 then 'late' else 'same' end as answer")
+    far = e.agg(F.max("at").alias("at")).selectExpr("-1L as event_id", "timestampadd(YEAR, 1, at) as at")
+    for rows, last, name in ((e, far, "episodes"), (found, far.selectExpr("event_id", "at as found_at", "'last' as answer"), "evidence")):
+        rows.coalesce(1).write.parquet(f"{out}/{name}")
+        last.coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/{name}")
+    met = jobs.stream_enrich(read("episodes", e.schema), read("evidence", found.schema), ["event_id"], "at", "found_at")
+    jobs.run_once(met.select("event_id", "evidence_state", "answer"), out + "/t", out + "/c")
+    return spark.read.schema("event_id long, evidence_state string, answer string").parquet(out + "/t").filter("event_id >= 0")
