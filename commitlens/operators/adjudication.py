@@ -59,13 +59,22 @@ def build_candidates(episodes: DataFrame, commits: DataFrame, links: DataFrame,
 
 
 def star(candidates: DataFrame, inputs: dict[str, DataFrame], key: str = "episode_id", seq: str | None = None) -> DataFrame:
-    """candidates with a struct column for each input, null where it has no row; of repeated keys the last by seq stays."""
-    out = candidates
+    """candidates with a struct column for each input, null where it has no row; of repeated keys the last by seq stays.
+
+    The inputs' rows are put below each other, each in its own column, and shuffled once: one aggregate gives the last of
+    each, one join brings them to the candidates.
+    """
+    if not inputs:
+        return candidates
+    kinds = {name: df.select(F.struct(*[c for c in df.columns if c not in (key, seq)]).alias("x")).schema["x"].dataType for name, df in inputs.items()}
+    rows = None
     for name, df in inputs.items():
-        rest = [c for c in df.columns if c not in (key, seq)]
-        last = F.max_by(F.struct(*rest), F.col(seq) if seq else F.struct(*rest))
-        out = out.join(df.groupBy(key).agg(last.alias(name)), key, "left")
-    return out
+        rest = F.struct(*[c for c in df.columns if c not in (key, seq)])
+        part = df.select(key, *[(rest if n == name else F.lit(None).cast(t)).alias(n) for n, t in kinds.items()], (F.col(seq) if seq else F.lit(0)).alias("_seq"))
+        rows = part if rows is None else rows.unionByName(part)
+    # of equal seq the greatest row stays
+    last = [F.max(F.when(F.col(n).isNotNull(), F.struct(F.col("_seq").alias("at"), F.col(n).alias("row"))))["row"].alias(n) for n in inputs]
+    return candidates.join(rows.groupBy(key).agg(*last), key, "left")
 
 
 def _cascade(rules: list[tuple[Column, str, str, Column | str | None]]) -> Column:

@@ -51,8 +51,29 @@ def episode_id(commit: Column, ecosystem: Column, identity: Column, kind: Column
     return content_id("dep", commit_id=commit, ecosystem=ecosystem, dependency_identity_key=identity, query_kind=kind, query_value=value)
 
 
+def _row_hash(columns: list[str]) -> Column:
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cols)), 1, 12), 16, 10).cast("decimal(20,0)")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """n_rows, and a digest that does not depend on the order of rows: a sum of row hashes in exact decimals."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
-    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cols)), 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h).cast("string"), F.lit("0")).alias("digest"))
+    """n_rows, and a digest that does not depend on the order of rows: a sum of row hashes in exact decimals. So the
+    fingerprints of parts add up to that of the whole."""
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(_row_hash(df.columns)).cast("string"), F.lit("0")).alias("digest"))
+
+
+def file_fingerprints(df: DataFrame) -> DataFrame:
+    """path, n_rows, digest of each file that df, a table read from files, has rows in."""
+    h = _row_hash(df.columns)
+    return df.select(F.col("_metadata.file_path").alias("path"), h.alias("h")).groupBy("path").agg(F.count("*").alias("n_rows"), F.sum("h").cast("string").alias("digest"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """The fingerprint of a whole out of those of its parts."""
+    return parts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("digest").cast("decimal(38,0)")).cast("string"), F.lit("0")).alias("digest"))
+
+
+def manifest(df: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """table_name, columns (name:type, in order), key, n_rows, digest: what a publication states of a table."""
+    columns = [f"{c}:{t}" for c, t in df.dtypes]
+    return fingerprint(df).select(F.lit(name).alias("table_name"), F.lit("|".join(columns)).alias("columns"), F.lit("|".join(key)).alias("key"), "n_rows", "digest")

@@ -27,6 +27,19 @@ def stage2_summary(episodes: DataFrame) -> DataFrame:
     return _counts(episodes, {"episodes": F.lit("all"), "quadrant": F.col("dependency_quadrant"), "alignment": F.col("alignment_status"), "query_kind": F.col("query_kind")})
 
 
+def stage3_summary(episodes: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """dimension, value, n: episodes and commits, episodes by registry and by advisory status (not_queried if they have none),
+    and of evidence the records and distinct payloads."""
+    status = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("not_queried"))
+    out = _counts(episodes, {"episodes": F.lit("all"), "registry_status": status("registry_status"), "advisory_status": status("advisory_status")})
+    more = episodes.agg(F.count_distinct("commit_id").alias("n")).select(F.lit("commits").alias("dimension"), F.lit("all").alias("value"), "n")
+    out = out.unionByName(more)
+    if evidence is not None:
+        n = evidence.agg(F.count("*").alias("records"), F.count_distinct("payload_sha256").alias("payloads"))
+        out = out.unionByName(n.select(F.explode(F.array(*[F.struct(F.lit(f"evidence_{c}").alias("dimension"), F.lit("all").alias("value"), F.col(c).alias("n")) for c in ("records", "payloads")])).alias("x")).select("x.*"))
+    return out
+
+
 def summarize_adjudication(rows: DataFrame) -> DataFrame:
     """dimension, value, n: rows, unique commits, rows by label, agent, ecosystem and language (languages: array), and
     rows whose patch path is not a portable one."""

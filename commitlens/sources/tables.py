@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fields that an evidence record needs, and types of evidence.
@@ -110,10 +113,29 @@ def used_evidence(evidence: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, key: list[str], fmt: str = "parquet") -> None:
-    """Writes a new table; fails, before anything is written, on an empty or a repeated key, and on a path that exists."""
-    from commitlens.operators.quality import violations
+    """Writes a new table, or nothing: an empty or a repeated key and a path that exists are refused.
 
-    bad = {r["rule"]: r["n"] for r in violations(df, key, {}).filter("n > 0").collect()}  # two rows at most
-    if bad:
-        raise ValueError(f"not written: {bad}")
-    df.write.format(fmt).mode("errorifexists").save(path)
+    One job: rows meet by key once, and what is checked is counted while they are written to a folder beside path, which
+    takes the name path only if the counts are clean. Renaming fails where path exists, so of two writers one wins.
+    """
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    target, staged = fs.Path(path), fs.Path(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    folder = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if folder.exists(target):
+        raise ValueError(f"not written: {path} exists")
+    empty = F.exists(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]), lambda x: x == "")
+    counted, again = Observation(), F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    rows = df.withColumn("_again", again > 1).observe(counted, F.count_if(empty).alias("empty_key"), F.count_if("_again").alias("duplicate_key")).drop("_again")
+    try:
+        rows.write.format(fmt).mode("errorifexists").save(staged.toString())
+        bad = {rule: n for rule, n in counted.get.items() if n}
+        if bad:
+            raise ValueError(f"not written: {bad}")
+        none = spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            fs.FileContext.getFileContext(folder.getUri(), spark._jsc.hadoopConfiguration()).rename(staged, target, none)
+        except Py4JJavaError as e:
+            raise ValueError(f"not written: {path} exists") from e
+    finally:
+        folder.delete(staged, True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import versions
-from commitlens.operators import adjudication, attribution, evidence, grammars, imports, linking, windows
+from commitlens.operators import adjudication, attribution, evidence, grammars, imports, linking, quality, windows
 from commitlens.sources import tables
 from commitlens.streaming import jobs
 
@@ -118,11 +118,68 @@ def test_tables(spark, tmp_path):
 
 
 def test_checkpoint_guard(spark, tmp_path):
-    a = spark.createDataFrame([(1,)], "x int")
-    for _ in range(2):
-        jobs.checkpoint_guard(spark, a, {"k": "v"}, str(tmp_path / "g"))
-    with pytest.raises(ValueError):
-        jobs.checkpoint_guard(spark, a, {"k": "w"}, str(tmp_path / "g"))
+    """Added files are taken without reading the old ones; changed or missing files and other settings are refused."""
+    folder, record = tmp_path / "in put", str(tmp_path / "record")
+    put = lambda name, *xs: spark.createDataFrame([(x,) for x in xs], "x int").coalesce(1).write.mode("overwrite").parquet(str(folder / name))
+    guard = lambda v="v": jobs.checkpoint_guard(spark, str(folder), "x int", {"k": v}, record)
+    put("a", 1, 2)
+    assert (guard(), guard()) == (1, 0)
+    put("b", 3)
+    assert (guard(), guard()) == (1, 0)
+    with pytest.raises(ValueError, match="settings"):
+        guard("w")
+    file = next((folder / "a").glob("*.parquet"))
+    file.touch()
+    assert (guard(), guard()) == (1, 0)  # another time, the same rows
+    other = next((folder / "b").glob("*.parquet")).read_bytes()
+    kept = file.read_bytes()
+    for crc in (folder / "a").glob(".*.crc"):
+        crc.unlink()
+    file.write_bytes(other)
+    with pytest.raises(ValueError, match="inputs differ"):
+        guard()
+    file.write_bytes(kept)
+    assert guard() == 1
+    file.unlink()
+    with pytest.raises(ValueError, match="gone"):
+        guard()
+
+
+def test_fingerprints_add_up(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 as m", "if(id % 3 = 0, null, id) as n").repartition(5).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    parts = quality.file_fingerprints(t)
+    assert parts.count() == 5 and quality.merged(parts).first() == quality.fingerprint(t).first()
+    m = quality.manifest(t, "t", ["id"]).first()
+    assert (m.columns, m.key, m.n_rows) == ("id:bigint|m:bigint|n:bigint", "id", 1000)
+
+
+def test_write_table_checks_while_it_writes(spark, tmp_path):
+    good = spark.range(100).selectExpr("id", "string(id % 3) as s")
+    tables.write_table(good, str(tmp_path / "t"), ["id"])
+    assert spark.read.parquet(str(tmp_path / "t")).exceptAll(good).isEmpty()
+    for df, why in ((good.unionByName(good.limit(1)), "duplicate_key': 1"), (good.withColumn("id", F.expr("nullif(id, 7)")), "empty_key': 1"), (good.withColumn("id", F.lit("")), "duplicate_key': 99")):
+        with pytest.raises(ValueError, match=why):
+            tables.write_table(df, str(tmp_path / "u"), ["id"])
+    with pytest.raises(ValueError, match="exists"):
+        tables.write_table(good.limit(1), str(tmp_path / "t"), ["id"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"] and spark.read.parquet(str(tmp_path / "t")).count() == 100
+
+
+def test_star_is_one_shuffle(spark):
+    c = spark.range(5).selectExpr("id as episode_id", "'x' as name")
+    one = spark.createDataFrame([(1, 2, "old"), (1, 5, "new"), (3, 1, None), (9, 1, "none")], "episode_id long, seq int, v string")
+    two = spark.createDataFrame([(1, 1, ["a"]), (1, 1, ["b"]), (2, 1, [])], "episode_id long, seq int, w array<string>")
+    out = adjudication.star(c, {"one": one, "two": two}, seq="seq")
+    got = {r.episode_id: (r.one and r.one.v, r.two and r.two.w) for r in out.collect()}
+    assert got == {0: (None, None), 1: ("new", ["b"]), 2: (None, []), 3: (None, None), 4: (None, None)}
+    assert [r.one is None for r in out.orderBy("episode_id").collect()] == [True, False, True, False, True]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = adjudication.star(c, {"one": one, "two": two}, seq="seq")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(episode_id") == 2  # the candidates' and the inputs'
 
 
 def test_windows_over_midnight_and_without_a_cap(spark):
