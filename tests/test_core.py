@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import paths, versions
 from commitlens.operators import diff, imports, manifests, quality, stats
-from commitlens.plans import diff_queries, more_queries  # noqa: F401
+from commitlens.plans import diff_queries, more_queries, table_queries  # noqa: F401
 from commitlens.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
