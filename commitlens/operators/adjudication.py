@@ -77,11 +77,51 @@ def star(candidates: DataFrame, inputs: dict[str, DataFrame], key: str = "episod
     return candidates.join(rows.groupBy(key).agg(*last), key, "left")
 
 
-def _cascade(rules: list[tuple[Column, str, str, Column | str | None]]) -> Column:
+#: What each rule says of its reason, by the rule's name; "" stands for what is left at the end.
+TEMPORAL_BASIS = {
+    "parent": "same package and query preexisted in first parent",
+    "explained": "systematic local, resolved, timing, or official-registry explanation",
+    "stdlib": "Python standard-library import, not an external dependency",
+    "weak": "weak or import-only temporal signal after conservative exclusions",
+    "patch": "path/workspace/custom-registry/lock or package-definition evidence",
+    "before": "fresh official registry match predates committer time",
+    "none": "versioned manifest change has no satisfying version in fresh public registry history",
+    "late": "first satisfying public version was published more than 24h after committer time",
+    "soon": "first satisfying public version was published within 24h after committer time",
+    "": "official endpoint or publication-time evidence remains incomplete",
+}
+CURRENT_BASIS = {
+    "local": "same-commit local/workspace/non-registry or resolved-lock evidence",
+    "stdlib": "Python standard-library import",
+    "wheel": "wheel evidence proves the candidate distribution provides the import",
+    "alternate": "same-commit manifest verifies alternate Python distribution",
+    "go": "Go subpackage/internal/local module was queried as a registry module",
+    "node": "Node built-in module",
+    "crate": "Rust crate matches repository package",
+    "corrected": "fresh official registry match predates author time",
+    "corrected_before": "corrected match predates committer time",
+    "own_release": "project's own package release train",
+    "maven": "official Maven artifact predates author time",
+    "maven_before": "Maven artifact predates committer time",
+    "maven_own": "project's own Maven release train",
+    "maven_late": "Maven exact version published more than 24h after committer time",
+    "maven_close": "Maven version postdates author but causal timing remains close",
+    "maven_name": "Maven coordinate exists but name-only signal has no version time",
+    "patch": "patch contains path/workspace/custom-registry/lock/package-definition evidence",
+    "semver": "standard npm semver finds a current matching version",
+    "alternate_index": "version may come from an alternate package index",
+    "absent": "package exists but fresh official registry has no requested version/range",
+    "maven_absent": "Maven coordinate exists but requested version is absent from Central and Google",
+    "": "present-day absence, import mapping, private registry, deletion, or coverage remains unresolved",
+}
+
+
+def _cascade(rules: list[tuple[str, Column, str, str, Column | str | None]], basis: dict[str, str]) -> Column:
+    """struct(label, confidence, flags, basis) of the first rule that holds."""
     out = None
-    for cond, label, confidence, flag in rules:
+    for name, cond, label, confidence, flag in rules:
         flags = F.array().cast("array<string>") if flag is None else F.array(F.lit(flag)) if isinstance(flag, str) else flag
-        value = F.struct(F.lit(LABELS[label]).alias("label"), F.lit(confidence).alias("confidence"), flags.alias("flags"))
+        value = F.struct(F.lit(LABELS[label]).alias("label"), F.lit(confidence).alias("confidence"), flags.alias("flags"), F.lit(basis[name]).alias("basis"))
         cond = F.coalesce(cond, F.lit(False))
         out = F.when(cond, value) if out is None else out.when(cond, value)
     return out
@@ -97,11 +137,11 @@ def temporal_label(c: Callable[[str], Column] = F.col) -> Column:
     late = decision == "fresh_matching_published_after_committer"
     stdlib = (c("python.manifest_event_count") == 0) & (c("python.mapping_state") == "stdlib_import_present")
     out = _cascade([
-        (c("queue.parent_state") == "package_and_query_preexisting", "not", "high", "parent_preexisting"), (F.arrays_overlap(flags, F.array(*[F.lit(x) for x in STRONG_NOT])), "not", "high", None), (stdlib, "not", "high", "python_stdlib"),
-        (~F.coalesce(c("queue.strong_review_candidate"), F.lit(False)) | fresh.isNull(), "indeterminate", "low", None), (F.size(patch) > 0, "not", "high", patch),
-        (decision == "fresh_matching_exists_before_or_at_committer", "not", "high", "fresh_before_committer"), (decision == "fresh_no_matching_version", "confirmed", "high", "fresh_no_matching_version"),
-        (late & (seconds > DAY), "confirmed", "high", "fresh_postdate_gt_24h"), (late, "probable", "medium", "fresh_postdate_le_24h"), (F.lit(True), "indeterminate", "low", F.array_compact(F.array(decision))),
-    ])
+        ("parent", c("queue.parent_state") == "package_and_query_preexisting", "not", "high", "parent_preexisting"), ("explained", F.arrays_overlap(flags, F.array(*[F.lit(x) for x in STRONG_NOT])), "not", "high", None), ("stdlib", stdlib, "not", "high", "python_stdlib"),
+        ("weak", ~F.coalesce(c("queue.strong_review_candidate"), F.lit(False)) | fresh.isNull(), "indeterminate", "low", None), ("patch", F.size(patch) > 0, "not", "high", patch),
+        ("before", decision == "fresh_matching_exists_before_or_at_committer", "not", "high", "fresh_before_committer"), ("none", decision == "fresh_no_matching_version", "confirmed", "high", "fresh_no_matching_version"),
+        ("late", late & (seconds > DAY), "confirmed", "high", "fresh_postdate_gt_24h"), ("soon", late, "probable", "medium", "fresh_postdate_le_24h"), ("", F.lit(True), "indeterminate", "low", F.array_compact(F.array(decision))),
+    ], TEMPORAL_BASIS)
     return out.withField("flags", F.array_sort(F.array_distinct(F.concat(flags, out["flags"]))))
 
 
@@ -124,18 +164,18 @@ def current_label(c: Callable[[str], Column] = F.col) -> Column:
     absent = asked & (decision == "fresh_package_exists_query_absent_now")
     dynamic = F.upper(value).contains("SNAPSHOT") | value.contains("${")
     return _cascade([
-        (F.size(hints) > 0, "not", "high", F.array_sort(hints)), (has_python & stdlib, "not", "high", "python_stdlib"), (c("python.mapping_state") == "candidate_distribution_provides_import", "not", "high", "python_wheel_proof"),
-        (has_python & (c("python_alt.verification_state") == "same_commit_alternate_manifest_match"), "not", "high", "python_alternate_manifest"), (go, "not", "high", "go_module_granularity"),
-        ((eco == "npm") & root.isin(*CURRENT_NODE_BUILTINS), "not", "high", "node_builtin"), ((eco == "Cargo") & (c("query_kind") == "name_only") & owned, "not", "high", "cargo_repository_crate"),
-        (corrected == "corrected_match_exists_before_or_at_author", "not", "high", "corrected_registry_match"), (late & before, "not", "high", "hidden_committer_correction"), (late & owned, "not", "high", "owned_release_workflow"),
-        (maven == "maven_exact_exists_before_or_at_author", "not", "high", "maven_artifact_before_author"), (maven_late & before, "not", "high", "hidden_committer_correction"),
-        (maven_late & is_owned(c("repo"), F.lit("Maven"), package), "not", "high", "owned_release_workflow"), (maven_late & (c("hidden.seconds") > DAY), "confirmed", "high", "hidden_maven_postdate_gt_24h"),
-        (maven_late, "indeterminate", "low", "hidden_maven_postdate"), (maven == "maven_name_only_exists_time_not_comparable", "indeterminate", "low", "maven_name_exists"),
-        (asked & (F.coalesce(c("current.nonpublic_hint"), F.lit(False)) | (F.size(patch) > 0)), "not", "high", F.array_sort(F.array_union(patch, F.array(F.lit("current_nonpublic_spec"))))),
-        (asked & (decision == "semver_query_match_exists_now"), "not", "high", "npm_semver_correction"), (absent & (value.contains("+") | package.startswith("com.unity.")), "indeterminate", "low", "alternate_index_possible"),
-        (absent & ~owned, "probable", "medium", "current_version_absent"), ((c("maven.requery_class") == "official_package_exists_query_absent_or_unparsed") & ~dynamic, "probable", "medium", "maven_version_absent"),
-        (F.lit(True), "indeterminate", "low", None),
-    ])
+        ("local", F.size(hints) > 0, "not", "high", F.array_sort(hints)), ("stdlib", has_python & stdlib, "not", "high", "python_stdlib"), ("wheel", c("python.mapping_state") == "candidate_distribution_provides_import", "not", "high", "python_wheel_proof"),
+        ("alternate", has_python & (c("python_alt.verification_state") == "same_commit_alternate_manifest_match"), "not", "high", "python_alternate_manifest"), ("go", go, "not", "high", "go_module_granularity"),
+        ("node", (eco == "npm") & root.isin(*CURRENT_NODE_BUILTINS), "not", "high", "node_builtin"), ("crate", (eco == "Cargo") & (c("query_kind") == "name_only") & owned, "not", "high", "cargo_repository_crate"),
+        ("corrected", corrected == "corrected_match_exists_before_or_at_author", "not", "high", "corrected_registry_match"), ("corrected_before", late & before, "not", "high", "hidden_committer_correction"), ("own_release", late & owned, "not", "high", "owned_release_workflow"),
+        ("maven", maven == "maven_exact_exists_before_or_at_author", "not", "high", "maven_artifact_before_author"), ("maven_before", maven_late & before, "not", "high", "hidden_committer_correction"),
+        ("maven_own", maven_late & is_owned(c("repo"), F.lit("Maven"), package), "not", "high", "owned_release_workflow"), ("maven_late", maven_late & (c("hidden.seconds") > DAY), "confirmed", "high", "hidden_maven_postdate_gt_24h"),
+        ("maven_close", maven_late, "indeterminate", "low", "hidden_maven_postdate"), ("maven_name", maven == "maven_name_only_exists_time_not_comparable", "indeterminate", "low", "maven_name_exists"),
+        ("patch", asked & (F.coalesce(c("current.nonpublic_hint"), F.lit(False)) | (F.size(patch) > 0)), "not", "high", F.array_sort(F.array_union(patch, F.array(F.lit("current_nonpublic_spec"))))),
+        ("semver", asked & (decision == "semver_query_match_exists_now"), "not", "high", "npm_semver_correction"), ("alternate_index", absent & (value.contains("+") | package.startswith("com.unity.")), "indeterminate", "low", "alternate_index_possible"),
+        ("absent", absent & ~owned, "probable", "medium", "current_version_absent"), ("maven_absent", (c("maven.requery_class") == "official_package_exists_query_absent_or_unparsed") & ~dynamic, "probable", "medium", "maven_version_absent"),
+        ("", F.lit(True), "indeterminate", "low", None),
+    ], CURRENT_BASIS)
 
 
 #: The inputs that the rules read, with their types; an input that is not given is null for every case.
@@ -148,10 +188,21 @@ INPUTS = {
 
 
 def adjudicate(cases: DataFrame) -> DataFrame:
-    """Adds final_label, confidence and evidence_flags (sorted) to cases with the columns of `star`."""
+    """Adds final_label, confidence, adjudication_basis and evidence_flags (sorted) to cases with the columns of `star`."""
     full = cases.withColumns({n: F.lit(None).cast(t) for n, t in INPUTS.items() if n not in cases.columns})
     full = full.withColumn("verdict", F.when(F.col("registry_status").isin(*TEMPORAL), temporal_label()).otherwise(current_label()))
-    return full.select(*[c for c in cases.columns if c not in INPUTS], F.col("verdict.label").alias("final_label"), F.col("verdict.confidence").alias("confidence"), F.col("verdict.flags").alias("evidence_flags"))
+    return full.select(*[c for c in cases.columns if c not in INPUTS], F.col("verdict.label").alias("final_label"), F.col("verdict.confidence").alias("confidence"), F.col("verdict.basis").alias("adjudication_basis"), F.col("verdict.flags").alias("evidence_flags"))
+
+
+#: The columns of a published row, in order.
+PUBLISHED = ("case_id", "episode_id", "languages_json", "repo", "sha", "agent", "ecosystem", "package_name", "query_kind", "query_value", "original_registry_status", "final_label", "confidence", "adjudication_basis", "evidence_flags_json", "patch_path")
+
+
+def published_rows(adjudicated: DataFrame) -> DataFrame:
+    """Adjudicated cases as the rows that are published, all of text: languages (array) and flags as JSON, the registry status
+    under its own name, missing values empty."""
+    rows = adjudicated.withColumns({"original_registry_status": F.col("registry_status"), "languages_json": F.to_json("languages"), "evidence_flags_json": F.to_json(F.array_sort("evidence_flags"))})
+    return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PUBLISHED])
 
 
 def relevant_lines(lines: DataFrame, key: str = "sha") -> DataFrame:

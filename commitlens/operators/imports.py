@@ -16,14 +16,15 @@ from commitlens.operators.quality import event_id
 SOURCE_KINDS = tuple(dict.fromkeys(LANGUAGE_KIND.values()))
 #: Names that come with a language, and packages named unlike what they provide.
 NODE_BUILTINS = (
-    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https module net os path perf_hooks process "
-    "punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib"
-).split()
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs",
+    "http", "http2", "https", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys",
+    "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+)
 GO_BUILTINS = (
-    "archive bufio bytes compress context crypto database embed encoding errors expvar flag fmt hash html image index io log math mime net os path reflect regexp runtime sort "
-    "strconv strings sync testing text time unicode"
-).split()
-RUST_BUILTINS = "crate self super std core alloc".split()
+    "archive", "bufio", "bytes", "compress", "context", "crypto", "database", "embed", "encoding", "errors", "expvar", "flag", "fmt", "hash", "html", "image", "index",
+    "io", "log", "math", "mime", "net", "os", "path", "reflect", "regexp", "runtime", "sort", "strconv", "strings", "sync", "testing", "text", "time", "unicode",
+)
+RUST_BUILTINS = ("crate", "self", "super", "std", "core", "alloc")
 PYTHON_ALIASES = {"bs4": "beautifulsoup4", "cv2": "opencv-python", "dotenv": "python-dotenv", "PIL": "pillow", "sklearn": "scikit-learn", "yaml": "pyyaml"}
 NPM_NAME = r"^(?:@[A-Za-z0-9][A-Za-z0-9._~-]*/)?[A-Za-z0-9][A-Za-z0-9._~-]*$"
 
@@ -46,8 +47,9 @@ rust_java_imports = partial(imports_of, kinds=("rust", "java"))
 all_imports = imports_of
 
 
-def import_package(language: Column, target: Column) -> Column:
-    """struct(package, status, reason) for a target; null for what no registry holds (relative, built in, protocol)."""
+def import_package(language: Column, target: Column, python_builtins: frozenset[str] = sys.stdlib_module_names) -> Column:
+    """struct(package, status, reason) for a target; null for what no registry holds (relative, built in, protocol).
+    python_builtins: the modules that come with Python; state them where results must not change with the interpreter."""
     first, dotted = F.substring_index(target, "/", 1), F.substring_index(target, ".", 1)
     keep = lambda p, s, r="": F.struct(p.alias("package"), F.lit(s).alias("status"), F.lit(r).alias("reason"))
     nothing = F.lit("")
@@ -59,7 +61,7 @@ def import_package(language: Column, target: Column) -> Column:
     )
     alias = F.element_at(F.create_map(*[F.lit(x) for kv in PYTHON_ALIASES.items() for x in kv]), dotted)
     python = (
-        F.when(target.startswith(".") | dotted.startswith("_") | dotted.isin(*sorted(sys.stdlib_module_names)), None)
+        F.when(target.startswith(".") | dotted.startswith("_") | dotted.isin(*sorted(python_builtins)), None)
         .when(alias.isNotNull(), keep(alias, "alias_mapping")).otherwise(keep(F.lower(F.replace(dotted, F.lit("_"), F.lit("-"))), "direct_or_normalized_mapping"))
     )
     crate = F.substring_index(target, "::", 1)

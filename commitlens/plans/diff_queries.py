@@ -177,6 +177,13 @@ def d20(spark, d):
     return links.select("pos", "event_id", "event_type", "link_method").distinct().groupBy("link_method", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("d21_initial_status", RANKED + " SELECT registry_status, advisory_status, count(*) AS n FROM (SELECT DISTINCT pos, package_name, version, 'not_queried' AS registry_status, 'not_queried' AS advisory_status FROM n UNION ALL SELECT DISTINCT pos, 'ws', '', 'excluded', 'not_queried' FROM n UNION ALL SELECT DISTINCT pos, 'serde', '', 'not_queried', 'not_queried' FROM n) GROUP BY ALL")
+def d21(spark, d):
+    """Cargo: declared crates, each imported; one inherited from a workspace; one imported only. Nothing has been asked yet."""
+    e = _episodes(spark, d, ["cargo"], "Rust")[0]
+    return e.groupBy("registry_status", "advisory_status").agg(F.count("*").alias("n"))
+
+
 SPECS = "CASE major % 6 WHEN 0 THEN '^' || version WHEN 1 THEN '~' || CAST(major AS STRING) || '.' || CAST(minor AS STRING) WHEN 2 THEN CAST(major AS STRING) || '.x' WHEN 3 THEN '>=' || version || ' <' || CAST(major + 20 AS STRING) || '.0.0' WHEN 4 THEN version || ' - ' || CAST(major + 10 AS STRING) || '.3.0 || 1.x' ELSE 'next' END"
 INSIDE = "CASE q.major % 6 WHEN 0 THEN a = q.major AND CASE WHEN q.major > 0 THEN b >= q.minor ELSE b = q.minor END WHEN 1 THEN a = q.major AND b = q.minor WHEN 2 THEN a = q.major WHEN 3 THEN (a > q.major OR a = q.major AND b >= q.minor) AND a < q.major + 20 WHEN 4 THEN a = 1 OR ((a > q.major OR a = q.major AND b >= q.minor) AND (a < q.major + 10 OR a = q.major + 10 AND b <= 3)) ELSE NULL END"
 PARTS = ", r AS (SELECT package_name, version AS candidate, CAST(str_split(version, '.')[1] AS BIGINT) AS a, CAST(str_split(version, '.')[2] AS BIGINT) AS b FROM v_release)"

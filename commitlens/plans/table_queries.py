@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import ranges
 from commitlens.operators import adjudication, diff, imports, linking, quality, reports
+from commitlens.plans.diff_queries import CASES, _star
 from commitlens.plans.queries import query
 from commitlens.plans.scratch import scratch_dir
 from commitlens.plans.views import ctes, relation, view
@@ -171,3 +172,24 @@ def c16_languages(spark, d):
         files = f if files is None else files.unionByName(f)
     events = imports.extract_events(diff.patch_lines(diff.render_patches(files, "pos"), "pos"), "pos", ("Python",))
     return events.groupBy("event_type", "ecosystem").agg(F.count("*").alias("n"))
+
+
+#: What the rules of the cases of g7 say, in SQL, by the order in which they are tried.
+BASIS = """CASE WHEN registry_status <> 'current_absent_unknown' THEN
+ CASE WHEN episode_id % 11 = 0 THEN 'same package and query preexisted in first parent' WHEN episode_id % 13 = 0 THEN 'systematic local, resolved, timing, or official-registry explanation'
+  WHEN episode_id % 4 = 0 OR episode_id % 17 = 0 THEN 'weak or import-only temporal signal after conservative exclusions' WHEN episode_id % 3 = 2 THEN 'fresh official registry match predates committer time'
+  WHEN episode_id % 3 = 0 THEN 'versioned manifest change has no satisfying version in fresh public registry history' WHEN episode_id % 200000 > 86400 THEN 'first satisfying public version was published more than 24h after committer time'
+  ELSE 'first satisfying public version was published within 24h after committer time' END
+ WHEN episode_id % 23 = 0 THEN 'same-commit local/workspace/non-registry or resolved-lock evidence' WHEN ecosystem = 'Go' AND package_name NOT LIKE 'example.com%' THEN 'Go subpackage/internal/local module was queried as a registry module'
+ WHEN ecosystem = 'npm' AND package_name = 'fs/promises' THEN 'Node built-in module' WHEN ecosystem = 'Cargo' AND query_kind = 'name_only' AND owned THEN 'Rust crate matches repository package'
+ WHEN episode_id % 6 = 0 THEN 'present-day absence, import mapping, private registry, deletion, or coverage remains unresolved' WHEN episode_id % 19 = 0 THEN 'patch contains path/workspace/custom-registry/lock/package-definition evidence'
+ WHEN query_value LIKE '%+%' THEN 'version may come from an alternate package index' WHEN owned THEN 'present-day absence, import mapping, private registry, deletion, or coverage remains unresolved'
+ ELSE 'package exists but fresh official registry has no requested version/range' END"""
+
+
+@query("g7_published_rows", CASES + f", l AS (SELECT *, repo LIKE '%/' || package_name AS owned FROM c) SELECT 'c' || CAST(episode_id AS STRING) AS case_id, CAST(episode_id AS STRING) AS episode_id, '[\"Go\",\"é\"]' AS languages_json, repo, package_name, registry_status AS original_registry_status, {BASIS} AS adjudication_basis, '' AS patch_path FROM l")
+def g7_rows(spark, d):
+    """Published rows with the reason of the rule that decided."""
+    cases = _star(spark, d).withColumns({"case_id": F.concat(F.lit("c"), "episode_id"), "languages": F.array(F.lit("Go"), F.lit("é")), "sha": F.lit("s"), "agent": F.lit(None).cast("string"), "patch_path": F.lit(None).cast("string")})
+    rows = adjudication.published_rows(adjudication.adjudicate(cases))
+    return rows.select("case_id", "episode_id", "languages_json", "repo", "package_name", "original_registry_status", "adjudication_basis", "patch_path")
