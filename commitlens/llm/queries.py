@@ -109,5 +109,49 @@ f AS (SELECT l.doc_id, l.h, l.b, min(l.d) AS depth, arg_min(sb, l.d) AS sb FROM
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE substr(lpad(bin(h), 60, '0'), 1, depth) END AS shard, CAST(depth AS INT) AS depth, CAST(b AS BIGINT) AS n_bytes, CAST(sb AS BIGINT) AS shard_bytes FROM f"""
 
 
+#: CRC-32 in SQL: its table by the rule of the polynomial, and a fold over the bytes of a text.
+CRC_TABLE = "t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)))"
+CRC = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+BYTES = "list_transform(range(1, length({hex}), 2), lambda i: CAST('0x' || substr({hex}, i, 2) AS BIGINT))"
+
+OP11_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+r AS (SELECT doc, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k FROM o GROUP BY 1, 2),
+x AS (SELECT w, k, hex(encode(doc || ':' || w)) AS hx FROM r),
+c AS (SELECT w, k, {CRC.format(bytes=BYTES.format(hex="hx"))} AS h FROM x, t),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w, k FROM c),
+v AS (SELECT w AS word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(w) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+g AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT x.word, y.word AS other FROM g x JOIN g y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word UNION SELECT g.word, v.word FROM g JOIN v ON g.a || g.b = v.word UNION SELECT v.word, g.word FROM g JOIN v ON g.a || g.b = v.word),
+m AS (SELECT e.word, count(*) AS n_near, min({{'n': -y.n, 'w': y.word}}) AS best FROM e JOIN v y ON e.other = y.word GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 5 * v.n THEN best.w END AS form, CASE WHEN -best.n >= 5 * v.n THEN -best.n END AS form_n FROM v LEFT JOIN m USING (word)),
+up AS (SELECT word, word AS at, form AS nxt FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON up.nxt = f.word)
+SELECT f.word, f.n, f.form, up.at AS root, f.n_near, f.form_n FROM f JOIN up ON f.word = up.word AND up.nxt IS NULL"""
+
+STEP = {0: 2, 1: 2, 2: 3, 3: 2}
+KEEP = {0: "CASE i WHEN 's' THEN s1 WHEN 'u' THEN s2 END", 1: "CASE i WHEN 'u' THEN s2 END", 2: "CASE i WHEN 'a' THEN s3 END", 3: "CASE i WHEN 'u' THEN s2 END"}
+_way = "{{'c': {s}.c + {price}, 'a': '{letter}' || {s}.a}}".format
+_base = ", ".join(f"list_min([{_way(s=f's{q}', price=4, letter='D')}] || CASE WHEN must THEN [] ELSE [{_way(s=f's{STEP[q]}', price='3 + m', letter='R')}] END || CASE WHEN must OR ({KEEP[q]}) IS NULL THEN [] ELSE [{_way(s=f'({KEEP[q]})', price='m', letter='K')}] END) AS b{q}" for q in range(4))
+_closed = ", ".join(f"list_min([b{q}, {_way(s=f'b{STEP[q]}', price=3, letter='I')}, {_way(s=f'b{STEP[STEP[q]]}', price=6, letter='II')}]) AS s{q}" for q in range(4))
+#: The same DP with the audit itself as the second part of the cost.
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS hx FROM conversations),
+h AS (SELECT o.*, {CRC.format(bytes=BYTES.format(hex="hx"))} % 20 AS h FROM o, t),
+d AS (SELECT key, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again FROM h WHERE h <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, again) AS k, left(role, 1) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z FROM d),
+f AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(i) OVER (PARTITION BY key ORDER BY k) || i AS pair FROM k),
+n AS (SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+dp AS (SELECT key, n AS k, {{'c': 0::BIGINT, 'a': ''}} AS s0, {{'c': 6::BIGINT, 'a': 'II'}} AS s1, {{'c': 3::BIGINT, 'a': 'I'}} AS s2, {{'c': 0::BIGINT, 'a': ''}} AS s3 FROM n
+ UNION ALL SELECT key, k - 1, {_closed} FROM (SELECT key, k, {_base} FROM (SELECT dp.*, f.i, f.fault IN ('blank', 'duplicate') AS must, CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END AS m FROM dp JOIN f ON dp.key = f.key AND dp.k = f.k))),
+a AS (SELECT key, s0.c AS cost, s0.a AS audit FROM dp WHERE k = 0),
+l AS (SELECT key, p, audit[p] AS e, len(regexp_replace(left(audit, p), 'I', '', 'g')) AS at, len(regexp_replace(left(audit, p), 'D', '', 'g')) AS nth FROM (SELECT key, audit, unnest(range(1, len(audit) + 1)) AS p FROM a)),
+w AS (SELECT l.*, f.role, f.text, max(l.e = 'K' AND f.i = 's' AND l.nth = 1) OVER (PARTITION BY l.key) AS sys FROM l LEFT JOIN f ON l.key = f.key AND l.at = f.k AND l.e <> 'I'),
+s AS (SELECT key, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (nth - CASE WHEN sys THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha FROM w WHERE e <> 'D' GROUP BY 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM o) c LEFT JOIN n USING (key) LEFT JOIN a USING (key) LEFT JOIN s USING (key)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op10_sharding": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op9_exact_dedup": OP9_SQL, "op10_sharding": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op13_conversation_repair": OP13_SQL}
