@@ -80,13 +80,14 @@ def agent_counts(obs: DataFrame) -> DataFrame:
     return per.join(whole, "agent").withColumn("dedup_ratio", ratio(F.col("n_unique"), F.col("channel_unique")))
 
 
-def filter_counts(obs: DataFrame, agents: list[str]) -> DataFrame:
-    """scope, n_rows, n_unique for all, invalid, each agent and each tier."""
+def filter_counts(obs: DataFrame, agents: list[str], grain: tuple[str, ...] = ("repo_sha",)) -> DataFrame:
+    """scope, n_rows, n_unique (of the grain: repo_sha, or agent and repo_sha) for all, invalid, each agent and each tier."""
+    unique = F.count_distinct(F.concat_ws("\x1f", *grain)).alias("n_unique")
     v = validity(obs, agents)
     good = v.filter("invalid is null")
-    sets = good.groupingSets([[], ["agent"], ["tier"]], "agent", "tier").agg(F.grouping_id().alias("g"), F.count("*").alias("n_rows"), F.count_distinct("repo_sha").alias("n_unique"))
+    sets = good.withColumn("_grain", F.concat_ws("\x1f", *grain)).groupingSets([[], ["agent"], ["tier"]], "agent", "tier").agg(F.grouping_id().alias("g"), F.count("*").alias("n_rows"), F.count_distinct("_grain").alias("n_unique"))
     scope = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, F.concat(F.lit("agent:"), "agent")).otherwise(F.concat(F.lit("tier:"), "tier"))
-    bad = v.filter("invalid is not null").agg(F.count("*").alias("n_rows"), F.count_distinct("repo_sha").alias("n_unique")).select(F.lit("invalid").alias("scope"), "n_rows", "n_unique")
+    bad = v.filter("invalid is not null").agg(F.count("*").alias("n_rows"), unique).select(F.lit("invalid").alias("scope"), "n_rows", "n_unique")
     return sets.select(scope.alias("scope"), "n_rows", "n_unique").unionByName(bad)
 
 
@@ -154,6 +155,13 @@ def join_language(population: DataFrame, repos: DataFrame) -> DataFrame:
     return out.withColumn("language_state", F.when(F.col("language").isNull(), "missing_metadata").when(F.trim("language") == "", "blank").otherwise("known"))
 
 
+def language_gaps(joined: DataFrame, n: int = 30) -> DataFrame:
+    """The n repositories with most rows whose language is missing or blank (joined: what join_language gives), by name where
+    equal."""
+    gaps = joined.filter("language_state <> 'known'").groupBy("repo", "language_state").agg(F.count("*").alias("n_rows"))
+    return gaps.orderBy(F.desc("n_rows"), "repo", "language_state").limit(n)
+
+
 def pending_fetches(population: DataFrame, index: DataFrame, now, hours: int = 168) -> DataFrame:
     """First row of each (repo, sha) that is neither fetched, nor failed for good, nor failed within the last hours."""
     first = population.withColumn("rn", F.row_number().over(Window.partitionBy("repo", "sha").orderBy("pos"))).filter("rn = 1").drop("rn")
@@ -173,3 +181,10 @@ def file_reconciliation(expected: DataFrame, present: DataFrame, key: str = "sha
     e, p = expected.groupBy(key).agg(F.count("*").alias("n_expected")), present.groupBy(key).agg(F.count("*").alias("n_present"))
     j = e.join(p, key, "left").fillna({"n_present": 0})
     return j.withColumn("state", F.when(F.col("n_present") == 0, "missing").when(F.col("n_present") >= F.col("n_expected"), "complete").otherwise("partial"))
+
+
+def missing_files(expected: DataFrame, present: DataFrame, key: str = "sha", file: str = "filename") -> DataFrame:
+    """key, file of expected rows that are not present, repeats counted: n_missing."""
+    n = lambda df, name: df.groupBy(key, file).agg(F.count("*").alias(name))
+    j = n(expected, "n_expected").join(n(present, "n_present"), [key, file], "left").fillna({"n_present": 0})
+    return j.filter("n_present < n_expected").select(key, file, (F.col("n_expected") - F.col("n_present")).alias("n_missing"))

@@ -101,15 +101,32 @@ def extract_events(lines: DataFrame, key: str = "sha", languages: tuple[str, ...
     return events.withColumn("event_id", event_id(F.col(key).cast("string"), *[F.col(c) for c in ("event_type", "path", "line_no", "ordinal", "raw_target")]))
 
 
-def build_commits(events: DataFrame, index: DataFrame, key: str = "sha") -> DataFrame:
-    """Each commit of the index with its numbers of import and manifest events and its quadrant (I+M+ ... I-M-)."""
+def build_commits(events: DataFrame, index: DataFrame, key: str = "sha", population: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """Each commit of the index with its numbers of import and manifest events and its quadrant (I+M+ ... I-M-).
+
+    population (key, agent, author_date, in the order of seq if there is one): its first row's agent and author_date are
+    added, empty where it has none. changed (key, languages): the changed languages. Both also name the repository's
+    language: repo_language of the index, else commit_primary_language.
+    """
     n = events.groupBy(key).agg(F.count_if(F.col("event_type") == "import").alias("import_event_count"), F.count_if(F.col("event_type") == "manifest_addition").alias("manifest_event_count"))
     out = index.join(n, key, "left").fillna(0, ["import_event_count", "manifest_event_count"])
     sign = lambda c: F.when(F.col(c) > 0, "+").otherwise("-")
-    return out.withColumn("dependency_quadrant", F.concat(F.lit("I"), sign("import_event_count"), F.lit("M"), sign("manifest_event_count")))
-
-
-def sample_commits(commits: DataFrame, per_language: int, total: int, language: str = "language", order: str = "pos") -> DataFrame:
-    """The first per_language commits of each language by their place in the index, at most total in all."""
+    out = out.withColumn("dependency_quadrant", F.concat(F.lit("I"), sign("import_event_count"), F.lit("M"), sign("manifest_event_count")))
+    if population is not None:
+        seq = F.col("seq") if "seq" in population.columns else F.struct("author_date", "agent")
+        first = population.groupBy(key).agg(F.min_by(F.struct("agent", F.col("author_date").cast("string").alias("author_date")), seq).alias("p"))
+        out = out.join(first, key, "left").withColumns({c: F.coalesce(f"p.{c}", F.lit("")) for c in ("agent", "author_date")}).drop("p")
+        languages = [F.nullif(F.col(c), F.lit("")) for c in ("repo_language", "commit_primary_language") if c in index.columns]
+        out = out.withColumn("repo_primary_language", F.coalesce(*languages, F.lit("")))
+    if changed is not None:
+        out = out.join(changed.select(key, F.col("languages").alias("actual_changed_languages")), key, "left").fillna({"actual_changed_languages": ""})
+    return out
+
+
+def sample_commits(commits: DataFrame, per_language: int, total: int, language: str = "language", order: str = "pos", extracted: DataFrame | None = None, key: str = "sha") -> DataFrame:
+    """The first per_language commits of each language by their place in the index, at most total in all. With extracted
+    (key), only commits that gave something count, and only those use up the quota."""
+    if extracted is not None:
+        commits = commits.join(extracted.select(key).distinct(), key, "left_semi")
     rank = F.row_number().over(Window.partitionBy(language).orderBy(order))
     return commits.withColumn("place", rank).filter(F.col("place") <= per_language).orderBy(order).limit(total)

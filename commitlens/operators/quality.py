@@ -19,6 +19,49 @@ def violations(df: DataFrame, key: list[str], domains: dict[str, list[str]]) ->
     return one.unionByName(twice)
 
 
+def contract_violations(df: DataFrame, columns: list[str], key: list[str], domains: dict[str, list[str]], schema_version: int) -> DataFrame:
+    """violations, and whether the columns are exactly the given ones in order, and rows of another schema version."""
+    own = violations(df, key, domains)
+    wrong = own.sparkSession.range(1).select(F.lit("columns").alias("rule"), F.lit(int(df.columns != columns)).cast("long").alias("n"))
+    if "schema_version" in df.columns:
+        other = df.agg(F.count_if(~F.col("schema_version").cast("string").eqNullSafe(F.lit(str(schema_version)))).alias("n")).select(F.lit("schema_version").alias("rule"), "n")
+        own = own.unionByName(other)
+    return own.unionByName(wrong)
+
+
+def normal_repo(repo: Column) -> Column:
+    """owner/name in lower case; null for anything else."""
+    plain = F.array_join(F.filter(F.split(F.translate(F.trim(repo), "\\", "/"), "/"), lambda x: x != ""), "/")
+    return F.when(plain.rlike("^[^/]+/[^/]+$"), F.lower(plain))
+
+
+def normal_sha(sha: Column) -> Column:
+    """7 to 64 hexadecimal digits in lower case; null for anything else."""
+    low = F.lower(F.trim(sha))
+    return F.when(low.rlike(r"^[0-9a-f]{7,64}\z"), low)
+
+
+def normal_path(path: Column) -> Column:
+    """A path below the repository's root, without empty and . segments; null if it is none or leaves it."""
+    parts = F.filter(F.split(F.translate(F.trim(path), "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    return F.when((F.size(parts) > 0) & ~F.array_contains(parts, ".."), F.array_join(parts, "/"))
+
+
+def commit_id(repo: Column, sha: Column) -> Column:
+    """Identifier of a commit; null if the repository or the sha is none."""
+    r, h = normal_repo(repo), normal_sha(sha)
+    return F.when(r.isNotNull() & h.isNotNull(), content_id("cmt", repo=r, sha=h))
+
+
+def split_identified(df: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (repo, sha and perhaps a path) in normal form with commit_id, and the others as they came with reject_reason."""
+    checks = [("repo", normal_repo(F.col("repo"))), ("sha", normal_sha(F.col("sha"))), *([(path, normal_path(F.col(path)))] if path else [])]
+    why = F.coalesce(*[F.when(c.isNull(), f"bad_{n}") for n, c in checks])
+    marked = df.withColumn("reject_reason", why)
+    good = marked.filter("reject_reason is null").drop("reject_reason").withColumns(dict(checks))
+    return good.withColumn("commit_id", content_id("cmt", repo=F.col("repo"), sha=F.col("sha"))), marked.filter("reject_reason is not null")
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: list[str]) -> DataFrame:
     """Rows of child without a parent."""
     return child.join(parent.select(*key).distinct(), key, "left_anti")

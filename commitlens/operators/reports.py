@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.operators.quality import fingerprint
-from commitlens.operators.stats import ratio, wilson
+from commitlens.operators.stats import ranked, ratio, wilson
 
 
 def _counts(df: DataFrame, what: dict[str, Column]) -> DataFrame:
@@ -22,6 +22,19 @@ def stage1_summary(commits: DataFrame, events: DataFrame) -> DataFrame:
     return c.unionByName(_counts(changed, {"changed_language": F.col("l")})).unionByName(_counts(events, {"events": F.lit("all"), "event_type": F.col("event_type")}))
 
 
+def stage1_counters(index: DataFrame, extracted: DataFrame, languages: list[str] | None = None, per_language: int = 0, key: str = "sha", language: str = "language", order: str = "pos") -> DataFrame:
+    """counter, n: rows of the index, those of languages that are not looked at, those beyond a language's quota, those that
+    gave nothing, and those that gave a commit. Only commits that gave something use up a quota; in the order of the
+    index a row is beyond it once so many of its language have been found before it."""
+    found = index.join(extracted.select(key).distinct().withColumn("_found", F.lit(True)), key, "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
+    looked = F.col(language).isin(*languages) if languages else F.lit(True)
+    so_far = Window.partitionBy(language).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.coalesce(F.count_if("_found").over(so_far), F.lit(0)) >= per_language if per_language else F.lit(False)
+    state = F.when(~F.coalesce(looked, F.lit(False)), "filtered_repo_language").when(F.col("_beyond"), "sample_limit_skips").when(F.col("_found"), "commits").otherwise("non_candidate_or_missing_patch")
+    rows = found.withColumn("_beyond", beyond).withColumn("counter", F.explode(F.array(F.lit("processed_index_rows"), state)))
+    return rows.groupBy("counter").agg(F.count("*").alias("n"))
+
+
 def stage2_summary(episodes: DataFrame) -> DataFrame:
     """dimension, value, n: episodes by quadrant, alignment and query kind."""
     return _counts(episodes, {"episodes": F.lit("all"), "quadrant": F.col("dependency_quadrant"), "alignment": F.col("alignment_status"), "query_kind": F.col("query_kind")})
@@ -151,5 +164,5 @@ def rank_identities(roles: DataFrame) -> DataFrame:
         sha("author").alias("author_sha"), sha("coauthor").alias("coauthor_sha"), F.count_distinct("sha").alias("union_sha"), F.count_distinct("repo", "sha").alias("repo_sha"), F.count_distinct("repo").alias("n_repos"),
         F.count_distinct(day).alias("active_days"), F.count_distinct(F.date_format("author_date", "yyyy-MM")).alias("active_months"), F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"),
     )
-    order = Window.orderBy(F.desc("union_sha"), F.desc("author_sha"), F.desc("n_repos"), F.desc("active_days"), "identity")
-    return g.withColumn("duplication", ratio(F.col("repo_sha"), F.col("union_sha"))).withColumn("place", F.row_number().over(order))
+    order = (F.desc("union_sha"), F.desc("author_sha"), F.desc("n_repos"), F.desc("active_days"), F.col("identity"))
+    return ranked(g.withColumn("duplication", ratio(F.col("repo_sha"), F.col("union_sha"))), *order)

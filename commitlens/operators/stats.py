@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commitlens.plans.scratch import materialize, small
+
 from commitlens.operators.corpus import ratio
 
 #: The normal quantile of 95 %; upper bounds of the star buckets.
@@ -104,12 +106,13 @@ def trailer_state(messages: DataFrame) -> DataFrame:
 
 
 def concentration(population: DataFrame) -> DataFrame:
-    """For each agent: share of its largest and three largest repositories, of its busiest day; median rows of a day."""
+    """For each agent: share of its largest and three largest repositories, of its busiest day and month; median rows of a day."""
     repo = population.groupBy("agent", "repo").agg(F.count("*").alias("n")).withColumn("p", F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("n"), "repo")))
     r = repo.groupBy("agent").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("p") == 1, F.col("n"))).alias("t1"), F.sum(F.when(F.col("p") <= 3, F.col("n"))).alias("t3"))
     day = population.groupBy("agent", F.to_date("author_date").alias("d")).agg(F.count("*").alias("n")).groupBy("agent").agg(F.max("n").alias("max_day"), F.median("n").alias("median_day"), F.count("*").alias("active_days"))
-    j = r.join(day, "agent")
-    return j.select("agent", "n_rows", ratio(F.col("t1"), F.col("n_rows")).alias("top1_share"), ratio(F.col("t3"), F.col("n_rows")).alias("top3_share"), ratio(F.col("max_day"), F.col("n_rows")).alias("peak_day_share"), "max_day", "median_day", "active_days")
+    month = population.groupBy("agent", F.date_format("author_date", "yyyy-MM").alias("m")).agg(F.count("*").alias("n")).groupBy("agent").agg(F.max("n").alias("max_month"))
+    j = r.join(day, "agent").join(month, "agent").withColumn("peak_month_share", ratio(F.col("max_month"), F.col("n_rows")))
+    return j.select("peak_month_share", "agent", "n_rows", ratio(F.col("t1"), F.col("n_rows")).alias("top1_share"), ratio(F.col("t3"), F.col("n_rows")).alias("top3_share"), ratio(F.col("max_day"), F.col("n_rows")).alias("peak_day_share"), "max_day", "median_day", "active_days")
 
 
 def topn_overlap(a: DataFrame, b: DataFrame, key: str, n: int) -> DataFrame:
@@ -118,10 +121,22 @@ def topn_overlap(a: DataFrame, b: DataFrame, key: str, n: int) -> DataFrame:
     return top(a).join(top(b), key, "left_semi").agg(F.count("*").alias("n_shared")).withColumn("share", ratio(F.col("n_shared"), F.lit(n)))
 
 
+def ranked(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df with each row's place in an order of all rows, from 1. Rows are dealt out by ranges of the order and numbered in each;
+    what meets in one task is a row for each range, its size."""
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", part).join(small(materialize(starts, "starts")), "_part")
+    return out.withColumn(name, (F.col("_before") + at + 1).cast("int")).drop("_id", "_part", "_before")
+
+
 def rank_authors(population: DataFrame) -> DataFrame:
     """Agents ranked by unique commits, with repositories, active days and months; ties by name."""
     g = population.groupBy("agent").agg(
         F.count_distinct("sha").alias("n_sha"), F.count_distinct("repo_sha").alias("n_repo_sha"), F.count_distinct("repo").alias("n_repos"),
         F.count_distinct(F.to_date("author_date")).alias("active_days"), F.count_distinct(F.date_format("author_date", "yyyy-MM")).alias("active_months"),
     )
-    return g.withColumn("duplication", ratio(F.col("n_repo_sha"), F.col("n_sha"))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_sha"), "agent")))
+    return ranked(g.withColumn("duplication", ratio(F.col("n_repo_sha"), F.col("n_sha"))), F.desc("n_sha"), F.col("agent"))

@@ -347,8 +347,9 @@ def j14(spark, d):
 
 
 @query("j15_concentration", ctes("v_commit") + """, r AS (SELECT agent, repo, count(*) AS n, row_number() OVER (PARTITION BY agent ORDER BY count(*) DESC, repo) AS p FROM v_commit GROUP BY 1, 2), a AS (SELECT agent, sum(n) AS n, sum(n) FILTER (p = 1) AS t1, sum(n) FILTER (p <= 3) AS t3 FROM r GROUP BY 1),
-y AS (SELECT agent, max(n) AS mx, median(n) AS md, count(*) AS k FROM (SELECT agent, CAST(author_date AS DATE) AS d, count(*) AS n FROM v_commit GROUP BY 1, 2) GROUP BY 1)
-SELECT a.agent, CAST(n AS BIGINT) AS n_rows, round_even(t1 / CAST(n AS DOUBLE), 6) AS top1_share, round_even(t3 / CAST(n AS DOUBLE), 6) AS top3_share, round_even(mx / CAST(n AS DOUBLE), 6) AS peak_day_share, mx AS max_day, md AS median_day, k AS active_days FROM a JOIN y ON a.agent = y.agent""")
+y AS (SELECT agent, max(n) AS mx, median(n) AS md, count(*) AS k FROM (SELECT agent, CAST(author_date AS DATE) AS d, count(*) AS n FROM v_commit GROUP BY 1, 2) GROUP BY 1),
+mo AS (SELECT agent, max(n) AS mm FROM (SELECT agent, date_trunc('month', author_date) AS m, count(*) AS n FROM v_commit GROUP BY 1, 2) GROUP BY 1)
+SELECT a.agent, CAST(n AS BIGINT) AS n_rows, round_even(mm / CAST(n AS DOUBLE), 6) AS peak_month_share, round_even(t1 / CAST(n AS DOUBLE), 6) AS top1_share, round_even(t3 / CAST(n AS DOUBLE), 6) AS top3_share, round_even(mx / CAST(n AS DOUBLE), 6) AS peak_day_share, mx AS max_day, md AS median_day, k AS active_days FROM a JOIN y ON a.agent = y.agent JOIN mo ON a.agent = mo.agent""")
 def j15(spark, d):
     return stats.concentration(view(spark, d, "v_commit"))
 

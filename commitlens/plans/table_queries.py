@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from commitlens.functions import ranges
-from commitlens.operators import adjudication, diff, imports, linking, quality, reports
+from commitlens.operators import adjudication, corpus, diff, evidence, imports, linking, quality, reports, stats
 from commitlens.plans.diff_queries import CASES, _star
-from commitlens.plans.queries import query
+from commitlens.plans.queries import AGENTS, GOOD, query
 from commitlens.plans.scratch import scratch_dir
 from commitlens.plans.views import ctes, relation, view
 from commitlens.sources import tables
@@ -193,3 +193,80 @@ def g7_rows(spark, d):
     cases = _star(spark, d).withColumns({"case_id": F.concat(F.lit("c"), "episode_id"), "languages": F.array(F.lit("Go"), F.lit("é")), "sha": F.lit("s"), "agent": F.lit(None).cast("string"), "patch_path": F.lit(None).cast("string")})
     rows = adjudication.published_rows(adjudication.adjudicate(cases))
     return rows.select("case_id", "episode_id", "languages_json", "repo", "package_name", "original_registry_status", "adjudication_basis", "patch_path")
+
+
+@query("c18_commit_rows", ctes("v_commit") + """ SELECT pos, CAST(count(*) FILTER (l_linenumber % 2 = 0) AS BIGINT) AS import_event_count, CAST(count(*) FILTER (l_linenumber % 2 = 1) AS BIGINT) AS manifest_event_count,
+ CASE WHEN pos % 3 = 0 THEN '' ELSE any_value(agent) END AS agent, CASE WHEN pos % 5 = 0 THEN any_value(priority) WHEN pos % 5 = 1 THEN '' ELSE 'Go' END AS repo_primary_language, CASE WHEN pos % 2 = 0 THEN 'Go;Java' ELSE '' END AS actual_changed_languages FROM v_commit LEFT JOIN lineitem ON l_orderkey = pos GROUP BY pos""")
+def c18_rows(spark, d):
+    """Commits with the first row of the population, the repository's language and the languages changed."""
+    c = view(spark, d, "v_commit")
+    events = relation(spark, d, "SELECT l_orderkey AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 'import' ELSE 'manifest_addition' END AS event_type FROM lineitem")
+    index = c.selectExpr("pos", "case when pos % 5 < 2 then '' else 'Go' end as repo_language", "if(pos % 5 = 0, priority, null) as commit_primary_language")
+    people = c.filter("pos % 3 <> 0").selectExpr("pos", "agent", "author_date", "1 as seq")
+    rows = imports.build_commits(events, index, "pos", people.unionByName(people.withColumns({"agent": F.lit("second"), "seq": F.lit(2)})), c.filter("pos % 2 = 0").selectExpr("pos", "'Go;Java' as languages"))
+    return rows.select("pos", "import_event_count", "manifest_event_count", "agent", "repo_primary_language", "actual_changed_languages")
+
+
+@query("c19_sample_extracted", ctes("v_commit") + " SELECT pos, agent, CAST(row_number() OVER (PARTITION BY agent ORDER BY pos) AS INT) AS place FROM v_commit WHERE pos % 3 = 0 QUALIFY place <= 20 ORDER BY pos LIMIT 70")
+def c19_extracted(spark, d):
+    c = view(spark, d, "v_commit").select("pos", "agent")
+    return imports.sample_commits(c, 20, 70, "agent", extracted=c.filter("pos % 3 = 0"), key="pos").select("pos", "agent", "place")
+
+
+@query("c20_stage1_counters", ctes("v_commit") + """, x AS (SELECT *, agent IN ('agent_0', 'agent_1') AS looked, count(*) FILTER (pos % 3 = 0) OVER (PARTITION BY agent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v_commit),
+ y AS (SELECT CASE WHEN NOT looked THEN 'filtered_repo_language' WHEN coalesce(before, 0) >= 50 THEN 'sample_limit_skips' WHEN pos % 3 = 0 THEN 'commits' ELSE 'non_candidate_or_missing_patch' END AS counter FROM x) SELECT counter, count(*) AS n FROM y GROUP BY 1 UNION ALL SELECT 'processed_index_rows', count(*) FROM y""")
+def c20_counters(spark, d):
+    c = view(spark, d, "v_commit").select("pos", "agent")
+    return reports.stage1_counters(c, c.filter("pos % 3 = 0"), ["agent_0", "agent_1"], 50, "pos", "agent")
+
+
+@query("f1_lookup_keys", ctes("v_decl") + """, k AS (SELECT DISTINCT package_name, CASE WHEN version_spec = '' THEN 'name_only' WHEN version_spec LIKE '^%' THEN 'range' ELSE 'exact' END AS query_kind, version_spec AS query_value FROM v_decl WHERE version_spec <> 'workspace:*')
+ SELECT 'registry' AS source, 'npm' AS ecosystem, * FROM k UNION ALL SELECT 'advisory', 'npm', * FROM k WHERE query_kind = 'exact'""")
+def f1_keys(spark, d):
+    return evidence.lookup_keys(evidence.plan_queries(view(spark, d, "v_decl")))
+
+
+@query("h22_language_gaps", ctes("v_obs") + """, m AS (SELECT repo, CASE WHEN CAST(substr(split_part(repo, '/', 2), 5) AS BIGINT) % 3 = 0 THEN 'missing_metadata' ELSE 'blank' END AS language_state, count(*) AS n_rows FROM v_obs WHERE CAST(substr(split_part(repo, '/', 2), 5) AS BIGINT) % 3 < 2 GROUP BY 1, 2)
+ SELECT repo, language_state, n_rows FROM m ORDER BY n_rows DESC, repo, language_state LIMIT 30""")
+def h22_gaps(spark, d):
+    o = view(spark, d, "v_obs")
+    repos = o.select("repo").distinct().withColumn("k", F.substring(F.split("repo", "/")[1], 5, 20).cast("long") % 3).filter("k > 0").selectExpr("repo", "if(k = 1, ' ', 'Go') as language")
+    return corpus.language_gaps(corpus.join_language(o.select("repo"), repos))
+
+
+@query("h26_missing_files", "SELECT l_orderkey AS sha, l_partkey % 4 AS filename, count(*) - count(*) FILTER (l_linenumber <> 2) AS n_missing FROM lineitem GROUP BY 1, 2 HAVING count(*) > count(*) FILTER (l_linenumber <> 2)")
+def h26_missing(spark, d):
+    li = relation(spark, d, "SELECT l_orderkey AS sha, l_partkey % 4 AS filename, l_linenumber FROM lineitem")
+    return corpus.missing_files(li, li.filter("l_linenumber <> 2"))
+
+
+CONTRACT = "SELECT o_orderkey AS row_id, o_orderstatus AS status, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN '2' ELSE '3' END AS schema_version FROM orders"
+
+
+@query("i1_contract", f"WITH c AS ({CONTRACT}) SELECT 'empty_key' AS rule, 0 AS n UNION ALL SELECT 'domain:status', count(*) FILTER (status NOT IN ('F', 'O')) FROM c UNION ALL SELECT 'duplicate_key', 0 UNION ALL SELECT 'schema_version', count(*) FILTER (schema_version IS DISTINCT FROM '3') FROM c UNION ALL SELECT 'columns', 1")
+def i1_contract(spark, d):
+    return quality.contract_violations(relation(spark, d, CONTRACT), ["row_id", "schema_version", "status"], ["row_id"], {"status": ["F", "O"]}, 3)
+
+
+IDS = "SELECT o_orderkey AS pos, CASE o_orderkey % 7 WHEN 0 THEN 'owner' WHEN 1 THEN ' Org/Name/ ' WHEN 2 THEN 'a/b/c' ELSE 'Org/Name' END AS repo, CASE o_orderkey % 5 WHEN 0 THEN 'xyz1234' WHEN 1 THEN 'ABC12' ELSE ' ABCDEF' || CAST(1000000 + o_orderkey AS STRING) END AS sha, CASE o_orderkey % 3 WHEN 0 THEN '../x' WHEN 1 THEN './src//a.py' ELSE 'src/a.py' END AS path FROM orders"
+
+
+@query("i5_split_identified", f"""WITH i AS ({IDS}) SELECT pos, CASE WHEN pos % 7 IN (0, 2) THEN 'bad_repo' WHEN pos % 5 < 2 THEN 'bad_sha' WHEN pos % 3 = 0 THEN 'bad_path' END AS reason, CASE WHEN pos % 7 NOT IN (0, 2) AND pos % 5 > 1 AND pos % 3 > 0 THEN 'src/a.py' END AS path,
+ CASE WHEN pos % 7 NOT IN (0, 2) AND pos % 5 > 1 AND pos % 3 > 0 THEN 'cmt_' || substr(sha256('{{"id_schema_version":1,"kind":"cmt","repo":"org/name","sha":"abcdef' || CAST(1000000 + pos AS STRING) || '"}}'), 1, 32) END AS commit_id FROM i""")
+def i5_split(spark, d):
+    good, bad = quality.split_identified(relation(spark, d, IDS), "path")
+    none = F.lit(None).cast("string")
+    return good.select("pos", none.alias("reason"), "path", "commit_id").unionByName(bad.select("pos", F.col("reject_reason").alias("reason"), none.alias("path"), none.alias("commit_id")))
+
+
+@query("j14_ranked_rows", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INT) AS place FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice FROM lineitem)")
+def j14_ranked(spark, d):
+    """All rows of a table in one order, numbered without one task for all."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice").distinct()
+    return stats.ranked(li, F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "place")
+
+
+@query("h10_filter_counts_by_agent", ctes("v_obs") + f""" SELECT 'all' AS scope, count(*) AS n_rows, count(DISTINCT (agent, repo_sha)) AS n_unique FROM v_obs WHERE {GOOD} UNION ALL SELECT 'invalid', count(*), count(DISTINCT (agent, repo_sha)) FROM v_obs WHERE NOT ({GOOD})
+UNION ALL SELECT 'agent:' || agent, count(*), count(DISTINCT repo_sha) FROM v_obs WHERE {GOOD} GROUP BY 1 UNION ALL SELECT 'tier:' || tier, count(*), count(DISTINCT (agent, repo_sha)) FROM v_obs WHERE {GOOD} GROUP BY 1""")
+def h10_by_agent(spark, d):
+    return corpus.filter_counts(view(spark, d, "v_obs"), AGENTS, ("agent", "repo_sha"))
