@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from commitlens.functions import ranges
 from commitlens.operators import adjudication, diff, imports, linking, manifests
 from commitlens.plans.queries import query
-from commitlens.plans.scratch import scratch_dir
+from commitlens.plans.scratch import materialize, scratch_dir
 from commitlens.plans.views import ctes, view
 from commitlens.sources import tables
 from commitlens.streaming import jobs
@@ -43,7 +43,7 @@ def _patches(spark, d, kinds, source=None):
 
 
 def _rendered(spark, d, kinds, source=None):
-    return diff.patch_lines(_patches(spark, d, kinds, source), "pos")
+    return diff.patch_lines(materialize(_patches(spark, d, kinds, source), "patches"), "pos")
 
 
 def _manifest_query(name, kind, package, spec, line, extra=""):

@@ -402,7 +402,7 @@ def rendered(spark, d):
     man = man.select("pos", "path", F.col("path").alias("ordinal"), F.concat(F.array(F.lit("{"), F.lit('  "dependencies": {')), "t", F.array(F.lit("  },"), F.lit('  "scripts": {'), F.lit('    "build": "tsc"'), F.lit("  }"), F.lit("}"))).alias("lines"))
     src = decl.groupBy("pos").agg(F.array_sort(F.collect_set(F.concat(F.lit("import x from '"), "package_name", F.lit("/sub';")))).alias("lines"))
     src = src.select("pos", F.lit("packages/a/src/index.ts").alias("path"), F.lit("z").alias("ordinal"), "lines")
-    return diff.render_patches(man.unionByName(src), "pos")
+    return scratch.materialize(diff.render_patches(man.unionByName(src), "pos"), "patches")  # patch_lines reads patches twice
 
 
 ROWS_SQL = ctes("v_decl") + """, r AS (SELECT DISTINCT pos, line_no, package_name, version_spec, path FROM v_decl), n AS (SELECT *, row_number() OVER (PARTITION BY pos, path ORDER BY line_no, package_name, version_spec) AS k FROM r)"""
