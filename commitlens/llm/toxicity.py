@@ -8,11 +8,15 @@ itself one. The Nyström space is spanned by LANDMARKS one-word strings out of t
 words that tell the labels apart, the others drawn by hash from all. A sentence is its kernel values with the landmarks,
 times K_mm^-1/2. A linear SVM learns on sentences: for texts labelled 0 those most like the landmarks, for each text
 labelled 1 the sentence that speaks loudest for it (chosen anew each round). The margin of a sentence is then a sum over
-its words, so a word is worked out once and looked up afterwards. A text's score is a logistic of its TOP greatest margins,
+its words, so a word is worked out once and looked up afterwards. Each text is also fitted on with its words torn: COPIES
+times, every word of five letters or more of its KEPT sentences gets a foreign letter, so that the machine weighs how
+far a likeness may fall by one. A text's score is a logistic of its TOP greatest margins,
 fitted to the labels at the share of 1s among all of them.
 
 Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the smallest MD5 of doc_id, each of at most
-TRAIN_CHARS characters (longer ones are not fitted on), and of a text KEPT sentences. Scoring reads every text whole.
+TRAIN_CHARS characters (longer ones are not fitted on), and of a text KEPT sentences. Scoring reads every text whole. ORDER, DECAY, SPAN, POWER and COPIES were chosen by three
+inner folds of the training rows alone (chosen by MD5 of doc_id), half of whose judged texts had a letter inserted into
+every word of five letters or more; no held-out row was looked at for it.
 Words are what white space separates, lower-cased, freed of marks and given marks at both ends; single letters in a row
 are also read as one word; a sentence ends at . ! ? or a line end, and one of over STRETCH words is read in stretches
 that overlap; a word of over MOST_LETTERS is read in windows of LONG letters, the last of which ends with the word, each
@@ -42,7 +46,8 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 TRAIN_ROWS, TRAIN_CHARS, KEPT = 3000, 20_000, 12
 LANDMARKS, TOP = 256, 3
-ORDER, DECAY, SPAN, POWER = 4, 0.85, 6, 2
+ORDER, DECAY, SPAN, POWER = 4, 0.6, 6, 2
+COPIES = 1
 MOST_LETTERS, LONG, STEP, STRETCH, OVERLAP = 24, 8, 2, 40, 10
 KEPT_WORDS = 400_000
 _MARKS = re.compile(r"[\W_]+")
@@ -54,7 +59,9 @@ def _words(text: str) -> dict[str, None]:
     """The distinct words of a stretch of text in lower case, runs of single letters also as one."""
     seen = dict.fromkeys(text.split())
     if sum(len(t) <= 2 for t in seen) >= 3:
-        seen.update(dict.fromkeys(m.group() for m in _LONELY.finditer(text)))
+        for m in _LONELY.finditer(text):
+            run = _MARKS.sub("", m.group())
+            seen.update(dict.fromkeys((run, run[1:], run[:-1])))
     return dict.fromkeys(_MARKS.sub("", t) for t in seen)
 
 
@@ -204,18 +211,36 @@ def _logistic(x: np.ndarray, weight: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _likest(kernel: Kernel, texts: list[list[list[str]]], white: np.ndarray) -> list[np.ndarray]:
-    """For each text the rows of its KEPT sentences most like the landmarks, in the Nyström space."""
-    out = []
+def torn(word: str, copy: int) -> str:
+    """The word with a foreign letter inside, both chosen by MD5; words of under five letters stay."""
+    if len(word) < 7:
+        return word
+    h = int.from_bytes(hashlib.md5(f"{copy}:{word}".encode("utf-8", "surrogatepass")).digest()[:8])
+    at = 2 + h % (len(word) - 4)
+    return word[:at] + chr(ord("a") + (h >> 32) % 26) + word[at:]
+
+
+def _likest(kernel: Kernel, texts: list[list[list[str]]], white: np.ndarray) -> list[list[np.ndarray]]:
+    """For each text the rows of its KEPT sentences most like the landmarks, in the Nyström space; after all texts the
+    same for each of the COPIES of them, in which every word of these sentences is torn."""
+    out: list[list[np.ndarray]] = [[] for _ in range(COPIES + 1)]
     for lo in range(0, len(texts), 100):
         part = texts[lo : lo + 100]
         words = list({w: None for t in part for s in t for w in s})
-        at, values = {w: i for i, w in enumerate(words)}, kernel.values(words)
+        at, values, kept = {w: i for i, w in enumerate(words)}, kernel.values(words), []
         for t in part:
             rows = np.array([values[[at[w] for w in s]].sum(0) for s in t], np.float32).reshape(-1, len(kernel.landmarks))
             keep = np.sort(np.argsort(-rows.sum(1), kind="stable")[:KEPT])
-            out.append(rows[keep] @ white if len(rows) else np.zeros((1, len(white)), np.float32))
-    return out
+            out[0].append(rows[keep] @ white if len(rows) else np.zeros((1, len(white)), np.float32))
+            kept.append([t[i] for i in keep])
+        for copy in range(1, COPIES + 1):
+            again = [[[torn(w, copy) for w in s] for s in t] for t in kept]
+            words = list({w: None for t in again for s in t for w in s})
+            at, values = {w: i for i, w in enumerate(words)}, kernel.values(words)
+            for t in again:
+                rows = np.array([values[[at[w] for w in s]].sum(0) for s in t], np.float32).reshape(-1, len(kernel.landmarks))
+                out[copy].append(rows @ white if len(rows) else np.zeros((1, len(white)), np.float32))
+    return [r for part in out for r in part]
 
 
 def fit(texts: list[list[list[str]]], toxic: np.ndarray, prior: float = 0.1) -> Model | None:
@@ -230,12 +255,13 @@ def fit(texts: list[list[list[str]]], toxic: np.ndarray, prior: float = 0.1) ->
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     white = ((vectors / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T).astype(np.float32)
     rows = _likest(kernel, texts, white)
+    toxic = np.tile(toxic, COPIES + 1)
     calm, loud = [r for r, y in zip(rows, toxic, strict=True) if not y], [r for r, y in zip(rows, toxic, strict=True) if y]
     n = sum(map(len, calm)) + 1  # and a sentence without likeness
     z = np.ones((n + len(loud), len(landmarks) + 1), np.float32)
     z[0, :-1] = 0
     np.concatenate(calm, out=z[1:n, :-1])
-    del rows, calm
+    del calm
     said = [int(np.argmax(np.abs(r).sum(1))) for r in loud]
     for _ in range(4):
         for k, (r, i) in enumerate(zip(loud, said, strict=True)):
@@ -244,7 +270,9 @@ def fit(texts: list[list[list[str]]], toxic: np.ndarray, prior: float = 0.1) ->
         said = [int(np.argmax(r @ w)) for r in loud]
     del z, loud
     model, known = Model(kernel, white @ w, bias), {}
-    margins = np.vstack([model.loudest(texts[lo : lo + 500], known) for lo in range(0, len(texts), 500)])
+    whole = [model.loudest(texts[lo : lo + 500], known) for lo in range(0, len(texts), 500)]
+    copies = [np.array([np.sort(np.append(r @ w, np.zeros(TOP)))[::-1][:TOP] for r in rows[len(texts) :]]).reshape(-1, TOP) + bias]
+    margins = np.vstack(whole + copies)
     weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum()) * len(toxic)
     model.logistic = _logistic(margins, weight, toxic.astype(float))
     return model

@@ -523,6 +523,30 @@ def test_toxicity_sentences():
     assert {w for s in many for w in s} == {f"^w{i}ord$" for i in range(1000)} and max(map(len, many)) <= toxicity.STRETCH
 
 
+def test_toxicity_spaced_words_and_torn_copies():
+    got = {w for s in toxicity.sentences("You are such a t r a s h.") for w in s}
+    assert "^trash$" in got and "^atrash$" in got  # the article before the letters is one of them, or not
+    for word in ("^worthless$", "^idiot$", "^ñañaño$", "abcdefgh"):
+        for copy in (1, 2):
+            new = toxicity.torn(word, copy)
+            assert len(new) == len(word) + 1 and new == toxicity.torn(word, copy) and (new[0], new[-1]) == (word[0], word[-1])
+            assert any(new[:i] + new[i + 1 :] == word for i in range(len(new)))
+    assert toxicity.torn("^you$", 1) == "^you$" and toxicity.torn("", 1) == ""
+
+
+def test_toxicity_inserted_letters_of_the_training_insults():
+    """Texts of several insults stay above the cut when each word has a letter more; clean ones stay below."""
+    insults, plain = ["worthless", "pathetic", "disgusting", "stupid"], ["garden", "window", "market", "bridge", "orchard", "mountain", "library", "picture"]
+    pick = lambda i, k: plain[(i * 7 + k * 3) % 8]
+    bad = [f"The {pick(i, 1)} is near. You are a {insults[i % 4]} and {insults[(i + 1) % 4]} {pick(i, 2)}. We saw the {pick(i, 3)}." for i in range(60)]
+    good = [f"The {pick(i, 1)} is near. You are in a {pick(i, 4)} and {pick(i, 5)} today. We saw the {pick(i, 3)}." for i in range(240)]
+    texts = [toxicity.sentences(t) for t in bad + good]
+    model = toxicity.fit(texts, np.arange(300) < 60, 0.2)
+    more = lambda t: " ".join(w if len(w) < 5 else w[: len(w) // 2] + "x" + w[len(w) // 2 :] for w in t.split())
+    scores = model.scores([toxicity.sentences(more(t)) for t in bad + good], {})
+    assert (scores[:60] >= toxicity.CUT).mean() >= 0.9 and (scores[60:] < toxicity.CUT).all()
+
+
 def test_toxicity_margins_are_the_kernel_machine():
     """A sentence's margin is the SVM's product with its Nyström row, worked out pair by pair."""
     marks = ["^idiot$", "^scum$", "^hello$", "^world$"]
