@@ -58,6 +58,11 @@ def repo_tables(repos: DataFrame) -> DataFrame:
     return repos.groupBy("language").agg(F.count("*").alias("n_repos"), F.sum("stars").alias("stars"), F.median("stars").alias("median_stars"))
 
 
+def agent_combinations(queue: DataFrame) -> DataFrame:
+    """Repositories and rows of each combination of agents, as a queue of repositories names it (agents, n_rows)."""
+    return queue.groupBy("agents").agg(F.count("*").alias("n_repos"), F.sum("n_rows").alias("n_rows"))
+
+
 def repo_funnel(repos: DataFrame) -> DataFrame:
     """How many repositories each filter leaves, each on top of those before."""
     steps, so_far = [("all", F.lit(True)), ("not_fork", ~F.col("fork")), ("not_archived", ~F.col("archived")), ("has_language", F.col("language") != "(blank)"), ("stars_1", F.col("stars") >= 1), ("stars_5", F.col("stars") >= 5), ("stars_10", F.col("stars") >= 10)], F.lit(True)
@@ -82,6 +87,13 @@ def agent_by(population: DataFrame, dimension: DataFrame, key: str, value: str)
     return j.groupBy("agent", F.coalesce(value, F.lit("(unknown)")).alias(value)).agg(F.count_distinct("repo_sha").alias("n_unique"))
 
 
+def top_pivot(counts: DataFrame, value: str, agents: list[str], most: int) -> DataFrame:
+    """The values with the most unique commits over the given agents (ties: by value), one column for each agent."""
+    each = [F.sum(F.when(F.col("agent") == a, F.col("n_unique")).otherwise(0)).alias(a) for a in agents]
+    wide = counts.filter(F.col("agent").isin(agents)).groupBy(value).agg(*each, F.sum("n_unique").alias("total"))
+    return wide.orderBy(F.desc("total"), value).limit(most)
+
+
 def channel_share(counts: DataFrame) -> DataFrame:
     """Each channel's share of its agent's rows; channels without rows are left out."""
     return counts.filter("raw_rows > 0").withColumn("share", ratio(F.col("raw_rows"), F.sum("raw_rows").over(Window.partitionBy("agent"))))

@@ -33,6 +33,17 @@ def audit_schedule(windows: DataFrame) -> DataFrame:
     return windows.join(week, "day", "left").join(month, "day", "left").fillna(False, ["weekly", "monthly"])
 
 
+def search_tasks(windows: DataFrame, channels: DataFrame, completed: DataFrame) -> DataFrame:
+    """tier, agent, channel, window_start, window_end still to be searched. windows: those of audit_schedule; a channel
+    (tier, agent, channel) of tier audit is due in the first window day of a week, of tier monthly_audit in that of a month,
+    any other in every window; completed (the five columns) is done."""
+    key, tier = ["tier", "agent", "channel", "window_start", "window_end"], F.col("tier")
+    gates = F.array_compact(F.array(F.lit("main"), F.when(F.col("weekly"), "audit"), F.when(F.col("monthly"), "monthly_audit")))
+    due = windows.select("window_start", "window_end", F.explode(gates).alias("gate"))
+    gated = channels.select("tier", "agent", "channel", F.when(tier.isin("audit", "monthly_audit"), tier).otherwise("main").alias("gate")).distinct()
+    return due.join(gated, "gate").select(key).join(completed.select(key), key, "left_anti")
+
+
 def bisect_windows(commits: DataFrame, windows: DataFrame, cap: int, least_seconds: int) -> DataFrame:
     """Splits windows at their middle (whole seconds) while they hold more than cap commits and are longer than
     least_seconds. segment_start, segment_end, n, depth, status of every segment tried.

@@ -263,6 +263,16 @@ def h17(spark, d):
     return windows.audit_schedule(sampled(spark).join(days, "day", "left_semi")).withColumn("day", F.col("day").cast("string"))
 
 
+@query("h17_search_tasks", ctes("v_obs") + """, o AS (SELECT *, CAST(author_date AS DATE) AS day FROM v_obs), d AS (SELECT DISTINCT day FROM o),
+w AS (SELECT day, CAST(day AS TIMESTAMP) AS s, day = min(day) OVER (PARTITION BY date_trunc('week', day)) AS weekly, day = min(day) OVER (PARTITION BY date_trunc('month', day)) AS monthly FROM d),
+c AS (SELECT DISTINCT tier, agent, channel FROM o), t AS (SELECT tier, agent, channel, day, s FROM c JOIN w ON CASE tier WHEN 'audit' THEN weekly WHEN 'monthly_audit' THEN monthly ELSE true END)
+SELECT tier, agent, channel, s AS window_start, s + INTERVAL 1 DAY AS window_end FROM t ANTI JOIN (SELECT * FROM o WHERE hour(author_date) < 4) f USING (tier, agent, channel, day)""")
+def h17_tasks(spark, d):
+    seen = view(spark, d, "v_obs").withColumn("day", F.to_date("author_date"))
+    timed = lambda df: df.withColumn("window_start", F.col("day").cast("timestamp_ntz")).withColumn("window_end", F.date_add("day", 1).cast("timestamp_ntz"))
+    return windows.search_tasks(windows.audit_schedule(timed(seen.select("day").distinct())), seen, timed(seen.filter(F.hour("author_date") < 4)))
+
+
 @query("h18_bisect_windows", ctes("v_commit") + """, b AS (SELECT CAST(author_date AS TIMESTAMP) AS t FROM v_commit), yr AS (SELECT unnest(range((SELECT year(min(t)) FROM b), (SELECT year(max(t)) + 1 FROM b))) AS y),
 w AS (SELECT make_timestamp(y, 1, 1, 0, 0, 0) AS s0, date_diff('second', make_timestamp(y, 1, 1, 0, 0, 0), make_timestamp(y + 1, 1, 1, 0, 0, 0)) AS len FROM yr),
 lv AS (SELECT s0, d, i, s0 + to_seconds(i * (len >> d)) AS s, s0 + to_seconds((i + 1) * (len >> d)) AS e FROM w, (SELECT unnest(range(0, 6)) AS d), LATERAL (SELECT unnest(range(0, 1 << d)) AS i)),
@@ -315,6 +325,12 @@ def j7(spark, d):
     return stats.repo_tables(repos(spark, d))
 
 
+@query("j7_agent_combinations", ctes("v_commit") + """, s AS (SELECT repo, agent, min(pos) AS f, count(*) AS n FROM v_commit GROUP BY 1, 2), q AS (SELECT sum(n) AS n_rows, string_agg(agent, ';' ORDER BY f, agent) AS agents FROM s GROUP BY repo)
+SELECT agents, count(*) AS n_repos, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM q GROUP BY 1""")
+def j7_combinations(spark, d):
+    return stats.agent_combinations(corpus.repo_queue(view(spark, d, "v_commit")))
+
+
 @query("j8_repo_funnel", ctes("v_repo") + f""", {CLEAN_SQL}, t AS (SELECT count(*) AS a, count(*) FILTER (NOT fork) AS b, count(*) FILTER (NOT fork AND NOT archived) AS c, count(*) FILTER (NOT fork AND NOT archived AND language <> '(blank)') AS d, count(*) FILTER (NOT fork AND NOT archived AND language <> '(blank)' AND stars >= 1) AS e, count(*) FILTER (NOT fork AND NOT archived AND language <> '(blank)' AND stars >= 5) AS f, count(*) FILTER (NOT fork AND NOT archived AND language <> '(blank)' AND stars >= 10) AS g FROM r)
 SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i, unnest(['all', 'not_fork', 'not_archived', 'has_language', 'stars_1', 'stars_5', 'stars_10']) AS step, unnest([a, b, c, d, e, f, g]) AS n FROM t""")
 def j8(spark, d):
@@ -331,6 +347,12 @@ def j10(spark, d):
     return stats.agent_by(view(spark, d, "v_obs"), repos(spark, d), "repo", "language")
 
 
+@query("j10_top_languages", ctes("v_obs", "v_repo") + f""", {CLEAN_SQL}, c AS (SELECT agent, coalesce(language, '(unknown)') AS language, count(DISTINCT repo_sha) AS n FROM v_obs LEFT JOIN r ON v_obs.repo = r.repo GROUP BY 1, 2)
+SELECT language, {", ".join(f"CAST(coalesce(sum(n) FILTER (agent = '{a}'), 0) AS BIGINT) AS {a}" for a in AGENTS)}, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1 ORDER BY total DESC, language LIMIT 10""")
+def j10_top(spark, d):
+    return stats.top_pivot(j10(spark, d), "language", AGENTS, 10)
+
+
 @query("j11_channel_share", ctes("v_obs") + " SELECT agent, channel, count(*) AS raw_rows, round_even(count(*) / CAST(sum(count(*)) OVER (PARTITION BY agent) AS DOUBLE), 6) AS share FROM v_obs GROUP BY 1, 2")
 def j11(spark, d):
     return stats.channel_share(view(spark, d, "v_obs").groupBy("agent", "channel").agg(F.count("*").alias("raw_rows")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths, versions
-from commitlens.operators import diff, imports, manifests, quality, stats
+from commitlens.operators import diff, imports, manifests, quality, stats, windows
 from commitlens.plans import diff_queries, more_queries, table_queries  # noqa: F401
 from commitlens.plans import queries as core
 
@@ -120,3 +120,22 @@ def test_paths(spark):
     p = F.col("p")
     got = [tuple(r) for r in df.select(paths.source_language(p), paths.is_research_path(p), paths.manifest_kind(p)).collect()]
     assert got == [("TypeScript", True, None), ("JavaScript", False, None), (None, True, "gomod"), (None, True, "catalog"), (None, None, None)]
+
+
+def test_search_tasks_follow_tiers(spark):
+    days = spark.sql("SELECT day, 's' || day AS window_start, 'e' || day AS window_end FROM (SELECT explode(array(date'2025-05-30', date'2025-05-31', date'2025-06-01', date'2025-06-02')) AS day)")
+    channels = spark.createDataFrame([("main", "a", "x"), ("audit", "a", "y"), ("monthly_audit", "a", "z"), ("main", "a", "x"), (None, "a", "n")], "tier string, agent string, channel string")
+    done = spark.createDataFrame([("main", "a", "x", "s2025-05-31", "e2025-05-31"), ("audit", "a", "y", "s2025-06-02", "other end")], "tier string, agent string, channel string, window_start string, window_end string")
+    got = sorted((r.channel, r.window_start[1:]) for r in windows.search_tasks(windows.audit_schedule(days), channels, done).collect())
+    every = ["2025-05-30", "2025-05-31", "2025-06-01", "2025-06-02"]
+    assert got == [("n", x) for x in every] + [("x", x) for x in every if x != "2025-05-31"] + [("y", "2025-05-30"), ("y", "2025-06-02"), ("z", "2025-05-30"), ("z", "2025-06-01")]
+    assert windows.search_tasks(windows.audit_schedule(days), channels, done.limit(0)).count() == 12
+    assert windows.search_tasks(windows.audit_schedule(days.limit(0)), channels, done).count() == 0
+
+
+def test_combinations_and_top_pivot(spark):
+    queue = spark.createDataFrame([("r1", "a;b", 3), ("r2", "a;b", 4), ("r3", "b;a", 5), ("r4", None, 1)], "repo string, agents string, n_rows long")
+    assert plain(stats.agent_combinations(queue).collect()) == plain([("a;b", 2, 7), ("b;a", 1, 5), (None, 1, 1)])
+    counts = spark.createDataFrame([("a", "Go", 3), ("b", "Go", 1), ("a", "Rust", 4), ("b", "C", 9), ("zz", "Zig", 99), ("a", "Nim", 1)], "agent string, language string, n_unique long")
+    assert [tuple(r) for r in stats.top_pivot(counts, "language", ["a", "b"], 3).collect()] == [("C", 0, 9, 9), ("Go", 3, 1, 4), ("Rust", 4, 0, 4)]  # Go and Rust tie
+    assert stats.top_pivot(counts.limit(0), "language", ["a"], 3).count() == 0
