@@ -237,11 +237,31 @@ def patch_flags(cases: DataFrame, lines: DataFrame, key: str = "sha") -> DataFra
     return hit.select("episode_id", F.array_compact(F.array(*[F.when(F.col(n), n) for n in sorted(rules)])).alias("patch_flags"))
 
 
-def comment_guard(labels: DataFrame, evidence: DataFrame, lines: DataFrame, key: str = "sha") -> DataFrame:
-    """labels with cases turned to not_hallucination whose manifest events are all commented lines, one of them in
-    pyproject.toml; `corrected` marks them. evidence: episode_id, key, event_type, path, line_no."""
+#: What a case gets whose manifest lines are comments.
+COMMENT_FLAG = "commented_manifest_parser_false_positive"
+COMMENT_BASIS = "manifest event was parsed from a commented-out dependency line"
+
+
+def commented_cases(evidence: DataFrame, lines: DataFrame, key: str = "sha") -> DataFrame:
+    """episode_id, commented_lines (by path and number) of the cases whose manifest events are all commented lines, one of
+    them in a pyproject.toml. evidence: episode_id, key, event_type, path, line_no; an event without a line is no comment."""
     man = evidence.filter("event_type = 'manifest_addition'").join(lines.filter("added").select(key, "path", "line_no", "text"), [key, "path", "line_no"], "left")
-    lone = man.groupBy("episode_id").agg(F.bool_and(F.coalesce(F.ltrim("text").startswith("#"), F.lit(False))).alias("all_comments"), F.bool_or(F.lower(F.substring_index("path", "/", -1)) == "pyproject.toml").alias("toml"))
-    fix = lone.filter("all_comments and toml").select("episode_id", F.lit(True).alias("hit"))
+    comment = F.coalesce(F.ltrim("text").startswith("#"), F.lit(False))
+    said = F.collect_list(F.when(comment, F.struct("path", "line_no", "text")))
+    each = man.groupBy("episode_id").agg(F.bool_and(comment).alias("all_comments"), F.bool_or(F.lower("path").endswith("pyproject.toml")).alias("toml"), F.array_sort(said).alias("said"))
+    return each.filter("all_comments and toml").select("episode_id", F.col("said.text").alias("commented_lines"))
+
+
+def comment_guard(labels: DataFrame, evidence: DataFrame, lines: DataFrame, key: str = "sha") -> DataFrame:
+    """labels with the cases of commented_cases turned to not_hallucination; `corrected` marks them. Where labels have an
+    adjudication_basis or evidence_flags, those say so too."""
+    fix = commented_cases(evidence, lines, key).select("episode_id", F.lit(True).alias("hit"))
     out = labels.join(fix, "episode_id", "left").withColumn("corrected", F.coalesce("hit", F.lit(False))).drop("hit")
-    return out.withColumn("final_label", F.when(F.col("corrected"), LABELS["not"]).otherwise(F.col("final_label"))).withColumn("confidence", F.when(F.col("corrected"), "high").otherwise(F.col("confidence")))
+    flags = lambda: F.array_sort(F.array_union(F.coalesce("evidence_flags", F.array().cast("array<string>")), F.array(F.lit(COMMENT_FLAG))))
+    new = {"final_label": lambda: F.lit(LABELS["not"]), "confidence": lambda: F.lit("high"), "adjudication_basis": lambda: F.lit(COMMENT_BASIS), "evidence_flags": flags}
+    return out.withColumns({c: F.when(F.col("corrected"), value()).otherwise(F.col(c)) for c, value in new.items() if c in labels.columns})
+
+
+def comment_audit(labels: DataFrame, evidence: DataFrame, lines: DataFrame, key: str = "sha") -> DataFrame:
+    """episode_id, old_label, new_label, commented_lines of the labels that comment_guard turns."""
+    return labels.select("episode_id", F.col("final_label").alias("old_label"), F.lit(LABELS["not"]).alias("new_label")).join(commented_cases(evidence, lines, key), "episode_id")

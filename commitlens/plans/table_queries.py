@@ -125,11 +125,29 @@ def g1(spark, d):
 
 @query("g8_comment_guard", "SELECT o_orderkey AS episode_id, CASE WHEN o_orderkey % 6 = 0 THEN 'not_hallucination' ELSE 'probable_hallucination' END AS final_label, CASE WHEN o_orderkey % 6 = 0 THEN 'high' ELSE 'medium' END AS confidence, o_orderkey % 6 = 0 AS corrected FROM orders")
 def g8(spark, d):
+    return adjudication.comment_guard(*_commented(spark, d))
+
+
+def _commented(spark, d):
     """Cases whose one manifest line is a comment (every second) in a pyproject.toml (every third)."""
     o = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey as episode_id", "md5(string(o_orderkey)) as sha", "if(o_orderkey % 3 = 0, 'svc/pyproject.toml', 'setup.cfg') as path")
     labels = o.selectExpr("episode_id", "'probable_hallucination' as final_label", "'medium' as confidence")
     lines = o.selectExpr("sha", "path", "1 as line_no", "true as added", "if(episode_id % 2 = 0, '  # \"x\"', '\"x\"') as text")
-    return adjudication.comment_guard(labels, o.selectExpr("episode_id", "sha", "'manifest_addition' as event_type", "path", "1 as line_no"), lines)
+    return labels, o.selectExpr("episode_id", "sha", "'manifest_addition' as event_type", "path", "1 as line_no"), lines
+
+
+@query("g8_comment_audit", """SELECT l_orderkey AS episode_id, 'probable_hallucination' AS old_label, 'not_hallucination' AS new_label, string_agg('# part ' || CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber) AS commented_lines
+FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(l_returnflag <> 'R') AND bool_or(l_linenumber = 2)""")
+def g8_audit(spark, d):
+    """A case for each order, a manifest line for each of its items: returned ones are no comments; the second is in a
+    pyproject.toml."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_returnflag").alias("l_returnflag")).selectExpr(
+        "l_orderkey as episode_id", "string(l_orderkey) as sha", "'manifest_addition' as event_type", "case l_linenumber when 1 then 'a/Pip.txt' when 2 then 'a/PyProject.toml' else 'b/setup.cfg' end as path", "l_linenumber as line_no", "true as added",
+        "concat(if(l_returnflag = 'R', 'part ', '# part '), l_partkey) as text",
+    )
+    labels = items.select("episode_id").distinct().withColumns({"final_label": F.lit("probable_hallucination"), "confidence": F.lit("medium")})
+    audit = adjudication.comment_audit(labels, items.drop("added", "text"), items)
+    return audit.withColumn("commented_lines", F.array_join("commented_lines", "\n"))
 
 
 @query("i6_manifest", "SELECT 'orders' AS table_name, 'o_orderkey:bigint|o_custkey:bigint' AS columns, 'o_orderkey' AS key, count(*) AS n_rows, true AS adds_up FROM orders")

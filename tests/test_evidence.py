@@ -59,6 +59,11 @@ def test_patch_flags_and_comments(spark):
     labels = spark.createDataFrame([(e, "probable_hallucination", "medium") for e in ("x", "y", "w")], "episode_id string, final_label string, confidence string")
     ev = spark.createDataFrame([("x", "s", "manifest_addition", "pyproject.toml", 5), ("y", "s", "manifest_addition", "pyproject.toml", 5), ("y", "s", "manifest_addition", "pyproject.toml", 6), ("w", "s", "import", "a.py", 5)], "episode_id string, sha string, event_type string, path string, line_no int")
     assert {r.episode_id: r.corrected for r in adjudication.comment_guard(labels, ev, lines).collect()} == {"x": True, "y": False, "w": False}
+    assert [tuple(r) for r in adjudication.comment_audit(labels, ev, lines).collect()] == [("x", "probable_hallucination", "not_hallucination", [lines.filter("path = 'pyproject.toml' and line_no = 5").first().text])]
+    full = labels.withColumns({"adjudication_basis": F.lit("b"), "evidence_flags": F.when(F.col("episode_id") == "y", F.array(F.lit("zz")))})
+    got = {r.episode_id: (r.final_label, r.confidence, r.adjudication_basis, r.evidence_flags) for r in adjudication.comment_guard(full, ev, lines).collect()}
+    assert got == {"x": ("not_hallucination", "high", adjudication.COMMENT_BASIS, [adjudication.COMMENT_FLAG]), "y": ("probable_hallucination", "medium", "b", ["zz"]), "w": ("probable_hallucination", "medium", "b", None)}
+    assert adjudication.comment_audit(labels, ev, lines.limit(0)).count() == 0  # an event without its line is no comment
 
 
 def test_requirements(spark):
