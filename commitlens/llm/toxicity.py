@@ -15,8 +15,8 @@ fitted to the labels at the share of 1s among all of them.
 
 Only the fit is bounded: TRAIN_ROWS labelled texts of each label, those with the smallest MD5 of doc_id, each of at most
 TRAIN_CHARS characters (longer ones are not fitted on), and of a text KEPT sentences. Scoring reads every text whole. ORDER, DECAY, SPAN, POWER and COPIES were chosen by three
-inner folds of the training rows alone (chosen by MD5 of doc_id), half of whose judged texts had a letter inserted into
-every word of five letters or more; no held-out row was looked at for it.
+inner folds of the training rows alone (chosen by MD5 of doc_id), whose texts were judged as they are and with a letter
+inserted into every word of five letters or more; no held-out row was looked at for it.
 Words are what white space separates, lower-cased, freed of marks and given marks at both ends; single letters in a row
 are also read as one word; a sentence ends at . ! ? or a line end, and one of over STRETCH words is read in stretches
 that overlap; a word of over MOST_LETTERS is read in windows of LONG letters, the last of which ends with the word, each
