@@ -1,92 +1,39 @@
-"""Unified diffs: rendered from rows, and exploded into lines with their numbers. State is a window, not a loop."""
+"""Unified diffs: rendered from rows, and exploded into lines with their numbers by nested splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths
 
-#: Characters of a patch beyond which its lines are dealt out in pieces, and the lines of a piece.
-LONG_PATCH, PIECE_LINES = 4 << 20, 1 << 16
-HEADER, NEW_PATH, HUNK = r"(?s)^diff --git a/(.*?) b/(.*)\z", r"(?s)^\+\+\+ b/(.*)\z", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
-FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
+#: The places before the lines that begin a file or a hunk; what those lines and a file's `+++` lines say.
+FILE_START = r"(?=diff --git a/(?:(?! b/)[^\r\n])*+ b/[^\r\n])(?<![^\r\n])"
+HUNK_START = r"(?=@@ -\d+(?:,\d+)? \+\d{1,10}(?:,\d+)? @@)(?<![^\r\n])"
+HEADER, NEW_PATH, HUNK = r"^diff --git a/(?:(?! b/)[^\r\n])*+ b/([^\r\n]+)", r"(?:\A|[\r\n])\+\+\+ b/([^\r\n]+)", r"^@@ -\d+(?:,\d+)? \+(\d{1,10})(?:,\d+)? @@"
 
 
-def _raw_lines(patches: DataFrame, key: str) -> DataFrame:
-    """key, i, raw, what a header says (head, new_path, start), and whether a hunk would keep the line."""
-    lines = patches.select(key, F.posexplode(F.split("patch", r"\r\n|\r|\n")).alias("i", "raw"))
-    found = lambda p, g: F.nullif(F.regexp_extract("raw", p, g), F.lit(""))
-    new_path = F.nullif(F.when(F.col("raw").startswith("+++ b/"), found(NEW_PATH, 1)), F.lit("/dev/null"))
-    start = F.when(F.col("raw").startswith("@@ -"), F.try_to_number(found(HUNK, 1), F.lit("9999999999")).cast("int"))
-    kept = F.col("raw").startswith(" ") | (F.col("raw").startswith("+") & ~F.col("raw").startswith("+++"))
-    return lines.select(key, "i", "raw", F.when(F.col("raw").startswith("diff --git "), found(HEADER, 2)).alias("head"), new_path.alias("new_path"), start.alias("start"), kept.alias("kept"))
-
-
-def _counted(lines: DataFrame, by: list[str]) -> DataFrame:
-    """lines with their file (f), hunk (h), the hunk's start (s) and the kept lines so far (k), as seen from the start of `by`."""
-    so_far = lambda *more: Window.partitionBy(*by, *more).orderBy("i").rowsBetween(FIRST, 0)
-    lines = lines.withColumn("f", F.count("head").over(so_far())).withColumn("h", F.count("start").over(so_far("f")))
-    return lines.withColumns({"s": F.last("start", True).over(so_far("f", "h")), "k": F.count_if("kept").over(so_far("f", "h"))})
-
-
-def _path(*by: str, order: str) -> Column:
-    """A file's path: the last that a +++ line gives, else that of its header."""
-    whole = Window.partitionBy(*by).orderBy(order).rowsBetween(FIRST, LAST)
-    return F.coalesce(F.last("new_path", True).over(whole), F.first("head", True).over(whole))
-
-
-def _piece_carries(lines: DataFrame, key: str) -> DataFrame:
-    """For each piece of a patch what the pieces before it leave: files so far, and of the file that is open the hunks, the
-    last hunk's start and the lines kept since. A scan over one row a piece: sums and last values that begin anew where
-    a piece has a header (for the hunk's lines also a hunk)."""
-    tail = F.col("f") == F.max("f").over(Window.partitionBy(key, "piece"))
-    rows = lines.select(key, "piece", "f", "h", "start", "kept", "i", tail.alias("tail"))
-    rows = rows.withColumn("open", F.col("tail") & (F.col("h") == F.max(F.when(F.col("tail"), F.col("h"))).over(Window.partitionBy(key, "piece"))))
-    sums = rows.groupBy(key, "piece").agg(
-        F.max("f").alias("files"), F.count_if(F.col("tail") & F.col("start").isNotNull()).alias("hunks"), F.max_by("start", F.when(F.col("tail") & F.col("start").isNotNull(), F.col("i"))).alias("start"),
-        F.count_if(F.col("open") & F.col("kept")).alias("lines"),
-    )
-    by = Window.partitionBy(key).orderBy("piece")
-    sums = sums.withColumn("anew", F.count_if(F.col("files") > 0).over(by.rowsBetween(FIRST, 0))).withColumn("hunk_anew", F.count_if((F.col("files") > 0) | (F.col("hunks") > 0)).over(by.rowsBetween(FIRST, 0)))
-    in_file, in_hunk = (Window.partitionBy(key, c).orderBy("piece").rowsBetween(FIRST, 0) for c in ("anew", "hunk_anew"))
-    upto = sums.withColumns({"c_hunks": F.sum("hunks").over(in_file), "c_start": F.last("start", True).over(in_file), "c_lines": F.sum("lines").over(in_hunk)})
-    before = lambda c: F.lag(c).over(by)
-    return upto.select(
-        key, "piece", F.coalesce(F.sum("files").over(by.rowsBetween(FIRST, -1)), F.lit(0)).alias("c_files"), F.coalesce(before("c_hunks"), F.lit(0)).alias("c_hunks"), before("c_start").alias("c_start"), F.coalesce(before("c_lines"), F.lit(0)).alias("c_lines"),
-    )
-
-
-def _long_lines(lines: DataFrame, key: str, piece_lines: int) -> DataFrame:
-    """Lines numbered within pieces first; then each piece adds what the ones before it leave."""
-    lines = _counted(lines.withColumn("piece", F.expr(f"i div {piece_lines}")), [key, "piece"])
-    lines = lines.join(_piece_carries(lines, key), [key, "piece"])
-    first_file, first_hunk = F.col("f") == 0, (F.col("f") == 0) & (F.col("h") == 0)
-    lines = lines.withColumns({"k": F.col("k") + F.when(first_hunk, F.col("c_lines")).otherwise(0), "s": F.when(first_hunk, F.col("c_start")).otherwise(F.col("s"))})
-    lines = lines.withColumns({"h": F.col("h") + F.when(first_file, F.col("c_hunks")).otherwise(0), "f": F.col("f") + F.col("c_files")}).drop("c_files", "c_hunks", "c_start", "c_lines")
-    # a file's path goes to each of its pieces, so that a long file is not one key
-    named = lines.groupBy(key, "f", "piece").agg(F.max_by("new_path", F.when(F.col("new_path").isNotNull(), F.col("i"))).alias("new_path"), F.max("head").alias("head"))
-    named = named.select(key, "f", "piece", _path(key, "f", order="piece").alias("path"))
-    return lines.join(named, [key, "f", "piece"])
-
-
-def patch_lines(patches: DataFrame, key: str = "sha", long_patch: int = LONG_PATCH, piece_lines: int = PIECE_LINES) -> DataFrame:
+def patch_lines(patches: DataFrame, key: str = "sha", long_patch: int = 0, piece_lines: int = 0) -> DataFrame:
     """key, file_no, path, hunk, line_no (in the new file), added, text for every line that the new file has.
 
     A file's path is the last `+++ b/` seen in it, else the header's; lines before its first hunk, removed lines, headers and
-    bare empty lines are neither kept nor counted. The windows run within a patch, then within a file and a hunk. A patch of
-    more than long_patch characters is dealt out in pieces of piece_lines lines, with the same result; patches are read
-    twice for that.
+    bare empty lines are neither kept nor counted. A patch is cut before the lines that begin a file, a file before those that
+    begin a hunk, and a hunk into its lines: the numbers are places in these lists, so nothing is shuffled or sorted and
+    patches are read once, long ones too. long_patch and piece_lines have no effect any more.
     """
-    size = F.length("patch")
-    short = _counted(_raw_lines(patches.filter(size <= long_patch), key), [key]).withColumn("path", _path(key, "f", order="i"))
-    long = _long_lines(_raw_lines(patches.filter(size > long_patch), key), key, piece_lines)
-    out = None
-    for lines in (short, long):
-        line_no = (F.col("s") + F.col("k") - 1).cast("int")
-        part = lines.filter("kept and h > 0 and path is not null").select(key, F.col("f").alias("file_no"), "path", F.col("h").cast("int").alias("hunk"), line_no.alias("line_no"), F.col("raw").startswith("+").alias("added"), F.substring("raw", 2, 1 << 30).alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    starts = F.col("patch").rlike(HEADER).cast("int").alias("starts")
+    files = patches.select(key, starts, F.posexplode(F.split("patch", FILE_START)).alias("i", "file"))
+    named = F.filter(F.regexp_extract_all("file", F.lit(NEW_PATH), F.lit(1)), lambda p: p != "/dev/null")
+    files = files.select(key, (F.col("i") + F.col("starts")).cast("long").alias("file_no"), "file", named.alias("named"))  # what stands before the first header is file 0
+    path = F.coalesce(F.try_element_at("named", F.lit(-1)), F.nullif(F.regexp_extract("file", HEADER, 1), F.lit("")))
+    begins = ((F.col("file_no") == 0) & F.col("file").rlike(HUNK)).cast("int")
+    hunks = files.select(key, "file_no", "file", path.alias("path"), begins.alias("begins")).filter("path is not null")
+    hunks = hunks.select(key, "file_no", "path", "begins", F.posexplode(F.split("file", HUNK_START)).alias("j", "lines"))
+    hunks = hunks.select(key, "file_no", "path", (F.col("j") + F.col("begins")).alias("hunk"), "lines").filter("hunk > 0")
+    start = F.regexp_extract("lines", HUNK, 1).cast("int")
+    kept = F.filter(F.split("lines", r"\r\n|\r|\n"), lambda x: x.startswith(" ") | (x.startswith("+") & ~x.startswith("+++")))
+    lines = hunks.select(key, "file_no", "path", "hunk", start.alias("start"), F.posexplode(kept).alias("k", "raw"))
+    return lines.select(key, "file_no", "path", "hunk", (F.col("start") + F.col("k")).cast("int").alias("line_no"), F.col("raw").startswith("+").alias("added"), F.substring("raw", 2, 1 << 30).alias("text"))
 
 
 def npm_package(target):

@@ -167,7 +167,7 @@ def findings(lines: DataFrame, key: str = "sha", kinds: tuple[str, ...] = KINDS)
     declared dependency in lines (key, file_no, path, hunk, line_no, added, text), of the given kinds of files."""
     whole = ("maven",)
     kind = kind_of(F.col("path"))
-    kept = lines.filter(let(kind, lambda k: _wanted(k, kinds)))  # the kind is worked out once for a line
+    kept = lines.filter(kind.isin(*kinds)).filter(let(kind, lambda k: _wanted(k, kinds)))  # the first is decided by file, the second once for a line
     df = kept.select(key, "file_no", "path", "hunk", "line_no", "added", "text", kind.alias("kind"))
     df = df.withColumn("scope", F.when(F.col("kind").isin(*whole), 0).otherwise(F.col("hunk"))).repartition(key, "file_no", "scope")
     file, order = [key, "file_no", "scope"], ["hunk", "line_no"]

@@ -139,3 +139,20 @@ def test_rendered_statuses(spark):
     files = spark.createDataFrame([("s", "a", 1, ["x"], "modified", None), ("s", "b", 2, ["y"], "removed", None), ("s", "c", 3, ["z"], "renamed", "old"), ("s", "d", 4, None, "renamed", "o"), ("s", "e", 5, ["w"], None, None)], "sha string, path string, ordinal int, lines array<string>, status string, previous_path string")
     lines = diff.patch_lines(diff.render_patches(files)).collect()
     assert sorted((r.path, r.text, r.added) for r in lines) == [("a", "x", True), ("c", "z", True), ("e", "w", True)]
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patch_lines_are_numbered_in_place(spark):
+    """Numbering the lines of patches neither shuffles nor sorts them, and reads the patches once."""
+    plan = physical(diff.patch_lines(spark.createDataFrame([("s", "")], "sha string, patch string")))
+    assert not [x for x in ("Exchange", "Sort", "Window", "Union") if x in plan]
+
+
+def test_line_ends_and_odd_headers(spark):
+    """All three line ends, a header without a second path, a path of no file, and a hunk before any header."""
+    patch = "\r\n".join(["@@ -1 +7 @@", "+++ b/pre", "+x", "diff --git a/only", "+y", "diff --git a/q b/q", "+++ b//dev/null", "@@ -1 +3 @@"]) + "\r+a\n-b\r\n c"
+    got = diff.patch_lines(spark.createDataFrame([("s", patch)], "sha string, patch string")).drop("sha").collect()
+    assert sorted(tuple(x) for x in got) == [(0, "pre", 1, 7, True, "x"), (0, "pre", 1, 8, True, "y"), (1, "q", 1, 3, True, "a"), (1, "q", 1, 4, False, "c")]
