@@ -10,7 +10,7 @@ from commitlens.functions import ranges
 from commitlens.operators import adjudication, corpus, diff, evidence, imports, linking, quality, reports, stats
 from commitlens.plans.diff_queries import CASES, _star
 from commitlens.plans.queries import AGENTS, GOOD, query
-from commitlens.plans.scratch import scratch_dir
+from commitlens.plans.scratch import materialize, scratch_dir
 from commitlens.plans.views import ctes, relation, view
 from commitlens.sources import tables
 from commitlens.streaming import jobs
@@ -100,12 +100,17 @@ def d2(spark, d):
 @query("e4_prereleases", ctes("v_release") + " SELECT package_name, version, CAST(str_split(version, '.')[2] AS INT) % 2 = 0 AS takes, CAST(str_split(version, '.')[2] AS INT) % 2 = 0 AS pre_inside, true AS plain_inside FROM v_release")
 def e4(spark, d):
     """Ranges with and without a prerelease of their own against a prerelease and a release of the same numbers plus one."""
-    r = view(spark, d, "v_release").withColumn("minor", F.split("version", r"\.")[1].cast("int"))
-    r = r.withColumn("spec", F.concat(F.lit(">="), "version", F.when(F.col("minor") % 2 == 0, "-beta.0").otherwise("")))
-    r = r.withColumn("bounds", ranges.range_bounds("npm", F.col("spec"))).withColumn("takes", ranges.takes_prereleases("npm", F.col("spec"), F.col("bounds")))
+    r = view(spark, d, "v_release").select("package_name", "version")
+    # a version's ranges are taken apart and tested once, not for each package that has it
+    v = r.select("version").distinct().withColumn("minor", F.split("version", r"\.")[1].cast("int"))
+    v = v.withColumn("spec", F.concat(F.lit(">="), "version", F.when(F.col("minor") % 2 == 0, "-beta.0").otherwise("")))
+    v = v.withColumn("bounds", ranges.range_bounds("npm", F.col("spec"))).withColumn("takes", ranges.takes_prereleases("npm", F.col("spec"), F.col("bounds")))
     up = F.concat(F.substring_index("version", ".", 2), F.lit(".1"))
-    hit = lambda v: ranges.range_match("npm", v, ranges.version_key(v), F.col("bounds"), F.col("takes"))
-    return r.filter("bounds is not null").select("package_name", "version", "takes", hit(F.concat(up, F.lit("-beta.1"))).alias("pre_inside"), hit(up).alias("plain_inside"))
+    tried = {"pre": F.concat(up, F.lit("-beta.1")), "plain": up}
+    v = v.withColumns({f"{k}_key": ranges.version_key(c) for k, c in tried.items()})
+    hits = [ranges.range_match("npm", c, F.col(f"{k}_key"), F.col("bounds"), F.col("takes")).alias(f"{k}_inside") for k, c in tried.items()]
+    tested = materialize(v.select("version", F.col("bounds").isNotNull().alias("known"), "takes", *hits), "tested")
+    return r.join(tested.filter("known").drop("known"), "version").select("package_name", "version", "takes", "pre_inside", "plain_inside")
 
 
 @query("f11_stage3_summary", ctes("v_commit") + """ SELECT 'episodes' AS dimension, 'all' AS value, count(*) AS n FROM v_commit UNION ALL SELECT 'commits', 'all', count(DISTINCT repo) FROM v_commit UNION ALL SELECT 'registry_status', CASE WHEN pos % 3 = 0 THEN 'not_queried' ELSE priority END, count(*) FROM v_commit GROUP BY 2

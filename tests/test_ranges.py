@@ -113,3 +113,26 @@ def test_first_matches(spark, eco, endpoints):
     want = {(x.package_name, x.query_value): (x.n > 0, x.at, bool(x.timeless), x.unordered) for x in want.collect() if x.n or x.unordered}
     got = {(x.package_name, x.query_value): (bool(x.n), x.first_at, x.timeless, x.unordered) for x in evidence.first_matches(straight, rel, eco, endpoints).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("eco", ["npm", "PyPI"])
+def test_count_matches(spark, eco):
+    """Counts out of the index against a test of each release; branches that overlap count a release once."""
+    r = random.Random(eco)
+    pool = [t for t in TEXTS if eco == "PyPI" or "post" not in t] + ["1.3.0", "3.1.4", "3.0.0-beta", "odd"]
+    rel = spark.createDataFrame([(f"p{k}", v, "2020-01-01") for k in range(6) for v in r.sample(pool, 15)], "package_name string, v string, published_at string").withColumn("key", ranges.version_key(F.col("v")))
+    specs = some_specs(r, eco, ["1.0.0", "0.9.9", "2.0.0"]) + ([">=0.1 || ^1.0.0 || 1.x", "* || 1.x", "<2.0.0 || >=1.0.0"] if eco == "npm" else [])
+    asked = spark.createDataFrame(sorted({(f"p{k}", s) for k in range(7) for s in specs}), "package_name string, query_value string").withColumn("bounds", ranges.range_bounds(eco, F.col("query_value"))).filter("bounds is not null")
+    asked = asked.withColumn("pre", ranges.takes_prereleases(eco, F.col("query_value"), F.col("bounds"))).withColumn("stretches", ranges.range_stretches(F.col("bounds"))).cache()
+    hit = ranges.range_match(eco, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))
+    want = asked.join(rel, "package_name").groupBy("package_name", "query_value").agg(F.count_if(hit).alias("n")).filter("n > 0")
+    assert sorted(map(tuple, evidence.count_matches(asked, rel, eco).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_version_is_tested_once(spark):
+    """e4 tests its ranges for each version, whatever the number of packages that have it."""
+    from commitlens.plans import queries as core
+    from commitlens.plans import table_queries  # noqa: F401
+
+    plan = core.queries()["e4_prereleases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "forall" not in plan
