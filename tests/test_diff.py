@@ -154,5 +154,5 @@ def test_patch_lines_are_numbered_in_place(spark):
 def test_line_ends_and_odd_headers(spark):
     """All three line ends, a header without a second path, a path of no file, and a hunk before any header."""
     patch = "\r\n".join(["@@ -1 +7 @@", "+++ b/pre", "+x", "diff --git a/only", "+y", "diff --git a/q b/q", "+++ b//dev/null", "@@ -1 +3 @@"]) + "\r+a\n-b\r\n c"
-    got = diff.patch_lines(spark.createDataFrame([("s", patch)], "sha string, patch string")).drop("sha").collect()
+    got = diff.patch_lines(spark.createDataFrame([("s", patch)], "sha string, patch string")).drop("sha", "kind").collect()
     assert sorted(tuple(x) for x in got) == [(0, "pre", 1, 7, True, "x"), (0, "pre", 1, 8, True, "y"), (1, "q", 1, 3, True, "a"), (1, "q", 1, 4, False, "c")]

@@ -285,3 +285,15 @@ def test_text_rules(spark, most):
     want = sorted((i, f"a{k}") for i, m in enumerate(messages) for k, v in enumerate(values) if v is not None and ((m is not None and v in m.lower()) or v == ""))
     assert sorted((x.seq, x.agent) for x in got) == want
     assert attribution.text_hits(commits, rules.limit(0), most).count() == 0
+
+
+def test_episodes_come_of_their_drafts_alone(spark):
+    """What an episode and a link say is summed up from the drafts: no join back to the events."""
+    from commitlens.operators import diff, imports, linking
+
+    patch = "diff --git a/Cargo.toml b/Cargo.toml\n+++ b/Cargo.toml\n@@ -0,0 +1,2 @@\n+[dependencies]\n+serde = \"1.0\"\ndiff --git a/a.rs b/a.rs\n+++ b/a.rs\n@@ -0,0 +1,2 @@\n+use serde::X;\n+use rand::Y;"
+    events = imports.extract_events(diff.patch_lines(spark.createDataFrame([("s", patch)], "sha string, patch string")), "sha", ("Rust",))
+    episodes, links = linking.build_episodes(events)
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (episodes, links))
+    assert sorted((x.identity, x.dependency_quadrant) for x in episodes.collect()) == [("rand", "I+M-"), ("serde", "I+M+")]
+    assert sorted((x.event_type, x.link_method) for x in links.collect()) == [("import", "identity_match"), ("import", "import_only"), ("manifest_addition", "identity_match")]
