@@ -67,6 +67,8 @@ BLANKS = " \t\n\x0b\f\r"
 #: Grammars that judge each line by itself.
 STATELESS = ("requirements", "gradle", "js", "rust", "java")
 KINDS = (*MANIFEST_ECOSYSTEM, *dict.fromkeys(LANGUAGE_KIND.values()))
+#: Most grammars whose findings become a column, which Spark compiles; the code of all is slower than interpreting it in explode.
+COMPILED_KINDS = 3
 ITEM = "array<struct<ordinal:int,target:string,spec:string,status:string,reasons:array<string>>>"
 
 
@@ -267,8 +269,8 @@ def _declared(df: DataFrame, key: str, kinds: tuple[str, ...]) -> DataFrame:
     }
     on_line = _by_kind({k: v for k, v in cases.items() if k in kinds} or {"": none}, none)
     items = F.when(F.col("kind") == "maven", maven).when(added, on_line) if "maven" in kinds else F.when(added, on_line)
-    # as a column first, which Spark compiles; what explode holds itself it interprets
-    each = df.select(key, "path", "kind", F.col("at").alias("line_no"), items.alias("items"))
+    if len(kinds) <= COMPILED_KINDS:
+        df, items = df.withColumn("items", items), F.col("items")
     # outer, as else Spark works the list out once more to filter empty ones
-    each = each.select(key, "path", "kind", "line_no", F.explode_outer("items").alias("x")).filter("x is not null")
+    each = df.select(key, "path", "kind", F.col("at").alias("line_no"), F.explode_outer(items).alias("x")).filter("x is not null")
     return each.select(key, "path", "kind", "line_no", "x.*")
