@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commitlens.plans.scratch import is_small, materialize, small
+
 #: Registries that the labels know.
 REGISTRIES = ("npm", "PyPI", "Cargo", "Go", "Maven", "NuGet", "Packagist")
 #: Prefixes of specs that this chain takes for private or local.
@@ -182,7 +184,7 @@ def legacy_label() -> Column:
 def bom_reference(group: Column) -> Column:
     """struct(alias, package, version) of the first bom_managed_by:alias:group:artifact:version in a group's tags; null
     where a part is missing."""
-    tag = F.element_at(F.filter(F.split(F.coalesce(group, F.lit("")), ";"), lambda x: x.startswith("bom_managed_by:")), 1)
+    tag = F.try_element_at(F.filter(F.split(F.coalesce(group, F.lit("")), ";"), lambda x: x.startswith("bom_managed_by:")), F.lit(1))
     parts = F.split(F.regexp_replace(tag, "^bom_managed_by:", ""), ":", 4)
     whole = (F.size(parts) == 4) & (parts[1] != "") & (parts[2] != "") & (parts[3] != "")
     return F.when(whole, F.struct(parts[0].alias("alias"), F.concat(parts[1], F.lit(":"), parts[2]).alias("package"), parts[3].alias("version")))
@@ -195,7 +197,11 @@ def resolve_bom(rows: DataFrame, versions: DataFrame) -> DataFrame:
     managed = (_t("version_kind") == "bom_managed") | F.contains(group, F.lit("bom_managed_by:"))
     target = F.when(_t("declared_package") != "", _t("declared_package")).otherwise(_t("package_candidate"))
     j = rows.withColumn("b", F.when(managed & F.contains(target, F.lit(":")), bom_reference(group))).withColumns({"bom": F.col("b.package"), "bom_version": F.col("b.version"), "target": target, "managed": managed})
-    j = j.join(versions, ["bom", "bom_version", "target"], "left")
+    known, at = materialize(versions, "boms"), ["bom", "bom_version", "target"]
+    if is_small(known):
+        j = j.join(F.broadcast(known), at, "left")
+    else:  # rows without a reference would all be one task
+        j = j.filter("b is not null").join(known, at, "left").unionByName(j.filter("b is null").withColumn("resolved", F.lit(None).cast("string")))
     hit = F.col("resolved").isNotNull()
     source = F.concat(F.lit("bom_resolved_from:"), "bom", F.lit(":"), "bom_version")
     status = F.when(~F.col("managed"), "not_managed").when(F.col("b").isNull(), "not_applicable").when(hit, "resolved").otherwise("target_not_listed")
@@ -206,9 +212,17 @@ def resolve_bom(rows: DataFrame, versions: DataFrame) -> DataFrame:
     }).select(*rows.columns, "bom_status")
 
 
-def bom_versions(poms: DataFrame, rounds: int = 5) -> DataFrame:
+def bom_references(rows: DataFrame) -> DataFrame:
+    """The BOMs (bom, bom_version) that match rows refer to, each once."""
+    return rows.select(bom_reference(_t("dependency_group")).alias("b")).filter("b is not null").select(F.col("b.package").alias("bom"), F.col("b.version").alias("bom_version")).distinct()
+
+
+def bom_versions(poms: DataFrame, rounds: int = 5, asked: DataFrame | None = None) -> DataFrame:
     """bom, bom_version, target, resolved of the managed dependencies of POM documents (bom, bom_version, xml); ${names}
-    of the document's properties are put in, in `rounds` rounds, and what still holds one is left out."""
+    of the document's properties are put in, in `rounds` rounds, and what still holds one is left out. asked: the BOMs
+    (bom, bom_version) that are wanted; only their documents are parsed."""
+    if asked is not None:
+        poms = poms.join(small(materialize(asked.select("bom", "bom_version").distinct(), "asked")), ["bom", "bom_version"], "left_semi")
     at = lambda p: F.xpath("xml", F.lit(p))
     dep = "//*[local-name()='dependencyManagement']//*[local-name()='dependency']/*[local-name()='{}']/text()"
     prop = "//*[local-name()='properties']/*"
@@ -216,7 +230,9 @@ def bom_versions(poms: DataFrame, rounds: int = 5) -> DataFrame:
     p = poms.select("bom", "bom_version", at(dep.format("groupId")).alias("g"), at(dep.format("artifactId")).alias("a"), at(dep.format("version")).alias("v"), names.alias("names"), at(prop + "/text()").alias("texts"))
     p = p.withColumn("props", F.when(F.size("names") == F.size("texts"), F.map_from_arrays(F.array_distinct("names"), F.slice("texts", 1, F.size(F.array_distinct("names"))))).otherwise(F.create_map().cast("map<string,string>")))
     p = p.withColumn("props", F.map_concat(F.map_filter("props", lambda k, _: ~k.isin("project.version", "project.groupId")), F.create_map(F.lit("project.version"), F.col("bom_version"), F.lit("project.groupId"), F.split("bom", ":")[0])))
-    d = p.filter("size(g) = size(a) and size(a) = size(v)").select("bom", "bom_version", "props", F.inline(F.arrays_zip("g", "a", "v")))
+    # a filter, or a generator that is not outer, would parse each document several times more
+    whole = (F.size("g") == F.size("a")) & (F.size("a") == F.size("v"))
+    d = p.select("bom", "bom_version", "props", F.inline_outer(F.when(whole, F.arrays_zip("g", "a", "v")))).filter("g is not null")
 
     def put_in(text: Column) -> Column:
         name = F.regexp_extract(text, r"\$\{([^}]+)\}", 1)

@@ -246,15 +246,19 @@ POMS = """SELECT 'org.b:bom' || CAST(p_partkey AS STRING) AS bom, '1' AS bom_ver
  || '<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v.y}</version></dependency><dependency><groupId>${project.groupId}</groupId><artifactId>b</artifactId><version>2.1</version></dependency><dependency><groupId>g</groupId><artifactId>c</artifactId><version>${none}</version></dependency></dependencies></dependencyManagement></project>' AS xml FROM part""".replace("{", "' || chr(123) || '").replace("}", "' || chr(125) || '")
 
 
+#: The rows are dealt out before documents are made of them: the table is narrow, so its one file would be one task.
+POM_ROWS = {"part": ("p_partkey", "p_size")}
+
+
 @query("g16_bom_versions", "SELECT 'org.b:bom' || CAST(p_partkey AS STRING) AS bom, 'g:a' AS target, CAST(p_size AS STRING) || '.0' AS resolved FROM part UNION ALL SELECT 'org.b:bom' || CAST(p_partkey AS STRING), 'org.b:b', '2.1' FROM part")
 def g16(spark, d):
-    return legacy.bom_versions(relation(spark, d, POMS)).select("bom", "target", "resolved")
+    return legacy.bom_versions(relation(spark, d, POMS, POM_ROWS)).select("bom", "target", "resolved")
 
 
 @query("g15_resolve_bom", ctes("v_commit") + ", p AS (SELECT p_partkey, p_size FROM part) SELECT pos, CASE WHEN pos % 3 = 0 THEN 'not_managed' WHEN pos % 3 = 1 AND pos % 5 = 0 THEN 'not_applicable' WHEN p_partkey IS NULL THEN 'target_not_listed' ELSE 'resolved' END AS bom_status, CASE WHEN pos % 3 > 0 AND NOT (pos % 3 = 1 AND pos % 5 = 0) AND p_partkey IS NOT NULL THEN CAST(p_size AS STRING) || '.0' ELSE '' END AS resolved_version FROM v_commit LEFT JOIN p ON p_partkey = pos % 1000")
 def g15(spark, d):
     rows = view(spark, d, "v_commit").selectExpr("pos", "'g:a' as declared_package", "'' as package_candidate", "if(pos % 3 = 0, '', concat('x;bom_managed_by:al:org.b:bom', pos % 1000, if(pos % 3 = 1 and pos % 5 = 0, '', ':1'))) as dependency_group", "'' as version_spec", "'' as version_kind", "'' as resolved_version", "'' as resolution_source")
-    return legacy.resolve_bom(rows, legacy.bom_versions(relation(spark, d, POMS))).select("pos", "bom_status", "resolved_version")
+    return legacy.resolve_bom(rows, legacy.bom_versions(relation(spark, d, POMS, POM_ROWS), asked=legacy.bom_references(rows))).select("pos", "bom_status", "resolved_version")
 
 
 @query("e9_partial_matches", ctes("v_release") + ", p AS (SELECT package_name, list_sort(list(version)) AS v, min(str_split(version, '.')[1]) AS a FROM v_release GROUP BY 1) SELECT package_name, array_to_string([x FOR x IN v IF x LIKE a || '.1.%'][1:8], ';') AS matches FROM p")

@@ -45,6 +45,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
     return F.broadcast(df) if is_small(df, rows, most) else df
 
 
+#: Most rows of a task that makes patches of them.
+DEALT_ROWS = 100_000
+
+
+def parts(df: DataFrame, rows: int = DEALT_ROWS) -> int:
+    """How many partitions hold at most about so many rows of df, a stored table, each; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def dealt(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """df, a stored table of narrow rows, dealt out by keys in as many partitions as its rows need. What is grouped, joined or
+    made into texts by these keys afterwards stays where it is, so that the texts are never shuffled, and no task grows
+    with the table."""
+    return df.repartition(n or parts(df), *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize wrote, once nothing that is still to run reads them."""
     for df in tables:

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from commitlens.plans.scratch import dealt, parts
+
 OBS = """SELECT event_id AS seq, 'agent_' || CAST(user_id % 4 AS STRING) AS agent, event_type AS channel,
   CASE WHEN event_id % 97 = 0 THEN 'bad' WHEN event_type = 'error' THEN 'audit' WHEN event_type = 'signup' THEN 'monthly_audit' ELSE 'main' END AS tier,
   CASE WHEN event_type IN ('click','view') THEN 'author' ELSE 'coauthor' END AS mode,
@@ -33,17 +35,26 @@ MESSAGE = """SELECT conv_id, turn, role, text || CASE WHEN turn % 3 = 0 THEN chr
 REQ = """SELECT DISTINCT l.l_orderkey AS pos, l.l_linenumber AS line_no, 'pkg-' || CAST(l.l_partkey AS STRING) AS package_name, CAST(l.l_suppkey AS STRING) || '.' || CAST(l.l_linenumber AS STRING) || '.0' AS version,
   l.l_suppkey AS major, l.l_linenumber AS minor FROM lineitem l"""
 ALL = {"v_req": REQ, "v_obs": OBS, "v_commit": COMMIT, "v_release": RELEASE, "v_decl": DECL, "v_repo": REPO, "v_segment": SEGMENT, "v_message": MESSAGE}
+#: By which column these views are dealt out by commit, and what else they read.
+BY_COMMIT = {
+    "v_req": {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}, "v_commit": {"orders": ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")},
+    "v_decl": {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "orders": ("o_orderkey", "o_orderdate")},
+}
 TABLES = ("customer", "nation", "orders", "lineitem", "events", "conversations", "part", "supplier", "documents")
 
 
-def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """The rows of a SQL text over the driver's tables, without registering anything in the session."""
-    used = {}
+def relation(spark: SparkSession, sf_dir: str, text: str, by: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The rows of a SQL text over the driver's tables, without registering anything in the session. by: for tables that are
+    dealt out first, the key and the columns that the text uses; all into as many partitions as the largest needs."""
+    used, by = {}, by or {}
+    n = max((parts(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in by), default=None)
     for t in TABLES:
         for word in ("FROM ", "JOIN "):
             if f"{word}{t}" in text:
                 text = text.replace(f"{word}{t}", f"{word}{{{t}}}")
                 used[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+                if t in by:
+                    used[t] = dealt(used[t].select(*by[t]), by[t][0], n=n)
     return spark.sql(text, **used)
 
 
@@ -52,6 +63,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return relation(spark, sf_dir, ALL[name])
 
 
+def dealt_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """v_req, v_decl or v_commit dealt out by commit (pos)."""
+    return relation(spark, sf_dir, ALL[name], BY_COMMIT[name])
+
+
 def ctes(*names: str) -> str:
     """The views as the WITH clause of an oracle."""
     return "WITH " + ",\n".join(f"{n} AS ({ALL[n]})" for n in names)
