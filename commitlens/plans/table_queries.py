@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import ranges
 from commitlens.operators import adjudication, corpus, diff, evidence, imports, linking, quality, reports, stats
-from commitlens.plans.diff_queries import CASES, _star
+from commitlens.plans.diff_queries import CASES, _star, declared
 from commitlens.plans.queries import AGENTS, GOOD, query
-from commitlens.plans.scratch import materialize, scratch_dir
-from commitlens.plans.views import ctes, relation, view
+from commitlens.plans.scratch import materialize, parts, scratch_dir
+from commitlens.plans.views import ctes, dealt_view, relation, view
 from commitlens.sources import tables
 from commitlens.streaming import jobs
 
@@ -187,13 +187,10 @@ def l5(spark, d):
 @query("c16_chosen_languages", ctes("v_req") + ", n AS (SELECT count(*) AS rows_, count(DISTINCT pos) AS commits FROM v_req) SELECT 'import' AS event_type, 'PyPI' AS ecosystem, rows_ AS n FROM n UNION ALL SELECT 'manifest_addition', 'PyPI', rows_ FROM n")
 def c16_languages(spark, d):
     """Python's imports and its ecosystem's manifests out of commits that also hold Go and npm."""
-    rows = view(spark, d, "v_req").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("line_no", "package_name", "version"))).alias("r"))
     each = {"a.py": "concat('import ', replace(x.package_name, '-', '_'))", "requirements.txt": "concat(x.package_name, '==', x.version)", "a.ts": "concat('import \"', x.package_name, '\"')", "go.mod": "concat('require github.com/a/', x.package_name, ' v', x.version)"}
-    files = None
-    for path, line in each.items():
-        f = rows.select("pos", F.lit(path).alias("path"), F.lit(path).alias("ordinal"), F.expr(f"transform(r, x -> {line})").alias("lines"))
-        files = f if files is None else files.unionByName(f)
-    events = imports.extract_events(diff.patch_lines(diff.render_patches(files, "pos"), "pos"), "pos", ("Python",))
+    files = [(path, F.expr(f"transform(r, x -> {line})")) for path, line in each.items()]
+    patches = declared(spark, d).select("pos", diff.added_files(*sorted(files, key=lambda f: f[0])).alias("patch"))
+    events = imports.extract_events(diff.patch_lines(patches, "pos"), "pos", ("Python",))
     return events.groupBy("event_type", "ecosystem").agg(F.count("*").alias("n"))
 
 
@@ -246,7 +243,8 @@ def c20_counters(spark, d):
 @query("f1_lookup_keys", ctes("v_decl") + """, k AS (SELECT DISTINCT package_name, CASE WHEN version_spec = '' THEN 'name_only' WHEN version_spec LIKE '^%' THEN 'range' ELSE 'exact' END AS query_kind, version_spec AS query_value FROM v_decl WHERE version_spec <> 'workspace:*')
  SELECT 'registry' AS source, 'npm' AS ecosystem, * FROM k UNION ALL SELECT 'advisory', 'npm', * FROM k WHERE query_kind = 'exact'""")
 def f1_keys(spark, d):
-    return evidence.lookup_keys(evidence.plan_queries(view(spark, d, "v_decl")))
+    n = parts(spark.read.parquet(f"{d}/lineitem.parquet"))
+    return evidence.lookup_keys(evidence.plan_queries(dealt_view(spark, d, "v_decl")), parts=n)
 
 
 @query("h22_language_gaps", ctes("v_obs") + """, m AS (SELECT repo, CASE WHEN CAST(substr(split_part(repo, '/', 2), 5) AS BIGINT) % 3 = 0 THEN 'missing_metadata' ELSE 'blank' END AS language_state, count(*) AS n_rows FROM v_obs WHERE CAST(substr(split_part(repo, '/', 2), 5) AS BIGINT) % 3 < 2 GROUP BY 1, 2)

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from commitlens.operators import diff, grammars, legacy
-from commitlens.plans import more_queries, queries, scratch, views
+from commitlens.operators import diff, evidence, legacy
+from commitlens.plans import diff_queries, more_queries, queries, scratch, table_queries, views  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +48,40 @@ def test_many_versions_of_boms_leave_rows_without_reference_in_place(spark, monk
     )
     got = legacy.resolve_bom(rows, versions)
     assert sorted((r.pos, r.bom_status, r.resolved_version) for r in got.collect()) == [(1, "resolved", "3"), (2, "not_managed", ""), (3, "not_managed", "")]
+
+
+def test_languages_of_commits_need_one_shuffle_of_narrow_rows(spark):
+    """Patches are made, cut and summed up where their commit's row was dealt; the flags of a key have a fixed size."""
+    plan = physical(queries.c17(spark, SF))
+    assert plan.count("Exchange") == 1 and "ObjectHashAggregate(keys=[pos#" in plan
+    assert "bool_or" in plan or "max(" in plan
+
+
+@pytest.mark.parametrize("name", ["c16_chosen_languages", "c16_extract_events", "c13_maven_manifest", "c3_python_statements", "c3_python_imports", "c2_js_forms", "c6_normalize_imports", "c1_c7_npm_manifest"])
+def test_texts_and_lines_are_not_shuffled(spark, name):
+    """Commits are dealt out while their rows are narrow, and stay there: neither their texts nor their lines are shuffled."""
+    plan = physical(queries.queries()[name](spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == (2 if name == "c1_c7_npm_manifest" and "hashpartitioning(o_orderkey" in plan else 1)
+    assert "hashpartitioning(pos" not in plan
+
+
+def test_lookups_are_told_apart_in_as_many_tasks_as_they_need(spark):
+    df = spark.createDataFrame([("p", "exact", "1"), ("p", "exact", "1"), ("p", "name_only", None), ("q", "excluded", "x")], "package_name string, query_kind string, query_value string")
+    got = evidence.lookup_keys(df, parts=9)
+    assert got.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, got.collect())) == [("advisory", "npm", "p", "exact", "1"), ("registry", "npm", "p", "exact", "1"), ("registry", "npm", "p", "name_only", "")]
+
+
+def test_rows_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "DEALT_ROWS", 100)
+    table = spark.read.parquet(f"{SF}/orders.parquet")
+    assert scratch.parts(table, 100) == max(4, -(-table.count() // 100))
+    assert scratch.dealt(table.select("o_orderkey"), "o_orderkey", n=7).rdd.getNumPartitions() == 7
+
+
+def test_diffs_of_a_row_are_those_of_its_files(spark):
+    df = spark.createDataFrame([(1, ["x", "y"], []), (2, ["z"], [])], "pos int, a array<string>, b array<string>")
+    one = df.select("pos", diff.added_files(("a", F.col("a")), ("q/b", F.col("b"))).alias("patch"))
+    files = df.selectExpr("pos", "inline(array(struct('a' as path, 'a' as ordinal, a as lines), struct('q/b' as path, 'q/b' as ordinal, b as lines)))")
+    assert df.select(diff.added_files(("a", F.col("a")), ("b", F.lit(None).cast("array<string>"))).alias("p")).filter("p like '%b/b%'").count() == 0
+    assert sorted(one.collect()) == sorted(diff.render_patches(files, "pos").select("pos", "patch").collect())
