@@ -278,18 +278,28 @@ def fit(texts: list[list[list[str]]], toxic: np.ndarray, prior: float = 0.1) ->
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[list[list[str]]], np.ndarray, float]:
-    """The sentences of at most `most` texts of each label from the training folds, by the smallest MD5 of doc_id; the
-    labels; the share of 1s among all labels of those folds."""
+def chosen_texts(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """doc_id, toxic, text of at most `most` texts of each label from the training folds, by the smallest MD5 of doc_id; prior:
+    the share of 1s among all labels of those folds."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [usable.filter(F.col("toxic") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.char_length("text") <= chars)
-    got = short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toLocalIterator()
+    got = short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return got.join(F.broadcast(usable.agg(F.avg("toxic").alias("prior"))))
+
+
+def _fit_chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The landmarks and weights of the model of the chosen texts, one row; none if there is no model."""
     same: dict[str, str] = {}  # one string for each word
-    got = sorted(((r["doc_id"], r["toxic"], [[same.setdefault(w, w) for w in s] for s in sentences(r["text"])]) for r in got), key=lambda r: r[0])
-    prior = usable.agg(F.avg("toxic")).first()[0] or 0.0
-    return [s for *_, s in got], np.array([y == 1 for _, y, _ in got], bool), min(max(prior, 1e-3), 1 - 1e-3)
+    rows, prior = [], 0.0
+    for b in batches:
+        rows += [(i, y, [[same.setdefault(w, w) for w in s] for s in sentences(t)]) for i, y, t in zip(b["doc_id"].tolist(), b["toxic"].tolist(), b["text"].tolist(), strict=True)]
+        prior = float(b["prior"].iloc[0]) if len(b) else prior
+    rows.sort(key=lambda r: r[0])
+    model = fit([s for *_, s in rows], np.array([y == 1 for _, y, _ in rows], bool), min(max(prior, 1e-3), 1 - 1e-3))
+    if model:
+        yield pd.DataFrame({"landmarks": [model.kernel.landmarks], "direction": [model.direction.tolist()], "bias": [model.bias], "logistic": [model.logistic.tolist()]})
 
 
 def _held_out():
@@ -313,7 +323,14 @@ def _score(model: Model):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(*training_rows(docs, labels))
+    """The chosen texts, at most 2 * TRAIN_ROWS whatever the input, are fitted in a task of their own; the driver gets the
+    landmarks and weights only."""
+    fitted = chosen_texts(docs, labels).repartition(1).mapInPandas(_fit_chosen, "landmarks array<string>, direction array<double>, bias double, logistic array<double>").first()
+    if fitted is None:
+        return None
+    model = Model(Kernel(list(fitted["landmarks"])), np.array(fitted["direction"], float), fitted["bias"])
+    model.logistic = np.array(fitted["logistic"], float)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:

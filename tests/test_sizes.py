@@ -85,3 +85,13 @@ def test_diffs_of_a_row_are_those_of_its_files(spark):
     files = df.selectExpr("pos", "inline(array(struct('a' as path, 'a' as ordinal, a as lines), struct('q/b' as path, 'q/b' as ordinal, b as lines)))")
     assert df.select(diff.added_files(("a", F.col("a")), ("b", F.lit(None).cast("array<string>"))).alias("p")).filter("p like '%b/b%'").count() == 0
     assert sorted(one.collect()) == sorted(diff.render_patches(files, "pos").select("pos", "patch").collect())
+
+
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    """The chosen texts are fitted in a task; the driver's memory holds landmarks and weights only."""
+    toxicity = pytest.importorskip("commitlens.llm.toxicity")
+    rows = [(i, ("you are a worthless idiot" if i % 2 else "the quiet river runs along") + f" w{i}", i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(toxicity, "fit", None)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model is not None and "^idiot$" in model.kernel.landmarks
