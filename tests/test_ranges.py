@@ -136,3 +136,34 @@ def test_a_version_is_tested_once(spark):
 
     plan = core.queries()["e4_prereleases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan and "forall" not in plan
+
+
+@pytest.mark.parametrize("eco", ["npm", "Maven", "PyPI"])
+def test_range_answers(spark, eco):
+    """Ranges that meet their package's releases, those of large packages in the index, and runs over many blocks, against a
+    test of each release; packages without releases and with odd versions too."""
+    r = random.Random(eco)
+    days = [None, *[datetime.date(2020, 1, i) for i in range(1, 29)]]
+    pool = [t for t in TEXTS if eco == "PyPI" or "post" not in t] + ["1.3.0", "0.0.4", "1.0.1", "3.1.4", "1.2.0-rc.1", "3.0.0-beta", "odd", "1.0.5", "10.0.0", "1.10.0", "01.2.0"]
+    releases = [(f"p{k}", v, r.choice(days)) for k in range(9) for v in r.sample([p for p in pool if k % 3 or p != "odd"], r.randint(1, 24))] + [("q", "odd", days[1])]
+    rel = spark.createDataFrame(releases, "package_name string, v string, published_at date").withColumn("key", ranges.version_key(F.col("v"))).cache()
+    asked = spark.createDataFrame(sorted({(p, s) for p in ["q", *[f"p{k}" for k in range(10)]] for s in some_specs(r, eco, ["1.0.0", "1.2.3", "0.9.9", "2.0.0", "1.0.0-a1"])}), "package_name string, query_value string")
+    asked = asked.withColumn("bounds", ranges.range_bounds(eco, F.col("query_value"))).filter("bounds is not null")
+    asked = asked.withColumn("pre", F.lit(True) if eco == "Maven" else ranges.takes_prereleases(eco, F.col("query_value"), F.col("bounds"))).withColumn("stretches", ranges.range_stretches(F.col("bounds"))).filter("stretches is not null").cache()
+    hit = ranges.range_match(eco, F.col("v"), F.col("key"), F.col("bounds"), F.col("pre"))
+    want = asked.join(rel, "package_name", "left").withColumn("hit", hit & F.col("v").isNotNull()).groupBy("package_name", "query_value").agg(F.count_if("hit").alias("n"), F.min(F.when(F.col("hit"), F.col("published_at"))).alias("at"), F.bool_or(F.col("hit") & F.col("published_at").isNull()).alias("timeless"), F.bool_or(F.col("v").isNotNull() & F.col("hit").isNull()).alias("unordered"), (F.count("v") > 0).alias("there"))
+    want = {(x.package_name, x.query_value): (x.n > 0, x.at, bool(x.timeless), x.unordered, x.there) for x in want.collect()}
+    say = lambda df: {(x.package_name, x.query_value): (bool(x.n), x.first_at, x.timeless, x.unordered, x.has_history) for x in df.collect()}
+    history = evidence.package_history(rel, eco).cache()
+    for most in (10, 256):
+        assert say(evidence.range_answers(asked, rel, history, eco, most)) == want
+    assert say(evidence.indexed_answers(asked, rel, eco, 10**6, block=2)) == want
+
+
+def test_places_sort_like_keys(spark):
+    df = spark.createDataFrame([(t,) for t in [*TEXTS, "0", "0.0", "00.1.0", "1.10", "10", "1!0", "no", None]], "v string").withColumn("key", ranges.version_key(F.col("v")))
+    df = df.select("v", "key", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("side")).withColumn("cut", F.when(F.col("key").isNotNull(), ranges.cut(F.col("key"), 0).withField("side", F.col("side"))))
+    df = df.withColumn("place", F.when(F.col("side") == 0, ranges.placed_version(F.col("v"))).when(F.col("key").isNotNull(), ranges.placed_cut(F.col("key"), F.col("side")))).cache()
+    assert df.filter("(place is null) <> (key is null)").count() == 0 and df.filter(ranges.is_version(F.col("v")) != F.col("key").isNotNull()).count() == 0
+    a, b = df.select(F.col("cut").alias("c"), F.col("place").alias("p")), df.select(F.col("cut").alias("d"), F.col("place").alias("q"))
+    assert a.join(b, F.lit(True)).filter("(c < d) <> (p < q) or (c = d) <> (p = q)").count() == 0

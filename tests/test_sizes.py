@@ -95,3 +95,24 @@ def test_the_driver_does_not_fit(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", None)
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert model is not None and "^idiot$" in model.kernel.landmarks
+
+
+def test_answers_do_not_depend_on_the_time(spark):
+    """What a package's history says to a query is worked out once, not for each time that an episode asks at; no table of runs
+    of ranks is made for small packages, and each declaration is summed up once."""
+    plan = physical(queries.queries()["f3_asof_registry"](spark, SF))
+    assert "author_date" not in "".join(re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan))
+    assert "Window" not in plan and "power" not in plan
+
+
+def test_odd_queries_of_a_registry(spark):
+    """Queries without package, value, time or a known kind; ranges of packages without or with odd releases only."""
+    at = "timestamp_ntz'2020-01-01 00:00:00'"
+    asked = [(0, None, "exact", "1.0.0"), (1, "p", "exact", None), (2, None, "range", "^1.0.0"), (3, "p", "range", None), (4, "p", None, "x"), (5, "p", "other", ""), (6, "p", "excluded", "x"), (7, "none", "range", "^1.0.0"), (8, "odd", "range", "^1.0.0"), (9, None, "name_only", ""), (10, "p", "range", "^1.0.0")]
+    q = spark.createDataFrame(asked, "id int, package_name string, query_kind string, query_value string").selectExpr("*", f"if(id = 10, null, {at}) as author_date")
+    rel = spark.sql("select * from values ('p', '1.0.0', timestamp_ntz'2019-01-01 00:00:00'), ('odd', 'next', timestamp_ntz'2019-01-01 00:00:00') as t(package_name, version, published_at)")
+    got = evidence.registry_status(q, rel, ["id"])
+    absent, cannot = "current_absent_unknown", "cannot_compare"
+    assert {r.id: r.registry_status for r in got.collect()} == {0: absent, 1: absent, 2: cannot, 3: cannot, 4: cannot, 5: cannot, 6: "excluded", 7: absent, 8: cannot, 9: absent, 10: cannot}
+    assert {r.id: r.reasons[-1] for r in got.collect() if r.reasons} == {0: "registry_release_history_empty", 1: "registry_requested_version_absent", 7: "registry_release_history_empty", 8: "range_candidate_version_unparseable", 9: "registry_release_history_empty", 10: "author_date_missing"}
+    assert sorted(evidence.registry_status(q, rel, ["id"], reasons=False).collect()) == sorted(got.drop("reasons").collect())
