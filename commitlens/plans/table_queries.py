@@ -190,7 +190,7 @@ def c16_languages(spark, d):
     each = {"a.py": "concat('import ', replace(x.package_name, '-', '_'))", "requirements.txt": "concat(x.package_name, '==', x.version)", "a.ts": "concat('import \"', x.package_name, '\"')", "go.mod": "concat('require github.com/a/', x.package_name, ' v', x.version)"}
     files = [(path, F.expr(f"transform(r, x -> {line})")) for path, line in each.items()]
     patches = declared(spark, d).select("pos", diff.added_files(*sorted(files, key=lambda f: f[0])).alias("patch"))
-    events = imports.extract_events(diff.patch_lines(patches, "pos"), "pos", ("Python",))
+    events = imports.extract_events(diff.patch_scopes(patches, "pos"), "pos", ("Python",))
     return events.groupBy("event_type", "ecosystem").agg(F.count("*").alias("n"))
 
 

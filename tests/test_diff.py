@@ -156,3 +156,44 @@ def test_line_ends_and_odd_headers(spark):
     patch = "\r\n".join(["@@ -1 +7 @@", "+++ b/pre", "+x", "diff --git a/only", "+y", "diff --git a/q b/q", "+++ b//dev/null", "@@ -1 +3 @@"]) + "\r+a\n-b\r\n c"
     got = diff.patch_lines(spark.createDataFrame([("s", patch)], "sha string, patch string")).drop("sha", "kind").collect()
     assert sorted(tuple(x) for x in got) == [(0, "pre", 1, 7, True, "x"), (0, "pre", 1, 8, True, "y"), (1, "q", 1, 3, True, "a"), (1, "q", 1, 4, False, "c")]
+
+
+SCOPED = {
+    "package.json": ['  "dependencies": {', '  "devDependencies": {', '    "a": "1",', '    "b": "^2"', "  },", "}", '  "scripts": {'],
+    "pyproject.toml": ["[project]", "dependencies = [", '    "a>=1", # x', '  "b"', "]", 'dependencies = ["c", "d>1"]', "[tool.poetry.dependencies]", 'e = "^1"', "# [x]", "[other]"],
+    "setup.cfg": ["[options]", "install_requires = f>1", "install_requires =", "    a>=1", "b", "", "[x]", "zip = 1"],
+    "Cargo.toml": ["[dependencies]", 'a = "1"', 'b = { version = "2" }', "c.workspace = true", "[dev-dependencies]", "[profile]", 'd.version = "3"'],
+    "go.mod": ["require (", "\ta.b/c v1.0.0", "\td.e/f v2 // indirect", ")", "require g.h/i v1", "module x"],
+    "pom.xml": ["<dependency>", "<groupId>g</groupId>", "<artifactId>a</artifactId>", "<version>1</version>", "</dependency>", "<dependencyManagement>", "</dependencyManagement>", "<dependency> <groupId>h</groupId> <artifactId>b</artifactId> </dependency>"],
+    "build.gradle": ["implementation 'a:b:1'", "api libs.x.y", "// api 'c:d:2'"], "libs.versions.toml": ["[libraries]", 'a = { module = "g:a", version = "1" }', "[plugins]", "x = 1"],
+    "requirements.txt": ["a==1", "# b", "-r x", "c"], "a.js": ["import x from 'y'", "const z = require('z'), w = import('w')", "x"], "a.rs": ["use a::b;", "extern crate c;", "fn use_() {}"], "A.java": ["import a.b.C;", "import static d.E.*;", "class import_ {}"],
+    "a.go": ["import (", '\t"a/b"', '\t_ "c/d"', ")", 'import "e/f"', 'var x = "y"'],
+    "a.py": ["from x import (", "    a,", "    b as c,  # why", ")", "    d)", "import m, \\", "    n", "import z; import y", "from q import r", "x = 1", "", "from .. import (  # c", "from k \\", "  import l", "    = 1,"],
+}
+
+
+def scoped_patch(r):
+    out = r.choice([[], ["+++ b/pom.xml", "@@ -1 +7 @@", *["+" + x for x in SCOPED["pom.xml"]]]])
+    for name in r.sample(sorted(SCOPED), 4):
+        out += [f"diff --git a/{name} b/{name}", f"+++ b/{name}"]
+        for at in range(r.randint(1, 3)):
+            out.append(f"@@ -1 +{100 * at + r.randint(1, 50)} @@")
+            out += [r.choice("++++ -") + r.choice(SCOPED[name]) for _ in range(r.randint(0, 25))]
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("kinds", [grammars.KINDS, ("py",), ("maven", "js"), ("pyproject", "setup_cfg"), ("js", "rust", "java"), ("gomod", "go", "npm", "cargo", "catalog")])
+def test_scopes_say_what_lines_say(spark, kinds):
+    """States cut out of a hunk are those that windows over its lines give, broken and interrupted forms too."""
+    r = random.Random(str(kinds))
+    patches = spark.createDataFrame([(f"s{i}", scoped_patch(r)) for i in range(150)] + [("none", None), ("empty", "")], "sha string, patch string")
+    lines, scopes = diff.patch_lines(patches), diff.patch_scopes(patches)
+    got, want = (sorted(map(str, grammars.findings(x, "sha", kinds).collect())) for x in (scopes, lines))
+    assert got == want and len(want) > 100
+    assert {x.kind for x in grammars.findings(scopes, "sha", kinds).select("kind").distinct().collect()} == set(kinds)
+
+
+def test_scopes_need_no_window(spark):
+    """States of all grammars without a window, sort or shuffle of lines."""
+    plan = physical(imports.extract_events(diff.patch_scopes(spark.createDataFrame([("s", "")], "sha string, patch string"))))
+    assert not [x for x in ("Exchange", "Sort", "Window", "Union") if x in plan]
