@@ -116,3 +116,17 @@ def test_odd_queries_of_a_registry(spark):
     assert {r.id: r.registry_status for r in got.collect()} == {0: absent, 1: absent, 2: cannot, 3: cannot, 4: cannot, 5: cannot, 6: "excluded", 7: absent, 8: cannot, 9: absent, 10: cannot}
     assert {r.id: r.reasons[-1] for r in got.collect() if r.reasons} == {0: "registry_release_history_empty", 1: "registry_requested_version_absent", 7: "registry_release_history_empty", 8: "range_candidate_version_unparseable", 9: "registry_release_history_empty", 10: "author_date_missing"}
     assert sorted(evidence.registry_status(q, rel, ["id"], reasons=False).collect()) == sorted(got.drop("reasons").collect())
+
+
+def test_imports_meet_manifests_where_they_were_dealt(spark):
+    """Joins and windows within a commit shuffle nothing but the two sides once, and an import's prefixes are made after that."""
+    from commitlens.operators import linking
+
+    events = spark.createDataFrame([(1, "i", "import", "m.go", "Go", 1, 0, "g.c/a/b", "g.c/a/b", "", "go_module_path_mapping"), (1, "m", "manifest_addition", "go.mod", "Go", 1, 0, "g.c/a", "g.c/a", "v1", "direct_manifest")], "pos long, event_id string, event_type string, path string, ecosystem string, line_no int, ordinal int, raw_target string, package_name string, version_spec string, status string").withColumn("reasons", F.array().cast("array<string>"))
+    man = events.filter("event_id = 'm'").selectExpr("pos", "ecosystem", "package_name as declared", "event_id as manifest_id", "path as manifest", "false as aliased").repartition(5, "pos")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    with scratch.co_located(spark):
+        met = linking._meetings(linking._imports(events, "pos").repartition(5, "pos"), man, "pos").hint("merge")
+        assert len(re.findall(r"Exchange hashpartitioning", physical(met))) == 2
+        assert [(r.import_id, r.manifest_id, r.alignment) for r in met.collect()] == [("i", "m", "matched_manifest")]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
